@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 @query(
     "q_sliding_windows",
     """
-    WITH e AS (SELECT epoch(ts)::BIGINT AS s, value FROM events),
+    WITH e AS (SELECT floor(epoch(ts))::BIGINT AS s, value FROM events),
     w AS (SELECT unnest(range(((s - 1000 + 799) // 800)::BIGINT, (s // 800 + 1)::BIGINT)) AS window_id, value FROM e)
     SELECT window_id, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM w GROUP BY window_id""",
 )
