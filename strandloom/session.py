@@ -24,3 +24,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path goes to Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that it need not be installed there."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_strandloom_sent", None):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / "strandloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in root.rglob("*.py"):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._strandloom_sent = True
