@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat
+from strandloom.llm import bpe, chat, packing, tokenbin
 from strandloom.llm.common import table
+from strandloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,10 +18,14 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
-        return f
+        return run
 
     return add
 
@@ -60,3 +66,22 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("text").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document's ids into windows of 1024 with the corpus's own mixture."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text by prefix dynamic programming, and decode the ids."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op8_token_ids")
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids to files in doc_id order, and read the files back."""
+    return tokenbin.read_files(tokenbin.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
