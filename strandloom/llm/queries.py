@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, packing, tokenbin
+from strandloom.llm import ann, bpe, chat, langid, packing, quality, tokenbin, toxicity, warc
 from strandloom.llm.common import table
 from strandloom.session import ship
 
@@ -85,3 +85,57 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to files in doc_id order, and read the files back."""
     return tokenbin.read_files(tokenbin.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+OP5_SQL = quality.oracle_sql()
+
+
+@query("op5_quality_rules", OP5_SQL)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the divergence verdict of every document."""
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return rows.select("doc_id", "__base.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+@query(
+    "op6_warc",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+    SELECT p.*, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id < top THEN top END AS refers_to
+    FROM p LEFT JOIN g USING (payload_digest)""",
+)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write an archive record for every page, merge the index, and read the records back by it."""
+    index, folder = warc.archive(table(spark, sf_dir, "pages"))
+    back = warc.read_archives(index, folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_ann")
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest to every fiftieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic, learnt from labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.in_training())
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (~toxicity.in_training()).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from lang outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, langid.in_training())
+    return langid.label(docs, model).select("doc_id", (~langid.in_training()).alias("held_out"), "lang_pred", "score")
