@@ -242,21 +242,25 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return ordered.mapInArrow(write, "run string, n long")
 
 
+def _merger(folder: str):
+    """Merges the runs of a group into one."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        runs, number = group.column("run").to_pylist(), group.column("g")[0].as_py()
+        path, n = write_run(f"{folder}/run-{number:07d}.cdx", LoserTree(map(read_run, sorted(runs))))
+        return pa.table({"run": [path], "n": pa.array([n], pa.int64())})
+
+    return merge
+
+
 def merge_runs(manifest: DataFrame, folder: str) -> DataFrame:
     """Merge all runs; one row an index part, in key order: part, path, n."""
     spark = manifest.sparkSession
     level = 0
     while manifest.count() > FAN_IN:
-        out = f"{folder}/level-{level}"
-
-        def merge(group: pa.Table, out: str = out) -> pa.Table:
-            runs, g = group.column("run").to_pylist(), group.column("g")[0].as_py()
-            path, n = write_run(f"{out}/run-{g:07d}.cdx", LoserTree(read_run(r) for r in sorted(runs)))
-            return pa.table({"run": [path], "n": pa.array([n], pa.int64())})
-
         groups = -(-manifest.count() // FAN_IN)
         numbered = manifest.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)))
-        manifest = stored(numbered.groupBy("g").applyInArrow(merge, "run string, n long"), "warc-runs")
+        manifest = stored(numbered.groupBy("g").applyInArrow(_merger(f"{folder}/level-{level}"), "run string, n long"), "warc-runs")
         level += 1
     rows = sorted(manifest.collect())  # at most FAN_IN
     runs, total = [r["run"] for r in rows], sum(r["n"] for r in rows)
