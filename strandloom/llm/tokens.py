@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +19,26 @@ from pyspark.sql import functions as F
 
 SPANNING = re.compile(r"\s \s")
 #: Entries of a task's unit cache, and the longest unit that it keeps.
-CACHE, KEPT_CHARS = 400_000, 80
+CACHE, KEPT_CHARS = 600_000, 80
+MARKS = ".,;:!?"
 #: Texts of a batch are encoded in slices, so that a batch's ids never stand in memory at once.
 SLICE = 256
 
 
 class _Units(dict):
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
+    """Ids of units by what follows the space. A word with one mark behind it is the word's ids and the
+    mark's, for the pattern parts letters from other characters."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.encoder, self.lead = encoder, lead
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(self.lead + unit)
+        if unit.isalpha():
+            ids = self.encoder.word(self.lead + unit)
+        elif unit[-1:] in MARKS and unit[:-1].isalpha():
+            ids = self[unit[:-1]] + self.encoder.marks[unit[-1]]
+        else:
+            ids = self.encoder.whole(self.lead + unit)
         if len(unit) <= KEPT_CHARS:
             if len(self) >= CACHE:
                 self.clear()
@@ -40,12 +50,22 @@ class Encoder:
     """Ids of a text as little-endian bytes: 16 bits an id if the vocabulary allows it, else 32."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = id_dtype(self.library.get_vocab_size())
-        self.first, self.rest = _Units(self.whole, ""), _Units(self.whole, " ")
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = "".join(map(chr, range(128)))
+        self.shown = dict(zip(map(ord, shown), split.pre_tokenize_str(shown)[0][0]))
+        self.split = split.pre_tokenize_str
+        self.marks = {m: self.whole(m) for m in MARKS}
+        self.first, self.rest = _Units(self, ""), _Units(self, " ")
+
+    def word(self, word: str) -> bytes:
+        """A single match of the pattern goes to the library's BPE model directly."""
+        shown = word.translate(self.shown) if word.isascii() else self.split(word)[0][0]
+        return np.array([t.id for t in self.library.model.tokenize(shown)], dtype=self.dtype).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -57,6 +77,12 @@ class Encoder:
         return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder a worker process, so that its cache lasts from task to task."""
+    return Encoder(path)
+
+
 def id_dtype(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -77,7 +103,7 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     rows = rows.withColumn("task", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         end, width = np.array([end_id], dtype=encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize
         at: dict[str, int] = {}
         for whole in batches:
