@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -165,20 +166,26 @@ class Codec:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def codec_for(path: str, pattern: str) -> Codec:
+    """One codec a worker process, so that its caches last from task to task."""
+    return Codec(path, pattern)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep also ids and decoded (binary)."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = codec_for(path, pattern)
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
                 ids = codec.encode(text)
                 raw = codec.decode(ids)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), *((ids, raw) if keep else ())))
-            columns = [pa.array(x) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 0
             if rows:
+                columns = [pa.array(x) for x in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] * keep)])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)

@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segment search.
 
-A token's score is its log-odds between toxic and clean training documents under Dirichlet priors (the
-background counts, PRIOR in all), if it stands out by more than SIGNIFICANT standard errors, less DRIFT;
-so scores are negative on the whole. One linear scan finds all maximal segments (Ruzzo and Tompa). By
+Features are words and their beginnings of three to six letters. A feature's score is its log-odds
+between toxic and clean training documents under Dirichlet priors (the background counts, PRIOR in all),
+if it stands out by more than SIGNIFICANT standard errors, less DRIFT; a token has the score of its best
+feature, or -DRIFT; so scores are negative on the whole. One linear scan finds all maximal segments (Ruzzo and Tompa). By
 extreme-value statistics a text of n tokens has segments of score S by chance K n exp(-lambda S) times;
 lambda solves sum p exp(lambda s) = 1 over the clean documents, K is theirs too. A document's evidence
 is the sum of ln(1 / expectation) over its significant segments, or that of its best one, and a logistic
@@ -23,7 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS, TOKENS = 20_000, 50_000
-PRIOR, SIGNIFICANT, DRIFT = 200.0, 3.0, 0.7
+PRIOR, SIGNIFICANT, DRIFT = 10_000.0, 2.5, 0.7
+#: Entries of a task's cache of token scores.
+CACHE = 500_000
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
@@ -40,6 +43,25 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def features(word: str) -> list[str]:
+    """A word, and its beginnings; the mark ^ parts them from words."""
+    return [word, *("^" + word[:n] for n in range(3, 7) if n < len(word))]
+
+
+class TokenScores(dict):
+    """Scores of tokens above -DRIFT, 0 for all others."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores = scores
+
+    def __missing__(self, word: str) -> float:
+        s = max((self.scores.get(f, 0.0) for f in features(word)), default=0.0)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = s
+        return s
+
+
 def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of runs (begin, end, score), in linear time.
 
@@ -71,15 +93,18 @@ class Model:
     k: float = 0.1
     intercept: float = 0.0
     slope: float = 1.0
-    marked: frozenset = field(default_factory=frozenset)
+
+    def __post_init__(self):
+        self.tokens = TokenScores(self.scores)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Maximal segments: first token, token behind the last, score."""
-        if self.marked.isdisjoint(words):
+        scores = list(map(self.tokens.__getitem__, words))
+        if not any(scores):
             return []
         runs, last = [], 0
-        for i, w in enumerate(words):
-            if (s := self.scores.get(w)) is not None:
+        for i, s in enumerate(scores):
+            if s:
                 if i > last:
                     runs.append((last, i, -DRIFT * (i - last)))
                 runs.append((i, i + 1, s))
@@ -116,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, condition) -> Model:
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 docs_[bool(toxic)] += 1
-                seen[bool(toxic)].update(set(tokens(text)))
+                seen[bool(toxic)].update({f for w in set(tokens(text)) for f in features(w)})
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *words], pa.string()), *(pa.array([docs_[k], *(seen[k][w] for w in words)], pa.int64()) for k in (0, 1))],
@@ -136,7 +161,6 @@ def train(docs: DataFrame, labels: DataFrame, condition) -> Model:
     strong = counts.filter("token IS NOT NULL").select("token", delta.alias("s"), z.alias("z"), ((F.col("clean") + prior) / (c + PRIOR)).alias("p"))
     kept = strong.filter((F.col("z") >= SIGNIFICANT) & (F.col("s") > DRIFT)).orderBy(F.desc("z"), "token").limit(TOKENS).collect()
     model = Model({r["token"]: r["s"] - DRIFT for r in kept})
-    model.marked = frozenset(model.scores)
     model.rate, model.k = extreme_values([r["s"] - DRIFT for r in kept], [r["p"] for r in kept])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
