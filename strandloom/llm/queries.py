@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, bpe, chat, langid, packing, quality, tokenbin, toxicity, warc
+from strandloom.llm import ann, bpe, chat, langid, neardup, packing, quality, tokenbin, toxicity, warc
 from strandloom.llm.common import table
 from strandloom.session import ship
 
@@ -139,3 +140,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, langid.in_training())
     return langid.label(docs, model).select("doc_id", (~langid.in_training()).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_minhash_near_dedup")
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return neardup.labelled(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
