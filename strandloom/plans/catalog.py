@@ -1,42 +1,6 @@
-"""Registered queries of the engine and their DuckDB equivalents."""
+"""All registered queries of the engine and their DuckDB equivalents."""
 
-from __future__ import annotations
+from strandloom.plans import aggregates, assembly, joins, sequences, windows  # noqa: F401  they register themselves
+from strandloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strandloom.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "q_sliding_windows"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL if there is any."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "q_sliding_windows",
-    """
-    WITH e AS (SELECT floor(epoch(ts))::BIGINT AS s, value FROM events),
-    w AS (SELECT unnest(range(((s - 1000 + 799) // 800)::BIGINT, (s // 800 + 1)::BIGINT)) AS window_id, value FROM e)
-    SELECT window_id, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM w GROUP BY window_id""",
-)
-def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.unix_timestamp("ts")
-    ids = F.sequence(F.expr("(s - 1000 + 799) div 800"), F.expr("s div 800"))
-    return (
-        table(spark, sf_dir, "events").select(s.alias("s"), "value").select(F.explode(ids).alias("window_id"), "value")
-        .groupBy("window_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    )
+FLAGSHIP = "q_window_coverage"
