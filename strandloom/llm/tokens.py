@@ -9,6 +9,8 @@ finds, the library encodes the whole text.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,14 +22,15 @@ from pyspark.sql import functions as F
 SPANNING = re.compile(r"\s \s")
 #: Entries of a task's unit cache, and the longest unit that it keeps.
 CACHE, KEPT_CHARS = 600_000, 80
-MARKS = ".,;:!?"
+#: Letters, then marks other than an apostrophe, which may begin a contraction.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)").fullmatch
 #: Texts of a batch are encoded in slices, so that a batch's ids never stand in memory at once.
 SLICE = 256
 
 
 class _Units(dict):
-    """Ids of units by what follows the space. A word with one mark behind it is the word's ids and the
-    mark's, for the pattern parts letters from other characters."""
+    """Ids of units by what follows the space. A word with marks behind it is the word's ids and the
+    marks', for the pattern parts letters from other characters."""
 
     def __init__(self, encoder: Encoder, lead: str):
         self.encoder, self.lead = encoder, lead
@@ -35,8 +38,8 @@ class _Units(dict):
     def __missing__(self, unit: str) -> bytes:
         if unit.isalpha():
             ids = self.encoder.word(self.lead + unit)
-        elif unit[-1:] in MARKS and unit[:-1].isalpha():
-            ids = self[unit[:-1]] + self.encoder.marks[unit[-1]]
+        elif (m := WORD_AND_MARKS(unit)) is not None:
+            ids = self[m[1]] + self.encoder.marks[m[2]]
         else:
             ids = self.encoder.whole(self.lead + unit)
         if len(unit) <= KEPT_CHARS:
@@ -46,29 +49,57 @@ class _Units(dict):
         return ids
 
 
+class _Marks(dict):
+    """Ids of runs of characters that are no letters, numbers or blanks."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[run] = self.encoder.whole(run)
+        return ids
+
+
+def shown_bytes() -> dict[int, str]:
+    """How the byte-level vocabulary writes each byte of UTF-8, as the library itself shows it."""
+    from tokenizers import pre_tokenizers
+
+    show = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    table: dict[int, str] = {}
+    for c in [*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x1000)]:
+        table.update(zip(chr(c).encode(), show(chr(c))[0][0]))
+    return table
+
+
 class Encoder:
     """Ids of a text as little-endian bytes: 16 bits an id if the vocabulary allows it, else 32."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = id_dtype(self.library.get_vocab_size())
-        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        shown = "".join(map(chr, range(128)))
-        self.shown = dict(zip(map(ord, shown), split.pre_tokenize_str(shown)[0][0]))
-        self.split = split.pre_tokenize_str
-        self.marks = {m: self.whole(m) for m in MARKS}
+        self.code = {"<u2": "H", "<u4": "I"}[self.dtype]
+        self.shown, self.tokenize = shown_bytes(), self.library.model.tokenize
+        self.marks = _Marks(self)
         self.first, self.rest = _Units(self, ""), _Units(self, " ")
 
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def word(self, word: str) -> bytes:
         """A single match of the pattern goes to the library's BPE model directly."""
-        shown = word.translate(self.shown) if word.isascii() else self.split(word)[0][0]
-        return np.array([t.id for t in self.library.model.tokenize(shown)], dtype=self.dtype).tobytes()
+        shown = word.encode().decode("latin-1").translate(self.shown)
+        return self.packed([t.id for t in self.tokenize(shown)])
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         if SPANNING.search(text):
