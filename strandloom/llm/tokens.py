@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SPANNING = re.compile(r"\s \s")
 #: Entries of a task's unit cache, and the longest unit that it keeps.
-CACHE, KEPT_CHARS = 600_000, 80
+CACHE, KEPT_CHARS = 1_000_000, 80
 #: Letters, then marks other than an apostrophe, which may begin a contraction.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)").fullmatch
 #: Texts of a batch are encoded in slices, so that a batch's ids never stand in memory at once.
