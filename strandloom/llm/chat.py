@@ -36,14 +36,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """Roles stand on a line, so line ends are escaped as well."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    r"""Roles stand on a line: a backslash becomes ``\s``, a line end ``\n``, and marks are escaped as in texts."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    """Undo escape_role(); a doubled backslash is put aside while the line ends come back."""
-    aside = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\\"))
-    return F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\x00\\"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def fold(events: DataFrame) -> DataFrame:
