@@ -10,7 +10,12 @@ from strandloom.operators import relational as rel
 from strandloom.plans.registry import query
 from strandloom.session import table
 
-ALT, REVERSE = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
+def is_alt():
+    return F.col("l_returnflag") == "R"
+
+
+def is_reverse():
+    return F.col("l_linestatus") == "O"
 
 
 def lines(spark, sf_dir):
@@ -25,7 +30,7 @@ def lines(spark, sf_dir):
     FROM lineitem GROUP BY l_suppkey""",
 )
 def strand_bias(spark, sf_dir):
-    return lines(spark, sf_dir).groupBy("l_suppkey").agg(F.round(stats.strand_bias(ALT, REVERSE), 6).alias("log_odds"))
+    return lines(spark, sf_dir).groupBy("l_suppkey").agg(F.round(stats.strand_bias(is_alt(), is_reverse()), 6).alias("log_odds"))
 
 
 @query(
@@ -40,7 +45,7 @@ def strand_bias(spark, sf_dir):
 )
 def rank_effect(spark, sf_dir):
     l = lines(spark, sf_dir).filter("l_returnflag IN ('N', 'R')")
-    return stats.rank_effect(l, ["l_suppkey"], "l_quantity", ALT).withColumn("effect", F.round("effect", 6))
+    return stats.rank_effect(l, ["l_suppkey"], "l_quantity", is_alt()).withColumn("effect", F.round("effect", 6))
 
 
 @query(
@@ -72,7 +77,7 @@ PL_SQL = f"""
 
 
 def pls(spark, sf_dir):
-    c = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count_if(~ALT).alias("r"), F.count_if(ALT).alias("a"))
+    c = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count_if(~is_alt()).alias("r"), F.count_if(is_alt()).alias("a"))
     return c.select("l_orderkey", stats.genotype_pls([F.col("r"), F.col("a")]).alias("pl"))
 
 
@@ -131,8 +136,8 @@ def posterior_bq(spark, sf_dir):
 def rms_mean_delta(spark, sf_dir):
     r = lambda c, n=6: F.round(c, n)
     return lines(spark, sf_dir).groupBy("l_partkey").agg(
-        r(stats.rms(F.col("l_quantity"))).alias("rms"), r(stats.mean_delta(F.col("l_extendedprice"), ALT), 5).alias("fld"),
-        r(stats.mean_delta(F.col("l_tax"), ALT, 2)).alias("asmd"), r(stats.share_delta((F.col("l_discount") > 0.05).cast("int"), ALT)).alias("sca"),
+        r(stats.rms(F.col("l_quantity"))).alias("rms"), r(stats.mean_delta(F.col("l_extendedprice"), is_alt()), 5).alias("fld"),
+        r(stats.mean_delta(F.col("l_tax"), is_alt(), 2)).alias("asmd"), r(stats.share_delta((F.col("l_discount") > 0.05).cast("int"), is_alt())).alias("sca"),
     )
 
 
@@ -146,7 +151,7 @@ def rms_mean_delta(spark, sf_dir):
     SELECT l_partkey, round(greatest(0.0, m), 6) AS qual, CASE WHEN in_ctrl AND in_case THEN 'SHARED' WHEN in_ctrl THEN 'CTRL' WHEN in_case THEN 'CASE' ELSE 'NONE' END AS state FROM c JOIN o USING (l_partkey)""",
 )
 def solor_state(spark, sf_dir):
-    s = lines(spark, sf_dir).groupBy("l_partkey", "l_suppkey").agg(F.count_if(ALT).alias("a"), F.count_if(~ALT).alias("r"))
+    s = lines(spark, sf_dir).groupBy("l_partkey", "l_suppkey").agg(F.count_if(is_alt()).alias("a"), F.count_if(~is_alt()).alias("r"))
     case = F.col("l_suppkey") % 2 == 0
     item = F.struct(case.alias("is_case"), "a", "r")
     ctrl = lambda c: F.coalesce(F.sum(F.when(~case, F.col(c))), F.lit(0))
@@ -311,7 +316,7 @@ def argmax_member(spark, sf_dir):
 def attempts(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("l_partkey").agg(
         F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("windows"), F.countDistinct("l_suppkey").alias("comps"), F.max("l_linenumber").alias("deepest"),
-        F.min("l_linenumber").alias("shallowest"), F.round(F.count_if(ALT) / F.count("*"), 6).alias("ratio"),
+        F.min("l_linenumber").alias("shallowest"), F.round(F.count_if(is_alt()) / F.count("*"), 6).alias("ratio"),
     )
 
 
@@ -331,7 +336,7 @@ def complexity_merge(spark, sf_dir):
     SELECT CASE WHEN cov / 10 < 5 THEN 'LOW_COVERAGE' WHEN NOT ctrl AND NOT kase THEN 'INACTIVE' WHEN NOT ctrl THEN 'NO_ASM' ELSE 'FOUND' END AS status, count(*)::BIGINT AS n FROM b GROUP BY 1""",
 )
 def window_status(spark, sf_dir):
-    b = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.bool_or(ALT).alias("ctrl"), F.bool_or(REVERSE).alias("kase"), F.sum("l_quantity").alias("cov"))
+    b = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.bool_or(is_alt()).alias("ctrl"), F.bool_or(is_reverse()).alias("kase"), F.sum("l_quantity").alias("cov"))
     s = F.when(F.col("cov") / 10 < 5, "LOW_COVERAGE").when(~F.col("ctrl") & ~F.col("kase"), "INACTIVE").when(~F.col("ctrl"), "NO_ASM").otherwise("FOUND")
     return b.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
 
