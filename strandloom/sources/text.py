@@ -73,13 +73,13 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
 def small_truth(rows: DataFrame) -> DataFrame:
     """Passing, non-symbolic variants, reduced to their cores: chrom, pos, ref, alt, kind, size."""
     ok = rows.filter("filter IN ('PASS', '.') AND NOT alt LIKE '<%' AND alt <> '*' AND NOT alt RLIKE '[\\\\[\\\\]]'")
-    c = ok.withColumn("core", seq.core(F.col("ref"), F.col("alt")))
-    kind, size = seq.classify(F.col("ref"), F.col("alt")), seq.variant_length(F.col("ref"), F.col("alt"))
-    point = kind.isin("SNV", "MNP")
-    return c.select(
-        "chrom", F.when(point, F.col("pos") + F.col("core.start")).otherwise(F.col("pos")).alias("pos"), F.when(point, F.col("core.ref_core")).otherwise(F.col("ref")).alias("ref"),
-        F.when(point, F.col("core.alt_core")).otherwise(F.col("alt")).alias("alt"), kind.alias("kind"), size.alias("size"),
-    )
+    r, a = F.col("ref"), F.col("alt")
+    c = ok.withColumn("core", seq.core(r, a)).withColumn("kind", seq.classify(r, a)).withColumn("size", seq.variant_length(r, a))
+    point = F.col("kind").isin("SNV", "MNP")
+    pick = lambda own, other: F.when(point, F.col(own)).otherwise(F.col(other))
+    c = c.withColumn("at", F.when(point, F.col("pos") + F.col("core.start")).otherwise(F.col("pos")))
+    c = c.withColumn("r", pick("core.ref_core", "ref")).withColumn("a", pick("core.alt_core", "alt"))
+    return c.select("chrom", F.col("at").alias("pos"), F.col("r").alias("ref"), F.col("a").alias("alt"), "kind", "size")
 
 
 def large_truth(rows: DataFrame) -> DataFrame:
