@@ -23,6 +23,7 @@ SPANNING = re.compile(r"\s \s")
 #: Entries of a task's unit cache, and the longest unit that it keeps.
 CACHE, KEPT_CHARS = 1_000_000, 80
 #: Letters, then marks other than an apostrophe, which may begin a contraction.
+TWO_LINES = re.compile(r"(\S+)\n(\S(?:.*\S)?)", re.DOTALL).fullmatch
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)").fullmatch
 #: Texts of a batch are encoded in slices, so that a batch's ids never stand in memory at once.
 SLICE = 256
@@ -40,6 +41,8 @@ class _Units(dict):
             ids = self.encoder.word(self.lead + unit)
         elif (m := WORD_AND_MARKS(unit)) is not None:
             ids = self[m[1]] + self.encoder.marks[m[2]]
+        elif (m := TWO_LINES(unit)) is not None:  # a line end between two others is a match of its own
+            return self[m[1]] + self.encoder.marks["\n"] + self.encoder.first[m[2]]
         else:
             ids = self.encoder.whole(self.lead + unit)
         if len(unit) <= KEPT_CHARS:
@@ -84,6 +87,7 @@ class Encoder:
         self.dtype = id_dtype(self.library.get_vocab_size())
         self.code = {"<u2": "H", "<u4": "I"}[self.dtype]
         self.shown, self.tokenize = shown_bytes(), self.library.model.tokenize
+        self.space = self.shown[ord(" ")]
         self.marks = _Marks(self)
         self.first, self.rest = _Units(self, ""), _Units(self, " ")
 
@@ -95,7 +99,10 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """A single match of the pattern goes to the library's BPE model directly."""
-        shown = word.encode().decode("latin-1").translate(self.shown)
+        if word.isascii():
+            shown = self.space + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.shown)
         return self.packed([t.id for t in self.tokenize(shown)])
 
     def whole(self, text: str) -> bytes:
