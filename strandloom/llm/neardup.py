@@ -10,8 +10,10 @@ Documents with equal shingles and counts are one node from the start. In each ba
 compared with the bucket's leader, not all with all; similar ones are verified by the exact weighted
 Jaccard similarity of whole texts, and components are taken of the verified links. Buckets whose nodes
 are still in more than one component go through further rounds with other leaders (another for each
-band), until no pair is new or ROUNDS are over. Nothing is capped, and no group meets in one task: members
-of a leader are dealt out in chunks, the leader's text goes to each chunk.
+band), until no pair is new or ROUNDS are over. What is open then is resolved exactly by rest(): all pairs
+of small buckets, and a weighted prefix-filtered join of the nodes of larger ones, which misses no pair of
+the threshold. Nothing is capped, and members of a leader are dealt out in chunks, the leader's text goes to
+each chunk.
 
 Defined cases: null texts are empty; texts without words are alike only if equal; class ids are the
 smallest doc_id of a class (null if all are null); repeated rows are copies, of which distinct_docs()
@@ -37,6 +39,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 DF_BITS = 20
 ROUNDS = 4
+#: Open buckets of at most so many nodes are compared in full; classes of the join grow by this ratio of weight.
+SMALL, RATIO = 8, 1.03
+#: Slots of shingle counts that order the join's prefixes (any order is right, rare first is fast).
+ORDER_BITS = 22
 #: Members of a leader that one task compares at once.
 CHUNK = 512
 #: Entries of a worker's cache of word hashes; shingles sampled at once; table of random triples.
@@ -201,6 +207,85 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return rows.select("a", "b", "text").mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def prefix_order(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Rough logarithm of the number of texts by hashed shingle: 2**ORDER_BITS bytes whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                np.add.at(total, (shingles(text, idf)[0] >> np.uint64(64 - ORDER_BITS)).astype(np.intp), 1)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["slot", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    table = np.zeros(1 << ORDER_BITS, np.uint8)
+    table[sums.column("slot").to_numpy()] = np.minimum(255, 8 * np.log2(np.maximum(1, sums.column("n").to_numpy())))
+    return table
+
+
+def prefixes(found: np.ndarray, weight: np.ndarray, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of a text, and the side of each: 0 and 1 for the lighter and heavier class of a pair, 2 within one.
+
+    A pair of similarity t has an overlap of t / (1 + t) of both weights at least, so the first common shingle,
+    in an order that all texts share, has so much weight from it on in both. For each class of weights that a
+    partner can have, the shingles are keys that leave enough for the class's least weight.
+    """
+    at = np.lexsort((found, order[(found >> np.uint64(64 - ORDER_BITS)).astype(np.intp)]))
+    left = np.cumsum(weight[at][::-1], dtype=np.float64)[::-1]
+    total, step = float(left[0]), np.log(RATIO)
+    own = int(np.floor(np.log(total) / step))
+    low, high = (int(np.floor(np.log(total * x) / step + e)) for x, e in ((threshold, -1e-6), (1 / threshold, 1e-6)))
+    keys, sides = [], []
+    for c in range(low, high + 1):
+        need = threshold / (1 + threshold) * (total + RATIO**c) * (1 - 1e-5)
+        mine = found[at[: int((left >= need).sum())]]
+        pair = np.array([min(own, c), max(own, c)], np.int64).view(np.uint64)
+        keys.append(mix(mix(mine * PRIME + pair[0]) + pair[1]))
+        sides.append(np.full(len(mine), 2 if c == own else int(c < own), np.int8))
+    return np.concatenate(keys).view(np.int64), np.concatenate(sides)
+
+
+def prefix_pairs(texts: DataFrame, labels: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs a < b of nodes in different components that include all of the threshold."""
+    order = prefix_order(texts, idf)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, label, text in zip(*(b.column(c).to_pylist() for c in ("node", "label", "text"))):
+                found, _, weight = shingles(text, idf)
+                keys, sides = prefixes(found, weight, order, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sides), pa.array([node] * len(keys), pa.binary()), pa.array([label] * len(keys), pa.binary())], names=["key", "side", "node", "label"])
+
+    rows = stored(texts.join(labels, "node").select("node", "label", "text").mapInArrow(emit, "key long, side byte, node binary, label binary"), "dup-prefixes")
+    open_ = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    rows = stored(rows.join(open_, "key"), "dup-open-prefixes")
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (F.col("x.side") == 0) & (F.col("y.side") == 1) | (F.col("x.side") == 2) & (F.col("y.side") == 2) & (F.col("x.node") < F.col("y.node"))
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & met & (F.col("x.label") != F.col("y.label")))
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def rest(buckets: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:
+    """Links between components inside the buckets that the leaders left open."""
+    rows = buckets.select("band", "key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # Two nodes have been compared by the first leader.
+    rows = stored(rows.join(sizes.filter("low <> high AND n > 2").select("band", "key", "n"), ["band", "key"]), "dup-open")
+    if not rows.head():
+        return None
+    small, large = rows.filter(F.col("n") <= SMALL), rows.filter(F.col("n") > SMALL).select("node", "label").distinct()
+    x, y = small.alias("x"), small.alias("y")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
+    new = x.join(y, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    if large.head():
+        mine = texts.join(large.select("node"), "node", "left_semi")
+        new = new.union(prefix_pairs(mine, large, idf, threshold))
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    new = stored(new.distinct().join(done, ["a", "b"], "left_anti"), "dup-pairs")
+    return stored(verified(new, texts, idf, threshold), "dup-links") if new.head() else None
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the component's smallest node): each round hooks nodes to their least neighbour and
     contracts the edges, so rounds grow with the logarithm of a component's size."""
@@ -254,6 +339,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         if more.head():
             links = links.union(more)
             labels = components(links)
+    more = rest(buckets, labels, tested, texts, idf, threshold)
+    if more is not None and more.head():
+        labels = components(links.union(more))
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = named.groupBy("label").agg(F.min("first").alias("kept"))
     by_node = named.join(kept, "label").select("node", F.col("kept.doc_id").alias("class_id"), F.col("kept.k1").alias("k1"), F.col("kept.k2").alias("k2"))

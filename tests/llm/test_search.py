@@ -115,6 +115,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {find(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_in_a_family_of_one_template(spark):
+    """Texts alike at about 0.75 meet in large buckets; the true pairs among them are all found."""
+    g = np.random.default_rng(17)
+    template = [f"t{i}" for i in range(235)]
+    texts = []
+    for i in range(400):
+        own = [f"o{x}" for x in g.integers(0, 1 << 40, 21)]
+        for j in (0, 1):
+            tail = list(own)
+            tail[-13:] = [f"p{x}" for x in g.integers(0, 1 << 40, 13)]
+            texts.append(" ".join([*template, *tail]))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    idf = neardup.idf_table(rows)
+    sets = [neardup.shingles(t, idf) for t in texts]
+    assert all(neardup.similarity(sets[i], sets[i + 1]) >= 0.8 for i in range(0, 800, 2))
+    assert max(neardup.similarity(sets[i], sets[j]) for i in range(0, 40, 2) for j in range(i + 2, 800)) < 0.8
+    got = {r.doc_id: r.class_id for r in neardup.labelled(rows).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
+def test_prefixes_of_alike_texts_meet():
+    g = np.random.default_rng(18)
+    order = np.zeros(1 << neardup.ORDER_BITS, np.uint8)
+    for _ in range(200):
+        h = np.sort(g.integers(0, 1 << 63, 300, dtype=np.uint64))
+        w = (g.integers(1, 4, 300) * g.uniform(1, 2, 300)).astype(np.float32)
+        a, b = np.sort(g.choice(300, g.integers(240, 301), replace=False)), np.sort(g.choice(300, g.integers(240, 301), replace=False))
+        if neardup.similarity((h[a], None, w[a]), (h[b], None, w[b])) >= 0.8:
+            (ka, sa), (kb, sb) = neardup.prefixes(h[a], w[a], order, 0.8), neardup.prefixes(h[b], w[b], order, 0.8)
+            other = {0: 1, 1: 0, 2: 2}
+            assert {*zip(ka.tolist(), sa.tolist())} & {(k, other[s]) for k, s in zip(kb.tolist(), sb.tolist())}
+
+
 def test_near_duplicates_of_odd_rows(docs, no_docs):
     got = neardup.labelled(docs).collect()
     assert len(got) == docs.count()
