@@ -7,7 +7,9 @@ hypothesis test drops the candidates whose distance, judged from the columns so
 nearest found. Survivors are scored exactly, on the original vectors in double precision.
 
 Equal vectors are searched once: a vector is kept with its smallest ids, as many as a query can need, so
-that one vector that a third of the rows share is one candidate and one query. Lists are cut into blocks
+that one vector that a third of the rows share is one candidate and one query. How many lists are probed is
+measured: TRIALS queries are held against all vectors, and so many lists are probed that HELD of their true
+neighbours lie in them. Lists are cut into blocks
 of BLOCK candidates and QUERIES queries, so no task holds a whole list. A query that finds fewer
 neighbours than asked for is searched again in all lists, which is exact.
 
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import stored
 
 SAMPLE, LISTS, ROUNDS = 32_768, 4096, 8
-PROBES = 48
+#: Lists probed at least; share of the true neighbours of TRIALS queries that probed lists must hold.
+PROBES, HELD, TRIALS = 48, 0.985, 256
 BLOCK, QUERIES = 4096, 4096
 #: Columns of a block of the scan, and the test's width: larger drops fewer true neighbours.
 COLUMNS, WIDTH = 16, 2.1
+#: Rows that the trials score at once.
+STEP = 1024
 
 
 def rotation(d: int) -> np.ndarray:
@@ -144,8 +149,9 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     listed = stored(found.mapInArrow(assign, "list int, rid long, ids array<long>, embedding array<double>"), "ann-lists")
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # at most LISTS rows
     queries = stored(found.join(own.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("rid", "h1", "h2", "embedding"), "ann-queries")
-    hits = stored(_probe(listed, queries, centres, turn, sizes, min(PROBES, lists), keep), "ann-hits")
-    if lists > PROBES:
+    probes = enough_probes(listed, queries, centres, turn, keep) if lists > PROBES else lists
+    hits = stored(_probe(listed, queries, centres, turn, sizes, probes, keep), "ann-hits")
+    if lists > probes:
         short = hits.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= keep).select(F.col("qid").alias("rid"))
         rest = stored(queries.join(short, "rid", "left_anti"), "ann-short")
         if rest.head():
@@ -162,6 +168,33 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     )
 
 
+def enough_probes(listed: DataFrame, queries: DataFrame, centres: np.ndarray, turn: np.ndarray, keep: int) -> int:
+    """Lists to probe, so that those of TRIALS queries hold HELD of the neighbours that all vectors give."""
+    trials = np.array([r[0] for r in queries.select("embedding").orderBy(F.xxhash64("rid", F.lit(9))).limit(TRIALS).collect()])
+    if not len(trials):
+        return min(PROBES, len(centres))
+    q = unit(trials) @ turn
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at = np.full((len(q), keep), -np.inf, np.float32), np.full((len(q), keep), -1, np.int32)
+        for b in batches:
+            x, own = unit(_matrix(b.column("embedding"))) @ turn if b.num_rows else np.zeros((0, q.shape[1]), np.float32), b.column("list").to_numpy()
+            for i in range(0, len(x), STEP):
+                score = np.concatenate([best, q @ x[i : i + STEP].T], axis=1)
+                lists = np.concatenate([at, np.broadcast_to(own[i : i + STEP], (len(q), len(own[i : i + STEP])))], axis=1)
+                top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+                best, at = np.take_along_axis(score, top, axis=1), np.take_along_axis(lists, top, axis=1)
+        row, col = np.nonzero(at >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(at[row, col], pa.int32()), pa.array(best[row, col], pa.float32())], names=["q", "list", "score"])
+
+    found = listed.select("list", "embedding").mapInArrow(nearest, "q int, list int, score float")
+    best = W.partitionBy("q").orderBy(F.desc("score"), "list")
+    true = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("q", "list").toArrow()  # at most TRIALS * keep rows
+    rank = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
+    needed = np.sort(rank[true.column("q").to_numpy(), true.column("list").to_numpy()]) + 1
+    return int(min(len(centres), max(PROBES, needed[int(np.ceil(HELD * len(needed))) - 1])))
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

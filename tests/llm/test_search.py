@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,21 @@ def test_neighbours_against_brute_force(spark):
     assert [r[1] for r in sorted(got[150])] == [100, 101, 102, 103, 104]
 
 
+def test_neighbours_where_lists_are_pruned(spark):
+    """No clusters and 141 lists: 48 of them hold too few of the neighbours."""
+    n, d = 20_000, 64
+    x = np.random.default_rng(5).normal(0, 1, (n, d)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = ann.unit(x)
+    c = u[::50] @ u.T
+    c[np.arange(n // 50), np.arange(0, n, 50)] = -2
+    want = np.argpartition(-c, 5, axis=1)[:, :5]
+    assert np.mean([len(got[50 * i] & set(w.tolist())) / 5 for i, w in enumerate(want)]) >= 0.93
+
+
 def test_few_and_no_vectors(spark):
     _, df = vectors(spark, 1101)
     few = ann.search(df.filter("vec_id IN (0, 1, 2) OR vec_id > 9000"), F.col("vec_id") % 50 == 0, 5).collect()
