@@ -4,6 +4,9 @@ A word's scores are naive-Bayes log-likelihoods of its letter trigrams in each l
 of fixed size; languages that never use the word's script are out. The best path through the words pays
 PENALTY for each change of language. A text goes to the language of most words on the path.
 
+Words are pieces of whitespace-separated units: a unit is cut where its script changes, and then, so that
+every letter counts, into at most LETTERS letters, or into PIECE where the script has no spaces between words.
+
 Most texts have one language, and a vectorised test tells so exactly: if no stretch of words gains more
 than PENALTY by leaving the best single language, the constant path is the best path.
 
@@ -21,7 +24,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 20_000
 BUCKETS = 1 << 16
 PENALTY = 12.0
-#: A word's log-likelihoods differ by at most so much; letters beyond the first so many are not looked at.
-SPREAD, LETTERS = 6.0, 64
+#: A word's log-likelihoods differ by at most so much; letters of a piece, and of one in a script without spaces.
+SPREAD, LETTERS, PIECE = 6.0, 64, 6
+UNSPACED = {"Han", "Kana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"}
 #: A script is a language's own if so large a share of its training letters is in it.
 OWN_SCRIPT = 0.005
 CACHE = 300_000
@@ -82,9 +86,21 @@ def letters(unit: str) -> str:
     return unit if unit.isalpha() else "".join(filter(str.isalpha, unit))
 
 
+def pieces(unit: str) -> list[str]:
+    """A unit's letters, all of them, in words of one script each."""
+    w = letters(unit)
+    if w.isascii():
+        return [w[i : i + LETTERS] for i in range(0, len(w), LETTERS)]
+    out = []
+    for name, run in groupby(w, SCRIPTS.__getitem__):
+        r, n = "".join(run), PIECE if name in UNSPACED else LETTERS
+        out += [r[i : i + n] for i in range(0, len(r), n)]
+    return out
+
+
 def buckets(word: str) -> list[int]:
     """Table rows of a word's letter trigrams, its ends marked."""
-    w = f"\x02{word[:LETTERS]}\x03"
+    w = f"\x02{word}\x03"
     return [TRIGRAMS[w[i : i + 3]] for i in range(len(w) - 2)]
 
 
@@ -127,7 +143,7 @@ def train(docs: DataFrame, condition) -> Model:
         for lang, units in seen.items():
             table, scripts = Counter(), Counter()
             for unit, n in units.items():
-                if w := letters(unit):
+                for w in pieces(unit):
                     for k in buckets(w):
                         table[k] += n
                     scripts[script(w)] += n * len(w)
@@ -177,19 +193,25 @@ def best_path(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 
 class _Places(dict):
-    """Row of each unit in the table of scores: that of its letters, 0 without any."""
+    """Row of each unit in the table of scores: that of its letters, 0 without any; of several pieces,
+    -1 - k where many[k] has their rows and the letters before each."""
 
     def __init__(self):
         self.new: list[str] = []
-        self.size = 1
+        self.many: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.held = 1, 0
 
     def __missing__(self, unit: str) -> int:
-        w = letters(unit)
-        if w == unit:
+        parts = pieces(unit)
+        if parts == [unit]:
             out, self.size = self.size, self.size + 1
-            self.new.append(w)
+            self.new.append(unit)
+        elif len(parts) > 1:
+            rows, before = [self[x] for x in parts], np.cumsum([0, *map(len, parts[:-1])])
+            self.many.append((np.array(rows, np.int32), before.astype(np.int32)))
+            out, self.held = -len(self.many), self.held + len(parts)
         else:
-            out = self[w] if w else 0
+            out = self[parts[0]] if parts else 0
         self[unit] = out
         return out
 
@@ -200,36 +222,48 @@ class Labeller:
     def __init__(self, model: Model):
         self.model, self.rows, self.at = model, np.zeros((CACHE, max(1, len(model.langs))), np.float32), _Places()
 
-    def units(self, text: str) -> np.ndarray:
+    def units(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece with letters: its row, its unit, and the letters before it in the unit."""
         units = text.lower().split()
-        if len(self.at) + len(units) > 2 * CACHE or self.at.size + len(units) > len(self.rows):
+        if len(self.at) + len(units) > 2 * CACHE or self.at.size + len(units) > len(self.rows) or self.at.held > CACHE:
             self.at = _Places()
-            if len(units) >= len(self.rows):
-                self.rows = np.zeros((len(units) + 1, self.rows.shape[1]), np.float32)
         out = np.fromiter(map(self.at.__getitem__, units), np.int32, len(units))
+        if self.at.size > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((self.at.size - len(self.rows), self.rows.shape[1]), np.float32)])
         if new := self.at.new:
             self.rows[self.at.size - len(new) : self.at.size] = self.model.scores(new)
             self.at.new = []
-        return out
+        where = np.flatnonzero(out)
+        out = out[where]
+        if not len(out) or out.min() > 0:
+            return out, where, np.zeros(len(out), np.int32)
+        cut = np.flatnonzero(out < 0)
+        many = [self.at.many[-1 - k] for k in out[cut].tolist()]
+        size = np.ones(len(out), np.int64)
+        size[cut] = [len(rows) for rows, _ in many]
+        rows, before = np.repeat(out, size), np.zeros(size.sum(), np.int32)
+        for start, (own, letters_before) in zip((np.cumsum(size) - size)[cut].tolist(), many):
+            rows[start : start + len(own)], before[start : start + len(own)] = own, letters_before
+        return rows, np.repeat(where, size), before
 
     def __call__(self, text: str | None) -> tuple[str, float, list]:
-        """Language, share of its words, and spans (first unit, unit behind the last, language)."""
+        """Language, share of its words, and spans: first unit, unit behind the last, language; where it changes
+        inside a unit, both spans have the unit, and letter is how many of the first unit's letters come before."""
         if not text or not self.model.langs:
             return "und", 0.0, []
-        units = self.units(text)
-        where = np.flatnonzero(units)
-        if not len(where):
+        rows, where, before = self.units(text)
+        if not len(rows):
             return "und", 0.0, []
-        path = best_path(self.rows[units[where]])
+        path = best_path(self.rows[rows])
         counts = np.bincount(path, minlength=len(self.model.langs))
         best = int(counts.argmax())
         cuts = np.flatnonzero(np.diff(path)) + 1
         begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(path)]])
-        spans = [{"begin": int(where[a]), "end": int(where[b - 1]) + 1, "lang": self.model.langs[path[a]]} for a, b in zip(begins, ends)]
+        spans = [{"begin": int(where[a]), "end": int(where[b - 1]) + 1, "lang": self.model.langs[path[a]], "letter": int(before[a])} for a, b in zip(begins, ends)]
         return self.model.langs[best], float(counts[best] / len(path)), spans
 
 
-SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("letter", pa.int32())]))
 
 
 def label(docs: DataFrame, model: Model) -> DataFrame:
@@ -244,4 +278,4 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<begin: int, end: int, lang: string>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<begin: int, end: int, lang: string, letter: int>>")

@@ -88,6 +88,22 @@ def test_language_spans_and_odd_rows(spark, docs, no_docs):
     assert langid.Labeller(langid.train(no_docs, F.lit(True)))("abc")[0] == "und"
 
 
+def test_language_of_texts_without_spaces(spark):
+    """All letters of an unspaced unit count, and it can change language inside."""
+    g = np.random.default_rng(12)
+    made = lambda low, n: "".join(chr(0x4E00 + low + int(k)) for k in g.integers(0, 40, n))
+    rows = [(made(0, 200), "xa") for _ in range(40)] + [(made(100, 200), "xb") for _ in range(40)] + [("the house that was with this", "en")] * 40
+    train = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    out = langid.Labeller(langid.train(train, F.lit(True)))
+    assert out(made(0, 10_000) + " the house that")[0] == "xa"
+    lang, share, spans = out(made(0, 120) + made(100, 1200))
+    assert lang == "xb" and 0.85 < share < 0.95
+    assert [(s["lang"], s["begin"], s["end"]) for s in spans] == [("xa", 0, 1), ("xb", 0, 1)] and spans[1]["letter"] == 120
+    assert [s["lang"] for s in out("thehouse" + made(100, 300))[2]][-1] == "xb"
+    unit = "q" * 500 + made(0, 77) + "x"
+    assert "".join(langid.pieces(unit)) == unit
+
+
 def base_by_hand(text):
     import re
 
