@@ -6,8 +6,9 @@ divergences are within their limits; a document is kept if some language fits. S
 noisy histograms: below MIN_CHARS characters the classes, below MIN_WORDS letter words the common words
 are not held against a document.
 
-Common words are the COMMON most frequent letter runs of at most WORD_CHARS letters of each language;
-references are kept for the LANGUAGES languages with the most documents, a bound on what plans hold.
+Common words are the COMMON most frequent letter runs of at most WORD_CHARS letters of each language; a
+language without any is judged on character classes alone. References of all languages count: those of the
+LANGUAGES languages with the most documents stand in the plan, the others in a table of one row beside it.
 
 Defined cases: a null text is empty; a document without words has zero counts and fails the base rules;
 a null lang is in no reference but is judged as any other; repeated rows are judged one by one; an
@@ -111,14 +112,14 @@ def base_failed(base: Column) -> Column:
 
 
 def references(docs: DataFrame) -> list[Reference]:
-    """Shares by language over all documents; at most LANGUAGES rows come to the driver."""
+    """Shares by language over all documents, most documents first; a row a language and its common words come
+    to the driver."""
     rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text")).filter("lang IS NOT NULL")
     sums = (
         rows.select("lang", class_counts(F.col("text")).alias("c"), F.regexp_count("text", F.lit(r"\p{L}+")).alias("n"))
         .groupBy("lang")
         .agg(F.count("*").alias("docs"), F.sum("n").alias("n"), *(F.sum(F.col("c")[k]).alias(x) for k, x in enumerate(CLASSES)))
         .orderBy(F.desc("docs"), "lang")
-        .limit(LANGUAGES)
         .collect()
     )
     counted = (
@@ -128,31 +129,33 @@ def references(docs: DataFrame) -> list[Reference]:
         .agg(F.count("*").alias("n"))
     )
     order = W.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.filter(F.col("lang").isin([r["lang"] for r in sums])).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= COMMON)
+    top = counted.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= COMMON)
     words: dict[str, list] = {}
     for r in sorted(top.collect(), key=lambda r: r["k"]):
         words.setdefault(r["lang"], []).append((r["word"], r["n"]))
     out = []
     for r in sums:
         own, chars = words.get(r["lang"], []), sum(r[x] for x in CLASSES)
-        if own and chars:
+        if chars:
             shares = [n / r["n"] for _, n in own]
-            out.append(Reference([r[x] / chars for x in CLASSES], [w for w, _ in own], [*shares, 1 - sum(shares)]))
+            out.append(Reference([r[x] / chars for x in CLASSES], [w for w, _ in own], [*shares, 1.0 - sum(shares)]))
     return out
 
 
-def divergence(shares: Column, reference: list[float]) -> Column:
+def divergence(shares: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon, base 2: 0 for equal distributions, 1 for disjoint ones."""
 
     def term(p: Column, q: Column) -> Column:
         part = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(F.lit(0.0))
         return (part(p) + part(q)) / 2
 
-    return F.aggregate(F.zip_with(shares, F.array(*map(F.lit, reference)), term), F.lit(0.0), lambda a, x: a + x)
+    other = reference if isinstance(reference, Column) else F.array(*map(F.lit, reference))
+    return F.aggregate(F.zip_with(shares, other, term), F.lit(0.0), lambda a, x: a + x)
 
 
-def fits(text: Column, base: Column, refs: list[Reference]) -> Column:
-    """Does some language fit? Without references nothing is held against a document."""
+def fits(text: Column, base: Column, refs: list[Reference], others: Column | None = None) -> Column:
+    """Does some language fit, of refs or of others (an array of such structs)? Without references nothing is
+    held against a document."""
     if not refs:
         return F.lit(True)
     known = sorted({w for r in refs for w in r.words})
@@ -166,18 +169,23 @@ def fits(text: Column, base: Column, refs: list[Reference]) -> Column:
             every = F.array(*counts, n - sum(counts[1:], counts[0]))
             return divergence(F.transform(every, lambda x: x / n), r.shares) <= WORD_LIMIT + WORD_NOISE / n
 
+        def fits_other(r: Column) -> Column:
+            counts = F.transform(r["words"], lambda w: F.size(v["short"]) - F.size(F.array_remove(v["short"], w)))
+            every = F.concat(counts, F.array(n - F.aggregate(counts, F.lit(0), lambda a, x: a + x)))
+            words = (n < MIN_WORDS) | (divergence(F.transform(every, lambda x: x / n), r["shares"]) <= WORD_LIMIT + WORD_NOISE / n)
+            return ((chars < MIN_CHARS) | (divergence(classes, r["classes"]) <= CLASS_LIMIT + CLASS_NOISE / chars)) & words
+
         tests = [((chars < MIN_CHARS) | (divergence(classes, r.classes) <= CLASS_LIMIT + CLASS_NOISE / chars)) & ((n < MIN_WORDS) | by_word(r)) for r in refs]
         out = tests[0]
         for t in tests[1:]:
             out = out | t
-        return out
+        return out if others is None else out | F.exists(others, fits_other)
 
-    return _let(
-        letter_words(text),
-        lambda w: _let(
-            F.struct(class_counts(text, base).alias("classes"), F.size(w).alias("n"), F.filter(w, lambda x: x.isin(known)).alias("common")), judge
-        ),
-    )
+    def counted(w: Column) -> Column:
+        parts = [class_counts(text, base).alias("classes"), F.size(w).alias("n"), F.filter(w, lambda x: x.isin(known)).alias("common")]
+        return F.struct(*parts, *([] if others is None else [F.filter(w, lambda x: F.length(x) <= WORD_CHARS).alias("short")]))
+
+    return _let(letter_words(text), lambda w: _let(counted(w), judge))
 
 
 def judged(docs: DataFrame, refs: list[Reference] | None = None) -> DataFrame:
@@ -185,7 +193,12 @@ def judged(docs: DataFrame, refs: list[Reference] | None = None) -> DataFrame:
     refs = references(docs) if refs is None else refs
     out = base_counts(docs).withColumn("__base_failed", base_failed(F.col("__base")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    return out.withColumn("__kept", F.when(F.col("__base_failed"), F.lit(False)).otherwise(fits(text, F.col("__base"), refs)))
+    kept = lambda *others: F.when(F.col("__base_failed"), F.lit(False)).otherwise(fits(text, F.col("__base"), refs[:LANGUAGES], *others))
+    if len(refs) <= LANGUAGES:
+        return out.withColumn("__kept", kept())
+    rest = [(r.classes, r.words, r.shares) for r in refs[LANGUAGES:]]
+    beside = docs.sparkSession.createDataFrame([(rest,)], "__others array<struct<classes: array<double>, words: array<string>, shares: array<double>>>")
+    return out.crossJoin(F.broadcast(beside)).withColumn("__kept", kept(F.col("__others"))).drop("__others")
 
 
 def oracle_sql() -> str:

@@ -123,6 +123,23 @@ def test_base_counts_equal_brute_force(spark, docs):
         assert want[4] is None or b.n_repeat_words == want[4]
 
 
+def test_quality_of_many_languages(spark):
+    """Clean documents of the languages beyond those in the plan, and of one without short words, are kept."""
+    g = np.random.default_rng(9)
+    name = lambda k: chr(97 + k % 26) + chr(97 + k // 26)
+    rows = []
+    for k in range(36):
+        own = [f"{c}{name(k)}" for c in "xyzw"] + [f"{chr(97 + c)}long{name(k)}" for c in range(20)]
+        rows += [(" ".join(g.choice(own, 120, p=[0.2, 0.15, 0.1, 0.05] + [0.025] * 20)), f"l{k:02}") for _ in range(4 if k < 34 else 3)]
+    han = lambda: " ".join("".join(chr(0x4E00 + int(x)) for x in g.integers(0, 900, 20)) for _ in range(15))
+    rows += [(han(), "zz") for _ in range(3)]
+    rows.append((" ".join(g.choice(["AAA%%%", "BB$$$", "C###"], 100)), None))
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    lost = {r.lang for r in quality.judged(docs).filter("NOT __kept").select("lang", "doc_id").collect() if r.doc_id < len(rows) - 1}
+    assert not lost
+    assert quality.judged(docs).filter(f"doc_id = {len(rows) - 1} AND __kept").count() == 0
+
+
 def test_quality_verdict(spark, docs, no_docs):
     g = np.random.default_rng(3)
     prose = [" ".join(g.choice(["the", "of", "and", "to", *(f"word{chr(97 + k)}ish" for k in range(20))], 120, p=[0.1] * 4 + [0.03] * 20)) for _ in range(50)]
