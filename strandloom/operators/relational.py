@@ -130,8 +130,10 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], take: int) -
 def components(edges: DataFrame, checkpoint) -> DataFrame:
     """node, label (the smallest node of its component) of edges (a, b); checkpoint cuts lineage.
 
-    Each round hooks a node to its smallest neighbour and contracts the edges, so chains shrink by a
-    constant factor a round. checkpoint(df) must write to storage that outlives an executor.
+    Each round hooks every node to its smallest neighbour, jumps pointers until all point to a root, and
+    contracts the edges to roots. A node that is not smaller than all its neighbours is gone after its
+    round, so a component of n nodes takes at most log2(n) rounds, of at most log2(n) jumps each.
+    checkpoint(df) must write to storage that outlives an executor.
     """
     labels = None
     while True:
@@ -139,16 +141,26 @@ def components(edges: DataFrame, checkpoint) -> DataFrame:
         parent = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")).withColumnRenamed("a", "node"))
         if not parent.head():
             return labels if labels is not None else parent.withColumnRenamed("p", "label")
+        parent = pointer_jumped(parent, checkpoint)
         if labels is None:
             labels = parent.withColumnRenamed("p", "label")
         else:
             labels = labels.join(parent.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-        labels = checkpoint(labels)
+            labels = checkpoint(labels)
         of = lambda c: parent.select(F.col("node").alias(c), F.col("p").alias(f"{c}_p"))
         moved = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("a_p").alias("a"), F.col("b_p").alias("b"))
         edges = checkpoint(moved.filter("a <> b").distinct())
 
 
+def pointer_jumped(parent: DataFrame, checkpoint) -> DataFrame:
+    """node, p of a forest, p made the root of each node: a turn halves the depth."""
+    while True:
+        up = parent.select(F.col("node").alias("p"), F.col("p").alias("top"))
+        parent = checkpoint(parent.join(up, "p").select("node", F.col("top").alias("p"), (F.col("top") != F.col("p")).alias("moved")))
+        if not parent.filter("moved").head():
+            return parent.select("node", "p")
+
+
 def windows(regions: DataFrame, length: int, overlap: int) -> DataFrame:
     """Windows [s, s+length] of regions (chrom_idx, chrom, start1, end1), every step, as long as they fit.
 

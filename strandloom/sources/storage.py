@@ -1,20 +1,54 @@
-"""Written checkpoints of intermediate tables."""
+"""Written checkpoints of intermediate tables, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it again; a local session may leave that unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local session (tests) uses a folder of its own, and a cluster is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, path: str, codec: str) -> DataFrame:
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors."""
+    return _written(df, shared_dir(df.sparkSession, name), codec)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Intermediate tables of one run below one shared folder, which goes when the with block ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, shared_dir(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        self.count += 1
+        return _written(df, f"{self.path}/{self.count:04d}-{name}", codec)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
