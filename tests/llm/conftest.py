@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, node string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, node string, __kept string, __base string, __k1 string, __row int, row int, base_failed int"
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +19,7 @@ def docs(spark):
         (None, "no id here", None, "c", 5, None, None),
         (7, "x", "de", "a", 1, None, None),
     ]
-    return spark.createDataFrame(rows, DOCS)
+    return spark.createDataFrame([(*r, "mine", "own", "key", 9, 8, 7) for r in rows], DOCS)
 
 
 @pytest.fixture(scope="session")

@@ -151,15 +151,48 @@ def test_near_duplicates_in_a_family_of_one_template(spark):
     assert got == {i: i - i % 2 for i in range(800)}
 
 
+def test_weights_tell_boilerplate_from_copies(spark):
+    """A passage that all texts share makes plain Jaccard similarity high and the weighted one low."""
+    g = np.random.default_rng(23)
+    passage = [f"p{i}" for i in range(110)]
+    texts = [" ".join([*passage, *(f"o{x}" for x in g.integers(0, 1 << 40, 11))]) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0] + " more"])], "doc_id long, text string")
+    idf = neardup.idf_table(rows)
+    a, b = (neardup.shingle_counts(t)[0] for t in texts[:2])
+    assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    assert neardup.similarity(neardup.shingles(texts[0], idf), neardup.shingles(texts[1], idf)) < 0.75
+    got = {r.doc_id: r.class_id for r in neardup.labelled(rows).collect()}
+    assert got == {i: i % 300 for i in range(301)}
+
+
+def test_document_frequencies_follow_the_sketch(spark):
+    texts = ["a b c d e"] * 40 + ["f g h i j"] * 5 + [f"x{i} y z u v" for i in range(55)]
+    idf = neardup.idf_table(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for text, df in (("a b c d e", 40), ("f g h i j", 5), ("x3 y z u v", 1)):
+        code = neardup.codes(neardup.shingle_counts(text)[0], idf)
+        assert code.tolist() == [round(255 * np.log(101 / (1 + df)) / np.log(102))]
+
+
+def test_equal_triples_do_not_change_how_often_samples_agree():
+    """Texts with many more shingles than there are triples."""
+    g = np.random.default_rng(24)
+    h, w = np.sort(g.integers(0, 1 << 63, 150_000, dtype=np.uint64)), np.full(150_000, 1.5, np.float32)
+    hits = 0
+    for _ in range(6):
+        rows = np.sort(g.choice(150_000, 135_000, replace=False))
+        hits += int((neardup.band_keys(h, w) == neardup.band_keys(h[rows], w[rows])).sum())
+    assert abs(hits / (6 * neardup.BANDS) - 0.9**neardup.ROWS) < 0.15
+
+
 def test_prefixes_of_alike_texts_meet():
     g = np.random.default_rng(18)
-    order = np.zeros(1 << neardup.ORDER_BITS, np.uint8)
+    order = g.integers(0, 4, 300)
     for _ in range(200):
         h = np.sort(g.integers(0, 1 << 63, 300, dtype=np.uint64))
         w = (g.integers(1, 4, 300) * g.uniform(1, 2, 300)).astype(np.float32)
         a, b = np.sort(g.choice(300, g.integers(240, 301), replace=False)), np.sort(g.choice(300, g.integers(240, 301), replace=False))
         if neardup.similarity((h[a], None, w[a]), (h[b], None, w[b])) >= 0.8:
-            (ka, sa), (kb, sb) = neardup.prefixes(h[a], w[a], order, 0.8), neardup.prefixes(h[b], w[b], order, 0.8)
+            (ka, sa), (kb, sb) = neardup.prefixes(h[a], w[a], order[a], 0.8), neardup.prefixes(h[b], w[b], order[b], 0.8)
             other = {0: 1, 1: 0, 2: 2}
             assert {*zip(ka.tolist(), sa.tolist())} & {(k, other[s]) for k, s in zip(kb.tolist(), sb.tolist())}
 
@@ -173,6 +206,7 @@ def test_near_duplicates_of_odd_rows(docs, no_docs):
     assert by[1] == [1, 1] and sorted(by[2]) == [2, 3] and by[4] == [4]
     left = neardup.distinct_docs(docs)
     assert left.columns == docs.columns
+    assert all((r["__k1"], r["__row"], r["row"]) == ("key", 9, 8) for r in left.collect())
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 4, 5, 6, 7]
     assert neardup.labelled(no_docs).count() == 0 and neardup.distinct_docs(no_docs).count() == 0
 
