@@ -12,7 +12,8 @@ from strandloom.session import ship
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and fit a language's reference."""
-    return quality.judged(docs).filter("__kept").select(*docs.columns)
+    judged = quality.judged(docs)
+    return judged.rows.filter(judged.kept).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ are not held against a document.
 Common words are the COMMON most frequent letter runs of at most WORD_CHARS letters of each language; a
 language without any is judged on character classes alone. References of all languages count: those of the
 LANGUAGES languages with the most documents stand in the plan, the others in a table of one row beside it.
+A language weighs a few hundred bytes there, and a corpus has some thousands of languages at most.
 
 Defined cases: a null text is empty; a document without words has zero counts and fails the base rules;
-a null lang is in no reference but is judged as any other; repeated rows are judged one by one; an
-empty table gives no rows; other columns are carried along by judged() and no name clashes with them,
-for the columns made here stand in one struct until they are selected.
+a null lang is in no reference but is judged as any other; a null doc_id is judged as any other; repeated
+rows are judged one by one; very long texts count in full; an empty table gives no rows; other columns are
+carried along by judged(), which names its own columns so that none clashes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import free_names
+
 BLANK = r"[ \t\n\x0B\f\r]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -93,9 +96,8 @@ def dup_lines(text: Column) -> Column:
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """docs with struct base: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def base_counts(text: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of a text without nulls."""
     words = F.array_remove(F.split(text, BLANK + "+"), "")
     counts = lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
@@ -104,7 +106,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         dup_lines(text).cast("long").alias("n_dup_lines"),
         repeat_words(w).cast("long").alias("n_repeat_words"),
     )
-    return docs.withColumn("__base", _let(words, counts))
+    return _let(words, counts)
 
 
 def base_failed(base: Column) -> Column:
@@ -188,17 +190,29 @@ def fits(text: Column, base: Column, refs: list[Reference], others: Column | Non
     return _let(letter_words(text), lambda w: _let(counted(w), judge))
 
 
-def judged(docs: DataFrame, refs: list[Reference] | None = None) -> DataFrame:
-    """docs with struct __base and the booleans __base_failed and __kept."""
+@dataclass
+class Judged:
+    """docs with three more columns, whose names no column of docs had."""
+
+    rows: DataFrame
+    base: str
+    failed: str
+    kept: str
+
+
+def judged(docs: DataFrame, refs: list[Reference] | None = None) -> Judged:
+    """docs with the struct of base counts, whether they fail the base rules, and whether the document is kept."""
     refs = references(docs) if refs is None else refs
-    out = base_counts(docs).withColumn("__base_failed", base_failed(F.col("__base")))
+    base, failed, kept, others = free_names(docs, "base", "failed", "kept", "others")
     text = F.coalesce(F.col("text"), F.lit(""))
-    kept = lambda *others: F.when(F.col("__base_failed"), F.lit(False)).otherwise(fits(text, F.col("__base"), refs[:LANGUAGES], *others))
+    out = docs.withColumn(base, base_counts(text))
+    out = out.withColumn(failed, base_failed(F.col(base)))
+    verdict = lambda *more: F.when(F.col(failed), F.lit(False)).otherwise(fits(text, F.col(base), refs[:LANGUAGES], *more))
     if len(refs) <= LANGUAGES:
-        return out.withColumn("__kept", kept())
+        return Judged(out.withColumn(kept, verdict()), base, failed, kept)
     rest = [(r.classes, r.words, r.shares) for r in refs[LANGUAGES:]]
-    beside = docs.sparkSession.createDataFrame([(rest,)], "__others array<struct<classes: array<double>, words: array<string>, shares: array<double>>>")
-    return out.crossJoin(F.broadcast(beside)).withColumn("__kept", kept(F.col("__others"))).drop("__others")
+    beside = docs.sparkSession.createDataFrame([(rest,)], f"{others} array<struct<classes: array<double>, words: array<string>, shares: array<double>>>")
+    return Judged(out.crossJoin(F.broadcast(beside)).withColumn(kept, verdict(F.col(others))).drop(others), base, failed, kept)
 
 
 def oracle_sql() -> str:
@@ -230,17 +244,16 @@ def oracle_sql() -> str:
         SELECT g.*, len(words)::BIGINT AS n_words, (chars - c3)::BIGINT AS word_chars, c4::BIGINT AS n_symbols,
             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
         FROM g LEFT JOIN rep USING (r)),
-    langs AS (SELECT lang FROM g WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {LANGUAGES}),
-    ls AS (SELECT lang, sum(chars) AS chars, sum(len(runs)) AS n, {sums} FROM g JOIN langs USING (lang) GROUP BY lang),
+    ls AS (SELECT lang, sum(chars) AS chars, sum(len(runs)) AS n, {sums} FROM g WHERE lang IS NOT NULL GROUP BY lang),
     counted AS (
-        SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(runs) AS word FROM g JOIN langs USING (lang))
+        SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(runs) AS word FROM g WHERE lang IS NOT NULL)
         WHERE length(word) <= {WORD_CHARS} GROUP BY lang, word),
     top AS (
         SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM counted QUALIFY k <= {COMMON}),
-    refs AS (SELECT * FROM ls WHERE chars > 0 AND lang IN (SELECT lang FROM top)),
+    refs AS (SELECT * FROM ls WHERE chars > 0),
     shares AS (
         SELECT top.lang, k, word, top.n / refs.n AS q FROM top JOIN refs USING (lang)
-        UNION ALL SELECT lang, {COMMON + 1}, NULL, 1 - sum(top.n / refs.n) FROM top JOIN refs USING (lang) GROUP BY lang),
+        UNION ALL SELECT lang, {COMMON + 1}, NULL, 1 - coalesce(sum(top.n / refs.n), 0) FROM refs LEFT JOIN top USING (lang) GROUP BY lang),
     dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(runs) AS word FROM g) GROUP BY r, word),
     hits AS (SELECT dw.r, top.lang, top.k, dw.n FROM dw JOIN top USING (word)),
     own AS (

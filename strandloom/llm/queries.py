@@ -95,7 +95,7 @@ OP5_SQL = quality.oracle_sql()
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict of every document."""
     rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return rows.select("doc_id", "__base.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return rows.rows.select("doc_id", f"{rows.base}.*", F.col(rows.failed).alias("base_failed"), F.col(rows.kept).alias("kept"))
 
 
 @query(

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -116,9 +117,9 @@ def base_by_hand(text):
 
 def test_base_counts_equal_brute_force(spark, docs):
     more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(["a b c d e f a b c d e x", "# a\n# a\n\n#|", "w " * 40, "a b c d e a b c d e a b", "l1\nl2\nl1\nl1"])], "doc_id long, text string")
-    rows = quality.base_counts(docs.select("doc_id", "text").union(more)).collect()
+    rows = docs.select("doc_id", "text").union(more).withColumn("base", quality.base_counts(F.coalesce("text", F.lit("")))).collect()
     for r in rows:
-        b, want = r["__base"], base_by_hand(r.text)
+        b, want = r["base"], base_by_hand(r.text)
         assert (b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines) == want[:4]
         assert want[4] is None or b.n_repeat_words == want[4]
 
@@ -135,9 +136,15 @@ def test_quality_of_many_languages(spark):
     rows += [(han(), "zz") for _ in range(3)]
     rows.append((" ".join(g.choice(["AAA%%%", "BB$$$", "C###"], 100)), None))
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
-    lost = {r.lang for r in quality.judged(docs).filter("NOT __kept").select("lang", "doc_id").collect() if r.doc_id < len(rows) - 1}
+    got = quality.judged(docs)
+    lost = {r.lang for r in got.rows.filter(f"NOT {got.kept}").select("lang", "doc_id").collect() if r.doc_id < len(rows) - 1}
     assert not lost
-    assert quality.judged(docs).filter(f"doc_id = {len(rows) - 1} AND __kept").count() == 0
+    assert got.rows.filter(f"doc_id = {len(rows) - 1} AND {got.kept}").count() == 0
+    # The SQL has all languages too.
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = dict(con.execute(f"SELECT doc_id, kept FROM ({quality.oracle_sql()})").fetchall())
+    assert {r.doc_id: r[got.kept] for r in got.rows.collect()} == want
 
 
 def test_quality_verdict(spark, docs, no_docs):
@@ -145,8 +152,10 @@ def test_quality_verdict(spark, docs, no_docs):
     prose = [" ".join(g.choice(["the", "of", "and", "to", *(f"word{chr(97 + k)}ish" for k in range(20))], 120, p=[0.1] * 4 + [0.03] * 20)) for _ in range(50)]
     junk = [" | ".join(f"item{chr(97 + k % 26)}x" for k in g.integers(0, 999, 120)), " ".join(g.choice(["AAA%%%", "BB$$$", "C###"], 100))]
     rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*prose, *junk])], "doc_id long, text string, lang string")
-    kept = {r.doc_id for r in quality.judged(rows).filter("__kept").collect()}
+    got = quality.judged(rows)
+    kept = {r.doc_id for r in got.rows.filter(got.kept).collect()}
     assert set(range(50)) <= kept and not kept & {50, 51}
     out = quality.judged(docs)
-    assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
-    assert quality.judged(no_docs).count() == 0
+    assert out.rows.columns[: len(docs.columns)] == docs.columns and out.rows.count() == docs.count()
+    assert all((r["__kept"], r["__base"], r["base_failed"]) == ("mine", "own", 7) for r in out.rows.collect())
+    assert quality.judged(no_docs).rows.count() == 0
