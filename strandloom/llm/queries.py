@@ -110,8 +110,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write an archive record for every page, merge the index, and read the records back by it."""
-    index, folder = warc.archive(table(spark, sf_dir, "pages"))
-    back = warc.read_archives(index, folder)
+    back = warc.read_archives(*warc.archive(table(spark, sf_dir, "pages")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,9 +1,12 @@
 """WARC archives, and their index by external merge.
 
 Each task writes archive files of gzip members, one a record, and for each file a capture run: index
-lines sorted by URL key, timestamp and page. Runs are merged k ways by a loser tree, at most FAN_IN at
-a time; the last merge is cut into key ranges that tasks merge on their own, so the index parts, one
-after the other, are one globally ordered capture history, however many captures one URL has.
+lines sorted by URL key, timestamp and page. Levels of merges by loser trees follow, FAN_IN runs to a merge,
+until one run is left. Each merge is cut into key ranges of about PART_RECORDS lines that tasks merge on
+their own, so tasks stay as small and as many at the last level as at the first, and a run is a list of
+segments, one after the other. A task opens only the segments that its range meets (their first keys
+stand in the level's table) and finds its place in them by their sparse indexes. The segments of the last run
+are the index: a globally ordered capture history, however many captures one URL has.
 
 An index line is ``urlkey timestamp page {json}``; a URL key has no byte below ``!``, so lines sort by
 their bytes. A page without timestamp gets one from its page_id.
@@ -24,24 +27,26 @@ import io
 import json
 import re
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import chain
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.llm import store
-from strandloom.llm.common import shared_dir, stored
+from strandloom.llm.common import Scratch, shared_dir, stored
 
 REVISIT_BYTES = 1000
-#: Records of an archive file and of its run, runs merged at once, records of an index part.
+#: Records of an archive file and of its run, runs merged at once, records of a segment of a merged run.
 RUN_RECORDS, FAN_IN, PART_RECORDS = 20_000, 64, 100_000
-#: A run's sparse index has a key for so many lines.
-SPARSE = 128
+#: A segment's sparse index has a key for so many lines; samples of keys that a range is made of.
+SPARSE, SAMPLES = 128, 8
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SPACE = uuid.UUID("6f2b0c52-7d3e-5a4b-9a10-000000000000").int >> 64 << 64
@@ -162,18 +167,20 @@ def decided(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "revisit_of")
 
 
-def write_run(path: str, lines: Iterable[bytes]) -> tuple[str, int]:
-    """A sorted run and, beside it, its sparse index."""
+def write_run(path: str, lines: Iterable[bytes]) -> tuple[str, int, bytes]:
+    """A sorted segment and, beside it, its sparse index: path, lines, first line."""
     sparse: list[str] = []
-    count = [0]
+    count, first = 0, b""
 
     def body() -> Iterator[bytes]:
+        nonlocal count, first
         at, block = 0, []
         for line in lines:
-            if count[0] % SPARSE == 0:
+            if count % SPARSE == 0:
                 sparse.append(f"{at} {line.rsplit(b' {', 1)[0].decode()}")
+                first = first or line
             at += len(line) + 1
-            count[0] += 1
+            count += 1
             block.append(line)
             if len(block) == 4096:
                 yield b"\n".join(block) + b"\n"
@@ -183,7 +190,7 @@ def write_run(path: str, lines: Iterable[bytes]) -> tuple[str, int]:
 
     store.write_file(path, body())
     store.write_file(path + ".keys", ["\n".join(sparse).encode()])
-    return path, count[0]
+    return path, count, first
 
 
 def sparse_keys(path: str) -> list[tuple[bytes, int]]:
@@ -210,7 +217,7 @@ def read_run(path: str, low: bytes | None = None, high: bytes | None = None) ->
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """One row an archive file: run (path of its sorted index), n."""
+    """One row an archive file: its run's path, n and first line."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, runs = TaskContext.get().partitionId(), 0, []
@@ -236,62 +243,83 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             runs.append(write_run(f"{folder}/runs/{name}.cdx", index))
             number += 1
         if runs:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs]), pa.array([r[1] for r in runs], pa.int64())], names=["run", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs]), pa.array([r[1] for r in runs], pa.int64()), pa.array([r[2] for r in runs], pa.binary())], names=["path", "n", "low"])
 
     ordered = decided(pages).sortWithinPartitions("page_id", "url")
-    return ordered.mapInArrow(write, "run string, n long")
+    return ordered.mapInArrow(write, "path string, n long, low binary")
 
 
-def _merger(folder: str):
-    """Merges the runs of a group into one."""
+def key_ranges(segments: DataFrame, target: int) -> DataFrame:
+    """The merges of a level: of each group of FAN_IN runs the key ranges (part, low, high) of about target
+    lines, and the segments of each run that a range meets.
 
-    def merge(group: pa.Table) -> pa.Table:
-        runs, number = group.column("run").to_pylist(), group.column("g")[0].as_py()
-        path, n = write_run(f"{folder}/run-{number:07d}.cdx", LoserTree(map(read_run, sorted(runs))))
-        return pa.table({"run": [path], "n": pa.array([n], pa.int64())})
-
-    return merge
-
-
-def merge_runs(manifest: DataFrame, folder: str) -> DataFrame:
-    """Merge all runs; one row an index part, in key order: part, path, n."""
-    spark = manifest.sparkSession
-    level = 0
-    while manifest.count() > FAN_IN:
-        groups = -(-manifest.count() // FAN_IN)
-        numbered = manifest.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)))
-        manifest = stored(numbered.groupBy("g").applyInArrow(_merger(f"{folder}/level-{level}"), "run string, n long"), "warc-runs")
-        level += 1
-    rows = sorted(manifest.collect())  # at most FAN_IN
-    runs, total = [r["run"] for r in rows], sum(r["n"] for r in rows)
-    parts = max(1, -(-total // PART_RECORDS), min(total // 1000, 2 * spark.sparkContext.defaultParallelism))
+    segments: run, seg, path, n, low. Only sampled keys meet in a group: SAMPLES for each target lines.
+    """
+    step, fan_in = max(1, target // SAMPLES // SPARSE), FAN_IN
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [k for r in b.column("run").to_pylist() for k, _ in sparse_keys(r)]
-            step = max(1, len(keys) // 512)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[::step], pa.binary()), pa.array([step] * len(keys[::step]), pa.int64())], names=["k", "w"])
-
-    picked = sorted((bytes(r["k"]), r["w"]) for r in manifest.repartition(max(1, len(runs)), "run").mapInArrow(sample, "k binary, w long").collect())
-    edges, seen, weight = [], 0, sum(w for _, w in picked)
-    for k, w in picked:
-        if seen * parts >= (len(edges) + 1) * weight and (not edges or k > edges[-1]):
-            edges.append(k)
-        seen += w
-    ranges = list(zip(range(len(edges) + 1), [None, *edges], [*edges, None]))
-    rows_of = spark.createDataFrame(ranges, "part int, low binary, high binary").repartition(len(ranges), "part")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, low, high in zip(*(b.column(c).to_pylist() for c in ("part", "low", "high"))):
-                path, n = write_run(f"{folder}/index/part-{part:06d}.cdx", LoserTree(read_run(r, low, high) for r in runs))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([n], pa.int64())], names=["part", "path", "n"])
-
-    return stored(rows_of.mapInArrow(finish, "part int, path string, n long"), "warc-index")
-
-
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Records, found by the merged index: page_id, url, urlkey, captured, payload_bytes, payload_digest,
+            keys = [[k for k, _ in sparse_keys(p)[::step]] for p in b.column("path").to_pylist()]
+            group = [r // fan_in for r in b.column("run").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), *b.columns, pa.array(keys, pa.list_(pa.binary()))], names=["group", *b.schema.names, "keys"])
+
+    def choose(rows: pa.Table) -> pa.Table:
+        group = rows.column("group")[0].as_py()
+        runs: dict[int, list[tuple]] = {}
+        for r in sorted(zip(*(rows.column(c).to_pylist() for c in ("run", "seg", "low", "path")))):
+            runs.setdefault(r[0], []).append(r[2:])
+        # Each key stands for as many lines as lie behind it up to the next one of its segment.
+        keys = sorted((k, min(n, (i + 1) * step * SPARSE) - i * step * SPARSE) for own, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist()) for i, k in enumerate(own))
+        edges, weight = [], 0
+        for k, w in keys:
+            if weight >= target and (not edges or k > edges[-1]):
+                edges.append(k)
+                weight = 0
+            weight += w
+        out = []
+        for part, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+            met = []
+            for own in runs.values():
+                lows = [x[0] for x in own]
+                begin = 0 if low is None else max(0, bisect_right(lows, low) - 1)
+                met.append([x[1] for x in own[begin : len(own) if high is None else bisect_left(lows, high)]])
+            out.append((group, part, low, high, [m for m in met if m]))
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.string()))]
+        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=["group", "part", "low", "high", "runs"])
+
+    sampled = segments.mapInArrow(sample, "group long, run long, seg int, path string, n long, low binary, keys array<binary>")
+    return sampled.groupBy("group").applyInArrow(choose, "group long, part int, low binary, high binary, runs array<array<string>>")
+
+
+def merge_runs(manifest: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
+    """Merge all runs (path, n, low) into one; a row an index part, in key order: part, path, n."""
+    # Runs are numbered by path, so groups have FAN_IN runs exactly; a run has RUN_RECORDS lines to a row here.
+    numbered = manifest.select((F.row_number().over(W.orderBy("path")) - 1).cast("long").alias("run"), F.lit(0).alias("seg"), "path", "n", "low")
+    segments = scratch.stored(numbered, "runs")
+    runs, total = segments.count(), segments.agg(F.sum("n")).head()[0] or 0
+    target = max(1, min(PART_RECORDS, max(1000, total // (2 * manifest.sparkSession.sparkContext.defaultParallelism))))
+    level = 0
+    while runs > 1 or not level:
+        runs, level = -(-runs // FAN_IN), level + 1
+        spread = segments.repartition(max(1, min(segments.count(), 4096)), "path")
+        ranges = scratch.stored(key_ranges(spread, target), "ranges")
+        where = f"{folder}/index" if runs <= 1 else f"{folder}/level-{level}"
+
+        def merge(batches: Iterator[pa.RecordBatch], where: str = where) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for group, part, low, high, met in zip(*(b.column(c).to_pylist() for c in ("group", "part", "low", "high", "runs"))):
+                    tree = LoserTree(chain.from_iterable(read_run(p, low, high) for p in paths) for paths in met)
+                    path, n, first = write_run(f"{where}/run-{group:07d}-part-{part:06d}.cdx", tree)
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([part], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([first], pa.binary())], names=["run", "seg", "path", "n", "low"])
+
+        dealt = ranges.repartitionByRange(max(1, ranges.count()), "group", "part")
+        segments = scratch.stored(dealt.mapInArrow(merge, "run long, seg int, path string, n long, low binary"), "runs")
+    return segments.select(F.col("seg").alias("part"), "path", "n")
+
+
+def read_archives(index: DataFrame, folder: str, files: int) -> DataFrame:
+    """Records of so many files, found by the merged index: page_id, url, urlkey, captured, payload_bytes, payload_digest,
     record_type, refers_to, and part and place of its line in the capture history."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +351,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         f.close()
 
     parts = index.count()
-    found = index.select("part", "path").repartition(max(1, parts), "part").mapInArrow(lines, _ddl(LINES))
-    return found.repartition("filename").sortWithinPartitions("filename", "offset").mapInArrow(records, _ddl(RECORDS))
+    found = index.select("part", "path").repartitionByRange(max(1, parts), "part").mapInArrow(lines, _ddl(LINES))
+    return found.repartition(max(1, files), "filename").sortWithinPartitions("filename", "offset").mapInArrow(records, _ddl(RECORDS))
 
 
 LINES = [("part", pa.int32()), ("place", pa.int64()), ("urlkey", pa.string()), ("captured", pa.string()), ("filename", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
@@ -340,8 +368,12 @@ def _rows(rows: list[tuple], fields: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def archive(pages: DataFrame) -> tuple[DataFrame, str]:
-    """Write archives and their merged index below the shared folder: the index parts, and the folder."""
-    folder = shared_dir(pages.sparkSession, "warc")
-    runs = stored(write_archives(pages, folder), "warc-runs")
-    return merge_runs(runs, folder), folder
+def archive(pages: DataFrame) -> tuple[DataFrame, str, int]:
+    """Write archives and their merged index below the shared folder: the index parts, the folder, and the
+    number of archive files."""
+    spark = pages.sparkSession
+    folder = shared_dir(spark, "warc")
+    with Scratch(spark, "warc-merge") as scratch:
+        runs = scratch.stored(write_archives(pages, folder), "manifest")
+        index = stored(merge_runs(runs, folder, scratch), "warc-index")
+        return index, folder, runs.count()

@@ -23,8 +23,7 @@ def pages(spark):
 def test_archives_round_trip(spark, monkeypatch, fan_in):
     monkeypatch.setattr(warc, "FAN_IN", fan_in)
     monkeypatch.setattr(warc, "RUN_RECORDS", 2)
-    index, folder = warc.archive(pages(spark))
-    rows = warc.read_archives(index, folder).collect()
+    rows = warc.read_archives(*warc.archive(pages(spark))).collect()
     got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in rows)
     assert got == [(0, "revisit", 5, 2400), (1, "revisit", 5, 2400), (2, "revisit", 5, 2400), (3, "response", 0, 5), (4, "response", 0, 5), (5, "response", 0, 2400), (6, "response", 0, 0), (6, "response", 0, 0), (7, "response", 0, 1200)]
     keys = [(r.urlkey, r.captured) for r in sorted(rows, key=lambda r: (r.history_part, r.history_place))]
@@ -32,8 +31,29 @@ def test_archives_round_trip(spark, monkeypatch, fan_in):
 
 
 def test_archives_of_no_pages(spark):
-    index, folder = warc.archive(pages(spark).filter("false"))
-    assert warc.read_archives(index, folder).count() == 0
+    assert warc.read_archives(*warc.archive(pages(spark).filter("false"))).count() == 0
+
+
+def test_merges_open_few_runs_and_cut_every_level(spark, monkeypatch):
+    """20 runs, two to a merge: five levels, each cut by keys into ranges of bounded size."""
+    monkeypatch.setattr(warc, "FAN_IN", 2)
+    monkeypatch.setattr(warc, "PART_RECORDS", 3000)
+    g = np.random.default_rng(31)
+    folder = warc.shared_dir(spark, "warc")
+    want, runs = [], []
+    for k in range(20):
+        lines = sorted(f"com,h{int(x):03d})/ {int(y):014d} 0 {{}}".encode() for x, y in zip(g.integers(0, 50, 1500), g.integers(0, 1 << 40, 1500)))
+        want += lines
+        runs.append(warc.write_run(f"{folder}/runs/{k:03d}.cdx", lines))
+    plans, old = [], warc.key_ranges
+    monkeypatch.setattr(warc, "key_ranges", lambda *a: (plans.append(old(*a).collect()), old(*a))[1])
+    with warc.Scratch(spark, "warc-merge") as scratch:
+        index = warc.merge_runs(spark.createDataFrame(runs, "path string, n long, low binary"), folder, scratch).orderBy("part").collect()
+    assert [len({r.group for r in p}) for p in plans] == [10, 5, 3, 2, 1]
+    assert all(len(r.runs) <= 2 for p in plans for r in p) and len(plans[-1]) >= 8
+    assert max(len(paths) for r in plans[-1] for paths in r.runs) < 5
+    assert [x for r in index for x in warc.read_run(r.path)] == sorted(want)
+    assert max(r.n for r in index) <= 6000
 
 
 def vectors(spark, n=3000, d=32):
