@@ -7,13 +7,16 @@ and from partition to partition.
 Partitions (bins) need no state from one another: of a phase's tokens of source s, bin j of P gets those
 from floor(t*j/P) to floor(t*(j+1)/P), and the fraction cut off at its start, (t*j mod P)/P, is the
 deficit that bin j begins with. Where targets are given, a source that runs dry ends a phase, and the
-shares of those left are scaled up; there are at most as many phases as sources.
+shares of those left are scaled up; there are at most as many phases as targets, and one for the sources
+without a target, which come last, each in proportion to its tokens.
 
-One bin's tokens (BIN_TOKENS and a little) are the most that a task holds. Sources may be as uneven as
-they like: a bin takes slices of all. Only totals by source come to the driver.
+One bin's tokens (BIN_TOKENS and one a source at most) are the most that a task holds. Sources may be as uneven
+and as many as they like: a bin takes slices of all, the plan is a table, and only the totals of the sources
+that targets name come to the driver.
 
-Defined cases: a null or empty text is the end id alone; a null source is queue ''; repeated rows and
-ties are separate documents, in input order; an empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; a null source is queue ''; a null doc_id is carried along;
+repeated rows and ties are separate documents, in input order; very long texts are cut freely; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import Scratch, stored
 from strandloom.llm.tokens import id_dtype, token_table, vocabulary_size
 
 WINDOW = 1024
@@ -56,14 +59,28 @@ def phases(totals: dict[str, int], targets: dict[str, float] | None, bin_tokens:
     return out
 
 
-def quotas(counts: np.ndarray, deficits: np.ndarray, window: int) -> np.ndarray:
-    """Tokens that each source (column) gives to each window (row), by deficit round-robin."""
+def plan_table(totals: DataFrame, targets: dict[str, float] | None, bin_tokens: int) -> DataFrame:
+    """source, begin, take, first_bin, bins of each phase and source of totals (source, n)."""
+    spark, rows, base = totals.sparkSession, [], 0
+    rest = totals
+    if targets:
+        named = [s for s, w in targets.items() if w > 0]
+        own = {r["source"]: r["n"] for r in totals.filter(F.col("source").isin(named)).collect()}
+        rows = phases(own, targets, bin_tokens)
+        base = max((first + bins for *_, first, bins in rows), default=0)
+        rest = totals.filter(~F.col("source").isin(named))
+    bins = max(1, -(-(rest.agg(F.sum("n")).head()[0] or 0) // bin_tokens))
+    left = rest.select("source", F.lit(0).cast("long").alias("begin"), F.col("n").alias("take"), F.lit(base).cast("long").alias("first_bin"), F.lit(bins).cast("long").alias("bins"))
+    return left.unionByName(spark.createDataFrame(rows, "source string, begin long, take long, first_bin long, bins long")) if rows else left
+
+
+def quotas(counts: np.ndarray, deficits: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, sources and tokens (never 0) that a source gives to a window, by deficit round-robin."""
     total = int(counts.sum())
-    rows = -(-total // window)
     share = counts / max(1, total)
-    left, due, out = counts.copy(), deficits.copy(), np.zeros((rows, len(counts)), dtype=np.int64)
-    for w in range(rows):
-        size = min(window, int(left.sum()))
+    left, due, out = counts.copy(), deficits.copy(), []
+    for w in range(-(-total // window)):
+        size = min(window, total - w * window)
         due += share * size
         give = np.minimum(np.maximum(np.floor(due), 0).astype(np.int64), left)
         short = size - int(give.sum())
@@ -73,10 +90,11 @@ def quotas(counts: np.ndarray, deficits: np.ndarray, window: int) -> np.ndarray:
             order = able[np.argsort(-step * (due - give)[able], kind="stable")][: abs(short)]
             give[order] += step
             short -= step * len(order)
-        out[w] = give
+        given = np.flatnonzero(give)
+        out.append((np.full(len(given), w), given, give[given]))
         left -= give
         due -= give
-    return out
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3))
 
 
 def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, end_id: int = 0, window: int = WINDOW, bin_tokens: int = BIN_TOKENS) -> DataFrame:
@@ -84,21 +102,23 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
 
     targets: weights by source; None takes each source in proportion to its tokens.
     """
+    with Scratch(docs.sparkSession, "packing") as scratch:
+        return stored(_packed(docs, tokenizer, targets, end_id, window, bin_tokens, scratch), "packing-pieces")
+
+
+def _packed(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None, end_id: int, window: int, bin_tokens: int, scratch: Scratch) -> DataFrame:
     dtype = id_dtype(vocabulary_size(tokenizer))
     width = np.dtype(dtype).itemsize
-    tokens = stored(token_table(docs, tokenizer, end_id), "packing-tokens")
-    by_task = stored(tokens.groupBy("source", "task").agg(F.sum("n_tokens").alias("n")), "packing-totals")
-    totals = {r["source"]: r["n"] for r in by_task.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    plan = phases(totals, targets, bin_tokens)
-    spark = docs.sparkSession
-    if not plan:
-        return spark.createDataFrame([], SCHEMA)
+    tokens = scratch.stored(token_table(docs, tokenizer, end_id), "tokens")
+    by_task = scratch.stored(tokens.groupBy("source", "task").agg(F.sum("n_tokens").alias("n")), "totals")
+    totals = by_task.groupBy("source").agg(F.sum("n").alias("n"))
+    parts = scratch.stored(plan_table(totals, targets, bin_tokens), "plan")
+    planned = parts.count()
     before = F.sum("n").over(W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
     bases = by_task.select("source", "task", F.coalesce(before, F.lit(0)).alias("base"))
-    parts = spark.createDataFrame(plan, "source string, begin long, take long, first_bin long, bins long")
     small = by_task.count() <= BROADCAST_ROWS
     placed = tokens.join(F.broadcast(bases) if small else bases, ["source", "task"])
-    placed = placed.withColumn("at", F.col("base") + F.col("pos")).join(F.broadcast(parts) if len(plan) <= BROADCAST_ROWS else parts, "source")
+    placed = placed.withColumn("at", F.col("base") + F.col("pos")).join(F.broadcast(parts) if planned <= BROADCAST_ROWS else parts, "source")
     # Exact integers of up to 38 digits: products of positions and bins pass 64 bits at large sizes.
     bin_of = lambda r: f"int((cast({r} + 1 as decimal(19,0)) * cast(bins as decimal(10,0)) - 1) div take)"
     edge = lambda j: f"((cast(take as decimal(19,0)) * cast({j} as decimal(10,0))) div bins)"
@@ -114,52 +134,40 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
             (F.col("first_bin") + F.col("j")).alias("bin"),
             "source",
             F.col("a").alias("queue_pos"),
+            # The deficit that the source has at the bin's start, in tokens.
+            F.expr("cast(((cast(take as decimal(19,0)) * cast(j as decimal(10,0))) % bins) / bins as double)").alias("carried"),
             "doc_id",
             F.expr("a + begin - at").alias("start"),
             F.col("n_tokens").alias("doc_tokens"),
             F.expr(f"substring(ids, int((a + begin - at) * {width} + 1), int((b - a) * {width}))").alias("ids"),
         )
     )
-    due = {}
-    for s, _, take, first, bins in plan:
-        due.setdefault((first, bins), {})[s] = take
-    spans = sorted(due)
-    stride = max(sum(x.values()) // bins + len(x) for (_, bins), x in due.items()) // window + 2
+    # No bin has more windows: a bin has bin_tokens and, for what its slices are rounded up by, one a source.
+    stride = (bin_tokens + planned) // window + 2
 
     def fill(group: pa.Table) -> pa.Table:
+        """The bin's queues lie one after the other, and so do the pieces that windows take of them."""
         number = group.column("bin")[0].as_py()
-        first, bins = next(x for x in reversed(spans) if x[0] <= number)
-        takes = due[first, bins]
         group = group.sort_by([("source", "ascending"), ("queue_pos", "ascending")])
         source = np.array(group.column("source").to_pylist(), dtype=object)
-        names, starts = np.unique(source, return_index=True)
+        starts = np.flatnonzero(np.append(True, source[1:] != source[:-1]))
         ids = [np.frombuffer(x.as_buffer(), dtype) for x in group.column("ids").combine_chunks()]
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        counts = np.add.reduceat(sizes, starts)
-        carried = np.array([takes[s] * (number - first) % bins / bins for s in names])
-        give = quotas(counts, carried, window)
-        lead = np.cumsum(give, axis=1) - give  # of each window, where a source's tokens begin
-        out: list[list] = [[] for _ in range(8)]
-        columns = [group.column(c).to_numpy() for c in ("start", "doc_tokens")]
-        doc_ids = group.column("doc_id").combine_chunks()
-        rows = []
-        for k, s in enumerate(names):
-            own = slice(starts[k], starts[k + 1] if k + 1 < len(names) else len(sizes))
-            queue = np.concatenate(ids[own]).astype("<u4")
-            doc_at = np.cumsum(sizes[own]) - sizes[own]
-            window_at = np.cumsum(give[:, k]) - give[:, k]
-            filled = np.flatnonzero(give[:, k])
-            cuts = np.union1d(doc_at, window_at[filled])
-            ends = np.append(cuts[1:], len(queue))
-            d = np.searchsorted(doc_at, cuts, side="right") - 1
-            w = filled[np.searchsorted(window_at[filled], cuts, side="right") - 1]
-            view = memoryview(queue).cast("B")
-            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), ends.tolist())]
-            rows.append(d + own.start)
-            for x, v in zip(out, (columns[0][own][d] + cuts - doc_at[d], ends - cuts, crc, columns[1][own][d], number * stride + w, lead[w, k] + cuts - window_at[w], [s] * len(cuts))):
-                x.append(v)
-        flat = [np.concatenate(x) for x in out[:6]]
-        arrays = [doc_ids.take(pa.array(np.concatenate(rows))), *(pa.array(x, pa.int64()) for x in flat), pa.array(np.concatenate(out[6]), pa.string())]
-        return pa.table(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+        w, column, n = quotas(np.add.reduceat(sizes, starts), group.column("carried").to_numpy()[starts].copy(), window)
+        lead = np.cumsum(n) - n
+        lead -= lead[np.searchsorted(w, w)]  # where in its window a piece begins
+        order = np.lexsort((w, column))
+        w, n, lead = w[order], n[order], lead[order]
+        piece_at, doc_at = np.cumsum(n) - n, np.cumsum(sizes) - sizes
+        cuts = np.union1d(doc_at, piece_at)
+        queue = np.concatenate(ids).astype("<u4")
+        ends = np.append(cuts[1:], len(queue))
+        d, p = (np.searchsorted(x, cuts, side="right") - 1 for x in (doc_at, piece_at))
+        view = memoryview(queue).cast("B")
+        crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), ends.tolist())]
+        start, doc_tokens = (group.column(c).to_numpy() for c in ("start", "doc_tokens"))
+        whole = group.select(["doc_id", "source"]).take(pa.array(d))
+        numbers = (start[d] + cuts - doc_at[d], ends - cuts, np.array(crc, np.int64), doc_tokens[d], number * stride + w[p], lead[p] + cuts - piece_at[p])
+        return pa.table([whole.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), whole.column("source")], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     return pieces.groupBy("bin").applyInArrow(fill, SCHEMA)

@@ -126,12 +126,30 @@ def test_packing_of_nothing(no_docs):
 
 def test_quotas_keep_proportions_and_carry_deficits():
     counts = np.array([6000, 3000, 1240])
-    give = packing.quotas(counts, np.array([0.4, 0.3, 0.3]), 1024)
+    w, column, n = packing.quotas(counts, np.array([0.4, 0.3, 0.3]), 1024)
+    give = np.zeros((10, 3), np.int64)
+    give[w, column] = n
+    assert n.min() > 0
     assert give.sum(axis=0).tolist() == counts.tolist() and (give.sum(axis=1) == 1024).all()
     assert np.abs(give[:-1] - 1024 * counts / counts.sum()).max() <= 2
     assert np.abs(np.cumsum(give, axis=0) - np.arange(1, 11)[:, None] * 1024 * counts / counts.sum()).max() < 3
 
 
+def test_packing_of_many_sources(spark, library):
+    """Every source counts, and the plan stays a table."""
+    rows = [(i, f"text {i} " * (i % 9), f"host{i % 700}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, JSON, {"host3": 2.0, "none": 1.0}, bin_tokens=4000).collect()
+    lengths, windows = defaultdict(int), defaultdict(int)
+    for r in got:
+        lengths[r.doc_id] += r.length
+        windows[r.sequence_id] += r.length
+    assert lengths == {i: len(library(t)) + 1 for i, t, _ in rows}
+    assert max(windows.values()) <= 1024 and len(windows) <= sum(windows.values()) / 1024 + 3 + sum(windows.values()) / 4000
+    first = min(windows)
+    assert {r.source for r in got if r.sequence_id == first} == {"host3"}
+
+
 def test_phases_follow_targets_until_a_source_is_dry():
     plan = packing.phases({"a": 100, "b": 1000, "c": 50}, {"a": 1, "b": 1}, 10_000)
     assert plan[:2] == [("a", 0, 100, 0, 1), ("b", 0, 100, 0, 1)]
