@@ -3,19 +3,23 @@
 Features are words and their beginnings of three to six letters. A feature's score is its log-odds
 between toxic and clean training documents under Dirichlet priors (the background counts, PRIOR in all),
 if it stands out by more than SIGNIFICANT standard errors, less DRIFT; a token has the score of its best
-feature, or -DRIFT; so scores are negative on the whole. One linear scan finds all maximal segments (Ruzzo and Tompa). By
-extreme-value statistics a text of n tokens has segments of score S by chance K n exp(-lambda S) times;
-lambda solves sum p exp(lambda s) = 1 over the clean documents, K is theirs too. A document's evidence
-is the sum of ln(1 / expectation) over its significant segments, or that of its best one, and a logistic
-curve fitted on the training documents makes it a probability.
+feature, or -DRIFT; so scores are negative on the whole. One linear scan finds all maximal segments (Ruzzo and
+Tompa). By extreme-value statistics a clean text of n tokens has K n exp(-lambda S) segments of score S or
+more: lambda solves sum p exp(lambda s) = 1 over the clean documents' tokens, and K is the maximum-likelihood
+estimate from the best segments of the clean training documents (those without a segment count as 0).
+A document's evidence is the sum of ln(1 / expectation) over its significant segments, or that of its best
+one, and a logistic curve fitted on the training documents makes it a probability.
 
-The model is fitted on at most TRAIN_DOCS labelled rows, those of the smallest hash, and keeps at most
-TOKENS tokens; scores cover every whole text.
+The model is fitted on about TRAIN_DOCS labelled documents at most: of either label up to a half of that, chosen by
+hash among the labels whose document exists, so rare labels are all learnt from; the curve is set right for
+their true shares. Scores cover every whole text.
 
 Defined cases: null and empty texts have no segments and get the probability of the least evidence; rows
-with a null label or id are not learnt from; labels repeated for a document count once, the larger; if
-one of the labels never occurs, every score is that label's; repeated rows are scored one by one; an
-empty table gives no rows; other columns are carried along by reject() and ignored elsewhere.
+with a null label or id are not learnt from, and in_training() is false for a null id, which is scored as any
+other; labels repeated for a document count once, the larger; rows that repeat an id are learnt from one by
+one; if one of the labels never occurs, every score is that label's (clean if neither does); repeated rows
+are scored one by one; very long texts are scored whole, a task holds one text's tokens at a time; an empty
+table gives no rows; other columns, whatever their names, are carried along by reject() and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, TOKENS = 20_000, 50_000
+from strandloom.llm.common import Scratch
+
+TRAIN_DOCS = 20_000
 PRIOR, SIGNIFICANT, DRIFT = 10_000.0, 2.5, 0.7
 #: Entries of a task's cache of token scores.
 CACHE = 500_000
@@ -124,24 +130,33 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def sampled_labels(labels: DataFrame, train) -> DataFrame:
-    """doc_id, toxic of at most TRAIN_DOCS rows that the condition train allows."""
-    rows = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+def sampled_labels(docs: DataFrame, labels: DataFrame, condition, scratch: Scratch) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, toxic (0 or 1) of about TRAIN_DOCS / 2 documents of either label at most, and how many there are."""
+    rows = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(condition).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    rows = scratch.stored(rows.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
+    there = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, TRAIN_DOCS / 2 / max(1, there.get(1, 0)))).otherwise(min(1.0, TRAIN_DOCS / 2 / max(1, there.get(0, 0))))
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < share * (1 << 30)), there
 
 
 def train(docs: DataFrame, labels: DataFrame, condition) -> Model:
     """Fit on the labelled documents for which condition (on doc_id) holds."""
-    picked = F.broadcast(sampled_labels(labels, condition))  # at most TRAIN_DOCS rows of two numbers
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select("text", "toxic")
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        picked, there = sampled_labels(docs.select("doc_id"), labels, condition, scratch)
+        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")  # about TRAIN_DOCS rows of two numbers
+        return _fitted(scratch.stored(rows, "texts"), there)
+
+
+def _fitted(rows: DataFrame, there: dict[int, int]) -> Model:
+    """The model of rows (text, toxic), drawn from there[0] clean and there[1] toxic documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         docs_ = [0, 0]
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                docs_[bool(toxic)] += 1
-                seen[bool(toxic)].update({f for w in set(tokens(text)) for f in features(w)})
+                docs_[toxic] += 1
+                seen[toxic].update({f for w in set(tokens(text)) for f in features(w)})
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *words], pa.string()), *(pa.array([docs_[k], *(seen[k][w] for w in words)], pa.int64()) for k in (0, 1))],
@@ -159,28 +174,38 @@ def train(docs: DataFrame, labels: DataFrame, condition) -> Model:
     delta = odds(F.col("toxic"), t) - odds(F.col("clean"), c)
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     strong = counts.filter("token IS NOT NULL").select("token", delta.alias("s"), z.alias("z"), ((F.col("clean") + prior) / (c + PRIOR)).alias("p"))
-    kept = strong.filter((F.col("z") >= SIGNIFICANT) & (F.col("s") > DRIFT)).orderBy(F.desc("z"), "token").limit(TOKENS).collect()
+    # Features of the sample that stand out: the sample bounds them.
+    kept = strong.filter((F.col("z") >= SIGNIFICANT) & (F.col("s") > DRIFT)).select("token", "s", "p").orderBy("token").collect()
     model = Model({r["token"]: r["s"] - DRIFT for r in kept})
-    model.rate, model.k = extreme_values([r["s"] - DRIFT for r in kept], [r["p"] for r in kept])
+    model.rate = decay([r["s"] - DRIFT for r in kept], [r["p"] for r in kept])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(len(w), max((s for _, _, s in model.segments(w)), default=0.0)) for w in map(tokens, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], names=["n", "top"])
+
+    clean = rows.filter("toxic = 0").mapInArrow(best, "n long, top double").toArrow()  # a row a document of the sample
+    model.k = constant(clean.column("n").to_numpy(), clean.column("top").to_numpy(), model.rate)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [model.evidence(len(w), model.segments(w)) for w in map(tokens, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("toxic").cast(pa.int32())], names=["x", "y"])
 
-    pairs = rows.mapInArrow(weigh, "x double, y int").toPandas()  # at most TRAIN_DOCS rows
+    pairs = rows.mapInArrow(weigh, "x double, y int").toPandas()  # a row a document of the sample
     model.intercept, model.slope = logistic(pairs["x"].to_numpy(), pairs["y"].to_numpy())
+    model.intercept += math.log(max(1, there.get(1, 0)) / n_toxic) - math.log(max(1, there.get(0, 0)) / n_clean)
     return model
 
 
-def extreme_values(scores: list[float], shares: list[float]) -> tuple[float, float]:
-    """lambda and K of clean texts: tokens of these scores in these shares, all others -DRIFT."""
+def decay(scores: list[float], shares: list[float]) -> float:
+    """lambda of clean texts: tokens of these scores in these shares, all others -DRIFT."""
     if not scores:
-        return 1.0, 0.1
+        return 1.0
     s, p = np.array([*scores, -DRIFT]), np.array([*shares, max(1e-9, 1 - sum(shares))])
     p /= p.sum()
-    if (s * p).sum() >= 0:
-        return 0.05, 1.0
+    if (s * p).sum() >= 0:  # no positive root
+        return 0.05
     low, high = 1e-6, 1.0
     grow = lambda r: float(np.logaddexp.reduce(np.log(p) + r * s))
     while grow(high) < 0 and high < 100:
@@ -188,7 +213,13 @@ def extreme_values(scores: list[float], shares: list[float]) -> tuple[float, flo
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if grow(mid) < 0 else (low, mid)
-    return low, float(min(1.0, max(1e-4, -(s * p).sum() / DRIFT * p[:-1].sum())))
+    return low
+
+
+def constant(n: np.ndarray, top: np.ndarray, rate: float) -> float:
+    """K by maximum likelihood: P(best segment of n tokens < S) = exp(-K n exp(-rate S)); a top of 0 tells that
+    there is no segment at all."""
+    return float((top > 0).sum() + 0.5) / max(1.0, float((n * np.exp(-rate * top)).sum()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -236,5 +267,5 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 
 def in_training(remainder: int = 2, parts: int = 4) -> Callable:
-    """Rows to learn from: those whose crc32 of doc_id as text leaves another remainder."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != remainder
+    """Rows to learn from: those whose crc32 of doc_id as text leaves another remainder; never null."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != remainder, F.lit(False))
