@@ -11,7 +11,10 @@ that one vector that a third of the rows share is one candidate and one query. H
 measured: TRIALS queries are held against all vectors, and so many lists are probed that HELD of their true
 neighbours lie in them. Lists are cut into blocks
 of BLOCK candidates and QUERIES queries, so no task holds a whole list. A query that finds fewer
-neighbours than asked for is searched again in all lists, which is exact.
+neighbours than asked for is searched again in all lists and without the test, which is exact.
+
+There are about as many lists as the root of the number of vectors, and LISTS at most, since SAMPLE vectors
+train them; a table small enough that PROBES are all its lists is searched whole.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do those whose length is not the most common one; rows with a null id take no part; rows that
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import Scratch, stored
 
 SAMPLE, LISTS, ROUNDS = 32_768, 4096, 8
 #: Lists probed at least; share of the true neighbours of TRIALS queries that probed lists must hold.
@@ -69,8 +72,11 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def scan(q: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
-    """Rows of block that may be among the k nearest to q: adaptive scan by blocks of columns."""
+def scan(q: np.ndarray, block: np.ndarray, k: int, width: float = WIDTH) -> np.ndarray:
+    """Rows of block that may be among the k nearest to q: adaptive scan by blocks of columns.
+
+    With an infinite width only whole distances drop a candidate, so none of the k nearest is lost.
+    """
     n, d = block.shape
     if n <= k:
         return np.arange(n)
@@ -80,7 +86,7 @@ def scan(q: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
     bound = float(((block[seeds] - q) ** 2).sum(axis=1).max())
     alive = np.arange(n)
     for at in range(COLUMNS, d, COLUMNS):
-        keep = part * (d / at) <= bound * (1 + WIDTH / np.sqrt(at)) ** 2 + 1e-6
+        keep = part * (d / at) <= bound * (1 + width / np.sqrt(at)) ** 2 + 1e-6
         alive, part = alive[keep], part[keep]
         diff = block[alive, at : at + COLUMNS] - q[at : at + COLUMNS]
         part = part + np.einsum("ij,ij->i", diff, diff)
@@ -126,9 +132,16 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest to each row that is_query (a condition) selects."""
     keep = k + 1  # one of them may be the query itself
     v = valid(vectors)
-    found = stored(distinct_vectors(v, keep), "ann-vectors")
     own = v.filter(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     spark = vectors.sparkSession
+    with Scratch(spark, "ann") as scratch:
+        return stored(_search(distinct_vectors(v, keep), own, k, scratch), "ann-found")
+
+
+def _search(vectors: DataFrame, own: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """The k nearest of own's queries among distinct vectors."""
+    keep, spark = k + 1, vectors.sparkSession
+    found = scratch.stored(vectors, "vectors")
     n = found.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -136,7 +149,7 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     some = found if share >= 1 else found.filter(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = np.array([r[0] for r in some.select("embedding").orderBy(F.xxhash64("rid")).limit(SAMPLE).collect()])
     turn = rotation(sample.shape[1])
-    lists = 1 if n <= 2000 else int(min(LISTS, len(sample) // 8, np.sqrt(n)))
+    lists = max(1, int(min(LISTS, len(sample) // 8, np.sqrt(n))))
     centres = kmeans(unit(sample) @ turn, lists)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,16 +159,16 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
                 near = pa.array((x @ centres.T).argmax(axis=1), pa.int32())
                 yield pa.RecordBatch.from_arrays([near, b.column("rid"), b.column("ids"), b.column("embedding")], names=["list", "rid", "ids", "embedding"])
 
-    listed = stored(found.mapInArrow(assign, "list int, rid long, ids array<long>, embedding array<double>"), "ann-lists")
+    listed = scratch.stored(found.mapInArrow(assign, "list int, rid long, ids array<long>, embedding array<double>"), "lists")
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # at most LISTS rows
-    queries = stored(found.join(own.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("rid", "h1", "h2", "embedding"), "ann-queries")
+    queries = scratch.stored(found.join(own.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("rid", "h1", "h2", "embedding"), "queries")
     probes = enough_probes(listed, queries, centres, turn, keep) if lists > PROBES else lists
-    hits = stored(_probe(listed, queries, centres, turn, sizes, probes, keep), "ann-hits")
+    hits = scratch.stored(_probe(listed, queries, centres, turn, sizes, probes, keep), "hits")
     if lists > probes:
         short = hits.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= keep).select(F.col("qid").alias("rid"))
-        rest = stored(queries.join(short, "rid", "left_anti"), "ann-short")
+        rest = scratch.stored(queries.join(short, "rid", "left_anti"), "short")
         if rest.head():
-            hits = hits.join(rest, hits.qid == rest.rid, "left_anti").unionByName(_probe(listed, rest, centres, turn, sizes, lists, keep))
+            hits = hits.join(rest, hits.qid == rest.rid, "left_anti").unionByName(_probe(listed, rest, centres, turn, sizes, lists, keep, np.inf))
     best = W.partitionBy("qid").orderBy(F.desc("score"), "rid")
     near = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("qid", "score", F.explode("ids").alias("vec_id"))
     near = near.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= keep)
@@ -200,7 +213,7 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _probe(listed: DataFrame, queries: DataFrame, centres: np.ndarray, turn: np.ndarray, sizes: dict[int, int], probes: int, keep: int) -> DataFrame:
+def _probe(listed: DataFrame, queries: DataFrame, centres: np.ndarray, turn: np.ndarray, sizes: dict[int, int], probes: int, keep: int, width: float = WIDTH) -> DataFrame:
     """qid, rid, ids, score: of each block of a probed list the best of each query."""
     lists = len(centres)
     blocks = np.array([max(1, -(-sizes.get(x, 0) // BLOCK)) for x in range(lists)])
@@ -230,7 +243,7 @@ def _probe(listed: DataFrame, queries: DataFrame, centres: np.ndarray, turn: np.
             x, q = _matrix(mine.column("embedding")), _matrix(theirs.column("embedding"))
             turned, rids = unit(x) @ turn, mine.column("rid").to_numpy()
             for a, t, qid in zip(q, unit(q) @ turn, theirs.column("rid").to_pylist()):
-                rows = scan(t, turned, keep)
+                rows = scan(t, turned, keep, width)
                 score = cosines(a, x[rows])
                 order = np.lexsort((rids[rows], -score))[:keep]
                 out += zip([qid] * len(order), rows[order].tolist(), score[order].tolist())
