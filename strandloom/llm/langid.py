@@ -2,7 +2,8 @@
 
 A word's scores are naive-Bayes log-likelihoods of its letter trigrams in each language, in hashed tables
 of fixed size; languages that never use the word's script are out. The best path through the words pays
-PENALTY for each change of language. A text goes to the language of most words on the path.
+PENALTY for each change of language. A text goes to the language of most words on the path; its score is
+the share of that language's words among all, where words in a script that no language uses are nobody's.
 
 Words are pieces of whitespace-separated units: a unit is cut where its script changes, and then, so that
 every letter counts, into at most LETTERS letters, or into PIECE where the script has no spaces between words.
@@ -12,10 +13,11 @@ than PENALTY by leaving the best single language, the constant path is the best
 
 The model is fitted on a sample of about TRAIN_DOCS documents (chosen by hash), whole texts.
 
-Defined cases: a null text, or one without letters, is ``und`` with score 0; a null lang is not learnt
-from; without any training document every text with letters is ``und``; ties go to the alphabetically
-first language; repeated rows are labelled one by one; an empty table gives no rows; other columns are
-ignored.
+Defined cases: a null text, or one without letters, is ``und`` with score 0; a text wholly in scripts that
+were never learnt gets the first language with score 0; a null lang or doc_id is not learnt from, and
+in_training() is false for a null doc_id; without any training document every text with letters is ``und``;
+ties go to the alphabetically first language; very long texts count in full, and a task holds one text's
+words at a time; repeated rows are labelled one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row for each word: log-likelihoods below the best language's, which has 0. Languages that do
-        not use the word's script are as far below as can be; a script of none says nothing."""
+        not use the word's script are as far below as can be; a script of none has NaN in all."""
         own = [buckets(w) for w in words]
         starts = np.cumsum([0, *map(len, own[:-1])])
         s = np.add.reduceat(self.table[np.fromiter(chain.from_iterable(own), np.int32)], starts, axis=0)
@@ -121,12 +123,12 @@ class Model:
         s = np.where(allowed, s, -np.inf)
         top = s.max(axis=1, keepdims=True)
         known = np.isfinite(top)
-        return np.where(known, np.maximum(s - np.where(known, top, 0), -SPREAD), 0).astype(np.float32)
+        return np.where(known, np.maximum(s - np.where(known, top, 0), -SPREAD), np.nan).astype(np.float32)
 
 
 def in_training(remainder: int = 0, parts: int = 5):
-    """Rows to learn from: those whose crc32 of doc_id as text leaves another remainder."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != remainder
+    """Rows to learn from: those whose crc32 of doc_id as text leaves another remainder; never null."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != remainder, F.lit(False))
 
 
 def train(docs: DataFrame, condition) -> Model:
@@ -254,8 +256,10 @@ class Labeller:
         rows, where, before = self.units(text)
         if not len(rows):
             return "und", 0.0, []
-        path = best_path(self.rows[rows])
-        counts = np.bincount(path, minlength=len(self.model.langs))
+        scores = self.rows[rows]
+        foreign = np.isnan(scores[:, 0])
+        path = best_path(np.where(foreign[:, None], 0, scores) if foreign.any() else scores)
+        counts = np.bincount(path[~foreign], minlength=len(self.model.langs))
         best = int(counts.argmax())
         cuts = np.flatnonzero(np.diff(path)) + 1
         begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(path)]])
