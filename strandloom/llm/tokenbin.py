@@ -166,7 +166,8 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
-    """A row for each document of the files: doc_id, start, n_tokens, ids_crc32."""
+    """A row for each document of the files: doc_id, start, n_tokens, ids_crc32; a task reads a file or so."""
+    files = max(1, manifest.count())
     before = F.sum("n_ids").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1))
     placed = manifest.withColumn("base", F.coalesce(before, F.lit(0)))
 
@@ -187,7 +188,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield _batch(rows)
 
-    return placed.repartition("file_no").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartitionByRange(files, "file_no").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
