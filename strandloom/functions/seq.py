@@ -38,6 +38,22 @@ def kmers(s: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def stranded_kmers(s: Column, k: int) -> Column:
+    """All windows of k characters as struct(plus, minus): the window, and its reverse complement, which is a window
+    of the whole sequence's, so that is made once."""
+    n = F.length(s)
+
+    def pairs(other: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(F.substring(s, i, F.lit(k)).alias("plus"), F.substring(other, n - k + 2 - i, F.lit(k)).alias("minus")))
+
+    return F.when(n >= k, let(reverse_complement(s), pairs)).otherwise(F.array().cast("array<struct<plus:string,minus:string>>"))
+
+
+def canonical_kmers(s: Column, k: int) -> Column:
+    """The canonical form of every window of k characters."""
+    return F.transform(stranded_kmers(s, k), lambda w: F.least(w["plus"], w["minus"]))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Mismatches of two strings of equal length; null if the lengths differ."""
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 0).otherwise(1))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,9 @@ def supported_kmers(reads: DataFrame, k: int) -> DataFrame:
 
     A name counts once for a k-mer and role; k-mers whose summed error reaches one do not count.
     """
-    both = F.arrays_zip(seq.kmers(F.col("seq"), k).alias("w"), seq.kmer_supported(F.col("quals"), k).alias("ok"))
-    rows = reads.select("window_id", "sample", "role", "qname", F.inline(both)).filter("ok")
-    rows = rows.withColumn("kmer", seq.canonical(F.col("w"))).groupBy("window_id", "qname", "role", "kmer").agg(F.min("sample").alias("sample"))
+    both = F.arrays_zip(seq.canonical_kmers(F.col("seq"), k).alias("w"), seq.kmer_supported(F.col("quals"), k).alias("ok"))
+    rows = reads.select("window_id", "sample", "role", "qname", F.inline(both)).filter("ok").withColumnRenamed("w", "kmer")
+    rows = rows.groupBy("window_id", "qname", "role", "kmer").agg(F.min("sample").alias("sample"))
     return rows.groupBy("window_id", "kmer", "sample").agg(F.count("*").alias("n"))
 
 
@@ -27,14 +30,55 @@ def kept_nodes(counts: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def edges(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, src, dst, src_plus, dst_plus: both directions of each distinct edge of neighbouring k-mers."""
-    w = df.select(key, F.explode(seq.kmers(F.col(text), k + 1)).alias("w")).distinct()
-    a, b = F.substring("w", 1, k), F.substring("w", 2, k)
-    e = w.select(key, seq.canonical(a).alias("src"), seq.canonical(b).alias("dst"), seq.plus_sign(a).alias("src_plus"), seq.plus_sign(b).alias("dst_plus"))
+    """key, src, dst, src_plus, dst_plus: both directions of each distinct edge of neighbouring k-mers.
+
+    Windows of k + 1 characters are made with their reverse complements, and distinct ones are told apart before
+    anything is derived from them.
+    """
+    w = df.select(key, F.explode(seq.stranded_kmers(F.col(text), k + 1)).alias("w")).select(key, "w.plus", "w.minus").distinct()
+    sub = lambda c, at: F.substring(c, at, k)
+    a, ra, b, rb = sub("plus", 1), sub("minus", 2), sub("plus", 2), sub("minus", 1)
+    e = w.select(key, F.least(a, ra).alias("src"), F.least(b, rb).alias("dst"), (a <= ra).alias("src_plus"), (b <= rb).alias("dst_plus"))
     mirror = e.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"), (~F.col("dst_plus")).alias("src_plus"), (~F.col("src_plus")).alias("dst_plus"))
     return e.union(mirror).distinct()
 
 
+def merged_kmer(a: Column, b: Column, a_plus: Column, b_plus: Column, k: int) -> Column:
+    """Node a with its neighbour b, which overlaps it by k - 1 bases: b's rest goes behind a where the edge leaves a's own
+    strand, else before it, on the strand that fits."""
+    fits = F.when(a_plus == b_plus, b).otherwise(seq.reverse_complement(b))
+    return F.when(a_plus, F.concat(a, F.substring(fits, F.lit(k), F.length(fits)))).otherwise(F.concat(F.substring(fits, F.lit(1), F.length(fits) - (k - 1)), a))
+
+
+def merged_count(a: Column, b: Column, a_length: Column, b_length: Column) -> Column:
+    """Integer mean of two nodes' counts, by the length that a has with b merged into it and b's own."""
+    return F.floor((a * a_length + b * b_length) / (a_length + b_length))
+
+
+def confidence(counts: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """keys, total, ctrl, case, confidence of counts (keys, sample, role, n, in_ref): support by role, and support times
+    the share of samples that show the node, one more for the reference's; 1 where no sample has it twice."""
+    role = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0))
+    g = counts.groupBy(*keys).agg(F.sum("n").alias("total"), role("CTRL").alias("ctrl"), role("CASE").alias("case"), F.max("n").alias("top"), F.count_if(F.col("n") > 0).alias("seen"), F.bool_or("in_ref").alias("ref"))
+    value = F.when((F.col("total") > 0) & (F.col("top") <= 1), 1).when(F.col("total") == 0, 0).otherwise(F.floor(F.col("total") * F.col("seen") / F.lit(samples)) + F.col("ref").cast("int"))
+    return g.select(*keys, "total", "ctrl", "case", value.cast("long").alias("confidence"))
+
+
+def path_stats(depths: Column) -> Column:
+    """struct(mean, sd, cv, median, quartile_cv) of an array of depths along a path: the upper median, the sample sd, a cv
+    of two values or more, and (Q3 - Q1) / (Q3 + Q1) of four or more."""
+    n = F.size(depths)
+
+    def of(a: Column) -> Column:
+        mean = F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / n
+        sd = F.when(n > 1, F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / (n - 1))).otherwise(0.0)
+        at = lambda part: F.get(a, F.floor(n * part / 4).cast("int"))
+        quartile = F.when((n >= 4) & (at(3) + at(1) > 0), (at(3) - at(1)) / (at(3) + at(1)))
+        return F.struct(mean.alias("mean"), sd.alias("sd"), F.when((n > 1) & (mean > 0), sd / mean).alias("cv"), at(2).alias("median"), quartile.alias("quartile_cv"))
+
+    return F.when(n > 0, seq.let(F.array_sort(depths), of))
+
+
 def drop_nodes(edges_: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Edges without those that touch a node of gone(key, node), at either end."""
     at = lambda end: gone.select(key, F.col("node").alias(end))
@@ -65,18 +109,18 @@ def too_complex(cc: Column, bp: Column) -> Column:
 
 
 def longdust(df: DataFrame, key: str, text: str, k: int, gc: float = 0.5) -> DataFrame:
-    """key, score: of both strands the larger of max(0, (sum ln c! - expected) / k-mers); k-mers with other
-    letters than bases don't count. Both strands' k-mers are counted in one pass."""
+    """key, score: max(0, (sum ln c! - what random sequence has) / k-mers) of both strands; k-mers with other
+    letters than bases don't count. What random sequence has is computed once for each number of k-mers."""
     w = F.filter(seq.kmers(F.col(text), k), lambda x: x.rlike("^[ACGT]+$"))
     rows = df.select(key, F.explode_outer(w).alias("w"))
     counts = rows.groupBy(key, "w").agg(F.count("w").alias("c"))
     # A reverse complement maps k-mers one to one, so both strands have the same counts and score.
     sums = counts.groupBy(key).agg(F.sum("c").alias("n"), F.sum(seq.log_factorial(F.col("c"))).alias("s"))
 
-    def step(n: Column) -> Column:
-        """Expected value by linear interpolation between the exact ones at a fixed grid."""
-        grid = sorted({*range(0, 64), *(int(64 * 1.02**i) for i in range(800))})
-        xs, ys = F.array(*map(F.lit, grid)), F.array(*(F.lit(stats.expected_score(g, k, gc)) for g in grid))
-        return seq.let(F.size(F.filter(xs, lambda x: x <= n)), lambda i: F.get(ys, i - 1) + F.coalesce((n - F.get(xs, i - 1)) / (F.get(xs, i) - F.get(xs, i - 1)) * (F.get(ys, i) - F.get(ys, i - 1)), F.lit(0.0)))
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([stats.expected_score(n, k, gc) for n in b.column("n").to_pylist()], pa.float64())], names=["n", "f"])
 
-    return sums.select(key, F.when(F.col("n") > 0, F.greatest(F.lit(0.0), (F.col("s") - step(F.col("n"))) / F.col("n"))).otherwise(0.0).alias("score"))
+    expected = sums.select("n").distinct().mapInArrow(expect, "n long, f double")
+    scored = sums.join(expected, "n")
+    return scored.select(key, F.when(F.col("n") > 0, F.greatest(F.lit(0.0), (F.col("s") - F.col("f")) / F.col("n"))).otherwise(0.0).alias("score"))

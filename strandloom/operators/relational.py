@@ -33,20 +33,22 @@ def point_in_window(points: DataFrame, at: str, length: int, step: int) -> DataF
     return points.withColumn("window_id", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((p - length) / step)), F.floor(p / step))))
 
 
-def within_mismatches(df: DataFrame, id_: str, text: str, size: int, most: int) -> DataFrame:
+def within_mismatches(df: DataFrame, id_: str, text: str, most: int) -> DataFrame:
     """Pairs (a, b), a < b, of equally long strings with at most so many mismatches.
 
     By the pigeonhole principle two such strings agree in one of most+1 blocks; they are joined on
-    (block, content) and counted once, in the first block in which they agree.
+    (length, block, content) and counted once, in the first block in which they agree.
     """
-    edges = [size * k // (most + 1) for k in range(most + 2)]
-    block = lambda c, k: F.substring(c, F.lit(edges[k] + 1), F.lit(edges[k + 1] - edges[k]))
-    rows = df.select(F.col(id_).alias("id"), F.col(text).alias("s")).filter(F.length("s") == size)
-    parts = rows.select("id", "s", F.posexplode(F.array(*(block(F.col("s"), k) for k in range(most + 1)))).alias("k", "part"))
+    n = F.length("s")
+    edge = lambda k: F.floor(n * k / (most + 1)).cast("int")
+    block = lambda c, k: F.substring(c, edge(k) + 1, edge(k + 1) - edge(k))
+    rows = df.select(F.col(id_).alias("id"), F.col(text).alias("s")).filter("s IS NOT NULL")
+    blocks = rows.select("id", "s", n.alias("n"), F.array(*(block(F.col("s"), k) for k in range(most + 1))).alias("blocks"))
+    parts = blocks.select("*", F.posexplode("blocks").alias("k", "part"))
     l, r = parts.alias("l"), parts.alias("r")
-    pairs = l.join(r, ["k", "part"]).filter("l.id < r.id")
-    earlier = F.array(*(F.when((F.lit(j) < F.col("k")) & (block(F.col("l.s"), j) == block(F.col("r.s"), j)), True) for j in range(most)))
-    pairs = pairs.filter(~F.exists(earlier, lambda x: x.isNotNull()))
+    pairs = l.join(r, ["n", "k", "part"]).filter("l.id < r.id")
+    earlier = F.exists(F.slice(F.zip_with("l.blocks", "r.blocks", lambda x, y: x == y), F.lit(1), F.col("k")), lambda x: x)
+    pairs = pairs.filter((F.col("k") == 0) | ~earlier)
     return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), seq.hamming(F.col("l.s"), F.col("r.s")).alias("mismatches")).filter(F.col("mismatches") <= most)
 
 
@@ -161,16 +163,21 @@ def pointer_jumped(parent: DataFrame, checkpoint) -> DataFrame:
             return parent.select("node", "p")
 
 
-def windows(regions: DataFrame, length: int, overlap: int) -> DataFrame:
+def windows(regions: DataFrame, length: int, overlap: int, tail: bool = False) -> DataFrame:
     """Windows [s, s+length] of regions (chrom_idx, chrom, start1, end1), every step, as long as they fit.
 
-    window_id counts from 0 in order of (chrom_idx, start1, end1).
+    With tail, the bases behind the last one get a window that ends with the region, and a region shorter than
+    a window is one. window_id counts from 0 in order of (chrom_idx, start1, end1).
     """
     step = -(-(100 - overlap) * length // 100 // 100) * 100
     last = F.floor((F.col("end1") - F.col("start1") - length) / step)
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<bigint>"))
     w = regions.dropDuplicates(["chrom", "start1", "end1"]).select("chrom_idx", "chrom", "start1", F.explode(starts).alias("__k"))
     w = w.select("chrom_idx", "chrom", (F.col("start1") + F.col("__k") * step).alias("start1")).withColumn("end1", F.col("start1") + length)
+    if tail:
+        left = (last < 0) | (F.col("start1") + last * step + length < F.col("end1"))
+        ends = regions.filter(left).select("chrom_idx", "chrom", F.greatest(F.col("start1"), F.col("end1") - length).alias("start1"), "end1")
+        w = w.unionByName(ends).distinct()
     # Numbers by counts of chromosomes before and rank within, so no single task orders all windows.
     per = w.groupBy("chrom_idx").agg(F.count("*").alias("__n"))
     base = F.coalesce(F.sum("__n").over(W.orderBy("chrom_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -192,21 +199,33 @@ def active_windows(windows_: DataFrame, changes: DataFrame) -> DataFrame:
     return windows_.join(hit.select("window_id").distinct(), "window_id", "left_semi")
 
 
-def read_changes(reads: DataFrame) -> DataFrame:
-    """Explode reads (window_id, sample, pos, cigar units, md) into their changes: kind and position."""
+def read_changes(reads: DataFrame, least_quality: int = 20) -> DataFrame:
+    """Explode reads (window_id, sample, pos, units, md, quals) into their changes: kind and position.
+
+    Kinds are mismatch (MD, at bases of at least that quality, and X units), insertion, deletion and softclip. A unit
+    stands where the reference is after it, so deletions with the same end agree.
+    """
     units = F.col("units")
 
-    def walk(op: str):
+    def walk(op: str) -> Column:
         state = F.struct(F.col("pos").cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda s, u: F.struct(
-            (s["at"] + F.when(u["op"].isin(*"MDN=X"), u["len"]).otherwise(0)).alias("at"),
-            F.when(u["op"] == op, F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
-        )
+
+        def step(s: Column, u: Column) -> Column:
+            at = s["at"] + F.when(u["op"].isin(*"MDN=X"), u["len"]).otherwise(0)
+            return F.struct(at.alias("at"), F.when(u["op"] == op, F.concat(s["out"], F.array(at))).otherwise(s["out"]).alias("out"))
+
         return F.aggregate(units, state, step, lambda s: s["out"])
 
-    kinds = [("mismatch", F.coalesce(seq.md_mismatches(F.col("md"), F.col("pos")), F.array().cast("array<bigint>"))), ("insertion", walk("I")), ("deletion", walk("D")), ("softclip", walk("S"))]
-    items = F.concat(*(F.transform(a, lambda p, k=k: F.struct(F.lit(k).alias("kind"), p.alias("pos"))) for k, a in kinds))
-    return reads.select("window_id", "sample", F.inline(items))
+    def good(at: Column) -> Column:
+        return F.get("quals", seq.query_position(units, (at - F.col("pos")).cast("int"))) >= least_quality
+
+    told = F.coalesce(seq.md_mismatches(F.col("md"), F.col("pos")), F.array().cast("array<bigint>"))
+    kinds = [("mismatch", F.concat(F.filter(told, good), walk("X"))), ("insertion", walk("I")), ("deletion", walk("D")), ("softclip", walk("S"))]
+
+    def named(kind: str, places: Column) -> Column:
+        return F.transform(places, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("pos")))
+
+    return reads.select("window_id", "sample", F.inline(F.concat(*(named(*x) for x in kinds))))
 
 
 def recaptured_mates(kept: DataFrame, alignments: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq, stats
-from strandloom.operators import relational as rel
+from strandloom.operators import diagnostics
+from strandloom.operators import evidence as ev
 from strandloom.plans.registry import query
 from strandloom.session import table
 
@@ -71,24 +72,26 @@ def _pl_sql(counts: list[str]) -> str:
 
 
 PL_SQL = f"""
-    WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS r, count(*) FILTER (l_returnflag = 'R') AS a FROM lineitem GROUP BY l_orderkey),
-    g AS (SELECT l_orderkey, {_pl_sql(['r', 'a'])} AS x FROM c),
+    WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS r, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b FROM lineitem GROUP BY l_orderkey),
+    g AS (SELECT l_orderkey, {_pl_sql(['r', 'a', 'b'])} AS x FROM c),
     p AS (SELECT l_orderkey, list_transform(x, lambda v: round(-10 * (v - list_max(x)) / ln(10))::BIGINT) AS pl FROM g)"""
 
 
 def pls(spark, sf_dir):
-    c = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count_if(~is_alt()).alias("r"), F.count_if(is_alt()).alias("a"))
-    return c.select("l_orderkey", stats.genotype_pls([F.col("r"), F.col("a")]).alias("pl"))
+    """Likelihoods of the six genotypes of a reference allele and two others."""
+    n = [F.count_if(F.col("l_returnflag") == x) for x in "NRA"]
+    c = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array(*n).alias("n"))
+    return c.select("l_orderkey", stats.genotype_pls_of(F.col("n")).alias("pl"))
 
 
-@query("q_dm_pl", PL_SQL + " SELECT l_orderkey, pl[1] AS pl0, pl[2] AS pl1, pl[3] AS pl2 FROM p")
+@query("q_dm_pl", PL_SQL + " SELECT l_orderkey, " + ", ".join(f"pl[{k + 1}] AS pl{k}" for k in range(6)) + " FROM p")
 def dm_pl(spark, sf_dir):
-    return pls(spark, sf_dir).select("l_orderkey", *(F.col("pl")[k].alias(f"pl{k}") for k in range(3)))
+    return pls(spark, sf_dir).select("l_orderkey", *(F.col("pl")[k].alias(f"pl{k}") for k in range(6)))
 
 
 @query(
     "q_gt_gq",
-    PL_SQL + " SELECT l_orderkey, ['0/0', '0/1', '1/1'][list_position(pl, list_min(pl))] AS gt, least(99, list_sort(pl)[2])::BIGINT AS gq FROM p",
+    PL_SQL + " SELECT l_orderkey, ['0/0', '0/1', '1/1', '0/2', '1/2', '2/2'][list_position(pl, list_min(pl))] AS gt, least(99, list_sort(pl)[2])::BIGINT AS gq FROM p",
 )
 def gt_gq(spark, sf_dir):
     return pls(spark, sf_dir).select("l_orderkey", stats.genotype_text(F.col("pl")).alias("gt"), stats.genotype_quality(F.col("pl")).cast("long").alias("gq"))
@@ -109,8 +112,11 @@ def gt_gq(spark, sf_dir):
 )
 def cmlod(spark, sf_dir):
     allele = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    l = lines(spark, sf_dir).select("l_suppkey", allele.alias("allele"), "l_quantity")
-    return stats.mixture_lod(l, ["l_suppkey"], "allele", "l_quantity", 3).withColumn("lod", F.round("lod", 4))
+    by = lines(spark, sf_dir).groupBy("l_suppkey", allele.alias("allele"), F.col("l_quantity").alias("quality")).agg(F.count("*").cast("int").alias("w"))
+    n = [F.coalesce(F.sum(F.when(F.col("allele") == k, F.col("w"))), F.lit(0)).cast("int") for k in range(3)]
+    cells = by.groupBy("l_suppkey").agg(F.array(*n).alias("n"), F.collect_list(F.struct("allele", "quality", "w")).alias("cells"))  # a cell a quality
+    lods = cells.select("l_suppkey", F.posexplode(stats.mixture_lods_of(F.col("n"), F.col("cells"))).alias("k", "lod"))
+    return lods.select("l_suppkey", (F.col("k") + 1).alias("alt"), F.round("lod", 4).alias("lod"))
 
 
 @query(
@@ -218,24 +224,47 @@ def status_breakdown(spark, sf_dir):
     return d.select("status", "n", F.round(100.0 * F.col("n") / every, 6).alias("pct"))
 
 
+# Columns of a probe record, made from a line.
+RECORD = {
+    "is_geno_has_alt_support": "l_quantity > 45", "is_msa_exact_match": "l_returnflag = 'R'", "is_geno_no_overlap": "l_discount = 0.0", "n_geno_reassigned_to_ref": "l_tax > 0.06", "n_geno_reassigned_to_wrong_alt": "l_tax = 0.0",
+    "is_msa_shifted": "l_tax > 0.04", "is_msa_subsumed": "l_tax < 0.02", "is_traversal_limited": "l_suppkey % 2 = 0", "n_expected_alt_kmers": "l_linenumber > 1", "is_graph_cycle": "l_suppkey % 5 = 0",
+    "is_graph_complex": "l_suppkey % 5 = 1", "is_no_anchor": "l_suppkey % 5 = 2", "is_short_anchor": "l_suppkey % 5 = 3", "is_variant_in_anchor": "l_linenumber % 2 = 0",
+} | {f"n_surviving_{s}": f"l_partkey % 8 > {k + 1}" for k, s in enumerate(diagnostics.SURVIVAL)}
+
+
 @query(
     "q_cascade",
-    """
-    WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN 'survived' WHEN l_discount = 0 AND l_tax = 0 THEN 'no_overlap' WHEN l_returnflag = 'R' AND l_quantity > 30 THEN 'reassigned' WHEN l_returnflag = 'R' THEN 'zero_alt'
-        WHEN l_linestatus = 'F' AND l_tax > 0.04 THEN 'shifted' WHEN l_linestatus = 'F' THEN 'not_extracted' WHEN l_discount > 0.08 THEN 'no_path' ELSE 'not_processed' END AS stage FROM lineitem),
-    d AS (SELECT *, list_position(['not_processed', 'no_path', 'not_extracted', 'shifted', 'zero_alt', 'reassigned', 'no_overlap', 'survived'], stage) AS depth FROM c),
-    b AS (SELECT l_orderkey, stage, row_number() OVER (PARTITION BY l_orderkey ORDER BY depth DESC, l_linenumber DESC) AS r FROM d)
+    f"""
+    WITH x AS (SELECT l_orderkey, l_linenumber, l_linestatus = 'F' AS found, {', '.join(f'({v})::INT AS {k}' for k, v in RECORD.items())} FROM lineitem),
+    c AS (SELECT l_orderkey, l_linenumber, CASE WHEN is_geno_has_alt_support = 1 THEN 'survived' WHEN is_msa_exact_match = 1 THEN CASE WHEN is_geno_no_overlap = 1 THEN 'geno_no_overlap'
+            WHEN n_geno_reassigned_to_ref + n_geno_reassigned_to_wrong_alt > 0 THEN 'geno_reads_reassigned' ELSE 'geno_zero_alt_reads' END
+        WHEN found THEN CASE WHEN is_msa_shifted = 1 THEN 'msa_shifted' WHEN is_msa_subsumed = 1 THEN 'msa_subsumed' ELSE 'msa_not_extracted' END
+        WHEN n_surviving_tips > 0 THEN CASE WHEN is_traversal_limited = 1 THEN 'bfs_exhausted' ELSE 'no_path' END
+        WHEN n_surviving_compress2 > 0 THEN 'pruned_at_tips' WHEN n_surviving_lowcov2 > 0 THEN 'pruned_at_compress2' WHEN n_surviving_compress1 > 0 THEN 'pruned_at_lowcov2' WHEN n_surviving_lowcov1 > 0 THEN 'pruned_at_compress1'
+        WHEN n_surviving_build > 0 THEN 'pruned_at_lowcov1' WHEN n_expected_alt_kmers > 0 THEN 'pruned_at_build' WHEN is_graph_cycle = 1 THEN 'graph_has_cycle' WHEN is_graph_complex = 1 THEN 'graph_too_complex'
+        WHEN is_no_anchor = 1 THEN 'no_anchor' WHEN is_short_anchor = 1 THEN 'short_anchor' WHEN is_variant_in_anchor = 1 THEN 'variant_in_anchor' ELSE 'not_processed' END AS stage FROM x),
+    b AS (SELECT l_orderkey, stage, row_number() OVER (PARTITION BY l_orderkey ORDER BY list_position({diagnostics.STAGES!r}, stage) DESC, l_linenumber DESC) AS r FROM c)
     SELECT stage, count(*)::BIGINT AS n FROM b WHERE r = 1 GROUP BY stage""",
 )
 def cascade(spark, sf_dir):
-    order = ["not_processed", "no_path", "not_extracted", "shifted", "zero_alt", "reassigned", "no_overlap", "survived"]
-    stage = F.expr(
-        """CASE WHEN l_quantity > 45 THEN 'survived' WHEN l_discount = 0 AND l_tax = 0 THEN 'no_overlap' WHEN l_returnflag = 'R' AND l_quantity > 30 THEN 'reassigned' WHEN l_returnflag = 'R' THEN 'zero_alt'
-        WHEN l_linestatus = 'F' AND l_tax > 0.04 THEN 'shifted' WHEN l_linestatus = 'F' THEN 'not_extracted' WHEN l_discount > 0.08 THEN 'no_path' ELSE 'not_processed' END"""
-    )
-    d = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", stage.alias("stage")).withColumn("depth", F.array_position(F.array(*map(F.lit, order)), F.col("stage")))
-    best = rel.keep_max(d, ["l_orderkey"], ["depth", "l_linenumber"], ["stage"])
-    return best.groupBy("stage").agg(F.count("*").alias("n"))
+    """Of each order's records the one that came deepest, by stage."""
+    columns = [F.expr(f"int({v})").alias(k) for k, v in RECORD.items()]
+    d = lines(spark, sf_dir).select(F.col("l_orderkey").alias("probe_id"), F.col("l_linenumber").alias("kmer_size"), F.when(F.col("l_linestatus") == "F", "1").otherwise(".").alias("hap_indices"), *columns)
+    return diagnostics.best_attempts(d).groupBy(F.col("lost_at_stage").alias("stage")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q_survival",
+    "WITH x AS (SELECT " + ", ".join(f"(l_partkey * {k + 3} % (l_suppkey + 1)) AS n_surviving_{s}" for k, s in enumerate(diagnostics.SURVIVAL)) + """ FROM lineitem),
+    u AS (UNPIVOT x ON COLUMNS(*) INTO NAME stage VALUE n), g AS (SELECT stage, quantile_cont(n, 0.5) AS median, avg(n) AS mean, min(n) AS least, max(n) AS most, count(*) FILTER (n = 0) AS zeros FROM u GROUP BY stage),
+    o AS (SELECT *, list_position("""
+    + repr([f"n_surviving_{s}" for s in diagnostics.SURVIVAL])
+    + """, stage) AS ord FROM g)
+    SELECT stage, median, round(mean, 6) AS mean, least, most, zeros::BIGINT AS zeros, (zeros - coalesce(lag(zeros) OVER (ORDER BY ord), 0))::BIGINT AS more_zeros FROM o""",
+)
+def survival(spark, sf_dir):
+    d = lines(spark, sf_dir).select(*(F.expr(f"l_partkey * {k + 3} % (l_suppkey + 1)").alias(f"n_surviving_{s}") for k, s in enumerate(diagnostics.SURVIVAL)))
+    return diagnostics.survival(d).select("stage", "median", F.round("mean", 6).alias("mean"), "least", "most", "zeros", "more_zeros")
 
 
 @query(
@@ -256,34 +285,33 @@ def cross_tab(spark, sf_dir):
 @query(
     "q_filter_counts",
     """
-    WITH r AS (SELECT l_suppkey, CASE WHEN l_tax = 0.08 THEN 'qcfail' WHEN l_discount = 0.1 THEN 'dup' WHEN l_quantity < 5 THEN 'mapq' ELSE 'pass' END AS f FROM lineitem)
-    SELECT l_suppkey, count(*)::BIGINT AS total, count(*) FILTER (f = 'qcfail')::BIGINT AS qcfail, count(*) FILTER (f = 'dup')::BIGINT AS dup, count(*) FILTER (f = 'mapq')::BIGINT AS mapq, count(*) FILTER (f = 'pass')::BIGINT AS passing,
-        CASE WHEN count(*) FILTER (f = 'pass') >= 2 THEN '>=2' WHEN count(*) FILTER (f = 'pass') = 1 THEN '1' ELSE '0' END AS support
-    FROM r GROUP BY l_suppkey""",
+    WITH r AS (SELECT l_suppkey, l_returnflag = 'R' AS alt, CASE WHEN l_orderkey & 512 <> 0 THEN 'qcfail' WHEN l_orderkey & 1024 <> 0 THEN 'duplicate' WHEN l_quantity < 20 THEN 'mapq' ELSE 'passing' END AS f FROM lineitem)
+    SELECT l_suppkey, count(*)::BIGINT AS raw_total, count(*) FILTER (alt)::BIGINT AS raw_alt, count(*) FILTER (f = 'passing')::BIGINT AS passing_total, count(*) FILTER (alt AND f = 'passing')::BIGINT AS passing_alt,
+        count(*) FILTER (alt AND f = 'qcfail')::BIGINT AS alt_qcfail, count(*) FILTER (alt AND f = 'duplicate')::BIGINT AS alt_duplicate, count(*) FILTER (alt AND f = 'mapq')::BIGINT AS alt_mapq FROM r GROUP BY l_suppkey""",
 )
 def filter_counts(spark, sf_dir):
-    """Reads by the first filter that they fail, in order."""
-    first = F.expr("CASE WHEN l_tax = 0.08 THEN 'qcfail' WHEN l_discount = 0.1 THEN 'dup' WHEN l_quantity < 5 THEN 'mapq' ELSE 'pass' END")
-    n = lambda f: F.count_if(F.col("f") == f)
-    r = lines(spark, sf_dir).select("l_suppkey", first.alias("f")).groupBy("l_suppkey")
-    g = r.agg(F.count("*").alias("total"), n("qcfail").alias("qcfail"), n("dup").alias("dup"), n("mapq").alias("mapq"), n("pass").alias("passing"))
-    return g.withColumn("support", F.when(F.col("passing") >= 2, ">=2").when(F.col("passing") == 1, "1").otherwise("0"))
+    r = lines(spark, sf_dir).select("l_suppkey", F.col("l_orderkey").alias("flag"), F.col("l_quantity").alias("mapq"), is_alt().alias("carries"))
+    return diagnostics.filtered_reads(r, ["l_suppkey"])
 
 
 @query(
     "q_allele_depths",
     """
-    WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey, l_returnflag FROM lineitem),
-    f AS (SELECT l_suppkey, l_orderkey, l_returnflag, arg_min(l_linestatus, {'n': l_linenumber, 'p': l_partkey}) AS strand FROM lineitem GROUP BY ALL)
+    WITH d AS (SELECT l_suppkey, l_orderkey, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_returnflag ORDER BY l_linenumber, CASE l_linestatus WHEN 'F' THEN 'FWD' ELSE 'REV' END, l_quantity DESC) AS r FROM lineitem),
+    f AS (SELECT * FROM d WHERE r = 1)
     SELECT l_suppkey, count(*)::BIGINT AS dp, count(*) FILTER (l_returnflag = 'N')::BIGINT AS ref_ad, count(*) FILTER (l_returnflag <> 'N')::BIGINT AS alt_ad,
-        count(*) FILTER (l_returnflag <> 'N' AND strand = 'F')::BIGINT AS alt_fwd, count(*) FILTER (l_returnflag <> 'N' AND strand <> 'F')::BIGINT AS alt_rev FROM f GROUP BY l_suppkey""",
+        count(*) FILTER (l_returnflag <> 'N' AND l_linestatus = 'F')::BIGINT AS alt_fwd, count(*) FILTER (l_returnflag <> 'N' AND l_linestatus <> 'F')::BIGINT AS alt_rev FROM f GROUP BY l_suppkey""",
 )
 def allele_depths(spark, sf_dir):
     """First-seen read of a name by allele counts once."""
-    first = F.min(F.struct("l_linenumber", "l_partkey", "l_linestatus"))["l_linestatus"].alias("strand")
-    f = lines(spark, sf_dir).groupBy("l_suppkey", "l_orderkey", "l_returnflag").agg(first)
-    ref, fwd = F.col("l_returnflag") == "N", F.col("strand") == "F"
-    return f.groupBy("l_suppkey").agg(F.count("*").alias("dp"), F.count_if(ref).alias("ref_ad"), F.count_if(~ref).alias("alt_ad"), F.count_if(~ref & fwd).alias("alt_fwd"), F.count_if(~ref & ~fwd).alias("alt_rev"))
+    allele = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    rows = lines(spark, sf_dir).select(
+        F.lit(0).alias("window_id"), F.lit("c").alias("chrom"), F.col("l_suppkey").alias("pos"), F.lit("A").alias("ref"), F.array(F.lit("C"), F.lit("G")).alias("alts"), F.lit("s").alias("sample"), allele.alias("allele"), F.col("l_orderkey").alias("qname"),
+        F.when(F.col("l_linestatus") == "F", "FWD").otherwise("REV").alias("strand"), F.col("l_linenumber").alias("aln_start"), F.col("l_quantity").alias("aln_score"),
+    )
+    ref, fwd = F.col("allele") == 0, F.col("strand") == "FWD"
+    g = ev.first_seen(rows).groupBy(F.col("pos").alias("l_suppkey"))
+    return g.agg(F.count("*").alias("dp"), F.count_if(ref).alias("ref_ad"), F.count_if(~ref).alias("alt_ad"), F.count_if(~ref & fwd).alias("alt_fwd"), F.count_if(~ref & ~fwd).alias("alt_rev"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
+from strandloom.operators import diagnostics
 from strandloom.operators import relational as rel
 from strandloom.plans.registry import query
 from strandloom.session import table
@@ -15,11 +16,11 @@ EPOCH = "floor(epoch(ts))::BIGINT"
 @query(
     "q_interval_join",
     """
-    WITH w AS (SELECT o_orderkey AS id, o_orderkey AS s, o_orderkey + (o_custkey % 40) AS e FROM orders WHERE o_orderkey % 7 = 0)
+    WITH w AS (SELECT o_orderkey AS id, o_orderkey AS s, o_orderkey + (o_custkey % 40) AS e FROM orders)
     SELECT w.id, count(*)::BIGINT AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM w JOIN lineitem ON l_orderkey BETWEEN s AND e GROUP BY w.id""",
 )
 def interval_join(spark, sf_dir):
-    w = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("s"), (F.col("o_orderkey") + F.col("o_custkey") % 40).alias("e"), F.lit(0).alias("chrom"))
+    w = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("s"), (F.col("o_orderkey") + F.col("o_custkey") % 40).alias("e"), F.lit(0).alias("chrom"))
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("p"), F.lit(0).alias("chrom"))
     l = l.groupBy("chrom", "p").agg(F.count("*").alias("c")).withColumn("q", F.col("p"))
     return rel.interval_join(w, l, ["chrom"], ("s", "e"), ("p", "q"), 500).groupBy("id").agg(F.sum("c").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
@@ -28,24 +29,29 @@ def interval_join(spark, sf_dir):
 @query(
     "q_near_duplicates",
     """
-    WITH p AS (SELECT p_partkey AS id, substr(p_name, 1, 12) AS s FROM part WHERE length(substr(p_name, 1, 12)) = 12)
-    SELECT a.id AS a, b.id AS b, hamming(a.s, b.s)::INTEGER AS mismatches FROM p a JOIN p b ON a.id < b.id AND hamming(a.s, b.s) <= 2""",
+    SELECT a.p_partkey AS a, b.p_partkey AS b, hamming(a.p_name, b.p_name)::INTEGER AS mismatches
+    FROM part a JOIN part b ON length(a.p_name) = length(b.p_name) AND a.p_partkey < b.p_partkey AND hamming(a.p_name, CASE WHEN length(a.p_name) = length(b.p_name) THEN b.p_name ELSE a.p_name END) <= 2""",
 )
 def near_duplicates(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 12).alias("s"))
-    return rel.within_mismatches(p, "p_partkey", "s", 12, 2)
+    return rel.within_mismatches(table(spark, sf_dir, "part"), "p_partkey", "p_name", 2)
 
 
-TRUTH = "SELECT p_partkey AS truth_id, p_size % 5 AS chrom, p_partkey * 40 AS pos, 'A' || repeat('C', p_size % 9) AS ref, 'A' || repeat('G', p_partkey % 7) AS alt FROM part"
-CALLS = "SELECT l_orderkey * 10 + l_linenumber AS call_id, l_linenumber % 5 AS chrom, l_partkey * 40 + (l_suppkey % 11 - 5) * (l_linenumber - 1) AS pos, 'A' || repeat('C', l_quantity::INT % 9) AS ref, 'A' || repeat('G', l_linenumber) AS alt FROM lineitem WHERE l_orderkey % 3 = 0"
-KIND = "CASE WHEN ref = alt THEN 'REF' WHEN length(ref) = 1 THEN 'INS' WHEN length(alt) = 1 THEN 'DEL' WHEN length(ref) <> length(alt) THEN 'CPX' WHEN length(ref) = 2 THEN 'SNV' ELSE 'MNP' END"
-SIZE = "CASE WHEN ref = alt THEN 0 WHEN length(ref) = 2 AND length(alt) = 2 THEN 1 WHEN length(ref) = length(alt) THEN length(alt) - 1 ELSE length(alt) - length(ref) END"
+# Alleles by a number: SNV, INS, DEL, MNP, CPX, and an MNP that holds the SNV in its middle.
+ALLELES = [
+    "CASE {0} WHEN 0 THEN 'C' WHEN 1 THEN 'A' WHEN 2 THEN concat('A', repeat('C', {1})) WHEN 3 THEN 'CT' WHEN 4 THEN 'ACC' ELSE 'TCT' END AS ref",
+    "CASE {0} WHEN 0 THEN 'G' WHEN 1 THEN concat('A', repeat('G', {1})) WHEN 2 THEN 'A' WHEN 3 THEN 'GA' WHEN 4 THEN 'GTGTT' ELSE 'AGA' END AS alt",
+]
+KINDS = """CASE {0} WHEN 0 THEN 'SNV' WHEN 1 THEN 'INS' WHEN 2 THEN 'DEL' WHEN 4 THEN 'CPX' ELSE 'MNP' END AS kind,
+    CASE {0} WHEN 0 THEN 1 WHEN 1 THEN {1} WHEN 2 THEN -{1} WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 3 END AS size"""
+OF_PART, OF_LINE = ("p_partkey % 5", "CAST(1 + p_size % 6 AS INT)"), ("(l_suppkey + l_linenumber) % 6", "CAST(l_linenumber AS INT)")
+TRUTH = ["p_partkey AS truth_id", "p_size % 5 AS chrom", "p_partkey * 40 AS pos", *(x.format(*OF_PART) for x in ALLELES)]
+CALLS = ["l_orderkey * 10 + l_linenumber AS call_id", "l_linenumber % 5 AS chrom", "l_partkey * 40 + (l_suppkey % 11 - 5) * (l_linenumber - 1) AS pos", *(x.format(*OF_LINE) for x in ALLELES)]
 
 
 @query(
     "q_tiered_match",
     f"""
-    WITH t AS (SELECT *, {KIND} AS kind, {SIZE} AS size FROM ({TRUTH})), c AS (SELECT *, {KIND} AS kind, {SIZE} AS size FROM ({CALLS})),
+    WITH t AS (SELECT {', '.join(TRUTH)}, {KINDS.format(*OF_PART)} FROM part), c AS (SELECT {', '.join(CALLS)}, {KINDS.format(*OF_LINE)} FROM lineitem),
     j AS (SELECT t.truth_id, c.call_id, c.pos AS cpos, CASE
         WHEN t.pos = c.pos AND t.ref = c.ref AND t.alt = c.alt THEN 0
         WHEN t.kind = 'SNV' AND c.kind = 'MNP' AND t.pos - c.pos BETWEEN 0 AND length(c.ref) - 1 AND substr(c.ref, (t.pos - c.pos + 1)::INT, 1) = t.ref AND substr(c.alt, (t.pos - c.pos + 1)::INT, 1) = t.alt THEN 1
@@ -59,10 +65,9 @@ SIZE = "CASE WHEN ref = alt THEN 0 WHEN length(ref) = 2 AND length(alt) = 2 THEN
     FROM t LEFT JOIN b ON t.truth_id = b.truth_id AND r = 1""",
 )
 def tiered_match(spark, sf_dir):
-    p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0")
-    t = p.select(F.col("p_partkey").alias("truth_id"), (F.col("p_size") % 5).alias("chrom"), (F.col("p_partkey") * 40).alias("pos"), F.expr("concat('A', repeat('C', p_size % 9))").alias("ref"), F.expr("concat('A', repeat('G', int(p_partkey % 7)))").alias("alt"))
-    c = l.select(F.expr("l_orderkey * 10 + l_linenumber").alias("call_id"), (F.col("l_linenumber") % 5).alias("chrom"), F.expr("l_partkey * 40 + (l_suppkey % 11 - 5) * (l_linenumber - 1)").alias("pos"), F.expr("concat('A', repeat('C', int(l_quantity) % 9))").alias("ref"), F.expr("concat('A', repeat('G', l_linenumber))").alias("alt"))
-    typed = lambda d: d.withColumn("kind", seq.classify(F.col("ref"), F.col("alt"))).withColumn("size", F.when(F.col("kind") == "REF", 0).otherwise(seq.variant_length(F.col("ref"), F.col("alt"))))
+    typed = lambda d: d.withColumn("kind", seq.classify(F.col("ref"), F.col("alt"))).withColumn("size", seq.variant_length(F.col("ref"), F.col("alt")))
+    t = table(spark, sf_dir, "part").selectExpr(*TRUTH)
+    c = table(spark, sf_dir, "lineitem").selectExpr(*CALLS)
     return rel.tiered_match(typed(t), typed(c))
 
 
@@ -106,19 +111,24 @@ def asof_containment(spark, sf_dir):
     return rel.asof_containment(points, "t", spans, ["user_id"], "s", "e", "id").select("event_id", "span_id")
 
 
+STATUSES = list(diagnostics.WINDOW_STAGES)
+
+
 @query(
     "q_top1_window",
     f"""
-    WITH e AS (SELECT event_id, {EPOCH} AS s FROM events), w AS (SELECT event_id, s, unnest(range(((s - 1000 + 799) // 800)::BIGINT, (s // 800 + 1)::BIGINT)) AS window_id FROM e),
-    r AS (SELECT event_id, window_id, row_number() OVER (PARTITION BY event_id ORDER BY (window_id * 37) % 5 DESC, least(s - window_id * 800, window_id * 800 + 1000 - s) DESC, window_id) AS r FROM w)
-    SELECT event_id, window_id FROM r WHERE r = 1""",
+    WITH e AS (SELECT event_id, user_id % 7 AS chrom, {EPOCH} AS s FROM events), h AS (SELECT *, unnest(range(((s - 1000 + 799) // 800)::BIGINT, (s // 800 + 1)::BIGINT)) AS w FROM e),
+    k AS (SELECT event_id, ((w * 37 + chrom) % 6)::INT AS p, least(s - w * 800, w * 800 + 1000 - s) AS c FROM h),
+    r AS (SELECT event_id, {STATUSES!r}[p + 1] AS status, row_number() OVER (PARTITION BY event_id ORDER BY p DESC, c DESC) AS r FROM k)
+    SELECT event_id, status AS win_status FROM r WHERE r = 1""",
 )
 def top1_window(spark, sf_dir):
-    """Of the windows that hold a point the one of highest priority, then the one that centres it best."""
-    e = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("s"))
-    w = rel.point_in_window(e, "s", 1000, 800)
-    rank = F.struct((F.col("window_id") * 37 % 5).alias("p"), F.expr("least(s - window_id * 800, window_id * 800 + 1000 - s)").alias("c"), (-F.col("window_id")).alias("w"))
-    return w.groupBy("event_id").agg((-F.max(rank)["w"]).alias("window_id"))
+    """Of the windows that hold a point the one of the most telling status, then the one that centres it best."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("probe_id"), F.expr("user_id % 7").alias("chrom"), F.unix_timestamp("ts").alias("pos"))
+    w = rel.point_in_window(e, "pos", 1000, 800).select("chrom", "window_id").distinct()
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), F.expr("int((window_id * 37 + chrom) % 6) + 1"))
+    w = w.select("chrom", (F.col("window_id") * 800).alias("win_start"), (F.col("window_id") * 800 + 1000).alias("win_end"), status.alias("win_status"))
+    return diagnostics.windows_of(e, w).select(F.col("probe_id").alias("event_id"), "win_status")
 
 
 @query(
@@ -133,17 +143,16 @@ def keep_max(spark, sf_dir):
 @query(
     "q_attribution_join",
     """
-    WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'not_processed' ELSE 'survived' END AS stage FROM lineitem),
-    r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'low_coverage' WHEN 'O' THEN 'inactive' END AS sub FROM orders)
-    SELECT coalesce(CASE WHEN stage = 'not_processed' AND sub IS NOT NULL THEN stage || ':' || sub END, stage) AS stage, count(*)::BIGINT AS n FROM a LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1""",
+    WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'not_processed' WHEN l_quantity > 20 THEN 'no_path' ELSE 'survived' END AS stage FROM lineitem),
+    r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'not_processed:low_coverage' WHEN 'O' THEN 'not_processed:inactive' END AS sub FROM orders)
+    SELECT CASE WHEN stage = 'not_processed' THEN coalesce(sub, stage) ELSE stage END AS stage, count(*)::BIGINT AS n FROM a LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY 1""",
 )
 def attribution_join(spark, sf_dir):
-    stage = F.when(F.col("l_quantity") > 40, "not_processed").otherwise("survived").alias("stage")
-    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), stage)
-    sub = F.when(F.col("o_orderstatus") == "F", "low_coverage").when(F.col("o_orderstatus") == "O", "inactive").alias("sub")
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), sub)
-    named = F.when(F.col("stage") == "not_processed", F.concat_ws(":", "stage", "sub")).otherwise(F.col("stage"))
-    return a.join(r, "k", "left").groupBy(named.alias("stage")).agg(F.count("*").alias("n"))
+    stage = F.when(F.col("l_quantity") > 40, "not_processed").when(F.col("l_quantity") > 20, "no_path").otherwise("survived").alias("lost_at_stage")
+    best = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("probe_id"), stage)
+    status = F.when(F.col("o_orderstatus") == "F", "SKIPPED_ANCHOR_COVERAGE").when(F.col("o_orderstatus") == "O", "SKIPPED_INACTIVE_REGION").otherwise("OTHER").alias("win_status")
+    statuses = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("probe_id"), status)
+    return diagnostics.reclassified(best, statuses).groupBy(F.col("lost_at_stage").alias("stage")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -169,20 +178,3 @@ def prefix_module(spark, sf_dir):
 def scale_cross(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_retailprice", F.explode(F.array(*map(F.lit, (7, 20, 50)))).alias("scale"))
     return p.filter("p_size >= scale").groupBy("scale", "p_brand").agg(F.count("*").alias("n"), F.round(F.avg(F.col("p_retailprice") / F.col("scale")), 6).alias("score"))
-
-
-@query(
-    "q_probe_match",
-    """
-    WITH v AS (SELECT l_partkey AS pos, l_returnflag AS ref, l_linestatus AS alt FROM lineitem GROUP BY ALL),
-    p AS (SELECT p_partkey AS id, p_partkey + (p_size % 3) AS pos, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS ref, CASE p_size % 2 WHEN 0 THEN 'F' ELSE 'O' END AS alt FROM part)
-    SELECT p.id, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.pos = p.pos AND v.ref = p.ref AND v.alt = p.alt) THEN 'exact'
-        WHEN EXISTS (SELECT 1 FROM v WHERE abs(v.pos - p.pos) BETWEEN 1 AND 1 AND v.ref = p.ref AND v.alt = p.alt) THEN 'shifted' ELSE 'none' END AS found FROM p""",
-)
-def probe_match(spark, sf_dir):
-    """A probe is found exactly, or with the same alleles at a neighbouring place, or not."""
-    v = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("vpos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt")).distinct()
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey + p_size % 3").alias("pos"), F.expr("element_at(array('A', 'N', 'R'), p_size % 3 + 1)").alias("ref"), F.expr("if(p_size % 2 = 0, 'F', 'O')").alias("alt"))
-    near = p.withColumn("vpos", F.explode(F.expr("array(pos - 1, pos, pos + 1)"))).join(v, ["vpos", "ref", "alt"])
-    best = near.groupBy("id").agg(F.min(F.abs(F.col("vpos") - F.col("pos"))).alias("d"))
-    return p.join(best, "id", "left").select("id", F.when(F.col("d") == 0, "exact").when(F.col("d") == 1, "shifted").otherwise("none").alias("found"))

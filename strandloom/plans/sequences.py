@@ -26,8 +26,8 @@ def dna(spark, sf_dir):
     SELECT least(w, {RC.format('w')}) AS kmer, count(*)::BIGINT AS n FROM k GROUP BY 1 HAVING count(*) >= 20""",
 )
 def kmer_counts(spark, sf_dir):
-    k = dna(spark, sf_dir).select(F.explode(seq.kmers(F.col("s"), 11)).alias("w"))
-    return k.groupBy(seq.canonical(F.col("w")).alias("kmer")).agg(F.count("*").alias("n")).filter("n >= 20")
+    k = dna(spark, sf_dir).select(F.explode(seq.canonical_kmers(F.col("s"), 11)).alias("kmer"))
+    return k.groupBy("kmer").agg(F.count("*").alias("n")).filter("n >= 20")
 
 
 @query(
@@ -54,11 +54,11 @@ def base_entropy(spark, sf_dir):
 @query(
     "q_canonical",
     f"""
-    WITH d AS (SELECT doc_id, substr({DNA}, 1, 31) AS s FROM documents)
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents)
     SELECT doc_id, {RC.format('s')} AS rc, least(s, {RC.format('s')}) AS canon, s <= {RC.format('s')} AS plus FROM d""",
 )
 def canonical(spark, sf_dir):
-    s = F.substring("s", 1, 31)
+    s = F.col("s")
     return dna(spark, sf_dir).select("doc_id", seq.reverse_complement(s).alias("rc"), seq.canonical(s).alias("canon"), seq.plus_sign(s).alias("plus"))
 
 
@@ -75,11 +75,18 @@ def longdust(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.sum("c").alias("kmers"), F.round(F.sum(seq.log_factorial(F.col("c"))), 4).alias("score"))
 
 
-@query("q_longdust_score")
+@query(
+    "q_longdust_score",
+    f"""
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents), k AS (SELECT doc_id, unnest(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))) AS w FROM d WHERE length(s) >= 4),
+    c AS (SELECT doc_id, w, count(*) AS c FROM k GROUP BY ALL), g AS (SELECT doc_id, sum(c)::BIGINT AS n, sum(lgamma(c + 1)) AS s FROM c GROUP BY doc_id),
+    f AS (SELECT n, 256 * list_sum(list_transform(range(0, (n / 256 + 15 * sqrt(n / 256.0))::BIGINT + 40), lambda x: exp(x * ln(n / 256.0) - n / 256.0 - lgamma(x + 1)) * lgamma(x + 1))) AS f FROM (SELECT DISTINCT n FROM g))
+    SELECT d.doc_id, round(coalesce(greatest(0.0, (s - f) / n), 0.0), 6) AS score FROM (SELECT doc_id FROM documents) d LEFT JOIN (g JOIN f USING (n)) USING (doc_id)""",
+)
 def longdust_score(spark, sf_dir):
     """Low-complexity score of both strands against what random sequence of that length gives."""
     d = table(spark, sf_dir, "documents").select("doc_id", seq.dna(F.col("text")).alias("s"))
-    return kgraph.longdust(d, "doc_id", "s", 4)
+    return kgraph.longdust(d, "doc_id", "s", 4).withColumn("score", F.round("score", 6))
 
 
 PAIRS = "SELECT a.p_partkey AS id, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
@@ -176,7 +183,7 @@ def kmer_quality(spark, sf_dir):
 
 
 GRAPH = f"""
-    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents), e AS (SELECT doc_id, unnest(list_transform(range(1, length(s) - 10), lambda i: substr(s, i, 12))) AS w FROM d WHERE length(s) BETWEEN 12 AND 400),
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents), e AS (SELECT doc_id, unnest(list_transform(range(1, length(s) - 10), lambda i: substr(s, i, 12))) AS w FROM d WHERE length(s) >= 12),
     x AS (SELECT doc_id, substr(w, 1, 11) AS a, substr(w, 2, 11) AS b FROM e),
     y AS (SELECT doc_id, least(a, {RC.format('a')}) AS src, least(b, {RC.format('b')}) AS dst, a <= {RC.format('a')} AS sp, b <= {RC.format('b')} AS dp FROM x),
     m AS (SELECT DISTINCT * FROM (SELECT * FROM y UNION ALL SELECT doc_id, dst, src, NOT dp, NOT sp FROM y))"""
@@ -191,31 +198,31 @@ GRAPH = f"""
         round(count(*) FILTER (f = 1 AND r = 1) / count(*), 6) AS unitig_ratio, max(greatest(f, r))::BIGINT AS max_degree FROM n GROUP BY doc_id""",
 )
 def graph_metrics(spark, sf_dir):
-    d = dna(spark, sf_dir).filter(F.length("s").between(12, 400))
-    return kgraph.metrics(kgraph.edges(d, "doc_id", "s", 11), ["doc_id"]).select("doc_id", "nodes", "edges", "cc", "bp", F.round("unitig_ratio", 6).alias("unitig_ratio"), "max_degree")
+    return kgraph.metrics(kgraph.edges(dna(spark, sf_dir), "doc_id", "s", 11), ["doc_id"]).select("doc_id", "nodes", "edges", "cc", "bp", F.round("unitig_ratio", 6).alias("unitig_ratio"), "max_degree")
 
 
 @query(
     "q_components",
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 100000000 + o_orderkey AS b FROM orders UNION SELECT s_nationkey - 100, s_suppkey + 50000000 FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r AS (SELECT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a)
     SELECT node, min(reach) AS label FROM r GROUP BY node""",
 )
 def components(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0")
-    e = l.select(F.col("l_suppkey").alias("a"), (F.lit(1_000_000) + F.col("l_partkey")).alias("b")).distinct()
+    """Stars of all sizes: orders by customer, suppliers by nation."""
+    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.lit(100_000_000) + F.col("o_orderkey")).alias("b"))
+    e = e.union(table(spark, sf_dir, "supplier").select(F.col("s_nationkey") - 100, F.lit(50_000_000) + F.col("s_suppkey"))).distinct()
     return rel.components(e, lambda df: checkpointed(df, "components"))
 
 
 @query(
     "q_repeats",
     f"""
-    WITH d AS (SELECT doc_id, substr({DNA}, 1, 200) AS s FROM documents), k AS (SELECT doc_id, list_transform(range(1, length(s) - 11), lambda i: substr(s, i, 13)) AS w FROM d WHERE length(s) >= 13)
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents), k AS (SELECT doc_id, list_transform(range(1, length(s) - 11), lambda i: substr(s, i, 13)) AS w FROM d WHERE length(s) >= 13)
     SELECT doc_id, len(w) <> len(list_distinct(w)) AS has_repeat FROM k""",
 )
 def repeats(spark, sf_dir):
-    k = dna(spark, sf_dir).select("doc_id", F.substring("s", 1, 200).alias("s")).filter(F.length("s") >= 13).select("doc_id", seq.kmers(F.col("s"), 13).alias("w"))
+    k = dna(spark, sf_dir).filter(F.length("s") >= 13).select("doc_id", seq.kmers(F.col("s"), 13).alias("w"))
     return k.select("doc_id", (F.size("w") != F.size(F.array_distinct("w"))).alias("has_repeat"))
 
 

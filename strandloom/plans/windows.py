@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from strandloom.functions import seq
 from strandloom.operators import relational as rel
 from strandloom.plans.registry import query
 from strandloom.session import table
+from strandloom.sources import alignments
+from strandloom.streaming import store
 
 EPOCH = "floor(epoch(ts))::BIGINT"
 
@@ -94,7 +98,7 @@ def gap_groups(spark, sf_dir):
 )
 def dense_samples(spark, sf_dir):
     s = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("role"), F.col("c_nationkey").alias("sm")).distinct()
-    return s.withColumn("idx", F.dense_rank().over(W.orderBy("role", "sm")).cast("long") - 1)  # samples are a small dimension
+    return alignments.samples(s).withColumn("idx", F.col("idx").cast("long"))
 
 
 @query(
@@ -216,12 +220,44 @@ def step_sizes(spark, sf_dir):
 @query(
     "q_session_stream",
     f"""
-    WITH e AS (SELECT event_id, user_id, ts, event_type FROM events WHERE user_id < 50),
+    WITH e AS (SELECT event_id, user_id, ts, event_type FROM events),
     f AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM f)
     SELECT user_id, floor(epoch(min(ts)))::BIGINT AS first_s, count(*)::BIGINT AS n FROM g GROUP BY user_id, g""",
 )
 def session_stream(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 50")
-    g = e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return g.select("user_id", F.unix_timestamp("w.start").alias("first_s"), "n")
+    """Sessions by a stream over the table; its state is given out whole."""
+    e = events_stream(spark, sf_dir)
+    g = store.run_available(store.sessions(e, "ts", ["user_id"], "1 hour", "1 minute"), f"sessions_{uuid.uuid4().hex}", "complete")
+    return g.select("user_id", F.unix_timestamp("start").alias("first_s"), "n")
+
+
+def events_stream(spark, sf_dir):
+    """The events table as a stream of files; as a pattern, for the table may be one file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "q_stream_sliding",
+    """
+    WITH e AS (SELECT epoch_ms(ts) // 1000 AS s, event_type, (SELECT max(epoch_ms(ts)) // 1000 FROM events) AS top FROM events),
+    w AS (SELECT unnest(range(s // 3600 - 1, s // 3600 + 1)) * 3600 AS first_s, event_type, top FROM e)
+    SELECT first_s, event_type, count(*)::BIGINT AS n FROM w WHERE first_s + 7200 <= top - 600 GROUP BY ALL""",
+)
+def stream_sliding(spark, sf_dir):
+    """Two-hour windows every hour; those that the watermark has passed are given out, ten minutes late."""
+    out = store.run_available(store.sliding_counts(events_stream(spark, sf_dir), "ts", ["event_type"], "2 hours", "1 hour", "10 minutes"), f"sliding_{uuid.uuid4().hex}")
+    return out.select(F.unix_timestamp("start").alias("first_s"), "event_type", "n")
+
+
+@query(
+    "q_stream_keep_best",
+    """
+    WITH e AS (SELECT epoch_ms(ts) // 86400000 * 86400 AS first_s, user_id, value, event_id, (SELECT max(epoch_ms(ts)) // 1000 FROM events) AS top FROM events)
+    SELECT first_s, user_id, max(value) AS value, arg_max(event_id, {'v': value, 'i': event_id}) AS event_id FROM e WHERE first_s + 86400 <= top - 600 GROUP BY first_s, user_id""",
+)
+def stream_keep_best(spark, sf_dir):
+    """Of each user and day the event of the largest value, once the watermark has passed the day."""
+    out = store.run_available(store.keep_best(events_stream(spark, sf_dir), "ts", ["user_id"], "value", ["event_id"], "1 day", "10 minutes"), f"best_{uuid.uuid4().hex}")
+    return out.select(F.unix_timestamp("start").alias("first_s"), "user_id", "value", "event_id")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.functions import seq
 from strandloom.operators.evidence import record_text
 
 INFO = {
@@ -93,13 +93,9 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(*(F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) for c in df.columns)).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def scored(sites: DataFrame, error_probability: Column) -> DataFrame:
-    """QUAL from the smaller class probability of a model; PASS from 10 for SNVs, 13 for indels."""
-    least = F.least(error_probability, 1 - error_probability)
-    q = sites.withColumn("qual", -10 * F.log10(F.greatest(least, F.lit(1e-30))))
-    snv = F.array_contains("kinds", "SNV")
-    return q.withColumn("filter", F.when((snv & (F.col("qual") >= 10)) | (~snv & (F.col("qual") >= 13)), "PASS").otherwise("LowQual"))
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "ord") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+def scored(sites: DataFrame, passing: Column, probabilities: Column) -> DataFrame:
+    """QUAL from the least class probability of a model; sites that the model passes are PASS from 10 for SNVs (one base
+    for another) and from 13 for others, the filter of all others stays as it is."""
+    q = sites.withColumn("qual", seq.prob_to_phred(F.array_min(probabilities)))
+    snv = (F.length("ref") == 1) & (F.length(F.col("alts")[0]) == 1)
+    return q.withColumn("filter", F.when(passing & (F.col("qual") >= F.when(snv, 10).otherwise(13)), "PASS").otherwise(F.col("filter")))

@@ -33,21 +33,33 @@ def contigs_agree(header: DataFrame, reference: DataFrame) -> DataFrame:
     return header.join(r, "chrom", "left").filter("expected IS NULL OR expected <> length")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, n, value: lines, ordered by n in a block, and blocks by their offset in the file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """chrom, chunk, seq: sequences in chunks of CHUNK bases, in upper case, other letters as N.
 
-    Lines carry their file offset as order, so that files may be split between tasks.
+    Places are counted within a block of a file; only a row for each block and sequence meets in one order.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
-    named = lines.withColumn("chrom", F.last(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)), ignorenulls=True).over(W.partitionBy("file").orderBy("n")))
-    body = named.filter(~F.col("value").startswith(">")).withColumn("s", F.regexp_replace(F.upper(F.trim("value")), "[^ACGT]", "N"))
-    end = F.sum(F.length("s")).over(W.partitionBy("file", "chrom").orderBy("n"))
-    body = body.withColumn("at", end - F.length("s")).filter(F.length("s") > 0)
-    parts = body.select("chrom", "at", "s", F.explode(F.expr(f"sequence(at div {CHUNK}, (at + length(s) - 1) div {CHUNK})")).alias("chunk"))
+    lines = _lines(spark, path)
+    head, order = F.col("value").startswith(">"), W.partitionBy("file", "block").orderBy("n")
+    lines = lines.withColumn("name", F.when(head, F.regexp_extract("value", r"^>(\S+)", 1))).withColumn("part", F.count("name").over(order))
+    body = lines.withColumn("s", F.when(head, "").otherwise(F.regexp_replace(F.upper(F.trim("value")), "[^ACGT]", "N")))
+    parts = body.groupBy("file", "block", "part").agg(F.max("name").alias("name"), F.sum(F.length("s")).alias("size"))
+    # Part 0 of a block goes on with the sequence of the block before.
+    by_file = W.partitionBy("file").orderBy("block", "part")
+    parts = parts.withColumn("no", F.count("name").over(by_file)).withColumn("chrom", F.last("name", ignorenulls=True).over(by_file))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("file", "no").orderBy("block", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("base", before).select("file", "block", "part", "chrom", "base")
+    inside = F.sum(F.length("s")).over(W.partitionBy("file", "block", "part").orderBy("n"))
+    body = body.withColumn("inside", inside - F.length("s")).filter(F.length("s") > 0).join(parts, ["file", "block", "part"]).withColumn("at", F.col("base") + F.col("inside"))
+    cut = body.select("chrom", "at", "s", F.explode(F.expr(f"sequence(at div {CHUNK}, (at + length(s) - 1) div {CHUNK})")).alias("chunk"))
     lo = F.greatest(F.col("chunk") * CHUNK - F.col("at"), F.lit(0))
     hi = F.least((F.col("chunk") + 1) * CHUNK - F.col("at"), F.length("s"))
-    parts = parts.select("chrom", "chunk", (F.col("at") + lo).alias("at"), F.substring("s", lo.cast("int") + 1, (hi - lo).cast("int")).alias("s"))
-    return parts.groupBy("chrom", "chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "").alias("seq"))
+    cut = cut.select("chrom", "chunk", (F.col("at") + lo).alias("at"), F.substring("s", lo.cast("int") + 1, (hi - lo).cast("int")).alias("s"))
+    return cut.groupBy("chrom", "chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "").alias("seq"))
 
 
 def fetch(chunks: DataFrame, regions: DataFrame) -> DataFrame:
@@ -110,10 +122,13 @@ def commented_tsv(spark: SparkSession, path: str) -> DataFrame:
 def probes(spark: SparkSession, path: str) -> DataFrame:
     """probe_id (place in the file), chrom, pos (1-based), ref, alt of a table with at least nine columns;
     rows whose start is no number are skipped."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"))
-    f = rows.filter("value <> '' AND NOT startswith(value, '#')").select("n", F.split("value", "\t").alias("f"))
-    ok = f.filter((F.size("f") >= 9) & F.col("f")[1].try_cast("long").isNotNull())
-    return ok.select((F.row_number().over(W.orderBy("n")) - 1).alias("probe_id"), F.col("f")[0].alias("chrom"), (F.col("f")[1].cast("long") + 1).alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"))
+    f = _lines(spark, path).filter("value <> '' AND NOT startswith(value, '#')").withColumn("f", F.split("value", "\t"))
+    ok = f.filter((F.size("f") >= 9) & F.get("f", F.lit(1)).try_cast("long").isNotNull())
+    blocks = ok.groupBy("file", "block").agg(F.count("*").alias("rows"))
+    base = F.coalesce(F.sum("rows").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    rank = F.row_number().over(W.partitionBy("file", "block").orderBy("n")) - 1
+    placed = ok.withColumn("rank", rank).join(blocks.select("file", "block", base.alias("base")), ["file", "block"])
+    return placed.select((F.col("base") + F.col("rank")).alias("probe_id"), F.col("f")[0].alias("chrom"), (F.col("f")[1].cast("long") + 1).alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"))
 
 
 def window_statuses(spark: SparkSession, path: str) -> DataFrame:
@@ -123,6 +138,22 @@ def window_statuses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.col("value").rlike(p)).select(g(1).alias("chrom"), g(2).cast("long").alias("win_start"), g(3).cast("long").alias("win_end"), g(4).alias("win_status"))
 
 
+def genotyped_windows(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, win_start, win_end, k (the largest), comps of the windows that a log tells were assembled and genotyped."""
+    lines = spark.read.text(path)
+    place = r"(chr\w+):(\d+)-(\d+)"
+    g = lambda p, k: F.regexp_extract("value", p, k)
+
+    def windows(p: str, first: int) -> list[Column]:
+        return [g(p, first).alias("chrom"), g(p, first + 1).cast("long").alias("win_start"), g(p, first + 2).cast("long").alias("win_end")]
+
+    made, called = rf"Assembled (\d+)bp path sequence for {place} comp=(\d+) with k=(\d+)", rf"Genotyped (\d+) variant\(s\) for window {place}"
+    a = lines.filter(F.col("value").rlike(made)).select(*windows(made, 2), g(made, 5).cast("int").alias("comp"), g(made, 6).cast("int").alias("k"))
+    b = lines.filter(F.col("value").rlike(called)).select(*windows(called, 2)).distinct()
+    keys = ["chrom", "win_start", "win_end"]
+    return a.join(b, keys, "left_semi").groupBy(*keys).agg(F.max("k").alias("k"), F.array_sort(F.collect_set("comp")).alias("comps"))
+
+
 def dot_nodes(spark: SparkSession, path: str) -> DataFrame:
     """file, node, colour, coverage of the node lines of DOT files; quoted values or not."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
@@ -162,7 +193,3 @@ def input_spec(spec: Column) -> Column:
 
 def cloud_uri(path: Column) -> Column:
     return path.rlike("^(gs|s3|https?|ftps?)://")
-
-
-def json_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from strandloom.sources.storage import shared_dir
 
 
 def sliding_counts(stream: DataFrame, at: str, keys: list[str], length: str, step: str, late: str) -> DataFrame:
@@ -29,8 +32,29 @@ def keep_best(stream: DataFrame, at: str, keys: list[str], by: str, payload: lis
     return g.select(F.col("w.start").alias("start"), *keys, F.col(f"m.{by}").alias(by), *(F.col(f"m.{c}").alias(c) for c in payload))
 
 
-def run_available(df: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Run a query over what is there, into a memory table, and return the table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, name: str, mode: str = "append", files: int | None = None, listener: list | None = None) -> DataFrame:
+    """Run a query over what is there, in batches, into a table below the shared folder, and return the table.
+
+    The checkpoint and the table lie below one new folder of spark.checkpoint.dir, so a query that is stopped goes on
+    there. Complete mode keeps the last batch's result only. Progress of each batch goes to listener, if given.
+    """
+    spark, folder = df.sparkSession, shared_dir(df.sparkSession, f"stream-{name}")
+    out, schema = f"{folder}/rows", df.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if listener is not None:
+        listener.extend(progress(q))
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """Of each batch its number, rows read, and watermark, rows held and dropped as late of its state."""
+    out = []
+    for p in query.recentProgress:
+        state = p.stateOperators
+        out.append({"batch": p.batchId, "rows": p.numInputRows, "watermark": (p.eventTime or {}).get("watermark"), "held": sum(s.numRowsTotal for s in state), "late": sum(s.numRowsDroppedByWatermark for s in state)})
+    return out

@@ -1,13 +1,16 @@
 import datetime as dt
+import math
+import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strandloom.functions import repeats, seq
-from strandloom.operators import assembler, calling, diagnostics, evidence, kgraph
+from strandloom.functions import repeats, seq, stats
+from strandloom.operators import assembler, calling, diagnostics, evidence, kgraph, probes
 from strandloom.operators import relational as rel
 from strandloom.plans import catalog
 from strandloom.sources import alignments, sinks, text
@@ -97,7 +100,7 @@ def test_cycles_and_repeats_are_refused():
     assert g.cyclic("ACGTA")
 
 
-EVIDENCE = "chrom string, pos long, ref string, alts array<string>, sample string, allele int, qname string, strand string, base_qual int, map_qual int, aln_score double, folded_pos double, insert_size long, aln_start long, ref_nm int, own_hap_nm int, hap_id int, soft_clipped boolean, proper_pair boolean"
+EVIDENCE = "window_id long, chrom string, pos long, ref string, alts array<string>, sample string, allele int, qname string, strand string, base_qual int, map_qual int, aln_score double, folded_pos double, insert_size long, aln_start long, ref_nm int, own_hap_nm int, hap_id int, soft_clipped boolean, proper_pair boolean, n_haps int, path_cv double"
 
 
 def test_calls_and_records(spark):
@@ -105,19 +108,21 @@ def test_calls_and_records(spark):
     for s, n_alt in (("ctrl", 0), ("case", 10)):
         for i in range(30):
             alt = i < n_alt
-            rows.append(("chr1", 101, "A", ["T"], s, int(alt), f"{s}{i}", "FWD" if i % 2 else "REV", 30, 60, 100.0, 0.25, 300, 1000 + 7 * i, int(alt), 0, int(alt), False, True))
+            rows.append((0, "chr1", 101, "A", ["T"], s, int(alt), f"{s}{i}", "FWD" if i % 2 else "REV", 30, 60, 100.0, 0.25, 300, 1000 + 7 * i, int(alt) + 4, 2 * int(alt) + 1, (1 + i % 2) * int(alt), False, True, 3, 0.25))
     rows.append(rows[0])  # a repeated name counts once
     ev = spark.createDataFrame(rows, EVIDENCE)
     samples = spark.createDataFrame([("ctrl", "CTRL", 0), ("case", "CASE", 1)], "sample string, role string, idx int")
-    coverage = samples.select("sample", F.lit(15.0).alias("window_cov"))
+    coverage = samples.select(F.lit(0).alias("window_id"), "sample", F.lit(15.0).alias("window_cov"))
     calls = evidence.sample_calls(ev, coverage)
     case = calls.filter("sample = 'case'").first()
     assert (case.ad, case.dp, case.gt, case.sdfc) == ([20, 10], 30, "0/1", 2.0) and case.asmd == 1.0 and case.cmlod[0] > 10
+    # Both sides by their own haplotype; two equally frequent haplotypes of three.
+    assert case.ahdd == 2.0 and abs(case.hse - 1 / math.log2(3)) < 1e-9
     sites = evidence.best_by_site(evidence.site_calls(calls, samples))
     line = sites.select(evidence.record_text()).first()[0].split("\t")
     assert line[:5] == ["chr1", "101", ".", "A", "T"] and line[7].startswith("CASE;TYPE=SNV;LENGTH=1") and line[8] == evidence.FORMAT
     fields = dict(zip(line[8].split(":"), line[10].split(":")))
-    assert fields["AD"] == "20,10" and fields["RMQ"] == "60.0,60.0" and fields["FLD"] == "0.0" and fields["PDCV"] == "."
+    assert fields["AD"] == "20,10" and fields["RMQ"] == "60.0,60.0" and fields["FLD"] == "0.0" and fields["PDCV"] == "0.2500"
 
 
 def test_expressions(spark):
@@ -141,7 +146,7 @@ def test_repeats():
     assert {"period": 2, "copies": 5.0, "start": 0, "span": 10, "errors": 0, "exact": True} in r
     assert not repeats.primitive("ACAC") and repeats.primitive("AAC")
     assert repeats.low_complexity("A" * 60) > 1 and repeats.low_complexity("ACGTTGCATCAGGATTC") < 0.1
-    assert repeats.complexity("ACGT" * 30, "ACGT" * 14 + "ACAGT" + "ACGT" * 15, 58, 1, 2)["tr_period"] > 0
+    assert repeats.complexity("ACGT" * 30, "ACGT" * 14 + "ACAGT" + "ACGT" * 15, 58, 58, 1, 2)["tr_period"] > 0
 
 
 def test_graph_metrics_of_a_bubble(spark):
@@ -193,22 +198,180 @@ def test_diagnostics(spark):
     best = {r.probe_id: r.lost_at_stage for r in diagnostics.best_attempts(df).collect()}
     assert best == {0: "survived", 1: "msa_not_extracted", 2: "pruned_at_tips", 3: "pruned_at_build", 4: "not_processed"}
     probes = spark.createDataFrame([(4, "chr1", 700)], "probe_id long, chrom string, pos long")
-    windows = spark.createDataFrame([("chr1", 1, 1001, "INACTIVE"), ("chr1", 601, 1601, "LOW")], "chrom string, win_start long, win_end long, win_status string")
-    status = diagnostics.windows_of(probes, windows, F.lit(1))
-    assert status.first().win_status == "INACTIVE"
+    windows = spark.createDataFrame([("chr1", 1, 1001, "SKIPPED_INACTIVE_REGION"), ("chr1", 601, 1601, "SKIPPED_NONLY_REF_BASES")], "chrom string, win_start long, win_end long, win_status string")
+    status = diagnostics.windows_of(probes, windows)
+    assert status.first().win_status == "SKIPPED_INACTIVE_REGION"
     assert {r.lost_at_stage for r in diagnostics.reclassified(diagnostics.best_attempts(df), status).collect()} >= {"not_processed:inactive"}
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), i % 3, float(i * 37 % 11)) for i in range(200)]
+HOUR = dt.timedelta(hours=1)
+
+
+def test_streams_give_out_what_the_watermark_has_passed(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=7 * i), i % 3, float(i * 37 % 11)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, ts timestamp, k long, v double")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    for name, f in {
-        "a": lambda d: store.keep_best(d, "ts", ["k"], "v", ["id"], "2 hours", "1 minute"),
-        "b": lambda d: store.sliding_counts(d, "ts", ["k"], "2 hours", "1 hour", "1 minute"),
-        "c": lambda d: store.sessions(d, "ts", ["k"], "15 minutes", "1 minute"),
-    }.items():
-        got = {tuple(r) for r in store.run_available(f(stream), str(tmp_path / name), name).collect()}
-        want = {tuple(r) for r in f(df).collect()}
-        assert got <= want and len(got) >= len(want) - 9 and got
+    passed = rows[-1][1] - dt.timedelta(minutes=1)
+    best = store.keep_best(stream, "ts", ["k"], "v", ["id"], "2 hours", "1 minute")
+    want = {tuple(r) for r in store.keep_best(df, "ts", ["k"], "v", ["id"], "2 hours", "1 minute").collect() if r.start + 2 * HOUR <= passed}
+    seen: list = []
+    assert {tuple(r) for r in store.run_available(best, "a", listener=seen).collect()} == want and len(want) > 20
+    assert sum(b["rows"] for b in seen) == 200 and all(b["late"] == 0 for b in seen)
+    for name, f in {"b": lambda d: store.sliding_counts(d, "ts", ["k"], "2 hours", "1 hour", "1 minute"), "c": lambda d: store.sessions(d, "ts", ["k"], "15 minutes", "1 minute")}.items():
+        want = {tuple(r) for r in f(df).collect() if r.end <= passed}
+        assert {tuple(r) for r in store.run_available(f(stream), name).collect()} == want and want
+        assert {tuple(r) for r in store.run_available(f(stream), name, "complete").collect()} == {tuple(r) for r in f(df).collect()}
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    schema = "id long, ts timestamp, k long, v double"
+    batches = [[(1, start, 0, 1.0)], [(2, start + 10 * HOUR, 0, 2.0)], [(6, start + 10.2 * HOUR, 0, 0.5)], [(3, start, 0, 9.0), (4, start + 10 * HOUR, 0, 5.0)], [(5, start + 30 * HOUR, 0, 1.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "tmp" / str(k)))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / "tmp" / str(k)).glob("*.parquet"))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen: list = []
+    out = store.run_available(store.keep_best(stream, "ts", ["k"], "v", ["id"], "1 hour", "1 hour"), "late", listener=seen)
+    assert sorted((r.id, r.v) for r in out.collect()) == [(1, 1.0), (4, 5.0)]
+    assert sum(b["late"] for b in seen) == 1 and max(b["batch"] for b in seen) >= 3
+
+
+def test_changes_of_reads(spark):
+    schema = "window_id long, sample string, pos long, units array<struct<len:int,op:string>>, md string, quals array<int>"
+    u = lambda *x: [{"len": n, "op": o} for n, o in x]
+    q = [30] * 30
+    rows = [
+        (1, "a", 100, u((10, "M")), "3A6", q), (1, "a", 100, u((10, "M")), "3A6", [30, 30, 30, 5] + q), (1, "a", 90, u((4, "S"), (5, "M"), (2, "I"), (5, "M")), "10", q),
+        (1, "a", 100, u((3, "M"), (2, "D"), (4, "M"), (3, "S")), "3^AC4", q), (1, "a", 101, u((1, "X"), (4, "=")), None, q),
+    ]
+    got = sorted((r.kind, r.pos) for r in rel.read_changes(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("deletion", 105), ("insertion", 95), ("mismatch", 102), ("mismatch", 103), ("softclip", 90), ("softclip", 109)]
+    twice = spark.createDataFrame([rows[0], rows[0]], schema)
+    w = spark.createDataFrame([(1,), (2,)], "window_id long")
+    assert [r.window_id for r in rel.active_windows(w, rel.read_changes(twice)).collect()] == [1]
+    # Two reads that show different kinds at one place are no evidence.
+    mixed = spark.createDataFrame([(1, "a", 100, u((3, "S"), (5, "M")), "5", q), (1, "a", 98, u((2, "M"), (1, "I"), (3, "M")), "5", q)], schema)
+    assert rel.active_windows(w, rel.read_changes(mixed)).count() == 0
+
+
+def test_stages_in_order_of_depth(spark):
+    rank = {s: i for i, s in enumerate(diagnostics.STAGES)}
+    assert rank["not_processed"] == 0 < rank["not_processed:inactive"] < rank["variant_in_anchor"] < rank["no_anchor"] < rank["short_anchor"] < rank["graph_has_cycle"] < rank["graph_too_complex"]
+    assert rank["bfs_exhausted"] < rank["no_path"] and rank["geno_no_overlap"] < rank["geno_zero_alt_reads"] < rank["geno_reads_reassigned"] < rank["survived"]
+    got = spark.createDataFrame([(s,) for s in [*diagnostics.STAGES, "else"]], "s string").select(diagnostics.depth(F.col("s"))).collect()
+    assert [r[0] for r in got] == [*range(len(rank)), 0]
+
+
+def test_expected_log_factorials_equal_sums():
+    for rate in (0.0, 1e-12, 0.01, 0.7, 5.0, 29.9, 30.1, 250.0, 399.0, 401.0, 2000.0):
+        c = np.arange(1, 6000)
+        log_fact = np.cumsum(np.log(c))
+        want = float((np.exp(c * math.log(rate) - rate - log_fact) * log_fact).sum()) if rate else 0.0
+        assert abs(stats.expected_log_factorial(rate) - want) < 1e-6 * max(1.0, want)
+    assert stats.expected_score(100, 4) == pytest.approx(256 * stats.expected_log_factorial(100 / 256))
+    assert stats.expected_score(100, 4, 0.4) > stats.expected_score(100, 4)
+
+
+def test_low_complexity_scores_of_both_forms_agree(spark):
+    texts = ["A" * 50, "ACGT" * 12, "ACGTTGCATCAGGATTC", "ACNNGT", "", "AC"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    got = {r.id: r.score for r in kgraph.longdust(d, "id", "s", 4).collect()}
+    assert got == {i: pytest.approx(repeats.low_complexity(t, 4), abs=1e-9) for i, t in enumerate(texts)}
+
+
+def test_scores_of_a_model(spark):
+    rows = [(1, "A", ["T"], True, [0.05, 0.95]), (2, "A", ["T"], False, [0.95, 0.05]), (3, "A", ["T"], True, [0.2, 0.8]), (4, "A", ["AT"], True, [0.08, 0.92]), (5, "A", ["AT"], True, [0.04, 0.96])]
+    d = spark.createDataFrame(rows, "id long, ref string, alts array<string>, passing boolean, p array<double>").withColumn("filter", F.lit("."))
+    got = {r.id: (r.filter, round(r.qual, 2)) for r in sinks.scored(d, F.col("passing"), F.col("p")).collect()}
+    assert got == {1: ("PASS", 13.01), 2: (".", 13.01), 3: (".", 6.99), 4: (".", 10.97), 5: ("PASS", 13.98)}
+
+
+def test_graph_texts_and_reports(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, "n1", "ACG", "REF", 9.0), (1, "n2", "CGT", "CASE", 2.0)], "g long, node string, seq string, label string, cov double")
+    edges = spark.createDataFrame([(1, "n1", "n2", True, False)], "g long, src string, dst string, src_plus boolean, dst_plus boolean")
+    dot = sinks.dot_graph(nodes, edges, "g").first().dot
+    assert dot.splitlines()[0] == "strict digraph G {" and '"n1" -> "n2" [taillabel="+" headlabel="-"];' in dot and dot.index("n2\" [fill") < dot.index("->")
+    paths = spark.createDataFrame([(1, "p", ["n1+", "n2-"])], "g long, name string, steps array<string>")
+    assert sinks.gfa(nodes, edges, paths, "g", 3).first().gfa.splitlines() == ["H\tVN:Z:1.0", "S\tn1\tACG", "S\tn2\tCGT", "L\tn1\t+\tn2\t-\t2M", "P\tp\tn1+,n2-\t*"]
+    rows = spark.createDataFrame([(1, 2, "b", "AC-"), (1, 1, "a", "ACG")], "g long, ord int, name string, seq string")
+    assert sinks.fasta_text(rows, "g").first().fasta == ">a\nACG\n>b\nAC-"
+    probes_ = spark.createDataFrame([(1,), (2,)], "probe_id long")
+    sinks.write_tsv(sinks.probe_records(probes_, spark.createDataFrame([(1, 5)], "probe_id long, n int")).orderBy("probe_id").coalesce(1), str(tmp_path / "t"))
+    assert "".join(p.read_text() for p in (tmp_path / "t").glob("part*")) == "probe_id\tn\n1\t5\n2\t.\n"
+    sites = spark.createDataFrame([("chr2", 5, "A", ["T"]), ("chr10", 3, "C", ["G"]), ("chr2", 1, "G", ["C"])], "chrom string, pos long, ref string, alts array<string>")
+    full = sites.select("*", F.lit(True).alias("cc"), F.lit("CASE").alias("state"), F.array(F.lit("SNV")).alias("kinds"), F.array(F.lit(1)).alias("sizes"), F.lit(3.0).alias("qual"), F.array(F.lit("0/1")).alias("columns"))
+    sinks.write_vcf(full, sinks.vcf_header([("chr2", 9), ("chr10", 9)], ["s"], True, day=dt.date(2024, 1, 2)), ["chr2", "chr10"], str(tmp_path / "v"))
+    text_ = "".join(p.read_text() for p in sorted((tmp_path / "v").glob("part*")))
+    assert [x.split("\t")[:2] for x in text_.splitlines() if x[0] != "#"] == [["chr2", "1"], ["chr2", "5"], ["chr10", "3"]] and text_.startswith("##fileformat")
+
+
+def test_loaders_of_reports(spark, tmp_path):
+    write = lambda name, body: ((tmp_path / name).write_text(body), str(tmp_path / name))[1]
+    log = write("a.log", "Assembled 900bp path sequence for chr1:1-1001 comp=0 with k=25\nAssembled 90bp path sequence for chr1:1-1001 comp=2 with k=31\nAssembled 9bp path sequence for chr2:1-9 comp=0 with k=13\nGenotyped 3 variant(s) for window chr1:1-1001\n")
+    assert [(r.chrom, r.win_end, r.k, r.comps) for r in text.genotyped_windows(spark, log).collect()] == [("chr1", 1001, 31, [0, 2])]
+    dot = write("g.dot", 'strict digraph G {\n"n1" [fillcolor="steelblue" style="filled" label="ACG" coverage=9];\n"n1" -> "n2" [taillabel="+"];\n}')
+    assert [(r.node, r.colour, r.coverage) for r in text.dot_nodes(spark, dot).collect()] == [("n1", "steelblue", 9)]
+    msa = write("m.fa", ">ref\nACG-T\n>h1\n--GAT\n>h2\nACG--\n")
+    r = text.msa(spark, msa).first()
+    assert (r.n_haps, r.ref_length, r.lead_gap, r.tail_gap) == (3, 4, 2, 2)
+    beds = [write("low.bed", "#x\nchr1\t5\t9\tL1\nchr3\t1\t2\n"), write("b.txt", "track t\nchr1\t7\t3\nchr1\t1\t4\tskip\n")]
+    got = text.annotations(spark, beds, ["chr1"], ("skip",)).collect()
+    assert [(r.source, r.chrom, r.start, r.end, r.name) for r in got] == [("low", "chr1", 5, 9, "L1")]
+    table = text.commented_tsv(spark, write("t.tsv", "#a\tb\n1\tx\n"))
+    assert table.columns == ["a", "b"] and tuple(table.first()) == ("1", "x")
+    probes_ = text.probes(spark, write("p.tsv", "#h\nchr1\tstart\t.\tA\tC\t.\t.\t.\t.\nchr1\t9\t.\tA\tC\t.\t.\t.\t.\nchr2\t4\t.\tG\tT\t.\t.\t.\t.\n"))
+    assert [tuple(r) for r in probes_.orderBy("probe_id").collect()] == [(0, "chr1", 10, "A", "C"), (1, "chr2", 5, "G", "T")]
+    contigs = spark.createDataFrame([("chr1", 10), ("chr2", 20)], "chrom string, length long")
+    assert [tuple(r) for r in text.contigs_agree(spark.createDataFrame([("chr1", 10), ("chr2", 21), ("x", 1)], "chrom string, length long"), contigs).orderBy("chrom").collect()] == [("chr2", 21, 20), ("x", 1, None)]
+    assert text.known_contigs(spark.createDataFrame([("chr1", 1)], "chrom string, s long"), contigs).count() == 1
+    with pytest.raises(Exception, match="unknown chromosome"):
+        text.known_contigs(spark.createDataFrame([("chr9", 1)], "chrom string, s long"), contigs).collect()
+    assert [r[0] for r in spark.createDataFrame([("gs://a",), ("/a",)], "p string").select(text.cloud_uri(F.col("p"))).collect()] == [True, False]
+
+
+def test_fasta_in_many_blocks(spark, tmp_path):
+    random.seed(8)
+    seqs = {f"c{i}": "".join(random.choice("ACGT") for _ in range(random.randrange(1, 4000))) for i in range(6)}
+    (tmp_path / "x.fa").write_text("".join(f">{n} about\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for n, s in seqs.items()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        chunks = text.fasta(spark, str(tmp_path / "x.fa"))
+        assert chunks.rdd.getNumPartitions() >= 1 and {r.chrom: r.seq for r in chunks.collect()} == seqs
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_realigned_reads_and_repeats(spark):
+    random.seed(11)
+    ref = "".join(random.choice("ACGT") for _ in range(300))
+    alt = ref[:150] + "GATTACAGATT" + ref[150:]
+    rows = [(1, alt[100:200], ref, alt), (1, alt[120:220], ref, alt), (1, ref[100:200], ref, alt), (2, ref[0:80], ref, alt), (3, None, ref, alt)]
+    got = {r.probe_id: r.n_alt for r in probes.realigned(spark.createDataFrame(rows, "probe_id long, seq string, ref_hap string, alt_hap string")).collect()}
+    assert got == {1: 2, 2: 0, 3: 0}
+    found = spark.createDataFrame([("ACACACACAC",), (None,)], "s string").select(repeats.repeats_udf()(F.col("s")).alias("r")).collect()
+    assert any(x.period == 2 and x.span == 10 and x.exact for x in found[0].r) and not found[1].r
+
+
+def test_path_depths_of_both_forms_agree(spark):
+    for a in ([], [4.0], [1.0, 3.0], [5.0, 1.0, 2.0, 8.0, 4.0]):
+        r = spark.createDataFrame([(a,)], "a array<double>").select(kgraph.path_stats(F.col("a")).alias("p")).first().p
+        want = assembler.depth_stats(a)
+        assert r is None if not a else {k: None if v is None else round(v, 9) for k, v in r.asDict().items()} == {k: None if v is None else round(v, 9) for k, v in want.items()}
+
+
+def test_calls_from_alignments(spark):
+    """The places that were changed are called, in the case sample only; texts that repeat themselves may blur a few."""
+    calls = catalog.QUERIES["q_call_pipeline"](spark, SF).collect()
+    dna_ = {f"d{r.doc_id}": r.s for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", seq.dna(F.col("text")).alias("s")).collect()}
+    fields = [(r, r.line.split("\t")) for r in calls]
+    good = [r for r, f in fields if f[7] == "CASE;TYPE=SNV;LENGTH=1" and r.pos % 97 == 0 and f[3] == dna_[r.chrom][r.pos - 1] and f[4] == "T"]
+    assert len(good) > 100 and len(good) >= 0.95 * len(calls)
+    assert all(f[3] == dna_[r.chrom][r.pos - 1 : r.pos - 1 + len(f[3])] for r, f in fields)
