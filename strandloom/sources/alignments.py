@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import glob
-import gzip
 import struct
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 from pyspark.sql.types import StructType
 
+from strandloom.sources.files import open_file
+
 SCHEMA = (
     "qname string, flag int, chrom string, pos long, mapq int, cigar string, mate_chrom string, mate_pos long, tlen long, seq string, quals array<int>, tags map<string, string>"
 )
+COLUMNS = ("qname", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "tlen", "seq", "quals", "tags")
+TYPES = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string()))
+FIELDS = [pa.field(n, t) for n, t in zip(COLUMNS, TYPES)]
+# Codes, block header and last block of the format (fixed values of its specification).
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+MAGIC = b"\x1f\x8b\x08\x04"
+EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+PAIRS = [BASES[x >> 4] + BASES[x & 15] for x in range(256)]
+#: Bytes of a file that a task reads.
+SPLIT = 64 << 20
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -57,35 +71,207 @@ def samples(files: DataFrame) -> DataFrame:
     return files.withColumn("idx", F.dense_rank().over(W.orderBy("role", "sm")) - 1)  # a small dimension
 
 
-def read_bam(path: str) -> Iterator[tuple]:
-    """Rows of SCHEMA of a BAM file (BGZF is gzip with many members)."""
-    with gzip.open(path, "rb") as f:
-        if f.read(4) != b"BAM\1":
-            raise ValueError(f"{path} is no BAM file")
-        f.read(struct.unpack("<i", f.read(4))[0])
-        names = []
-        for _ in range(struct.unpack("<i", f.read(4))[0]):
-            names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode())
-            f.read(4)
-        while size := f.read(4):
-            yield _record(f.read(struct.unpack("<i", size)[0]), names)
-
+class _Blocks:
+    """Decompressed blocks of a BGZF file, one after the other, from the first block at or behind a file offset."""
+
+    def __init__(self, f, start: int):
+        self.f, self.at = f, start
+        f.seek(start)
+        self.raw = b""
+        if start:
+            self._sync()
+
+    def _fill(self, size: int) -> bool:
+        while len(self.raw) < size and (more := self.f.read(1 << 18)):
+            self.raw += more
+        return len(self.raw) >= size
+
+    def _size(self, at: int) -> int:
+        """Size of the block at a place of raw; 0 if none begins there."""
+        if not self._fill(at + 18) or self.raw[at : at + 4] != MAGIC or self.raw[at + 12 : at + 16] != b"BC\x02\x00":
+            return 0
+        return int.from_bytes(self.raw[at + 16 : at + 18], "little") + 1
+
+    def _sync(self) -> None:
+        """Go to the first block: it has a header, and another one follows it, or nothing does."""
+        self._fill(2 * (1 << 16))
+        at = self.raw.find(MAGIC)
+        while at >= 0:
+            size = self._size(at)
+            if size and (not self._fill(at + size + 1) or self._size(at + size)):
+                break
+            at = self.raw.find(MAGIC, at + 1)
+        at = len(self.raw) if at < 0 else at
+        self.raw, self.at = self.raw[at:], self.at + at
+
+    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        """File offset and data of each block that is not empty."""
+        while size := self._size(0):
+            if not self._fill(size):
+                raise ValueError("a block is cut off")
+            at, data = self.at, zlib.decompress(self.raw[18 : size - 8], -15)
+            self.raw, self.at = self.raw[size:], self.at + size
+            if data:
+                yield at, data
+        if self.raw:
+            raise ValueError("no BGZF block")
+
+
+class Bam:
+    """Records of a part of a BAM file: those that begin in blocks from start to stop (file offsets)."""
 
-def _record(b: bytes, names: list[str]) -> tuple:
+    def __init__(self, path: str):
+        self.f = open_file(path)
+        stream = _Stream(_Blocks(self.f, 0))
+        if stream.take(4) != b"BAM\1":
+            raise ValueError(f"{path} is no BAM file")
+        self.text = stream.take(stream.number()).decode()
+        self.names, self.lengths = [], []
+        for _ in range(stream.number()):
+            self.names.append(stream.take(stream.number())[:-1].decode())
+            self.lengths.append(stream.number())
+        self.first = stream
+        self.f.seek(0, 2)
+        self.size = self.f.tell()
+        self.f.seek(max(0, self.size - len(EOF)))
+        if self.f.read() != EOF:
+            raise ValueError(f"{path} does not end as a BAM file does")
+
+    def records(self, start: int = 0, stop: int | None = None) -> Iterator[bytes]:
+        stop = self.size if stop is None else stop
+        if start:
+            stream = _Stream(_Blocks(self.f, start))
+            if not stream.to_record(self._plausible):
+                return
+        else:
+            self.f.seek(self.first.blocks.at + len(self.first.blocks.raw))
+            stream = self.first
+        while (at := stream.place()) is not None and at < stop:
+            yield stream.take(stream.number())
+
+    def _plausible(self, b: bytes, at: int) -> int | None:
+        """Size of the record that may begin there; None if it can't, 0 if b ends before that is known."""
+        if at + 36 > len(b):
+            return 0
+        size, ref, pos, n_name, _, _, n_cigar, _, n_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", b, at)
+        n = len(self.names)
+        if not (-1 <= ref < n and -1 <= mate < n and pos >= -1 and mate_pos >= -1 and n_name and n_seq >= 0 and (ref < 0 or pos < self.lengths[ref])):
+            return None
+        if size < 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq:
+            return None
+        name = b[at + 36 : at + 36 + n_name]
+        if len(name) == n_name and (name[-1] or not all(33 <= x <= 126 for x in name[:-1])):
+            return None
+        return 4 + size
+
+
+class _Stream:
+    """Bytes of blocks, and the block that the next byte lies in."""
+
+    def __init__(self, blocks: _Blocks):
+        self.blocks, self.rest = blocks, iter(blocks)
+        self.data, self.starts = b"", []  # starts: (place in data, file offset of the block)
+
+    def _grow(self) -> bool:
+        block = next(self.rest, None)
+        if block is None:
+            return False
+        self.starts.append((len(self.data), block[0]))
+        self.data += block[1]
+        return True
+
+    def place(self) -> int | None:
+        """File offset of the block of the next byte; None at the end."""
+        if not self.data and not self._grow():
+            return None
+        return [at for where, at in self.starts if where <= 0][-1]
+
+    def take(self, size: int) -> bytes:
+        while len(self.data) < size:
+            if not self._grow():
+                raise ValueError("the file ends within a record")
+        out, self.data = self.data[:size], self.data[size:]
+        self.starts = [(where - size, at) for where, at in self.starts]
+        while len(self.starts) > 1 and self.starts[1][0] <= 0:
+            self.starts.pop(0)
+        if not self.data:
+            self.starts = []
+        return out
+
+    def number(self) -> int:
+        return struct.unpack("<i", self.take(4))[0]
+
+    def to_record(self, plausible, chain: int = 5) -> bool:
+        """Go to the first byte from which plausible records follow one another."""
+        at = 0
+        while True:
+            here, known = at, 0
+            while known < chain:
+                size = plausible(self.data, here)
+                if size is None:
+                    break
+                if not size or here + size > len(self.data):
+                    if self._grow():
+                        continue
+                    known = chain if size == 0 and here == len(self.data) and known else known
+                    break
+                here, known = here + size, known + 1
+            if known == chain or known and here == len(self.data):
+                self.take(at)
+                return True
+            at += 1
+            if at >= len(self.data) and not self._grow():
+                return False
+
+
+def read_bam(path: str, start: int = 0, stop: int | None = None, columns: tuple[str, ...] = COLUMNS, regions: list[tuple] | None = None, least_mapq: int = 0, without_flags: int = 0) -> Iterator[tuple]:
+    """Columns of the records of a part of a BAM file that pass: mapping quality, no such flag, and overlap with one of
+    the regions (chrom, start1, end1). Nothing else of a record that fails is decoded, nor other columns."""
+    bam = Bam(path)
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for chrom, a, b in regions or []:
+        if chrom in bam.names:
+            spans.setdefault(bam.names.index(chrom), []).append((a - 1, b))
+    last = max(((r, max(b for _, b in s)) for r, s in spans.items()), default=None)
+    ordered = "SO:coordinate" in bam.text.split("\n", 1)[0]
+    for b in bam.records(start, stop):
+        ref, pos, n_name, mapq, _, n_cigar, flag = struct.unpack_from("<iiBBHHH", b)
+        if mapq < least_mapq or flag & without_flags:
+            continue
+        if regions is not None:
+            if ordered and (last is None or ref > last[0] or (ref, pos) >= last or ref < 0):
+                return
+            if ref not in spans:
+                continue
+            units = struct.unpack_from(f"<{n_cigar}I", b, 32 + n_name)
+            end = pos + max(1, sum(u >> 4 for u in units if u & 15 in (0, 2, 3, 7, 8)))
+            if not any(pos < y and end > x for x, y in spans[ref]):
+                continue
+        yield _record(b, bam.names, columns)
+
+
+def _record(b: bytes, names: list[str], columns: tuple[str, ...]) -> tuple:
     ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
-    at = 32
-    name = b[at : at + n_name - 1].decode()
-    at += n_name
-    units = struct.unpack_from(f"<{n_cigar}I", b, at)
-    at += 4 * n_cigar
-    packed = b[at : at + (n_seq + 1) // 2]
-    at += len(packed)
-    seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in packed)[:n_seq]
-    quals = None if n_seq and b[at] == 255 else list(b[at : at + n_seq])
-    tags = dict(_tags(b[at + n_seq :]))
+    cigar_at = 32 + n_name
+    seq_at = cigar_at + 4 * n_cigar
+    qual_at = seq_at + (n_seq + 1) // 2
     of = lambda i: names[i] if i >= 0 else "*"
-    cigar = "".join(f"{u >> 4}{OPS[u & 15]}" for u in units) or "*"
-    return name, flag, of(ref), pos + 1, mapq, cigar, of(mate), mate_pos + 1, tlen, seq, quals, tags
+
+    def get(column: str):
+        match column:
+            case "qname":
+                return b[32 : cigar_at - 1].decode()
+            case "cigar":
+                return "".join(f"{u >> 4}{OPS[u & 15]}" for u in struct.unpack_from(f"<{n_cigar}I", b, cigar_at)) or "*"
+            case "seq":
+                return "".join(map(PAIRS.__getitem__, b[seq_at:qual_at]))[:n_seq]
+            case "quals":
+                return None if n_seq and b[qual_at] == 255 else list(b[qual_at : qual_at + n_seq])
+            case "tags":
+                return dict(_tags(b[qual_at + n_seq :]))
+        return {"flag": flag, "chrom": of(ref), "pos": pos + 1, "mapq": mapq, "mate_chrom": of(mate), "mate_pos": mate_pos + 1, "tlen": tlen}[column]
+
+    return tuple(map(get, columns))
 
 
 def _tags(b: bytes) -> Iterator[tuple[str, str]]:
@@ -108,8 +294,34 @@ def _tags(b: bytes) -> Iterator[tuple[str, str]]:
         yield key, value
 
 
+def bam(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS, regions: list[tuple] | None = None, least_mapq: int = 0, without_flags: int = 0, split: int = SPLIT) -> DataFrame:
+    """Columns of BAM files (path may be a pattern): a task reads split bytes of a file in Arrow batches, and decodes the
+    wanted columns of the wanted records only."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(path)
+    found = pattern.getFileSystem(conf).globStatus(pattern) or []
+    parts = [(str(x.getPath().toString()), at, at + split) for x in found for at in range(0, max(1, x.getLen()), split)]
+    fields = [f for f in FIELDS if f.name in columns]
+    columns = tuple(f.name for f in fields)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, start, stop in zip(*(c.to_pylist() for c in b.columns)):
+                yield from _batches(read_bam(file, start, stop, columns, regions, least_mapq, without_flags), fields)
+
+    rows = spark.createDataFrame(parts, "file string, start long, stop long").repartitionByRange(max(1, len(parts)), "file", "start")
+    schema = ", ".join(x for x in SCHEMA.split(", ") if x.split(" ")[0] in columns or x.startswith("string>") and "tags" in columns)
+    return rows.mapInArrow(read, schema)
+
+
+def _batches(rows: Iterator[tuple], fields: list[pa.Field], size: int = 8192) -> Iterator[pa.RecordBatch]:
+    while chunk := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in chunk], f.type) for k, f in enumerate(fields)], names=[f.name for f in fields])
+
+
 class BamDataSource(DataSource):
-    """spark.read.format("bam").load(path): a task a file; path may be a glob."""
+    """spark.read.format("bam").load(path): a task a part of a file; path may be a local pattern or a file of another
+    store. Filters on flag bits, mapping quality and chromosome are applied before a record is decoded."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,18 +334,46 @@ class BamDataSource(DataSource):
         return BamReader(self.options["path"])
 
 
+@dataclass
+class BamPart(InputPartition):
+    path: str
+    start: int
+    stop: int
+
+
 class BamReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path, self.least_mapq, self.chroms = path, 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            match f:
+                case GreaterThanOrEqual(("mapq",), int(value)):
+                    self.least_mapq = max(self.least_mapq, value)
+                case GreaterThan(("mapq",), int(value)):
+                    self.least_mapq = max(self.least_mapq, value + 1)
+                case EqualTo(("chrom",), str(value)):
+                    self.chroms = [value]
+                case _:
+                    yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))] or [InputPartition(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from read_bam(partition.value)
-
-
-def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple], header: str = "") -> None:
+        local = self.path.removeprefix("file://")
+        paths = sorted(glob.glob(local)) or [self.path]
+        out = []
+        for p in paths:
+            with open_file(p) as f:
+                f.seek(0, 2)
+                out += [BamPart(p, at, at + SPLIT) for at in range(0, max(1, f.tell()), SPLIT)]
+        return out
+
+    def read(self, partition: BamPart) -> Iterator[pa.RecordBatch]:
+        regions = [(c, 1, 1 << 31) for c in self.chroms] if self.chroms and "*" not in self.chroms else None
+        rows = read_bam(partition.path, partition.start, partition.stop, COLUMNS, regions, self.least_mapq)
+        yield from _batches((r for r in rows if not self.chroms or r[2] in self.chroms), FIELDS)
+
+
+def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple], header: str = "", block: int = 60_000) -> None:
     """A small BAM file of rows of SCHEMA, for tests and exports of a window's reads."""
     text = header.encode()
     out = [b"BAM\1", struct.pack("<i", len(text)), text, struct.pack("<i", len(contigs))]
@@ -150,5 +390,11 @@ def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple], head
         body += bytes(quals) if quals is not None else b"\xff" * len(seq)
         body += b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in (tags or {}).items())
         out += [struct.pack("<i", len(body)), body]
-    with gzip.open(path, "wb") as f:
-        f.write(b"".join(out))
+    whole = b"".join(out)
+    with open(path, "wb") as f:
+        for at in range(0, len(whole), block):
+            data = whole[at : at + block]
+            packed = zlib.compressobj(6, zlib.DEFLATED, -15)
+            body = packed.compress(data) + packed.flush()
+            f.write(MAGIC + bytes(5) + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data)))
+        f.write(EOF)

@@ -189,6 +189,35 @@ def test_sources_and_sinks(spark, tmp_path):
     assert header[0] == "##fileformat=VCFv4.5" and not any("ID=SHARED" in h for h in header) and header[-1].endswith("FORMAT\ts1")
 
 
+def test_bam_parts_regions_and_columns(spark, tmp_path):
+    random.seed(21)
+    rows, pos = [], 1
+    for i in range(3000):
+        n, pos = random.randrange(1, 300), pos + random.randrange(50)
+        chrom = ("chr1", pos) if pos < 40_000 else ("chr2", pos - 39_999)
+        rows.append((f"read{i}", 1024 * (i % 7 == 0), *chrom, random.randrange(60), f"{n}M", "chr1", 31, 24, "".join(random.choice("ACGT") for _ in range(n)), [random.randrange(40) for _ in range(n)], {"MD": str(n)}))
+    path = str(tmp_path / "x.bam")
+    alignments.write_bam(path, [("chr1", 100_000), ("chr2", 100_000)], rows, "@HD\tVN:1.6\tSO:coordinate\n", block=5000)
+    for split in (10_007, 1 << 20):
+        got = alignments.bam(spark, path, split=split).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
+    some = alignments.bam(spark, path, ("pos", "qname"), [("chr2", 100, 2000), ("chr9", 1, 5)], 20, 0x400, split=30_000)
+    assert some.columns == ["qname", "pos"]
+    want = sorted((r[0], r[3]) for r in rows if r[2] == "chr2" and r[3] <= 2000 and r[3] + len(r[9]) > 100 and r[4] >= 20 and not r[1])
+    assert sorted(map(tuple, some.collect())) == want and want
+    spark.dataSource.register(alignments.BamDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    found = spark.read.format("bam").load(path).filter("mapq >= 30 AND chrom = 'chr2' AND pos > 50")
+    assert found.count() == sum(r[4] >= 30 and r[2] == "chr2" and r[3] > 50 for r in rows)
+    data = (tmp_path / "x.bam").read_bytes()
+    (tmp_path / "cut.bam").write_bytes(data[:-40])
+    with pytest.raises(ValueError, match="does not end"):
+        alignments.Bam(str(tmp_path / "cut.bam"))
+    (tmp_path / "no.bam").write_bytes(b"text")
+    with pytest.raises(ValueError):
+        alignments.Bam(str(tmp_path / "no.bam"))
+
+
 def test_diagnostics(spark):
     base = dict.fromkeys([*(f"n_surviving_{s}" for s in diagnostics.SURVIVAL), *diagnostics.FLAGS, "is_geno_has_alt_support", "is_geno_no_overlap", "is_msa_exact_match", "is_msa_shifted", "is_msa_subsumed", "is_traversal_limited", "n_geno_reassigned_to_ref", "n_geno_reassigned_to_wrong_alt", "n_expected_alt_kmers"], 0)
     cases = {"survived": {"is_geno_has_alt_support": 1}, "geno_zero_alt_reads": {"is_msa_exact_match": 1}, "msa_not_extracted": {"hap_indices": "1"}, "no_path": {"n_surviving_tips": 3}, "pruned_at_tips": {"n_surviving_compress2": 2}, "pruned_at_lowcov1": {"n_surviving_build": 2}, "pruned_at_build": {"n_expected_alt_kmers": 4}, "graph_has_cycle": {"is_graph_cycle": 1}, "not_processed": {}}
