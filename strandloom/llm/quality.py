@@ -207,7 +207,8 @@ def judged(docs: DataFrame, refs: list[Reference] | None = None) -> Judged:
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn(base, base_counts(text))
     out = out.withColumn(failed, base_failed(F.col(base)))
-    verdict = lambda *more: F.when(F.col(failed), F.lit(False)).otherwise(fits(text, F.col(base), refs[:LANGUAGES], *more))
+    # One reference to the counts: a filter on the verdict that moves below them computes them once.
+    verdict = lambda *more: _let(F.col(base), lambda b: F.when(base_failed(b), F.lit(False)).otherwise(fits(text, b, refs[:LANGUAGES], *more)))
     if len(refs) <= LANGUAGES:
         return Judged(out.withColumn(kept, verdict()), base, failed, kept)
     rest = [(r.classes, r.words, r.shares) for r in refs[LANGUAGES:]]
