@@ -43,6 +43,12 @@ def edges(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return e.union(mirror).distinct()
 
 
+def ref_walk(refs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """key, step, node, plus: the walk of a sequence through its nodes, and on which strand it takes each."""
+    w = refs.select(key, F.posexplode(seq.stranded_kmers(F.col(text), k)).alias("step", "w"))
+    return w.select(key, "step", F.least("w.plus", "w.minus").alias("node"), (F.col("w.plus") <= F.col("w.minus")).alias("plus"))
+
+
 def merged_kmer(a: Column, b: Column, a_plus: Column, b_plus: Column, k: int) -> Column:
     """Node a with its neighbour b, which overlaps it by k - 1 bases: b's rest goes behind a where the edge leaves a's own
     strand, else before it, on the strand that fits."""

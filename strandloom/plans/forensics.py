@@ -331,3 +331,26 @@ def read_carries(spark, sf_dir):
 def flank(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", seq.flank(F.col("p_name"), F.expr("p_size % 12"), 4).alias("around"))
+
+
+@query(
+    "q_viewer_reads",
+    """
+    SELECT p_partkey AS variant_id, count(*)::BIGINT AS n, min(l_orderkey) AS first, max(l_orderkey) AS last FROM part JOIN lineitem ON p_size % 3 = l_linenumber % 3 AND l_orderkey <= p_partkey * 9 + 50 AND l_orderkey + l_suppkey % 20 >= greatest(p_partkey * 9 - 50, 1)
+    GROUP BY p_partkey""",
+)
+def viewer_reads(spark, sf_dir):
+    """Reads within fifty bases of each variant, as a viewer's windows take them."""
+    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant_id"), F.expr("p_size % 3").alias("chrom"), (F.col("p_partkey") * 9).alias("pos"))
+    a = table(spark, sf_dir, "lineitem").select(F.expr("l_linenumber % 3").alias("chrom"), F.col("l_orderkey").alias("pos"), F.expr("l_orderkey + l_suppkey % 20").alias("end"))
+    return reports.viewer_reads(v, a, 50).groupBy("variant_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@query(
+    "q_ref_walk",
+    f"""
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents), w AS (SELECT doc_id, i, substr(s, i + 1, 11) AS w FROM (SELECT doc_id, s, unnest(range(0, length(s) - 10)) AS i FROM d WHERE length(s) >= 11))
+    SELECT doc_id, i::INTEGER AS step, least(w, {RC.format('w')}) AS node, w <= {RC.format('w')} AS plus FROM w""",
+)
+def ref_walk(spark, sf_dir):
+    return kgraph.ref_walk(dna(spark, sf_dir), "doc_id", "s", K)

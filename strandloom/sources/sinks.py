@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import tempfile
+from collections.abc import Iterator
 from datetime import date
+from itertools import chain
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
 from strandloom.operators.evidence import record_text
+from strandloom.sources.files import write_file
+
+#: Hues of walks; a walk's is its number modulo this.
+PALETTE = 64
 
 INFO = {
     "SHARED": ("0", "Flag", "ALT seen in case and control samples"),
@@ -63,13 +75,45 @@ def probe_records(probes: DataFrame, records: DataFrame) -> DataFrame:
     return probes.join(records, "probe_id", "left")
 
 
-def dot_graph(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """key, dot: graphs in DOT, nodes (key, node, seq, label, cov) by colour of their role, reference edges last, so on top."""
+def dot_graph(nodes: DataFrame, edges: DataFrame, key: str, walks: DataFrame | None = None) -> DataFrame:
+    """key, dot: graphs in DOT. Nodes (key, node, seq, label, cov) have the colour of their role; edges lie above them, and
+    walks (key, walk, step, node) above all, each in one of PALETTE hues; walk 0 is the reference's, in black."""
     colour = F.when(F.col("label") == "REF", "steelblue").when(F.col("label") == "CASE", "indianred").when(F.col("label") == "CTRL", "mediumseagreen").otherwise("lightblue")
     n = nodes.select(key, F.format_string('"%s" [fillcolor="%s" style="filled" label="%s" coverage=%d];', F.col("node"), colour, F.col("seq"), F.col("cov").cast("int")).alias("line"), F.lit(0).alias("z"))
-    e = edges.select(key, F.format_string('"%s" -> "%s" [taillabel="%s" headlabel="%s"];', "src", "dst", F.when(F.col("src_plus"), "+").otherwise("-"), F.when(F.col("dst_plus"), "+").otherwise("-")).alias("line"), F.lit(1).alias("z"))
+    sign = lambda c: F.when(F.col(c), "+").otherwise("-")
+    layers = n.union(edges.select(key, F.format_string('"%s" -> "%s" [taillabel="%s" headlabel="%s"];', "src", "dst", sign("src_plus"), sign("dst_plus")).alias("line"), F.lit(1).alias("z")))
+    if walks is not None:
+        order = W.partitionBy(key, "walk").orderBy("step")
+        steps = walks.withColumn("to", F.lead("node").over(order)).filter("to IS NOT NULL").select(key, "walk", "node", "to").distinct()
+        hue = F.when(F.col("walk") == 0, F.lit("black")).otherwise(F.format_string("%.4f 0.9 0.8", (F.col("walk") % PALETTE) / F.lit(PALETTE)))
+        layers = layers.union(steps.select(key, F.format_string('"%s" -> "%s" [color="%s" penwidth=2];', F.col("node"), F.col("to"), hue).alias("line"), F.lit(2).alias("z")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "line"))), lambda x: x["line"]), "\n")
-    return n.union(e).groupBy(key).agg(F.concat(F.lit("strict digraph G {\n"), body, F.lit("\n}")).alias("dot"))
+    return layers.groupBy(key).agg(F.concat(F.lit("strict digraph G {\n"), body, F.lit("\n}")).alias("dot"))
+
+
+def write_archive(texts: DataFrame, folder: str) -> DataFrame:
+    """Write texts (name, text) into one tar.gz a task, and return path, n of each; archives that are written one after
+    the other into one file can be read as one (tar's -i). A task that runs twice leaves one whole archive."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((n, t) for b in batches for n, t in zip(b.column("name").to_pylist(), b.column("text").to_pylist()))
+        first = next(rows, None)
+        if first is None:
+            return
+        path, count = f"{folder}/shard-{TaskContext.get().partitionId():06d}.tar.gz", 0
+        with tempfile.TemporaryFile() as out:  # a task's own, gone with the task; the archive goes to the folder whole
+            with tarfile.open(fileobj=out, mode="w:gz") as tar:
+                for name, text in chain([first], rows):
+                    data = (text or "").encode()
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+                    count += 1
+            out.seek(0)
+            write_file(path, iter(lambda: out.read(1 << 20), b""))
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], names=["path", "n"])
+
+    return texts.select("name", "text").mapInArrow(write, "path string, n long")
 
 
 def gfa(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str, k: int) -> DataFrame:

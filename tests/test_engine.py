@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import os
 import random
+import tarfile
 
 import duckdb
 import numpy as np
@@ -326,6 +327,16 @@ def test_graph_texts_and_reports(spark, tmp_path):
     edges = spark.createDataFrame([(1, "n1", "n2", True, False)], "g long, src string, dst string, src_plus boolean, dst_plus boolean")
     dot = sinks.dot_graph(nodes, edges, "g").first().dot
     assert dot.splitlines()[0] == "strict digraph G {" and '"n1" -> "n2" [taillabel="+" headlabel="-"];' in dot and dot.index("n2\" [fill") < dot.index("->")
+    walks = spark.createDataFrame([(1, 0, 0, "n1"), (1, 0, 1, "n2"), (1, 65, 0, "n2"), (1, 65, 1, "n1")], "g long, walk int, step int, node string")
+    layered = sinks.dot_graph(nodes, edges, "g", walks).first().dot.splitlines()
+    assert layered[-3:] == ['"n1" -> "n2" [color="black" penwidth=2];', '"n2" -> "n1" [color="0.0156 0.9 0.8" penwidth=2];', "}"]
+    texts = spark.createDataFrame([(f"g{i}.dot", f"text {i}") for i in range(7)] + [("none.dot", None)], "name string, text string").repartition(3)
+    shards = sinks.write_archive(texts, str(tmp_path / "shards")).collect()
+    found = {}
+    for r in shards:
+        with tarfile.open(r.path) as tar:
+            found |= {m.name: tar.extractfile(m).read().decode() for m in tar.getmembers()}
+    assert found == {r.name: r.text or "" for r in texts.collect()} and sum(r.n for r in shards) == 8
     paths = spark.createDataFrame([(1, "p", ["n1+", "n2-"])], "g long, name string, steps array<string>")
     assert sinks.gfa(nodes, edges, paths, "g", 3).first().gfa.splitlines() == ["H\tVN:Z:1.0", "S\tn1\tACG", "S\tn2\tCGT", "L\tn1\t+\tn2\t-\t2M", "P\tp\tn1+,n2-\t*"]
     rows = spark.createDataFrame([(1, 2, "b", "AC-"), (1, 1, "a", "ACG")], "g long, ord int, name string, seq string")
@@ -404,3 +415,13 @@ def test_calls_from_alignments(spark):
     good = [r for r, f in fields if f[7] == "CASE;TYPE=SNV;LENGTH=1" and r.pos % 97 == 0 and f[3] == dna_[r.chrom][r.pos - 1] and f[4] == "T"]
     assert len(good) > 100 and len(good) >= 0.95 * len(calls)
     assert all(f[3] == dna_[r.chrom][r.pos - 1 : r.pos - 1 + len(f[3])] for r, f in fields)
+
+
+def test_probes_are_tracked_to_their_calls(spark):
+    """What survives is called; what is not processed lies in a window that says why."""
+    stages = {r.probe_id: r.lost_at_stage for r in catalog.QUERIES["q_probe_tracking"](spark, SF).collect()}
+    called = {int(r.chrom[1:]) * 1_000_000 + r.pos for r in catalog.QUERIES["q_call_pipeline"](spark, SF).collect()}
+    survived = {p for p, s in stages.items() if s == "survived"}
+    assert set(stages.values()) <= set(diagnostics.STAGES) and len(survived) > 100
+    assert len(survived - called) <= 0.05 * len(survived)
+    assert {s for p, s in stages.items() if p in called} <= {"survived", "geno_zero_alt_reads", "msa_shifted", "msa_not_extracted"} | {s for s in stages.values() if s.startswith(("not_processed", "pruned", "no_path"))}
