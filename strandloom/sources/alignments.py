@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import glob
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 from pyspark.sql.types import StructType
 
-from strandloom.sources.files import open_file
+from strandloom.sources.files import open_file, write_file
 
 SCHEMA = (
     "qname string, flag int, chrom string, pos long, mapq int, cigar string, mate_chrom string, mate_pos long, tlen long, seq string, quals array<int>, tags map<string, string>"
@@ -373,28 +375,66 @@ class BamReader(DataSourceReader):
         yield from _batches((r for r in rows if not self.chroms or r[2] in self.chroms), FIELDS)
 
 
+def write_bams(rows: DataFrame, folder: str, contigs: list[tuple[str, int]], header: str = "") -> DataFrame:
+    """Write alignments (columns of SCHEMA), in the order that they have in their tasks, as one BAM file a task: path, n.
+
+    A file is made block by block and takes its name when it is whole.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in COLUMNS)))
+        first, count = next(each, None), 0
+        if first is None:
+            return
+        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.bam"
+
+        def counted() -> Iterator[tuple]:
+            nonlocal count
+            for r in chain([first], each):
+                count += 1
+                yield r
+
+        write_file(path, bam_bytes(contigs, counted(), header))
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], names=["path", "n"])
+
+    return rows.select(*COLUMNS).mapInArrow(write, "path string, n long")
+
+
 def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple], header: str = "", block: int = 60_000) -> None:
     """A small BAM file of rows of SCHEMA, for tests and exports of a window's reads."""
-    text = header.encode()
-    out = [b"BAM\1", struct.pack("<i", len(text)), text, struct.pack("<i", len(contigs))]
-    number = {n: i for i, (n, _) in enumerate(contigs)}
-    for n, length in contigs:
-        out += [struct.pack("<i", len(n) + 1), n.encode() + b"\0", struct.pack("<i", length)]
-    import re
-
-    for name, flag, chrom, pos, mapq, cigar, mate, mate_pos, tlen, seq, quals, tags in rows:
-        units = [(int(n) << 4) | OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-        codes = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
-        body = struct.pack("<iiBBHHHiiii", number.get(chrom, -1), pos - 1, len(name) + 1, mapq, 0, len(units), flag, len(seq), number.get(mate, -1), mate_pos - 1, tlen)
-        body += name.encode() + b"\0" + struct.pack(f"<{len(units)}I", *units) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-        body += bytes(quals) if quals is not None else b"\xff" * len(seq)
-        body += b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in (tags or {}).items())
-        out += [struct.pack("<i", len(body)), body]
-    whole = b"".join(out)
-    with open(path, "wb") as f:
-        for at in range(0, len(whole), block):
-            data = whole[at : at + block]
-            packed = zlib.compressobj(6, zlib.DEFLATED, -15)
-            body = packed.compress(data) + packed.flush()
-            f.write(MAGIC + bytes(5) + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data)))
-        f.write(EOF)
+    write_file(path, bam_bytes(contigs, rows, header, block))
+
+
+def bam_bytes(contigs: list[tuple[str, int]], rows: Iterable[tuple], header: str = "", block: int = 60_000) -> Iterator[bytes]:
+    """Blocks of a BAM file."""
+    data = bytearray()
+    for x in chain([_bam_header(contigs, header)], (_bam_record(r, {n: i for i, (n, _) in enumerate(contigs)}) for r in rows)):
+        data += x
+        while len(data) >= block:
+            yield _bgzf(bytes(data[:block]))
+            del data[:block]
+    if data:
+        yield _bgzf(bytes(data))
+    yield EOF
+
+
+def _bgzf(data: bytes) -> bytes:
+    packed = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packed.compress(data) + packed.flush()
+    return MAGIC + bytes(5) + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _bam_header(contigs: list[tuple[str, int]], header: str) -> bytes:
+    named = b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in contigs)
+    return b"BAM\1" + struct.pack("<i", len(header.encode())) + header.encode() + struct.pack("<i", len(contigs)) + named
+
+
+def _bam_record(row: tuple, number: dict[str, int]) -> bytes:
+    name, flag, chrom, pos, mapq, cigar, mate, mate_pos, tlen, seq, quals, tags = row
+    units = [(int(n) << 4) | OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    codes = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
+    body = struct.pack("<iiBBHHHiiii", number.get(chrom, -1), pos - 1, len(name) + 1, mapq, 0, len(units), flag, len(seq), number.get(mate, -1), mate_pos - 1, tlen)
+    body += name.encode() + b"\0" + struct.pack(f"<{len(units)}I", *units) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
+    body += bytes(quals) if quals is not None else b"\xff" * len(seq)
+    body += b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in dict(tags or {}).items())
+    return struct.pack("<i", len(body)) + body

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq
 from strandloom.operators.evidence import record_text
-from strandloom.sources.files import write_file
+from strandloom.sources.files import open_file, write_file
 
 #: Hues of walks; a walk's is its number modulo this.
 PALETTE = 64
@@ -116,6 +116,31 @@ def write_archive(texts: DataFrame, folder: str) -> DataFrame:
     return texts.select("name", "text").mapInArrow(write, "path string, n long")
 
 
+def read_archives(shards: DataFrame) -> DataFrame:
+    """name, text of the archives of write_archive()."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for b in batches for p in b.column("path").to_pylist()):
+            with open_file(path) as f, tarfile.open(fileobj=f, mode="r:gz") as tar:
+                for m in tar:
+                    yield pa.RecordBatch.from_arrays([pa.array([m.name]), pa.array([tar.extractfile(m).read().decode()])], names=["name", "text"])
+
+    return shards.select("path").mapInArrow(read, "name string, text string")
+
+
+def write_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """Write texts (name, text) as files of a folder: path of each. Whoever writes a file twice leaves it whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = [f"{folder}/{n}" for n in b.column("name").to_pylist()]
+            for path, t in zip(paths, b.column("text").to_pylist()):
+                write_file(path, [(t or "").encode()])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return texts.select("name", "text").mapInArrow(write, "path string")
+
+
 def gfa(nodes: DataFrame, edges: DataFrame, paths: DataFrame, key: str, k: int) -> DataFrame:
     """key, gfa: version 1 with S, L and P lines; nodes (node, seq), edges as of kgraph, paths (name, steps)."""
     sign = lambda c: F.when(F.col(c), "+").otherwise("-")
