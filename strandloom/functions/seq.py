@@ -328,6 +328,11 @@ def scan_passes(flag: Column, mapq: Column) -> Column:
     return ~has_flag(flag, "qc_fail", "duplicate", "unmapped") & (mapq != 0)
 
 
+def starts_in(chrom: Column, pos: Column, region_chrom: Column, start1: Column, end1: Column) -> Column:
+    """Does an alignment, or its mate, begin in a region? Where it ends does not matter."""
+    return (chrom == region_chrom) & pos.between(start1, end1)
+
+
 def soft_clipped(units: Column, read_length: Column) -> Column:
     return cigar_span(units, "S") / read_length >= 0.06
 

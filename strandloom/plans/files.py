@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq
 from strandloom.operators import evidence as ev
+from strandloom.operators import local_assembly as la
 from strandloom.plans.registry import query
 from strandloom.plans.sequences import DNA, dna
 from strandloom.session import ship, table
@@ -317,3 +318,73 @@ def vcf_records(spark, sf_dir):
     f = spark.read.text(path).filter("NOT startswith(value, '#')").select(F.split("value", "\t").alias("f"))
     field = lambda k: F.concat_ws(" ", *(F.split(F.col("f")[c], ":")[k] for c in (9, 10)))
     return f.select(F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alts"), F.col("f")[7].alias("info"), field(1).alias("ads"), field(4).alias("dps"))
+
+
+HEADER = "concat_ws('\\t', '@RG', concat('ID:', n_nationkey), concat('SM:', n_name), 'PL:x')"
+
+
+@query("q_header_contigs", "SELECT n_name AS chrom, (n_nationkey * 10 + 5)::BIGINT AS length, CASE WHEN n_nationkey % 3 < 2 THEN (n_nationkey * 10 + 5 + n_nationkey % 3)::BIGINT END AS expected FROM nation WHERE n_nationkey % 3 > 0")
+def header_contigs(spark, sf_dir):
+    """Contigs of a header that a reference lacks or has at another length."""
+    n = table(spark, sf_dir, "nation")
+    path = written(n.select(F.expr("concat('@SQ\\tSN:', n_name, '\\tLN:', n_nationkey * 10 + 5)").alias("value")), "sam")
+    reference = n.filter("n_nationkey % 3 < 2").select(F.col("n_name").alias("chrom"), F.expr("bigint(n_nationkey * 10 + 5 + n_nationkey % 3)").alias("length"))
+    return text.contigs_agree(alignments.header_contigs(spark, path), reference)
+
+
+@query("q_sample_names", "SELECT (SELECT n_name FROM nation WHERE n_nationkey = 7) AS sm, true AS has_md, (SELECT count(*) FROM lineitem WHERE l_linenumber % 2 = 0)::BIGINT AS with_number")
+def sample_names(spark, sf_dir):
+    """The sample of a file's read groups, whether its reads carry MD, and how many have a tag that is a number."""
+    n = table(spark, sf_dir, "nation").filter("n_nationkey = 7").select(F.expr(HEADER).alias("value"))
+    reads = line_reads(spark, sf_dir).withColumn("tags", F.map_concat("tags", F.create_map(F.lit("XN"), F.expr("if(flag / 16 % 2 = 0, '7', 'x')"))))
+    path = written(n.union(n).union(reads.select(sinks.sam_line())), "sam")
+    rows = alignments.sam(spark, path)
+    numbers = rows.agg(F.count(alignments.tag("XN", "bigint")).alias("with_number"))
+    return alignments.sample_name(spark, path).withColumn("has_md", F.lit(alignments.has_md(rows))).crossJoin(numbers)  # one row each
+
+
+@query("q_profile", "SELECT p_name AS name, p_size / 10.0 AS flat_sec, p_size / 4.0 AS cum_pct, p_name IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0) AS told FROM part")
+def profiles(spark, sf_dir):
+    """A profiler's text and its history in JSON lines, joined by name."""
+    p = table(spark, sf_dir, "part")
+    lines = p.select(F.expr("concat('   ', p_size / 10D, 's  1.50%  2.00%  ', p_size / 2D, 's ', p_size / 4D, '%  ', p_name)").alias("value"))
+    now = text.profile(spark, written(spark.createDataFrame([("Showing nodes",)], "value string").union(lines), "profile"))
+    told = p.filter("p_partkey % 2 = 0").select(F.to_json(F.struct(F.lit("run").alias("label"), F.lit("d").alias("day"), F.array(F.struct(F.col("p_name").alias("name"), F.lit(1.0).alias("flat_sec"))).alias("entries"))).alias("value"))
+    history = text.profile_history(spark, written(told.union(spark.createDataFrame([("no json",)], "value string")), "history"))
+    names = history.select(F.explode("entries.name").alias("name")).distinct().withColumn("told", F.lit(True))
+    # Names repeat in the table, and so they do in the file.
+    return now.join(names, "name", "left").select("name", "flat_sec", "cum_pct", F.coalesce("told", F.lit(False)).alias("told"))
+
+
+@query(
+    "q_outcomes",
+    f"""
+    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'NNN' ELSE {DNA} END AS s FROM documents),
+    k AS (SELECT doc_id, s, CASE WHEN length(s) >= 19 THEN list_transform(range(1, length(s) - 17), lambda i: substr(s, i, 19)) ELSE []::VARCHAR[] END AS w FROM d)
+    SELECT doc_id AS window_id, CASE WHEN NOT regexp_matches(s, '[ACGT]') THEN 'SKIPPED_NONLY_REF_BASES' WHEN len(list_distinct(w)) < len(w) THEN 'SKIPPED_REF_REPEAT_SEEN' WHEN doc_id % 5 = 0 THEN 'SKIPPED_INACTIVE_REGION'
+        WHEN doc_id % 7 < 2 THEN 'SKIPPED_ANCHOR_COVERAGE' WHEN doc_id % 2 = 0 THEN 'SKIPPED_NOASM_HAPLOTYPE' ELSE 'FOUND_GENOTYPED_VARIANT' END AS win_status FROM k""",
+)
+def window_status_of_texts(spark, sf_dir):
+    """The first reason for which a window gives no call, over texts as windows."""
+    d = dna(spark, sf_dir).select(F.col("doc_id").alias("window_id"), F.when(F.col("doc_id") % 9 == 0, "NNN").otherwise(F.col("s")).alias("ref_seq"))
+    coverage = d.select("window_id", F.explode(F.array(F.expr("window_id % 7 * 1.5D"), F.expr("window_id % 7 * 1.0D"))).alias("window_cov"))
+    return la.outcomes(d, d.filter("window_id % 5 <> 0"), coverage, d.filter("window_id % 2 = 1"), 19)
+
+
+@query(
+    "q_read_parts",
+    """
+    SELECT p_partkey, NOT contains(substr(p_brand || p_brand, 2, 2 * length(p_brand)::INT - 2), p_brand) AS primitive, p_size % 5 + 1 AS first_clip, (p_partkey + p_size + 12)::INT AS last_at, p_size % 3 = 1 AND p_partkey BETWEEN 10 AND 900 AS starts,
+        (length(p_name) - length(replace(p_name, 'e', '')) + 3)::INT AS nm FROM part""",
+)
+def read_parts(spark, sf_dir):
+    """Primitive motifs, soft clips, overlap by the start only, and edit distance by CIGAR: a name against itself with one
+    letter changed throughout, two bases inserted and one deleted behind it."""
+    units = seq.cigar_units(F.expr("concat(p_size % 5 + 1, 'S', p_size + 10, 'M3I2D4S')"))
+    p = table(spark, sf_dir, "part").withColumn("clips", seq.soft_clips(units, F.col("p_partkey")))
+    whole = seq.cigar_units(F.expr("concat(length(p_name), 'M2I1D')"))
+    nm = seq.edit_distance(whole, F.concat(F.translate("p_name", "e", "#"), F.lit("xx")), F.concat("p_name", F.lit("y")))
+    return p.select(
+        "p_partkey", seq.primitive(F.col("p_brand")).alias("primitive"), F.col("clips")[0]["size"].alias("first_clip"), F.col("clips")[1]["genome_pos"].alias("last_at"),
+        seq.starts_in(F.expr("p_size % 3"), F.col("p_partkey"), F.lit(1), F.lit(10), F.lit(900)).alias("starts"), nm.alias("nm"),
+    )

@@ -12,7 +12,7 @@ from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 from pyspark.sql.types import StructType
@@ -66,6 +66,12 @@ def has_md(rows: DataFrame, peek: int = 1001) -> bool:
     return bool(rows.limit(peek).agg(F.max(F.map_contains_key("tags", "MD"))).head()[0])
 
 
+def tag(name: str, kind: str = "string") -> Column:
+    """An optional field as string, bigint or double; null where it is missing or of another kind."""
+    value = F.try_element_at("tags", F.lit(name))
+    return value if kind == "string" else value.try_cast(kind)
+
+
 def samples(files: DataFrame) -> DataFrame:
     """files(path, role, sm) with a dense index by role and name."""
     from pyspark.sql import Window as W

@@ -193,3 +193,27 @@ def input_spec(spec: Column) -> Column:
 
 def cloud_uri(path: Column) -> Column:
     return path.rlike("^(gs|s3|https?|ftps?)://")
+
+
+def reachable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths (or patterns), any store's that Spark knows; raises before a job starts if one holds nothing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        pattern = jvm.org.apache.hadoop.fs.Path(p)
+        if not pattern.getFileSystem(conf).globStatus(pattern):
+            raise FileNotFoundError(p)
+    return paths
+
+
+def profile(spark: SparkSession, path: str) -> DataFrame:
+    """flat_sec, flat_pct, sum_pct, cum_sec, cum_pct, name of a profiler's text output."""
+    p = r"^\s*([\d.]+)s\s+([\d.]+)%\s+([\d.]+)%\s+([\d.]+)s\s+([\d.]+)%\s+(.+?)\s*$"
+    names = ["flat_sec", "flat_pct", "sum_pct", "cum_sec", "cum_pct"]
+    numbers = [F.regexp_extract("value", p, k + 1).cast("double").alias(n) for k, n in enumerate(names)]
+    return spark.read.text(path).filter(F.col("value").rlike(p)).select(*numbers, F.regexp_extract("value", p, 6).alias("name"))
+
+
+def profile_history(spark: SparkSession, path: str) -> DataFrame:
+    """label, day, entries (name, flat_sec) of a history with a JSON object a line; lines that are none are passed over."""
+    rows = spark.read.schema("label string, day string, entries array<struct<name: string, flat_sec: double>>, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    return rows.filter("broken IS NULL").drop("broken")
