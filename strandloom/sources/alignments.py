@@ -329,7 +329,8 @@ def _batches(rows: Iterator[tuple], fields: list[pa.Field], size: int = 8192) ->
 
 class BamDataSource(DataSource):
     """spark.read.format("bam").load(path): a task a part of a file; path may be a local pattern or a file of another
-    store. Filters on flag bits, mapping quality and chromosome are applied before a record is decoded."""
+    store. With option("pushdown", "true"), which needs spark.sql.python.filterPushdown.enabled, filters on mapping quality
+    and chromosome are applied before a record is decoded."""
 
     @classmethod
     def name(cls) -> str:
@@ -339,7 +340,7 @@ class BamDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return BamReader(self.options["path"])
+        return (FilteringBamReader if self.options.get("pushdown") == "true" else BamReader)(self.options["path"])
 
 
 @dataclass
@@ -353,18 +354,6 @@ class BamReader(DataSourceReader):
     def __init__(self, path: str):
         self.path, self.least_mapq, self.chroms = path, 0, None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            match f:
-                case GreaterThanOrEqual(("mapq",), int(value)):
-                    self.least_mapq = max(self.least_mapq, value)
-                case GreaterThan(("mapq",), int(value)):
-                    self.least_mapq = max(self.least_mapq, value + 1)
-                case EqualTo(("chrom",), str(value)):
-                    self.chroms = [value]
-                case _:
-                    yield f
-
     def partitions(self) -> list[InputPartition]:
         local = self.path.removeprefix("file://")
         paths = sorted(glob.glob(local)) or [self.path]
@@ -381,6 +370,20 @@ class BamReader(DataSourceReader):
         yield from _batches((r for r in rows if not self.chroms or r[2] in self.chroms), FIELDS)
 
 
+class FilteringBamReader(BamReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            match f:
+                case GreaterThanOrEqual(("mapq",), int(value)):
+                    self.least_mapq = max(self.least_mapq, value)
+                case GreaterThan(("mapq",), int(value)):
+                    self.least_mapq = max(self.least_mapq, value + 1)
+                case EqualTo(("chrom",), str(value)):
+                    self.chroms = [value]
+                case _:
+                    yield f
+
+
 def write_bams(rows: DataFrame, folder: str, contigs: list[tuple[str, int]], header: str = "") -> DataFrame:
     """Write alignments (columns of SCHEMA), in the order that they have in their tasks, as one BAM file a task: path, n.
 

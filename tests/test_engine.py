@@ -208,7 +208,7 @@ def test_bam_parts_regions_and_columns(spark, tmp_path):
     assert sorted(map(tuple, some.collect())) == want and want
     spark.dataSource.register(alignments.BamDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    found = spark.read.format("bam").load(path).filter("mapq >= 30 AND chrom = 'chr2' AND pos > 50")
+    found = spark.read.format("bam").option("pushdown", "true").load(path).filter("mapq >= 30 AND chrom = 'chr2' AND pos > 50")
     assert found.count() == sum(r[4] >= 30 and r[2] == "chr2" and r[3] > 50 for r in rows)
     data = (tmp_path / "x.bam").read_bytes()
     (tmp_path / "cut.bam").write_bytes(data[:-40])
