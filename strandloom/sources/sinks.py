@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import tarfile
-import tempfile
 from collections.abc import Iterator
 from datetime import date
 from itertools import chain
@@ -91,26 +90,52 @@ def dot_graph(nodes: DataFrame, edges: DataFrame, key: str, walks: DataFrame | N
     return layers.groupBy(key).agg(F.concat(F.lit("strict digraph G {\n"), body, F.lit("\n}")).alias("dot"))
 
 
+class _Pieces:
+    """What a writer has written and nobody has taken yet."""
+
+    def __init__(self):
+        self.held: list[bytes] = []
+
+    def write(self, data: bytes) -> int:
+        self.held.append(bytes(data))
+        return len(data)
+
+    def taken(self) -> Iterator[bytes]:
+        held, self.held = self.held, []
+        yield from held
+
+
+def _archive(rows: Iterator[tuple[str, str | None]]) -> Iterator[bytes]:
+    """A tar.gz of texts, piece by piece."""
+    pieces = _Pieces()
+    with tarfile.open(fileobj=pieces, mode="w|gz") as tar:
+        for name, text in rows:
+            data = (text or "").encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+            yield from pieces.taken()
+    yield from pieces.taken()
+
+
 def write_archive(texts: DataFrame, folder: str) -> DataFrame:
     """Write texts (name, text) into one tar.gz a task, and return path, n of each; archives that are written one after
     the other into one file can be read as one (tar's -i). A task that runs twice leaves one whole archive."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((n, t) for b in batches for n, t in zip(b.column("name").to_pylist(), b.column("text").to_pylist()))
-        first = next(rows, None)
+        first, count = next(rows, None), 0
         if first is None:
             return
-        path, count = f"{folder}/shard-{TaskContext.get().partitionId():06d}.tar.gz", 0
-        with tempfile.TemporaryFile() as out:  # a task's own, gone with the task; the archive goes to the folder whole
-            with tarfile.open(fileobj=out, mode="w:gz") as tar:
-                for name, text in chain([first], rows):
-                    data = (text or "").encode()
-                    info = tarfile.TarInfo(name)
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-                    count += 1
-            out.seek(0)
-            write_file(path, iter(lambda: out.read(1 << 20), b""))
+        path = f"{folder}/shard-{TaskContext.get().partitionId():06d}.tar.gz"
+
+        def counted() -> Iterator[tuple[str, str | None]]:
+            nonlocal count
+            for r in chain([first], rows):
+                count += 1
+                yield r
+
+        write_file(path, _archive(counted()))
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], names=["path", "n"])
 
     return texts.select("name", "text").mapInArrow(write, "path string, n long")
