@@ -87,8 +87,12 @@ def repeat_words(words: Column) -> Column:
         twice = _let(pairs, lambda s: _let(marked(s), covered))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(twice)
 
-    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-    return F.when(F.size(words) < 2 * WINDOW - WINDOW + 1, F.lit(0)).otherwise(_let(words, lambda w: _let(windows(w), counted)))
+    def windows(hashes: Column) -> Column:
+        """Each window's hash, of its words' hashes."""
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))
+
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(_let(hashes, lambda x: _let(windows(x), counted)))
 
 
 def dup_lines(text: Column) -> Column:
