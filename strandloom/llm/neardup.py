@@ -2,7 +2,7 @@
 
 A document is the set of its five-word shingles (words are runs of word characters, in lower case; a
 shorter text is one shingle). A shingle weighs its count times its smoothed inverse document frequency
-1 + ln((1 + N) / (1 + df)) / ln(1 + N): 2 where no other document has it, 1 where all have it. The scale is
+1 + ln((1 + N) / (1 + df)) / ln(1 + N), in LEVELS levels: 2 where no other document has it, 1 where all have it. The scale is
 kept this even on purpose: with an unscaled logarithm a large group of near copies, whose common shingles
 have a high df, would fall apart at its few edited words. df counts all documents, in a count-mean-min
 sketch of SKETCH_ROWS rows of 2**SKETCH_BITS slots, so what is sent to tasks is bounded whatever the corpus;
@@ -54,7 +54,9 @@ SMALL, RATIO = 8, 1.03
 #: Members of a leader that one task compares at once.
 CHUNK = 512
 #: Entries of a worker's cache of word hashes; shingles sampled at once; table of random triples.
-CACHE, STEP, TRIPLES = 500_000, 4096, 1 << 16
+CACHE, STEP, TRIPLES = 500_000, 4096, 1 << 15
+#: Levels of idf, evenly from 1 to 2.
+LEVELS = 32
 WORD = re.compile(r"\w+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,41 +107,65 @@ def slots(found: np.ndarray) -> list[np.ndarray]:
 
 
 def codes(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """idf above 1 in 255ths: that of the least of the sketch's counts."""
+    """Level of idf, from 0 for 1 to LEVELS - 1 for 2: that of the least of the sketch's counts."""
     return np.maximum.reduce([idf[r][at] for r, at in enumerate(slots(found))])
 
 
 def shingles(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes in ascending order, their counts and their weights."""
     found, count = shingle_counts(text)
-    return found, count, (count * (1 + codes(found, idf) / np.float32(255))).astype(np.float32)
+    return found, count, weights(count, codes(found, idf))
+
+
+def weights(count: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return (count * (1 + code / np.float32(LEVELS - 1))).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
 def _triples() -> tuple[np.ndarray, ...]:
-    """Random r ~ Gamma(2,1), ln c with c ~ Gamma(2,1), b ~ U(0,1) by slot, and a multiplier a sample."""
+    """Random r ~ Gamma(2,1), ln c with c ~ Gamma(2,1), b ~ U(0,1) by slot; what they give a shingle that occurs once,
+    level by level of its idf; and a multiplier a sample."""
     g = np.random.default_rng(11)
-    r, c = g.gamma(2.0, size=TRIPLES), g.gamma(2.0, size=TRIPLES)
+    r, c = g.gamma(2.0, size=TRIPLES), np.log(g.gamma(2.0, size=TRIPLES))
     odd = g.integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return r.astype(np.float32), np.log(c).astype(np.float32), g.random(TRIPLES, dtype=np.float32), odd
+    r, c, b = r.astype(np.float32), c.astype(np.float32), g.random(TRIPLES, dtype=np.float32)
+    value, level = _sampled(weights(np.int64(1), np.arange(LEVELS))[:, None], r, c, b)
+    return r, c, b, value.ravel(), level.ravel(), odd
+
 
+def _sampled(weight: np.ndarray, r: np.ndarray, c: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the sampling value of each weight, and its level: the smallest value is the sample."""
+    t = np.floor(np.log(weight) / r + b)
+    return c - r * (t - b + 1), t.astype(np.int64)
 
-def band_keys(found: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Keys of the bands: consistent weighted samples (shingle, level), ROWS to a key."""
-    r_of, c_of, b_of, odd = _triples()
-    k = len(odd)
+
+def band_keys(found: np.ndarray, count: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Keys of the bands: consistent weighted samples (shingle, level), ROWS to a key.
+
+    Shingles that occur once look up what their slot and idf give; the others, which are few, are computed.
+    """
+    r_of, c_of, b_of, value_of, level_of, odd = _triples()
+    k, width = len(odd), np.uint64(TRIPLES)
     least, which, level = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.int64)
-    column = np.arange(k)
+    column, shift = np.arange(k), np.uint64(64 - (TRIPLES - 1).bit_length())
     for at in range(0, len(found), STEP):
         s = found[at : at + STEP]
-        slot = ((s[:, None] * odd) >> np.uint64(48)).astype(np.intp)
-        r, b = r_of[slot], b_of[slot]
-        t = np.floor(np.log(weight[at : at + STEP])[:, None] / r + b)
-        a = c_of[slot] - r * (t - b + 1)
-        row = a.argmin(axis=0)
-        better = a[row, column] < least
-        least = np.where(better, a[row, column], least)
-        which, level = np.where(better, s[row], which), np.where(better, t[row, column].astype(np.int64), level)
+        slot = odd[:, None] * s
+        slot >>= shift
+        many = np.flatnonzero(count[at : at + STEP] > 1)
+        here = slot[:, many].view(np.int64)
+        slot += code[at : at + STEP].astype(np.uint64) * width
+        value = np.take(value_of, slot.view(np.int64))
+        if len(many):
+            value[:, many], levels = _sampled(weights(count[at + many], code[at + many]), r_of[here], c_of[here], b_of[here])
+        row = value.argmin(axis=1)
+        best, t = value[column, row], level_of[slot[column, row].view(np.int64)]
+        if len(many):
+            place = np.searchsorted(many, row)
+            own = (place < len(many)) & (many[np.minimum(place, len(many) - 1)] == row)
+            t[own] = levels[column[own], place[own]]
+        better = best < least
+        least, which, level = np.where(better, best, least), np.where(better, s[row], which), np.where(better, t, level)
     sample = mix(which ^ mix(level.view(np.uint64) * PRIME)).reshape(BANDS, ROWS)
     key = np.zeros(BANDS, np.uint64)
     for j in range(ROWS):
@@ -159,7 +185,7 @@ def similarity(a: tuple, b: tuple) -> float:
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
-    """Smoothed idf by slot of the sketch, of all documents, in 255ths above 1: SKETCH_ROWS << SKETCH_BITS bytes."""
+    """Level of the smoothed idf by slot of the sketch, of all documents: SKETCH_ROWS << SKETCH_BITS bytes."""
     size, piece = 1 << SKETCH_BITS, 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +230,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
             table[k] = np.frombuffer(data, np.int64)
     table = table.reshape(SKETCH_ROWS, size)
     table = np.maximum(1, table - table.sum(axis=1, keepdims=True) / size)  # less the other shingles of a slot, on average
-    return np.clip(np.round(255 * np.log((1 + n) / (1 + table)) / np.log(2 + n)), 0, 255).astype(np.uint8)
+    return np.clip(np.round((LEVELS - 1) * np.log((1 + n) / (1 + table)) / np.log(2 + n)), 0, LEVELS - 1).astype(np.uint8)
 
 
 def keyed(docs: DataFrame, k1: str, k2: str) -> DataFrame:
@@ -220,10 +246,10 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for b in batches:
             digests, bands = [], []
             for text in b.column("text").to_pylist():
-                found, count, weight = shingles(text, idf)
+                found, count = shingle_counts(text)
                 if len(found):
                     digests.append(xxhash.xxh3_128_digest(found.tobytes() + count.tobytes()))
-                    bands.append(band_keys(found, weight))
+                    bands.append(band_keys(found, count, codes(found, idf)))
                 else:
                     digests.append(xxhash.xxh3_128_digest(b"text" + text.encode("utf-8", "surrogatepass")))
                     bands.append(None)
@@ -290,7 +316,7 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, idf: np.ndarray, threshold
         for b in batches:
             for node, label, text in zip(*(b.column(c).to_pylist() for c in ("node", "label", "text"))):
                 found, _, weight = shingles(text, idf)
-                keys, sides = prefixes(found, weight, 255 - codes(found, idf), threshold)  # rare shingles first
+                keys, sides = prefixes(found, weight, LEVELS - codes(found, idf), threshold)  # rare shingles first
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sides), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), label))], names=["key", "side", "node", "label"])
 
     rows = scratch.stored(texts.join(labels, "node").select("node", "label", "text").mapInArrow(emit, "key long, side byte, node long, label long"), "prefixes")

@@ -190,17 +190,17 @@ def test_document_frequencies_follow_the_sketch(spark):
     idf = neardup.idf_table(spark.createDataFrame([(t,) for t in texts], "text string"))
     for text, df in (("a b c d e", 40), ("f g h i j", 5), ("x3 y z u v", 1)):
         code = neardup.codes(neardup.shingle_counts(text)[0], idf)
-        assert code.tolist() == [round(255 * np.log(101 / (1 + df)) / np.log(102))]
+        assert code.tolist() == [round((neardup.LEVELS - 1) * np.log(101 / (1 + df)) / np.log(102))]
 
 
 def test_equal_triples_do_not_change_how_often_samples_agree():
     """Texts with many more shingles than there are triples."""
     g = np.random.default_rng(24)
-    h, w = np.sort(g.integers(0, 1 << 63, 150_000, dtype=np.uint64)), np.full(150_000, 1.5, np.float32)
+    h, one, code = np.sort(g.integers(0, 1 << 63, 150_000, dtype=np.uint64)), np.ones(150_000, np.int64), np.full(150_000, 16)
     hits = 0
     for _ in range(6):
         rows = np.sort(g.choice(150_000, 135_000, replace=False))
-        hits += int((neardup.band_keys(h, w) == neardup.band_keys(h[rows], w[rows])).sum())
+        hits += int((neardup.band_keys(h, one, code) == neardup.band_keys(h[rows], one[rows], code[rows])).sum())
     assert abs(hits / (6 * neardup.BANDS) - 0.9**neardup.ROWS) < 0.15
 
 
@@ -234,11 +234,19 @@ def test_near_duplicates_of_odd_rows(docs, no_docs):
 def test_samples_collide_as_often_as_sets_are_alike():
     g = np.random.default_rng(8)
     h = np.sort(g.integers(0, 1 << 63, 400, dtype=np.uint64))
-    w = g.uniform(1, 2, 400).astype(np.float32)
-    hits = 0
+    count, code = g.choice([1, 1, 1, 2, 5], 400), g.integers(0, neardup.LEVELS, 400)
+    w = neardup.weights(count, code)
+    hits = want = 0.0
     for cut in range(40):
         rows = np.sort(g.choice(400, 360, replace=False))
-        a, b = (h, None, w), (h[rows], None, w[rows])
-        assert abs(neardup.similarity(a, b) - float(w[rows].sum() / w.sum())) < 1e-5
-        hits += int((neardup.band_keys(h, w) == neardup.band_keys(h[rows], w[rows])).sum())
-    assert abs(hits / (40 * neardup.BANDS) - 0.9**neardup.ROWS) < 0.1
+        alike = neardup.similarity((h, None, w), (h[rows], None, w[rows]))
+        assert abs(alike - float(w[rows].sum() / w.sum())) < 1e-5
+        want += alike**neardup.ROWS
+        hits += (neardup.band_keys(h, count, code) == neardup.band_keys(h[rows], count[rows], code[rows])).mean()
+    assert abs(hits - want) / 40 < 0.1
+    # What is looked up for a shingle that occurs once is what is computed for others.
+    r, c, b, value, level, _ = neardup._triples()
+    for k in (0, 13, 31):
+        v, t = neardup._sampled(neardup.weights(np.ones(1, np.int64), np.array([k]))[:, None], r, c, b)
+        at = slice(k * neardup.TRIPLES, (k + 1) * neardup.TRIPLES)
+        assert (value[at] == v[0]).all() and (level[at] == t[0]).all()
