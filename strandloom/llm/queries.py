@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, bpe, chat, langid, neardup, packing, quality, tokenbin, toxicity, warc
+from strandloom.llm import ann, bpe, chat, divergence, langid, neardup, packing, quality, tokenbin, toxicity, warc
 from strandloom.llm.common import table
 from strandloom.session import ship
 
@@ -147,6 +147,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.labelled(table(spark, sf_dir, "documents"))
 
 
+@query("op11_source_divergence", divergence.oracle_sql())
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the words that mark it."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
