@@ -34,11 +34,11 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most CHUNK_BYTES together, or of one text."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many bytes together, or of one text."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
         yield first, last
         first = last
 
