@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import ann, bpe, chat, decontam, divergence, langid, neardup, packing, quality, tokenbin, toxicity, warc
+from strandloom.llm import ann, bpe, chat, clusters, decontam, divergence, langid, neardup, packing, quality, tokenbin, toxicity, warc
 from strandloom.llm.common import table
 from strandloom.session import ship
 
@@ -153,6 +153,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@query("op12_centroid_clustering", clusters.oracle_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds from 40 centroids."""
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_decontamination", decontam.oracle_sql())
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of benchmark items cover, and those items."""
