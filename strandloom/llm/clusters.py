@@ -247,7 +247,7 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, d: int = 64, scale
 
 def oracle_sql(k: int = 40, rounds: int = 5, d: int = 64, scale: int = 256) -> str:
     """DuckDB SQL of the query: every round is a step of its own."""
-    far = "list_sum(list_transform(list_zip(p, c), x -> (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"
+    far = "list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(p, c)])::BIGINT"
     steps = []
     for turn in range(rounds + 1):
         steps.append(f"""
@@ -263,8 +263,8 @@ def oracle_sql(k: int = 40, rounds: int = 5, d: int = 64, scale: int = 256) -> s
             GROUP BY j) m USING (j))""")
     return f"""
     WITH v AS MATERIALIZED (
-        SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, x -> floor({scale} * x::DOUBLE)::BIGINT) AS p FROM embeddings
-        WHERE len(embedding) = {d} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {d}),
+        SELECT row_number() OVER () AS row, vec_id, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS p FROM embeddings
+        WHERE len(embedding) = {d} AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {d}),
     c0 AS MATERIALIZED (
         SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), row) - 1)::INT AS j, p AS c FROM v QUALIFY j < {k}),{",".join(steps)},
     f AS (SELECT vec_id, best.j AS cluster, best.far AS distance FROM a{rounds})

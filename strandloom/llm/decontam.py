@@ -252,10 +252,8 @@ def scan(docs: DataFrame, paths: list[str], carry: list[str], clean: bool = Fals
     names = free_names(docs.select(*carry), *RESULT)
     inner, *_ = free_names(docs.select(*carry), "whole")
     rows = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(inner))
-    kinds = ("long", "long", "array<string>", "array<struct<start:long,end:long>>")
-    schema = docs.select(*carry).schema
-    for name, kind in zip(names, kinds):
-        schema = schema.add(name, kind)
+    kinds = ("bigint", "bigint", "array<string>", "array<struct<start:bigint,end:bigint>>")
+    schema = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in [*docs.select(*carry).dtypes, *zip(names, kinds)])
     at_text = carry.index("text") if clean else None
     table = word_table(*LETTERS)
 
