@@ -9,8 +9,9 @@ nearest found. Survivors are scored exactly, on the original vectors in double p
 Equal vectors are searched once: a vector is kept with its smallest ids, as many as a query can need, so
 that one vector that a third of the rows share is one candidate and one query. How many lists are probed is
 measured: TRIALS queries are held against all vectors, and so many lists are probed that HELD of their true
-neighbours lie in them. Lists are cut into blocks
-of BLOCK candidates and QUERIES queries, so no task holds a whole list. A query that finds fewer
+neighbours lie in them. Lists are cut into blocks of BLOCK candidates, and the queries that probe a list, which are
+counted first, into chunks of QUERIES, so no task holds a whole list and a list is copied as often as its own queries
+need. A query that finds fewer
 neighbours than asked for is searched again in all lists and without the test, which is exact.
 
 There are about as many lists as the root of the number of vectors, and LISTS at most, since SAMPLE vectors
@@ -18,7 +19,8 @@ train them; a table small enough that PROBES are all its lists is searched whole
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do those whose length is not the most common one; rows with a null id take no part; rows that
-repeat an id and a vector are one row; ties go to the smaller id; other columns are ignored.
+repeat an id and a vector are one row; an id on several vectors is as many rows, each of which is a query of its own
+and a candidate for the others; ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ PROBES, HELD, TRIALS = 48, 0.985, 256
 BLOCK, QUERIES = 4096, 4096
 #: Columns of a block of the scan, and the test's width: larger drops fewer true neighbours.
 COLUMNS, WIDTH = 16, 2.1
-#: Rows that the trials score at once.
-STEP = 1024
+#: Rows that the trials score at once; (query, list) pairs that a task makes at once.
+STEP, PLACES = 1024, 1 << 18
 
 
 def rotation(d: int) -> np.ndarray:
@@ -109,7 +111,7 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(v: DataFrame, keep: int) -> DataFrame:
-    """rid, ids (the smallest, at most keep), h1, h2, embedding: one row for each distinct vector.
+    """ids (the smallest, at most keep), h1, h2, embedding: one row for each distinct vector.
 
     Each batch keeps at most keep ids of a vector before rows are shuffled.
     """
@@ -121,11 +123,7 @@ def distinct_vectors(v: DataFrame, keep: int) -> DataFrame:
             yield b.take(pa.array(np.sort(rank.index[rank < keep].to_numpy()), pa.int64()))
 
     few = v.mapInArrow(local, v.schema)
-    return (
-        few.groupBy("h1", "h2")
-        .agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"), F.first("embedding").alias("embedding"))
-        .withColumn("rid", F.col("ids")[0])
-    )
+    return few.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, keep).alias("ids"), F.first("embedding").alias("embedding"))
 
 
 def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
@@ -141,13 +139,14 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
 def _search(vectors: DataFrame, own: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """The k nearest of own's queries among distinct vectors."""
     keep, spark = k + 1, vectors.sparkSession
-    found = scratch.stored(vectors, "vectors")
+    # A number for each distinct vector, fixed once the table is written.
+    found = scratch.stored(vectors.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     n = found.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = SAMPLE / n
-    some = found if share >= 1 else found.filter(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = np.array([r[0] for r in some.select("embedding").orderBy(F.xxhash64("rid")).limit(SAMPLE).collect()])
+    some = found if share >= 1 else found.filter(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = np.array([r[0] for r in some.select("embedding").orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).collect()])
     turn = rotation(sample.shape[1])
     lists = max(1, int(min(LISTS, len(sample) // 8, np.sqrt(n))))
     centres = kmeans(unit(sample) @ turn, lists)
@@ -163,19 +162,20 @@ def _search(vectors: DataFrame, own: DataFrame, k: int, scratch: Scratch) -> Dat
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # at most LISTS rows
     queries = scratch.stored(found.join(own.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("rid", "h1", "h2", "embedding"), "queries")
     probes = enough_probes(listed, queries, centres, turn, keep) if lists > PROBES else lists
-    hits = scratch.stored(_probe(listed, queries, centres, turn, sizes, probes, keep), "hits")
+    hits = scratch.stored(_probe(listed, queries, centres, turn, sizes, probes, keep, scratch), "hits")
     if lists > probes:
         short = hits.groupBy("qid").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= keep).select(F.col("qid").alias("rid"))
         rest = scratch.stored(queries.join(short, "rid", "left_anti"), "short")
         if rest.head():
-            hits = hits.join(rest, hits.qid == rest.rid, "left_anti").unionByName(_probe(listed, rest, centres, turn, sizes, lists, keep, np.inf))
-    best = W.partitionBy("qid").orderBy(F.desc("score"), "rid")
-    near = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("qid", "score", F.explode("ids").alias("vec_id"))
-    near = near.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= keep)
+            hits = hits.join(rest, hits.qid == rest.rid, "left_anti").unionByName(_probe(listed, rest, centres, turn, sizes, lists, keep, scratch, np.inf))
+    best = W.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0])
+    near = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("qid", "score", "rid", F.explode("ids").alias("vec_id"))
+    near = near.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "rid"))).filter(F.col("r") <= keep)
     by_vector = near.join(queries.select(F.col("rid").alias("qid"), "h1", "h2"), "qid")
     # All rows of one vector share its neighbours, a list of at most keep entries.
-    shared = by_vector.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    out = own.join(shared, ["h1", "h2"]).select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    shared = by_vector.groupBy("h1", "h2", "qid").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", "rid"))).alias("near"))
+    others = F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["rid"] != F.col("qid")))
+    out = own.join(shared, ["h1", "h2"]).select("query_id", F.slice(others, 1, k).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("p", "x")).select(
         "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
     )
@@ -183,7 +183,7 @@ def _search(vectors: DataFrame, own: DataFrame, k: int, scratch: Scratch) -> Dat
 
 def enough_probes(listed: DataFrame, queries: DataFrame, centres: np.ndarray, turn: np.ndarray, keep: int) -> int:
     """Lists to probe, so that those of TRIALS queries hold HELD of the neighbours that all vectors give."""
-    trials = np.array([r[0] for r in queries.select("embedding").orderBy(F.xxhash64("rid", F.lit(9))).limit(TRIALS).collect()])
+    trials = np.array([r[0] for r in queries.select("embedding").orderBy(F.xxhash64("h1", F.lit(9)), "h2").limit(TRIALS).collect()])
     if not len(trials):
         return min(PROBES, len(centres))
     q = unit(trials) @ turn
@@ -213,47 +213,57 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _probe(listed: DataFrame, queries: DataFrame, centres: np.ndarray, turn: np.ndarray, sizes: dict[int, int], probes: int, keep: int, width: float = WIDTH) -> DataFrame:
+def _probe(listed: DataFrame, queries: DataFrame, centres: np.ndarray, turn: np.ndarray, sizes: dict[int, int], probes: int, keep: int, scratch: Scratch, width: float = WIDTH) -> DataFrame:
     """qid, rid, ids, score: of each block of a probed list the best of each query."""
-    lists = len(centres)
-    blocks = np.array([max(1, -(-sizes.get(x, 0) // BLOCK)) for x in range(lists)])
+    lists, spark = len(centres), listed.sparkSession
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            near = unit(_matrix(b.column("embedding"))) @ turn @ centres.T
-            to = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < lists else np.tile(np.arange(lists), (b.num_rows, 1))
-            row, chosen = np.repeat(np.arange(b.num_rows), to.shape[1]), to.ravel()
-            times = blocks[chosen]
-            row, chosen = np.repeat(row, times), np.repeat(chosen, times)
-            block = np.arange(len(chosen)) - np.repeat(np.cumsum(times) - times, times)
-            picked = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int32()), pa.array(block, pa.int32()), picked.column("rid"), picked.column("embedding")], names=["list", "block", "rid", "embedding"])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column("list").to_numpy()
-            mixed = b.column("rid").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((mixed % blocks[at].astype(np.uint64)).astype(np.int32))], names=[*b.schema.names, "block"])
+        return places(batches, centres, turn, probes)
 
     def find(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if mine.num_rows and theirs.num_rows:
             x, q = _matrix(mine.column("embedding")), _matrix(theirs.column("embedding"))
-            turned, rids = unit(x) @ turn, mine.column("rid").to_numpy()
+            turned, ids = unit(x) @ turn, mine.column("ids").combine_chunks()
+            least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
             for a, t, qid in zip(q, unit(q) @ turn, theirs.column("rid").to_pylist()):
                 rows = scan(t, turned, keep, width)
                 score = cosines(a, x[rows])
-                order = np.lexsort((rids[rows], -score))[:keep]
+                order = np.lexsort((least[rows], -score))[:keep]
                 out += zip([qid] * len(order), rows[order].tolist(), score[order].tolist())
         rows = pa.array([o[1] for o in out], pa.int64())
         got = mine.select(["rid", "ids"]).take(rows)
         return pa.table({"qid": pa.array([o[0] for o in out], pa.int64()), "rid": got.column("rid"), "ids": got.column("ids"), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    places = queries.select("rid", "embedding").mapInArrow(probe, "list int, block int, rid long, embedding array<double>")
-    places = places.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-queries.count() // QUERIES)))))
-    cells = listed.mapInArrow(split, "list int, rid long, ids array<long>, embedding array<double>, block int")
-    wanted = places.select("list", "block", F.col("chunk").alias("part")).distinct()
-    spread = cells.join(wanted, ["list", "block"])
-    return spread.groupBy("list", "block", "part").cogroup(places.groupBy("list", "block", "chunk")).applyInArrow(find, "qid long, rid long, ids array<long>, score double")
+    probed = scratch.stored(queries.select("rid", "embedding").mapInArrow(probe, "list int, rid long"), "places")
+    asked = probed.groupBy("list").count().collect()  # at most LISTS rows
+    cuts = spark.createDataFrame([(r["list"], *cut(sizes.get(r["list"], 0), r["count"])) for r in asked if sizes.get(r["list"])], "list int, blocks long, chunks long")
+    cuts = F.broadcast(cuts)  # at most LISTS rows
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cells = listed.join(cuts, "list").select("list", part("rid", "blocks").alias("block"), every("chunks").alias("chunk"), "rid", "ids", "embedding")
+    asks = probed.join(cuts, "list").select("list", every("blocks").alias("block"), part("rid", "chunks").alias("chunk"), "rid")
+    asks = asks.join(queries.select("rid", "embedding"), "rid")
+    return cells.groupBy("list", "block", "chunk").cogroup(asks.groupBy("list", "block", "chunk")).applyInArrow(find, "qid long, rid long, ids array<long>, score double")
+
+
+def probe_lists(q: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The lists nearest to each row of q, in any order."""
+    if probes >= len(centres):
+        return np.tile(np.arange(len(centres)), (len(q), 1))
+    return np.argpartition(-(q @ centres.T), probes - 1, axis=1)[:, :probes]
+
+
+def places(batches: Iterator[pa.RecordBatch], centres: np.ndarray, turn: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """list, rid of queries (rid, embedding): at most PLACES pairs at once, or those of one query."""
+    step = max(1, PLACES // len(centres))
+    for whole in batches:
+        for i in range(0, whole.num_rows, step):
+            b = whole.slice(i, step)
+            to = probe_lists(unit(_matrix(b.column("embedding"))) @ turn, centres, probes)
+            yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), pa.array(np.repeat(b.column("rid").to_numpy(), to.shape[1]))], names=["list", "rid"])
+
+
+def cut(size: int, queries: int) -> tuple[int, int]:
+    """Blocks of a list of so many vectors, and chunks of the queries that probe it: the list is sent once a chunk."""
+    return max(1, -(-size // BLOCK)), max(1, -(-queries // QUERIES))
