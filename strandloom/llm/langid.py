@@ -11,7 +11,8 @@ every letter counts, into at most LETTERS letters, or into PIECE where the scrip
 Most texts have one language, and a vectorised test tells so exactly: if no stretch of words gains more
 than PENALTY by leaving the best single language, the constant path is the best path.
 
-The model is fitted on a sample of about TRAIN_DOCS documents (chosen by hash), whole texts.
+The model is fitted on a sample (chosen by hash, whole texts) that deals about TRAIN_DOCS documents evenly to the
+languages, LANG_DOCS or all of a language at least, so a language that few documents have is learnt like the others.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; a text wholly in scripts that
 were never learnt gets the first language with score 0; a null lang or doc_id is not learnt from, and
@@ -33,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 20_000
+#: Documents of the sample, dealt evenly to the languages, but so many to each at least.
+TRAIN_DOCS, LANG_DOCS = 20_000, 64
 BUCKETS = 1 << 16
 PENALTY = 12.0
 #: A word's log-likelihoods differ by at most so much; letters of a piece, and of one in a script without spaces.
@@ -41,7 +43,8 @@ SPREAD, LETTERS, PIECE = 6.0, 64, 6
 UNSPACED = {"Han", "Kana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"}
 #: A script is a language's own if so large a share of its training letters is in it.
 OWN_SCRIPT = 0.005
-CACHE = 300_000
+#: Words whose scores a worker keeps, and scores: words times languages.
+CACHE, CELLS = 300_000, 1 << 23
 # First code points of script ranges (fixed values of the Unicode standard), each up to the next.
 RANGES = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -133,9 +136,10 @@ def in_training(remainder: int = 0, parts: int = 5):
 
 def train(docs: DataFrame, condition) -> Model:
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(condition)
-    n = rows.count()
-    if n > TRAIN_DOCS:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * TRAIN_DOCS / n))
+    sizes = rows.groupBy("lang").count().collect()  # a row a language, each of which is a column of the model
+    quota = max(LANG_DOCS, TRAIN_DOCS // max(1, len(sizes)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1, quota / r["count"]))) for r in sizes], "lang string, share long")
+    rows = rows.select("doc_id", "lang", "text").join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -222,13 +226,15 @@ class Labeller:
     """Scores words of texts, each distinct word once while a bounded cache lasts."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.at = model, np.zeros((CACHE, max(1, len(model.langs))), np.float32), _Places()
+        columns = max(1, len(model.langs))
+        self.most = min(CACHE, max(1024, CELLS // columns))
+        self.model, self.rows, self.at = model, np.zeros((self.most, columns), np.float32), _Places()
 
     def units(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each piece with letters: its row, its unit, and the letters before it in the unit."""
         units = text.lower().split()
-        if len(self.at) + len(units) > 2 * CACHE or self.at.size + len(units) > len(self.rows) or self.at.held > CACHE:
-            self.at = _Places()
+        if len(self.at) + len(units) > 2 * self.most or self.at.size + len(units) > len(self.rows) or self.at.held > self.most:
+            self.at, self.rows = _Places(), self.rows[: self.most]
         out = np.fromiter(map(self.at.__getitem__, units), np.int32, len(units))
         if self.at.size > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((self.at.size - len(self.rows), self.rows.shape[1]), np.float32)])
