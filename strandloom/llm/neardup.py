@@ -3,8 +3,8 @@
 A document is the set of its five-word shingles (words are runs of word characters, in lower case; a
 shorter text is one shingle). A shingle weighs its count times its smoothed inverse document frequency
 1 + ln((1 + N) / (1 + df)) / ln(1 + N), in LEVELS levels: 2 where no other document has it, 1 where all have it. The scale is
-kept this even on purpose: with an unscaled logarithm a large group of near copies, whose common shingles
-have a high df, would fall apart at its few edited words. df counts all documents, in a count-mean-min
+kept this even on purpose (a choice of this library, made in idf_table()): with an unscaled logarithm a large group of
+near copies, whose common shingles have a high df, would fall apart at its few edited words. df counts all documents, in a count-mean-min
 sketch of SKETCH_ROWS rows of 2**SKETCH_BITS slots, so what is sent to tasks is bounded whatever the corpus;
 its error, about the root of the shingles to a slot, is small in the logarithm.
 
@@ -54,9 +54,9 @@ SMALL, RATIO = 8, 1.03
 #: Members of a leader that one task compares at once.
 CHUNK = 512
 #: Entries of a worker's cache of word hashes; shingles sampled at once; table of random triples.
-CACHE, STEP, TRIPLES = 500_000, 4096, 1 << 15
+CACHE, STEP, TRIPLES = 500_000, 4096, 1 << 16
 #: Levels of idf, evenly from 1 to 2.
-LEVELS = 32
+LEVELS = 256
 WORD = re.compile(r"\w+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,49 +123,39 @@ def weights(count: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _triples() -> tuple[np.ndarray, ...]:
-    """Random r ~ Gamma(2,1), ln c with c ~ Gamma(2,1), b ~ U(0,1) by slot; what they give a shingle that occurs once,
-    level by level of its idf; and a multiplier a sample."""
+    """By slot, of random r ~ Gamma(2,1), c ~ Gamma(2,1) and b ~ U(0,1): 1 / r, b, ln c + r (b - 1) and r; and a multiplier
+    a sample."""
     g = np.random.default_rng(11)
-    r, c = g.gamma(2.0, size=TRIPLES), np.log(g.gamma(2.0, size=TRIPLES))
+    r, c, b = g.gamma(2.0, size=TRIPLES), g.gamma(2.0, size=TRIPLES), g.random(TRIPLES)
     odd = g.integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    r, c, b = r.astype(np.float32), c.astype(np.float32), g.random(TRIPLES, dtype=np.float32)
-    value, level = _sampled(weights(np.int64(1), np.arange(LEVELS))[:, None], r, c, b)
-    return r, c, b, value.ravel(), level.ravel(), odd
+    return *(x.astype(np.float32) for x in (1 / r, b, np.log(c) + r * (b - 1), r)), odd
 
 
-def _sampled(weight: np.ndarray, r: np.ndarray, c: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ln of the sampling value of each weight, and its level: the smallest value is the sample."""
-    t = np.floor(np.log(weight) / r + b)
-    return c - r * (t - b + 1), t.astype(np.int64)
-
-
-def band_keys(found: np.ndarray, count: np.ndarray, code: np.ndarray) -> np.ndarray:
+def band_keys(found: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Keys of the bands: consistent weighted samples (shingle, level), ROWS to a key.
 
-    Shingles that occur once look up what their slot and idf give; the others, which are few, are computed.
+    A sample is the shingle with the least ln c - r (t - b + 1), t = floor(ln weight / r + b) being its level.
     """
-    r_of, c_of, b_of, value_of, level_of, odd = _triples()
-    k, width = len(odd), np.uint64(TRIPLES)
+    one_by_r, b_of, c_of, r_of, odd = _triples()
+    k = len(odd)
     least, which, level = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.int64)
     column, shift = np.arange(k), np.uint64(64 - (TRIPLES - 1).bit_length())
     for at in range(0, len(found), STEP):
         s = found[at : at + STEP]
         slot = odd[:, None] * s
         slot >>= shift
-        many = np.flatnonzero(count[at : at + STEP] > 1)
-        here = slot[:, many].view(np.int64)
-        slot += code[at : at + STEP].astype(np.uint64) * width
-        value = np.take(value_of, slot.view(np.int64))
-        if len(many):
-            value[:, many], levels = _sampled(weights(count[at + many], code[at + many]), r_of[here], c_of[here], b_of[here])
+        slot = slot.view(np.int64)
+        t = one_by_r.take(slot, mode="clip")
+        t *= np.log(weight[at : at + STEP])
+        t += b_of.take(slot, mode="clip")
+        np.floor(t, out=t)
+        value = r_of.take(slot, mode="clip")
+        value *= t
+        np.subtract(c_of.take(slot, mode="clip"), value, out=value)
         row = value.argmin(axis=1)
-        best, t = value[column, row], level_of[slot[column, row].view(np.int64)]
-        if len(many):
-            place = np.searchsorted(many, row)
-            own = (place < len(many)) & (many[np.minimum(place, len(many) - 1)] == row)
-            t[own] = levels[column[own], place[own]]
+        best = value[column, row]
         better = best < least
-        least, which, level = np.where(better, best, least), np.where(better, s[row], which), np.where(better, t, level)
+        least, which, level = np.where(better, best, least), np.where(better, s[row], which), np.where(better, t[column, row].astype(np.int64), level)
     sample = mix(which ^ mix(level.view(np.uint64) * PRIME)).reshape(BANDS, ROWS)
     key = np.zeros(BANDS, np.uint64)
     for j in range(ROWS):
@@ -246,10 +236,10 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for b in batches:
             digests, bands = [], []
             for text in b.column("text").to_pylist():
-                found, count = shingle_counts(text)
+                found, count, weight = shingles(text, idf)
                 if len(found):
                     digests.append(xxhash.xxh3_128_digest(found.tobytes() + count.tobytes()))
-                    bands.append(band_keys(found, count, codes(found, idf)))
+                    bands.append(band_keys(found, weight))
                 else:
                     digests.append(xxhash.xxh3_128_digest(b"text" + text.encode("utf-8", "surrogatepass")))
                     bands.append(None)
@@ -284,7 +274,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long").distinct()  # repeated rows have their node's text again
+    return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long")
 
 
 def prefixes(found: np.ndarray, weight: np.ndarray, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +306,7 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, idf: np.ndarray, threshold
         for b in batches:
             for node, label, text in zip(*(b.column(c).to_pylist() for c in ("node", "label", "text"))):
                 found, _, weight = shingles(text, idf)
-                keys, sides = prefixes(found, weight, LEVELS - codes(found, idf), threshold)  # rare shingles first
+                keys, sides = prefixes(found, weight, LEVELS - 1 - codes(found, idf), threshold)  # rare shingles first
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sides), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), label))], names=["key", "side", "node", "label"])
 
     rows = scratch.stored(texts.join(labels, "node").select("node", "label", "text").mapInArrow(emit, "key long, side byte, node long, label long"), "prefixes")
@@ -376,7 +366,7 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) ->
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(ends, "node").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     texts = keyed(docs.select("doc_id", "text"), "k1", "k2").select("k1", "k2", F.coalesce("text", F.lit("")).alias("text")).join(wanted, ["k1", "k2"])
-    texts = scratch.stored(texts.select("node", "text"), "texts")
+    texts = scratch.stored(texts.groupBy("k1", "k2").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
     links = scratch.stored(verified(pairs, texts, idf, threshold), "links")
     keep = lambda df: scratch.stored(df, "components")
     labels = components(links, keep)
