@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "packing"]
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
 
 
 def test_each_stage_returns_documents_and_the_last_packs_all(spark):
@@ -29,7 +29,7 @@ def test_each_stage_returns_documents_and_the_last_packs_all(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cursor.description]
