@@ -7,24 +7,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq
+from strandloom.operators import scans
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lo: tuple[str, str], hi: tuple[str, str], width: int, how: str = "inner") -> DataFrame:
-    """Rows whose closed intervals overlap: lo = (start, end) of left, hi = those of right.
+#: Bits of the bins' widths, level by level, the finest first (three bits more each).
+LEVELS = tuple(range(7, 64, 3))
 
-    Both sides are put in bins of the given width and joined on (keys, bin), which Spark can shuffle,
-    broadcast or split when skewed. A pair is taken in the first bin that it shares, so it comes once.
+
+def interval_level(lo: Column, hi: Column) -> Column:
+    """Bits of the finest level whose bins are longer than the closed interval, which so touches two of them at most."""
+    return F.coalesce(*(F.when(hi - lo < F.lit(1 << s), F.lit(s)) for s in LEVELS[:-1]), F.lit(LEVELS[-1]))
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lo: tuple[str, str], hi: tuple[str, str], how: str = "inner") -> DataFrame:
+    """Rows whose closed intervals overlap: lo = (start, end) of left, hi = those of right; rows with an end before the
+    start overlap nothing.
+
+    Bins stand at several levels, each eight times as wide as the one below, and an interval belongs to the level that fits
+    its length. Of two intervals the shorter is also put into its (at most two) bins of the longer one's level, so an
+    interval gives at most two rows a level, however long it is, and only levels that the other side has count: which
+    these are is looked up first. A pair is taken in the bin in which the overlap begins, so it comes once.
     """
     (a, b), (c, d) = lo, hi
-    bins = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / width), F.floor(F.col(y) / width)))
-    first = F.floor(F.greatest(F.col(a), F.col(c)) / width)
-    joined = left.withColumn("__bin", bins(a, b)).join(right.withColumn("__bin", bins(c, d)), [*keys, "__bin"], "inner")
-    out = joined.filter((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("__bin") == first)).drop("__bin")
-    if how == "inner":
-        return out
-    if how == "left_semi":
-        return left.join(out.select(*left.columns).distinct(), left.columns, "left_semi")
-    raise ValueError(how)
+    if how not in ("inner", "left_semi"):
+        raise ValueError(how)
+
+    def levelled(df: DataFrame, x: str, y: str) -> tuple[DataFrame, list[int]]:
+        df = df.filter(F.col(x) <= F.col(y)).withColumn("__level", interval_level(F.col(x), F.col(y)))
+        return df, sorted(r[0] for r in df.select("__level").distinct().collect())  # a row a level
+
+    def binned(df: DataFrame, x: str, y: str, levels: list[int], own: bool) -> DataFrame:
+        """df in its bins: those of its own level, or of the given levels above it."""
+        at = lambda s: F.transform(F.sequence(F.shiftright(F.col(x).cast("long"), s), F.shiftright(F.col(y).cast("long"), s)), lambda n: F.struct(F.lit(s).alias("s"), n.alias("n")))
+        none = F.array().cast("array<struct<s:int,n:bigint>>")
+        bins = F.concat(none, *(F.when(F.col("__level") == s if own else F.col("__level") < s, at(s)).otherwise(none) for s in levels))
+        return df.withColumn("__bin", F.explode(bins)).drop("__level")
+
+    (l, of_left), (r, of_right) = levelled(left, a, b), levelled(right, c, d)
+    begins = F.col("__bin.n") == F.expr(f"shiftright(greatest(CAST(`{a}` AS BIGINT), CAST(`{c}` AS BIGINT)), __bin.s)")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y, [*keys, "__bin"]).filter((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & begins).drop("__bin")
+
+    both = sorted(set(of_left) & set(of_right))
+    out = met(binned(l, a, b, both, True), binned(r, c, d, both, True))
+    out = out.unionByName(met(binned(l, a, b, of_left, True), binned(r, c, d, of_left, False))) if of_left and of_right and of_right[0] < of_left[-1] else out
+    out = out.unionByName(met(binned(l, a, b, of_right, False), binned(r, c, d, of_right, True))) if of_left and of_right and of_left[0] < of_right[-1] else out
+    return out if how == "inner" else left.join(out.select(*left.columns).distinct(), left.columns, "left_semi")
 
 
 def point_in_window(points: DataFrame, at: str, length: int, step: int) -> DataFrame:
@@ -33,23 +62,28 @@ def point_in_window(points: DataFrame, at: str, length: int, step: int) -> DataF
     return points.withColumn("window_id", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((p - length) / step)), F.floor(p / step))))
 
 
-def within_mismatches(df: DataFrame, id_: str, text: str, most: int) -> DataFrame:
-    """Pairs (a, b), a < b, of equally long strings with at most so many mismatches.
+def distinct_texts(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """rep (smallest id), s, copies of each distinct text that is not null."""
+    return df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("s")).agg(F.min(id_).alias("rep"), F.count("*").alias("copies"))
+
 
-    By the pigeonhole principle two such strings agree in one of most+1 blocks; they are joined on
-    (length, block, content) and counted once, in the first block in which they agree.
+def within_mismatches(texts: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b, mismatches, copies_a, copies_b), a < b, of distinct equally long texts (rep, s, copies) with at most so many mismatches.
+
+    Texts are cut into most + 2 blocks, of which two at least agree; they are joined on the length and the places and
+    contents of two blocks, which is far more selective than one. Texts with no more letters than blocks are joined on
+    their length alone. Copies are no pairs: they belong to one text.
     """
-    n = F.length("s")
-    edge = lambda k: F.floor(n * k / (most + 1)).cast("int")
-    block = lambda c, k: F.substring(c, edge(k) + 1, edge(k + 1) - edge(k))
-    rows = df.select(F.col(id_).alias("id"), F.col(text).alias("s")).filter("s IS NOT NULL")
-    blocks = rows.select("id", "s", n.alias("n"), F.array(*(block(F.col("s"), k) for k in range(most + 1))).alias("blocks"))
-    parts = blocks.select("*", F.posexplode("blocks").alias("k", "part"))
-    l, r = parts.alias("l"), parts.alias("r")
-    pairs = l.join(r, ["n", "k", "part"]).filter("l.id < r.id")
-    earlier = F.exists(F.slice(F.zip_with("l.blocks", "r.blocks", lambda x, y: x == y), F.lit(1), F.col("k")), lambda x: x)
-    pairs = pairs.filter((F.col("k") == 0) | ~earlier)
-    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), seq.hamming(F.col("l.s"), F.col("r.s")).alias("mismatches")).filter(F.col("mismatches") <= most)
+    n, k = F.length("s"), most + 2
+    edge = lambda i: F.floor(n * i / k).cast("int")
+    block = lambda i: F.substring("s", edge(i) + 1, edge(i + 1) - edge(i))
+    two = [F.struct(F.lit(i * k + j).alias("at"), F.concat_ws("\0", block(i), block(j)).alias("part")) for i in range(k) for j in range(i + 1, k)]
+    short = F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("part")))
+    rows = texts.select("rep", "s", "copies", n.alias("n"), F.explode(F.when(n < k, short).otherwise(F.array(*two))).alias("key"))
+    l, r = rows.alias("l"), rows.alias("r")
+    pairs = l.join(r, (F.col("l.n") == F.col("r.n")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")))
+    found = pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), seq.hamming(F.col("l.s"), F.col("r.s")).alias("mismatches"), F.col("l.copies").alias("copies_a"), F.col("r.copies").alias("copies_b"))
+    return found.filter(F.col("mismatches") <= most).distinct()
 
 
 def tiered_match(truth: DataFrame, calls: DataFrame, near: int = 5, far: int = 50) -> DataFrame:
@@ -81,17 +115,16 @@ def tiered_match(truth: DataFrame, calls: DataFrame, near: int = 5, far: int = 5
     return truth.join(best, "truth_id", "left").select("truth_id", name.alias("level"), F.col("m.call_id").alias("call_id"))
 
 
-def asof_containment(points: DataFrame, at: str, spans: DataFrame, keys: list[str], start: str, end: str, id_: str) -> DataFrame:
+def asof_containment(points: DataFrame, at: str, spans: DataFrame, keys: list[str], start: str, end: str, id_: str, keep: scans.Keep = scans.written) -> DataFrame:
     """points with the id of the latest-starting span at or before each, null if it has ended by then.
 
     Both sides are put in one order by key and place; the last span seen so far is carried along, so a
-    point meets one span, not all before it.
+    point meets one span, not all before it. keep: see scans.
     """
     s = spans.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col(start), F.col(id_), F.col(end)).alias("__span"))
     p = points.select("*", F.col(at).alias("__at"), F.lit(1).alias("__kind"))
     every = p.unionByName(s, allowMissingColumns=True)
-    order = W.partitionBy(*keys).orderBy("__at", "__kind", F.col("__span")).rowsBetween(W.unboundedPreceding, 0)
-    seen = every.withColumn("__last", F.last("__span", ignorenulls=True).over(order)).filter("__kind = 1")
+    seen = scans.last_largest(every, keys, ["__at", "__kind", "__span"], "__span", "__last", keep).filter("__kind = 1")
     inside = F.col(f"__last.{end}") >= F.col(at)
     return seen.select(*points.columns, F.when(inside, F.col(f"__last.{id_}")).alias("span_id"))
 
@@ -103,26 +136,18 @@ def keep_max(df: DataFrame, keys: list[str], by: list[str], payload: list[str])
     return df.groupBy(*keys).agg(m).select(*keys, *(F.col(f"__m.{c}").alias(c) for c in payload))
 
 
-def gap_groups(df: DataFrame, keys: list[str], at: Column, gap: int, ties: list[str]) -> DataFrame:
-    """df with group_no: rows of a key whose place is more than gap behind the one before begin a group."""
-    order = W.partitionBy(*keys).orderBy("__at", *ties)
-    far = (F.col("__at") - F.lag("__at").over(order) > gap).cast("int")
-    flagged = df.withColumn("__at", at).withColumn("__new", F.coalesce(far, F.lit(1)))
-    return flagged.withColumn("group_no", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("__at", "__new")
-
-
-def downsample(df: DataFrame, keys: list[str], name: str, cap: Column, seed: str = "0") -> DataFrame:
-    """The cap names of each key that are first by hash; all rows of a kept name stay, so mates stay together."""
+def downsample(df: DataFrame, keys: list[str], name: str, cap: Column, keep: scans.Keep = scans.written, seed: str = "0") -> DataFrame:
+    """The cap names of each key that are first by hash; all rows of a kept name stay, so mates stay together. keep: see scans."""
     names = df.select(*keys, name, cap.alias("__cap")).groupBy(*keys, name).agg(F.max("__cap").alias("__cap"))
-    order = W.partitionBy(*keys).orderBy(F.md5(F.concat(F.col(name).cast("string"), F.lit(seed)).cast("binary")), name)
-    kept = names.withColumn("__r", F.row_number().over(order)).filter("__r <= __cap").select(*keys, name)
+    names = names.withColumn("__hash", F.md5(F.concat(F.col(name).cast("string"), F.lit(seed)).cast("binary")))
+    kept = scans.ranked(names, keys, ["__hash", name], "__r", keep).filter("__r < __cap").select(*keys, name)
     return df.join(kept, [*keys, name], "left_semi")
 
 
-def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], take: int) -> DataFrame:
-    """Of each key's n ordered rows those at k*n/t, t = min(n, take)."""
-    w = W.partitionBy(*keys)
-    rows = df.withColumn("__r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], take: int, keep: scans.Keep = scans.written) -> DataFrame:
+    """Of each key's n ordered rows those at k*n/t, t = min(n, take). keep: see scans."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    rows = scans.ranked(df, keys, order, "__r", keep).join(sizes, keys)
     t = F.least("__n", F.lit(take))
     # A row r is k*n div t for some k exactly if ceil(r*t/n)*n div t is r.
     k = F.ceil(F.col("__r") * t / F.col("__n"))

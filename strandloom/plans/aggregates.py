@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq, stats
-from strandloom.operators import diagnostics
+from strandloom.operators import diagnostics, quantiles
 from strandloom.operators import evidence as ev
 from strandloom.plans.registry import query
 from strandloom.session import table
@@ -189,13 +189,9 @@ def depth_fold(spark, sf_dir):
 def median_funnel(spark, sf_dir):
     names = ["l_quantity", "l_discount", "l_tax"]
     u = lines(spark, sf_dir).unpivot([], names, "stage", "v")
-    by = u.groupBy("stage", "v").agg(F.count("*").alias("c"))  # distinct values, so that no group gathers its rows
-    exact = by.groupBy("stage").agg(
-        F.round(F.percentile("v", 0.5, F.col("c")), 6).alias("median"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), F.min("v").alias("lo"),
-        F.max("v").alias("hi"), F.sum(F.when(F.col("v") == 0, F.col("c")).otherwise(0)).alias("zeros"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("h"), F.floor(F.sum("c") / 2).alias("k"),
-    )
-    walk = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v")), lambda s, x: F.struct((s["n"] + x["c"]).alias("n"), F.when(s["v"].isNull() & (s["n"] + x["c"] > F.col("k")), x["v"]).otherwise(s["v"]).alias("v")), lambda s: s["v"])
-    return exact.select("stage", "median", "mean", "lo", "hi", "zeros", walk.alias("upper_median"))
+    g = u.groupBy("stage").agg(F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(F.col("v") == 0).alias("zeros"))
+    medians = quantiles.quantiles(u, ["stage"], "v", median=0.5).join(quantiles.upper_median(u, ["stage"], "v", "upper_median"), "stage")
+    return g.join(medians, "stage").select("stage", F.round("median", 6).alias("median"), "mean", "lo", "hi", "zeros", "upper_median")
 
 
 @query(

@@ -57,7 +57,7 @@ def probe_reads(spark, sf_dir):
 def probe_windows(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("probe_id"), (F.col("p_size") % 3).cast("long").alias("chrom"), (F.col("p_partkey") * 3).alias("pos"))
     w = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("window_id"), (F.col("o_custkey") % 3).alias("chrom"), F.col("o_orderkey").alias("start1"), F.expr("o_orderkey + o_custkey % 50").alias("end1"))
-    return probes.in_windows(p, w, 64)
+    return probes.in_windows(p, w)
 
 
 VARIANTS = ["l_suppkey AS comp", "l_partkey AS pos", "CASE l_linenumber % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'A' ELSE 'CAT' END AS ref", "CASE l_linenumber % 3 WHEN 0 THEN 'GT' WHEN 1 THEN 'AT' ELSE 'GAC' END AS alt"]

@@ -23,17 +23,52 @@ def interval_join(spark, sf_dir):
     w = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("s"), (F.col("o_orderkey") + F.col("o_custkey") % 40).alias("e"), F.lit(0).alias("chrom"))
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("p"), F.lit(0).alias("chrom"))
     l = l.groupBy("chrom", "p").agg(F.count("*").alias("c")).withColumn("q", F.col("p"))
-    return rel.interval_join(w, l, ["chrom"], ("s", "e"), ("p", "q"), 500).groupBy("id").agg(F.sum("c").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    return rel.interval_join(w, l, ["chrom"], ("s", "e"), ("p", "q")).groupBy("id").agg(F.sum("c").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+
+
+TEXTS = "t AS (SELECT p_name AS s, min(p_partkey) AS rep, count(*)::BIGINT AS copies FROM part WHERE p_name IS NOT NULL GROUP BY p_name)"
 
 
 @query(
     "q_near_duplicates",
-    """
-    SELECT a.p_partkey AS a, b.p_partkey AS b, hamming(a.p_name, b.p_name)::INTEGER AS mismatches
-    FROM part a JOIN part b ON length(a.p_name) = length(b.p_name) AND a.p_partkey < b.p_partkey AND hamming(a.p_name, CASE WHEN length(a.p_name) = length(b.p_name) THEN b.p_name ELSE a.p_name END) <= 2""",
+    f"""
+    WITH {TEXTS}
+    SELECT a.rep AS a, b.rep AS b, hamming(a.s, b.s)::INTEGER AS mismatches, a.copies AS copies_a, b.copies AS copies_b
+    FROM t a JOIN t b ON length(a.s) = length(b.s) AND a.rep < b.rep AND hamming(a.s, CASE WHEN length(a.s) = length(b.s) THEN b.s ELSE a.s END) <= 2""",
 )
 def near_duplicates(spark, sf_dir):
-    return rel.within_mismatches(table(spark, sf_dir, "part"), "p_partkey", "p_name", 2)
+    """Pairs of distinct names; q_name_members tells which rows have each."""
+    return rel.within_mismatches(rel.distinct_texts(table(spark, sf_dir, "part"), "p_partkey", "p_name"), 2)
+
+
+@query("q_name_members", f"WITH {TEXTS} SELECT p_partkey, rep, copies FROM part JOIN t ON p_name = s")
+def name_members(spark, sf_dir):
+    """Every row with the representative of its name, and how many rows have that name."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.col("p_name").alias("s")).join(rel.distinct_texts(p, "p_partkey", "p_name"), "s").select("p_partkey", "rep", "copies")
+
+
+# A long interval for each nation beside the short ones of orders.
+SPANS_OF_ALL = """
+    SELECT o_custkey % 5 AS chrom, o_orderkey AS id, o_orderkey * 3 AS s, o_orderkey * 3 + o_custkey % 90 AS e FROM orders
+    UNION ALL SELECT n_nationkey % 5, -1 - n_nationkey, n_nationkey * 1000, n_nationkey * 1000 + 100000000 FROM nation"""
+
+
+@query(
+    "q_interval_levels",
+    f"""
+    WITH w AS ({SPANS_OF_ALL}), v AS (SELECT l_partkey % 5 AS chrom, l_orderkey * 3 - l_linenumber AS p, l_orderkey * 3 + l_suppkey % 300 AS q, count(*) AS c FROM lineitem GROUP BY ALL)
+    SELECT w.id, sum(c)::BIGINT AS n, min(p) AS lo, max(q) AS hi FROM w JOIN v ON w.chrom = v.chrom AND s <= q AND p <= e GROUP BY w.id""",
+)
+def interval_levels(spark, sf_dir):
+    """Short and very long intervals in one join."""
+    for t in ("orders", "nation"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"levels_{t}")
+    w = spark.sql(SPANS_OF_ALL.replace("FROM orders", "FROM levels_orders").replace("FROM nation", "FROM levels_nation"))
+    v = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 5 AS chrom", "l_orderkey * 3 - l_linenumber AS p", "l_orderkey * 3 + l_suppkey % 300 AS q")
+    v = v.groupBy("chrom", "p", "q").agg(F.count("*").alias("c"))
+    met = rel.interval_join(w, v, ["chrom"], ("s", "e"), ("p", "q"))
+    return met.groupBy("id").agg(F.sum("c").alias("n"), F.min("p").alias("lo"), F.max("q").alias("hi"))
 
 
 # Alleles by a number: SNV, INS, DEL, MNP, CPX, and an MNP that holds the SNV in its middle.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq
 from strandloom.operators import relational as rel
+from strandloom.operators import scans
 from strandloom.plans.registry import query
 from strandloom.session import table
 from strandloom.sources import alignments
@@ -87,7 +88,7 @@ def pad_regions(spark, sf_dir):
 )
 def gap_groups(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("s"))
-    g = rel.gap_groups(e, ["user_id"], F.col("s"), 3600, ["event_id"])
+    g = scans.gap_groups(e, ["user_id"], F.col("s"), 3600, ["event_id"])
     return g.groupBy("user_id", "group_no").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s"), F.count("*").alias("n"))
 
 
@@ -112,6 +113,19 @@ def evenly_spaced(spark, sf_dir):
     return rel.evenly_spaced(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], 8)
 
 
+@query(
+    "q_running_totals",
+    f"""
+    SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1)::BIGINT AS place,
+        sum(floor(value * 100)::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id)::BIGINT AS total FROM events""",
+)
+def running_totals(spark, sf_dir):
+    """Place and running total of every event among those of its type, of which there are few."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.floor(F.col("value") * 100).alias("v"))
+    placed = scans.ranked(e, ["event_type"], ["ts", "event_id"], "place")
+    return scans.running_sum(placed, ["event_type"], ["ts", "event_id"], F.col("v"), "total").select("event_id", "place", "total")
+
+
 @query(
     "q_gap_profile",
     """

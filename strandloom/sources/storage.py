@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that lazily evaluated results read: they go when the application ends.
+_KEPT: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    jvm = SparkContext._jvm
+    while jvm is not None and _KEPT:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # the application is over; its JVM may be gone already
+            return
+
+
+def kept(path: str) -> str:
+    """path, to be removed when the application ends."""
+    _KEPT.append(path)
+    return path
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
@@ -26,8 +48,11 @@ def _written(df: DataFrame, path: str, codec: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors."""
-    return _written(df, shared_dir(df.sparkSession, name), codec)
+    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors.
+
+    The table lasts as long as the application, for the result is read when a caller likes.
+    """
+    return _written(df, kept(shared_dir(df.sparkSession, name)), codec)
 
 
 def remove(spark: SparkSession, path: str) -> None:
