@@ -85,6 +85,20 @@ def canonical_words(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return rows.mapInArrow(make, f"`{key}` {rows.dtypes[0][1]}, word long, back long").distinct()
 
 
+def number(s: Column) -> Column:
+    """The number of a string of bases."""
+    return F.conv(F.translate(s, "ACGT", "0123"), 4, 10).cast("long")
+
+
+def end_words(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """key, first, rfirst, last, rlast: the k bases at both ends of each text that has them, as numbers, and their reverse
+    complements."""
+    back = lambda c: number(F.reverse(F.translate(c, "ACGT", "TGCA")))
+    first, last = F.substring(text, 1, k), F.substring(text, -k, k)
+    rows = df.filter(F.length(text) > k)
+    return rows.select(key, number(first).alias("first"), back(first).alias("rfirst"), number(last).alias("last"), back(last).alias("rlast"))
+
+
 def letters(kmer: Column, k: int) -> Column:
     """The bases of a number."""
     return F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT")

@@ -43,6 +43,12 @@ def edges(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return e.union(mirror).distinct()
 
 
+def coded_edges(oriented: DataFrame, key: str) -> DataFrame:
+    """edges() of tablegraph.oriented_edges(), whose k-mers are numbers: there each edge stands once in each direction."""
+    node = lambda a, b: F.least(a, b)
+    return oriented.select(key, node("u", "ru").alias("src"), node("v", "rv").alias("dst"), (F.col("u") <= F.col("ru")).alias("src_plus"), (F.col("v") <= F.col("rv")).alias("dst_plus"))
+
+
 def ref_walk(refs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key, step, node, plus: the walk of a sequence through its nodes, and on which strand it takes each."""
     w = refs.select(key, F.posexplode(seq.stranded_kmers(F.col(text), k)).alias("step", "w"))

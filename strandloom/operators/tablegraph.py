@@ -78,9 +78,14 @@ def chains(edges: DataFrame, key: str, keep: Keep = written) -> tuple[DataFrame,
 
 
 def unitigs(edges: DataFrame, key: str, k: int, keep: Keep = written) -> tuple[DataFrame, int]:
-    """key, head, rhead, tail, rtail, nodes, seq, ring, own of the chains, read both ways: their first and last oriented
-    k-mers, their number, the bases in order, and whether this is the reading that stands for the chain; and the rounds."""
+    """chain_rows() of the chains of edges, and the rounds."""
     ranked, rounds = chains(edges, key, keep)
+    return chain_rows(ranked, key, k, keep), rounds
+
+
+def chain_rows(ranked: DataFrame, key: str, k: int, keep: Keep = written) -> DataFrame:
+    """key, head, rhead, tail, rtail, nodes, seq, ring, own of chains(), read both ways: their first and last oriented
+    k-mers, their number, the bases in order, and whether this is the reading that stands for the chain."""
     first = F.struct("dist", "s", "rs")
     g = ranked.groupBy(key, "to").agg(
         F.max(first).alias("a"), F.first("rto").alias("rtail"), F.count("*").alias("nodes"), F.bool_or("ring").alias("ring"),
@@ -92,7 +97,7 @@ def unitigs(edges: DataFrame, key: str, k: int, keep: Keep = written) -> tuple[D
     # Read backwards the chain begins with the other strand of its end.
     mine = F.struct(F.least("a.s", "a.rs"), ~head_plus) <= F.struct(F.least("to", "rtail"), tail_plus)
     own = F.when(F.col("ring"), head_plus).otherwise(mine)
-    return keep(g.select(key, F.col("a.s").alias("head"), F.col("a.rs").alias("rhead"), F.col("to").alias("tail"), "rtail", "nodes", seq.alias("seq"), "ring", own.alias("own"))), rounds
+    return keep(g.select(key, F.col("a.s").alias("head"), F.col("a.rs").alias("rhead"), F.col("to").alias("tail"), "rtail", "nodes", seq.alias("seq"), "ring", own.alias("own")))
 
 
 def chain_edges(edges: DataFrame, units: DataFrame, key: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.functions import seq
-from strandloom.operators import kgraph
+from strandloom.functions import kmers, seq, sql
+from strandloom.operators import kgraph, tablegraph
 from strandloom.operators import relational as rel
 from strandloom.plans.registry import query
-from strandloom.session import table
+from strandloom.session import ship, table
 from strandloom.sources.storage import checkpointed
 
 DNA = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
@@ -26,8 +26,8 @@ def dna(spark, sf_dir):
     SELECT least(w, {RC.format('w')}) AS kmer, count(*)::BIGINT AS n FROM k GROUP BY 1 HAVING count(*) >= 20""",
 )
 def kmer_counts(spark, sf_dir):
-    k = dna(spark, sf_dir).select(F.explode(seq.canonical_kmers(F.col("s"), 11)).alias("kmer"))
-    return k.groupBy("kmer").agg(F.count("*").alias("n")).filter("n >= 20")
+    ship(spark)
+    return kmers.canonical_counts(dna(spark, sf_dir), "s", 11).filter("n >= 20").select(kmers.letters(F.col("kmer"), 11).alias("kmer"), "n")
 
 
 @query(
@@ -198,7 +198,115 @@ GRAPH = f"""
         round(count(*) FILTER (f = 1 AND r = 1) / count(*), 6) AS unitig_ratio, max(greatest(f, r))::BIGINT AS max_degree FROM n GROUP BY doc_id""",
 )
 def graph_metrics(spark, sf_dir):
-    return kgraph.metrics(kgraph.edges(dna(spark, sf_dir), "doc_id", "s", 11), ["doc_id"]).select("doc_id", "nodes", "edges", "cc", "bp", F.round("unitig_ratio", 6).alias("unitig_ratio"), "max_degree")
+    return kgraph.metrics(kgraph.coded_edges(oriented(spark, sf_dir, 11), "doc_id"), ["doc_id"]).select("doc_id", "nodes", "edges", "cc", "bp", F.round("unitig_ratio", 6).alias("unitig_ratio"), "max_degree")
+
+
+def oriented(spark, sf_dir, k):
+    """Oriented edges of every document's graph."""
+    ship(spark)
+    return tablegraph.oriented_edges(kmers.canonical_words(dna(spark, sf_dir), "doc_id", "s", k + 1), "doc_id", k)
+
+
+def _unitigs_sql(rounds: int = 16) -> str:
+    hops = "".join(f"""
+    r{j + 1} AS MATERIALIZED (SELECT a.doc_id, a.s, b.t, a.d + b.d AS d FROM r{j} a JOIN r{j} b ON a.doc_id = b.doc_id AND a.t = b.s),""" for j in range(rounds))
+    return f"""
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents), w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(s) - 10), lambda i: substr(s, i, 12))) AS w FROM d WHERE length(s) >= 12),
+    e AS MATERIALIZED (SELECT doc_id, substr(w, 1, 11) AS u, substr(w, 2, 11) AS v FROM (SELECT doc_id, w FROM w UNION SELECT doc_id, {RC.format('w')} FROM w)),
+    o AS (SELECT doc_id, u, any_value(v) AS v FROM e GROUP BY doc_id, u HAVING count(*) = 1), i AS (SELECT doc_id, v FROM e GROUP BY doc_id, v HAVING count(*) = 1),
+    l AS MATERIALIZED (SELECT o.doc_id, u, o.v FROM o JOIN i ON o.doc_id = i.doc_id AND o.v = i.v WHERE o.v <> u AND o.v <> {RC.format('u')}),
+    st AS (SELECT doc_id, u AS s FROM e UNION SELECT doc_id, v FROM e),
+    r0 AS MATERIALIZED (SELECT st.doc_id, s, coalesce(l.v, s) AS t, (l.v IS NOT NULL)::INT AS d FROM st LEFT JOIN l ON st.doc_id = l.doc_id AND st.s = l.u),{hops}
+    c AS (SELECT doc_id, count(*) AS n, arg_max(s, d) || substr(string_agg(substr(s, 11, 1), '' ORDER BY d DESC), 2) AS seq FROM r{rounds} r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = r.doc_id AND l.u = r.t) GROUP BY doc_id, t)
+    SELECT doc_id, count(*)::BIGINT AS unitigs, max(n)::BIGINT AS longest, md5(string_agg(seq, ',' ORDER BY seq)) AS digest
+    FROM (SELECT DISTINCT doc_id, n, least(seq, {RC.format('seq')}) AS seq FROM c) GROUP BY doc_id"""
+
+
+@query("q_unitigs", _unitigs_sql())
+def unitigs(spark, sf_dir):
+    """Chains without branches of every document's graph; cycles, which are none, are told by q_graph_cycles."""
+    units, _ = tablegraph.unitigs(oriented(spark, sf_dir, 11), "doc_id", 11)
+    g = units.filter("own AND NOT ring").groupBy("doc_id").agg(F.count("*").alias("unitigs"), F.max("nodes").alias("longest"), F.sort_array(F.collect_list(tablegraph.canonical_seq(F.col("seq")))).alias("x"))
+    return g.select("doc_id", "unitigs", "longest", F.md5(F.array_join("x", ",").cast("binary")).alias("digest"))
+
+
+def ends(spark, sf_dir, k):
+    return kmers.end_words(dna(spark, sf_dir), "doc_id", "s", k)
+
+
+@query("q_tips")
+def tips(spark, sf_dir):
+    """Edges that stay when tips go, the ends of each text being anchors."""
+    e = ends(spark, sf_dir, 11)
+    anchors = e.select("doc_id", F.least("first", "rfirst").alias("node")).union(e.select("doc_id", F.least("last", "rlast")))
+    left, _ = tablegraph.without_tips(oriented(spark, sf_dir, 11), "doc_id", 11, anchors)
+    return left.groupBy("doc_id").agg((F.count("*")).alias("edges"))
+
+
+@query("q_graph_cycles")
+def graph_cycles(spark, sf_dir):
+    """Edges between chains that lie on cycles or between them, by document."""
+    e = checkpointed(oriented(spark, sf_dir, 11), "edges")
+    units, _ = tablegraph.unitigs(e, "doc_id", 11)
+    left, _ = tablegraph.peeled(tablegraph.chain_edges(e, units, "doc_id"), "doc_id")
+    return left.groupBy("doc_id").agg(F.count("*").alias("edges"))
+
+
+@query("q_walks")
+def walks(spark, sf_dir):
+    """Walks from the chain of each text's first k-mer to that of its last, and their bases."""
+    k = 15
+    e = checkpointed(oriented(spark, sf_dir, k), "edges")
+    ranked, _ = tablegraph.chains(e, "doc_id")
+    units = tablegraph.chain_rows(ranked, "doc_id", k)
+    at = lambda c, name: ranked.select("doc_id", F.col("s").alias(c), F.col("to").alias(name))
+    own = ends(spark, sf_dir, k).select("doc_id", "first", "last").join(at("first", "source"), ["doc_id", "first"]).join(at("last", "sink"), ["doc_id", "last"])
+    found, _ = tablegraph.walks(tablegraph.chain_edges(e, units, "doc_id"), checkpointed(own.select("doc_id", "source", "sink"), "ends"), "doc_id")
+    found = checkpointed(found, "walks")
+    bases = tablegraph.haplotypes(found, units, "doc_id", k).select("doc_id", "place", F.length("seq").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+    return found.select("doc_id", "place", F.size("path").alias("chains"), "limited").join(bases, ["doc_id", "place"])
+
+
+@query(
+    "q_tandem_repeats",
+    f"""
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents),
+    e AS (SELECT doc_id, p, unnest([i for i in range(1, length(s) - p + 1) if s[i] = s[i + p]]) AS i FROM d CROSS JOIN range(1, 7) AS t(p) WHERE length(s) > p),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS run FROM e),
+    r AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM g GROUP BY doc_id, p, run HAVING count(*) + p >= 2.5 * p),
+    m AS (SELECT r.*, substr(s, start, p) AS motif FROM r JOIN d USING (doc_id))
+    SELECT doc_id, p::INT AS period, count(*)::BIGINT AS repeats, sum(length)::BIGINT AS bases, max(length)::INT AS longest, min(start - 1)::INT AS first
+    FROM m WHERE NOT contains(substr(motif || motif, 2, (2 * p - 2)::BIGINT), motif) GROUP BY doc_id, p""",
+)
+def tandem_repeats(spark, sf_dir):
+    """Runs of repeats by a table function in SQL."""
+    ship(spark)
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT doc_id, length(motif) AS period, count(*) AS repeats, sum(r.length) AS bases, max(r.length) AS longest, min(r.start) AS first
+        FROM {dna}, LATERAL tandem_repeats(s) AS r WHERE substitutions = 0 GROUP BY doc_id, length(motif)""",
+        dna=dna(spark, sf_dir),
+    )
+
+
+@query(
+    "q_sql_functions",
+    f"""
+    WITH d AS (SELECT doc_id, {DNA} AS s FROM documents)
+    SELECT doc_id, md5({RC.format('s')}) AS rc, md5(least(s, {RC.format('s')})) AS canon, round((length(replace(replace(s, 'A', ''), 'T', ''))) / nullif(length(s), 0), 6) AS gc,
+        (length(s) % 7 + length(s) % 5)::INT AS clipped, (length(s) % 7 + 3)::INT AS matches, round(pow(10, -(length(s) % 40) / 10), 8) AS error FROM d""",
+)
+def sql_functions(spark, sf_dir):
+    """The library's SQL functions, called in SQL."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT doc_id, md5(CAST(reverse_complement(s) AS BINARY)) AS rc, md5(CAST(canonical_sequence(s) AS BINARY)) AS canon, round(gc_content(s), 6) AS gc,
+            soft_clipped_bases(concat(length(s) % 7, 'S20M1I3D', length(s) % 5, 'S')) AS clipped, md_matches(concat(length(s) % 7, 'A2^CG1')) AS matches,
+            round(phred_to_error(CAST(length(s) % 40 AS DOUBLE)), 8) AS error FROM {dna}""",
+        dna=dna(spark, sf_dir),
+    )
 
 
 @query(

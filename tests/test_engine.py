@@ -142,9 +142,8 @@ def test_expressions(spark):
 
 
 def test_repeats():
-    r = list(repeats.exact_repeats("ACACACACAC"))
-    assert {"period": 2, "copies": 5.0, "start": 0, "span": 10, "errors": 0, "exact": True} in r
-    assert not repeats.primitive("ACAC") and repeats.primitive("AAC")
+    r = list(repeats.tandem_repeats("ACACACACAC"))
+    assert r == [{"motif": "AC", "start": 0, "length": 10, "substitutions": 0}]
     assert repeats.low_complexity("A" * 60) > 1 and repeats.low_complexity("ACGTTGCATCAGGATTC") < 0.1
     assert repeats.complexity("ACGT" * 30, "ACGT" * 14 + "ACAGT" + "ACGT" * 15, 58, 58, 1, 2)["tr_period"] > 0
 
@@ -396,7 +395,7 @@ def test_realigned_reads_and_repeats(spark):
     got = {r.probe_id: r.n_alt for r in probes.realigned(spark.createDataFrame(rows, "probe_id long, seq string, ref_hap string, alt_hap string")).collect()}
     assert got == {1: 2, 2: 0, 3: 0}
     found = spark.createDataFrame([("ACACACACAC",), (None,)], "s string").select(repeats.repeats_udf()(F.col("s")).alias("r")).collect()
-    assert any(x.period == 2 and x.span == 10 and x.exact for x in found[0].r) and not found[1].r
+    assert [x.asDict() for x in found[0].r] == [{"motif": "AC", "start": 0, "length": 10, "substitutions": 0}] and not found[1].r
 
 
 def test_path_depths_of_both_forms_agree(spark):
