@@ -87,17 +87,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * PRIME
 
 
-def shingle_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in ascending order, and their counts."""
+def shingle_hashes(text: str) -> np.ndarray:
+    """Hashes of the shingles, in order."""
     h = words(text)
     if not len(h):
-        return h, np.zeros(0, np.int64)
+        return h
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     value = np.zeros(n, np.uint64)
     for j in range(k):
         value = value * PRIME + h[j : j + n]
-    return np.unique(mix(value), return_counts=True)
+    return mix(value)
+
+
+def shingle_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in ascending order, and their counts."""
+    return np.unique(shingle_hashes(text), return_counts=True)
 
 
 def slots(found: np.ndarray) -> list[np.ndarray]:
@@ -188,7 +193,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
         for b in batches:
             n += b.num_rows
             for text in b.column("text").to_pylist():
-                held.append(shingle_counts(text or "")[0])
+                held.append(np.unique(shingle_hashes(text or "")))
                 waiting += len(held[-1])
                 if waiting >= size:
                     add()
