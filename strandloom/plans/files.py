@@ -11,13 +11,13 @@ from strandloom.operators import local_assembly as la
 from strandloom.plans.registry import query
 from strandloom.plans.sequences import DNA, dna
 from strandloom.session import ship, table
-from strandloom.sources import alignments, sinks, text
-from strandloom.sources.storage import shared_dir
+from strandloom.sources import alignments, bamindex, sinks, text
+from strandloom.sources.storage import kept, shared_dir
 
 
 def written(lines: DataFrame, name: str) -> str:
     """Lines (one column) as text files in a new folder of the shared store."""
-    path = shared_dir(lines.sparkSession, name)
+    path = kept(shared_dir(lines.sparkSession, name))
     lines.write.text(path)
     return path
 
@@ -76,8 +76,8 @@ CONTIGS = [(f"chr{k}", 1 << 28) for k in (1, 2, 3)]
 
 def bam_files(spark, sf_dir) -> str:
     ship(spark)
-    folder = shared_dir(spark, "bam")
-    rows = line_reads(spark, sf_dir).repartitionByRange(4, "chrom", "pos").sortWithinPartitions("chrom", "pos")
+    folder = kept(shared_dir(spark, "bam"))
+    rows = line_reads(spark, sf_dir).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
     alignments.write_bams(rows, folder, CONTIGS, "@HD\tVN:1.6\tSO:coordinate\n").collect()  # a row a file
     return f"{folder}/*.bam"
 
@@ -95,6 +95,17 @@ def bam_regions(spark, sf_dir):
     return alignments.bam(spark, bam_files(spark, sf_dir), ("qname", "pos"), [("chr1", 40, 60), ("chr3", 100, 120)], 20, 32, split=1 << 16)
 
 
+REGIONS_SQL = f"SELECT qname, pos FROM ({READS}) WHERE chrom = 'chr1' AND pos <= 60 AND \"end\" >= 40 OR chrom = 'chr3' AND pos <= 120 AND \"end\" >= 100"
+
+
+@query("q_bam_index", REGIONS_SQL)
+def bam_index(spark, sf_dir):
+    """As q_bam_regions, but an index written beside each file tells which of its blocks are opened."""
+    path = bam_files(spark, sf_dir)
+    bamindex.write_indexes(spark, path).collect()  # a row a file
+    return alignments.bam(spark, path, ("qname", "pos"), [("chr1", 40, 60), ("chr3", 100, 120)], indexed=True)
+
+
 @query(
     "q_fasta_fetch",
     f"""
@@ -153,7 +164,7 @@ def commented_tsv(spark, sf_dir):
 def probe_file(spark, sf_dir):
     """Probes numbered by their place in the file; a row whose start is no number is passed over."""
     start = F.expr("if(p_size % 7 = 0, 'start', string(p_partkey))")
-    p = table(spark, sf_dir, "part").orderBy("p_partkey").coalesce(1).select(tabbed(F.concat(F.lit("c"), F.expr("string(p_size % 3)")), start, *map(F.lit, [".", "A", "G", ".", ".", ".", "."])))
+    p = table(spark, sf_dir, "part").orderBy("p_partkey").select(tabbed(F.concat(F.lit("c"), F.expr("string(p_size % 3)")), start, *map(F.lit, [".", "A", "G", ".", ".", ".", "."])))
     return text.probes(spark, written(p, "probes"))
 
 
@@ -223,7 +234,7 @@ def gfa(spark, sf_dir):
 def msa_files(spark, sf_dir):
     """Aligned haplotypes written as FASTA, a file a group, and their gaps read again."""
     o = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("h"), "o_orderkey").alias("name"), F.expr("concat(repeat('-', int(o_orderkey % 4)), 'ACGT', repeat('-', int(3 - o_orderkey % 4)))").alias("seq"), F.col("o_orderkey").alias("ord"))
-    folder = shared_dir(spark, "msa")
+    folder = kept(shared_dir(spark, "msa"))
     files = sinks.fasta_text(o, "o_custkey").select(F.concat_ws("", F.lit("g"), F.col("o_custkey").cast("string"), F.lit(".fa")).alias("name"), F.col("fasta").alias("text"))
     ship(spark)
     sinks.write_texts(files, folder).count()
@@ -234,8 +245,8 @@ def msa_files(spark, sf_dir):
 def archive(spark, sf_dir):
     """Texts in archives, one a task, read again from the archives."""
     ship(spark)
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), "doc_id").alias("name"), "text").repartition(3)
-    shards = sinks.write_archive(d, shared_dir(spark, "archive"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), "doc_id").alias("name"), "text")
+    shards = sinks.write_archive(d, kept(shared_dir(spark, "archive")))
     return sinks.read_archives(shards).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -244,7 +255,7 @@ def tsv_report(spark, sf_dir):
     """A report with all probes, also those without records, written as a table and read again."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("probe_id"))
     best = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").groupBy(F.col("l_partkey").alias("probe_id")).agg(F.max("l_quantity").alias("top"))
-    path = shared_dir(spark, "tsv")
+    path = kept(shared_dir(spark, "tsv"))
     sinks.write_tsv(sinks.probe_records(p, best), path)
     return spark.read.csv(path, sep="\t", header=True)
 
@@ -313,7 +324,7 @@ def vcf_records(spark, sf_dir):
     """Records written as a VCF file in genome order, and read again: their alleles, INFO, and depths of both samples."""
     samples = spark.sql("SELECT * FROM VALUES ('ctrl', 'CTRL', 0), ('case', 'CASE', 1) AS t(sample, role, idx)")
     sites = ev.best_by_site(ev.site_calls(line_calls(spark, sf_dir), samples))
-    path = shared_dir(spark, "vcf")
+    path = kept(shared_dir(spark, "vcf"))
     sinks.write_vcf(sites, sinks.vcf_header([("c1", 1 << 28)], ["ctrl", "case"], True), ["c1"], path)
     f = spark.read.text(path).filter("NOT startswith(value, '#')").select(F.split("value", "\t").alias("f"))
     field = lambda k: F.concat_ws(" ", *(F.split(F.col("f")[c], ":")[k] for c in (9, 10)))

@@ -157,6 +157,22 @@ class Bam:
         while (at := stream.place()) is not None and at < stop:
             yield stream.take(stream.number())
 
+    def placed(self, begin: int, end: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+        """Virtual offsets of begin and end, and bytes, of the records from one virtual offset to another."""
+        stream = _Stream(_Blocks(self.f, begin >> 16))
+        stream.take(begin & 0xFFFF)
+        at = stream.virtual()
+        while at is not None and (end is None or at < end):
+            record = stream.take(stream.number())
+            after = stream.virtual()
+            # At a block's end the next record begins in the next block.
+            yield at, self.size << 16 if after is None else after, record
+            at = after
+
+    def header_end(self) -> int | None:
+        """Virtual offset of the first record; None if there is none."""
+        return self.first.virtual()
+
     def _plausible(self, b: bytes, at: int) -> int | None:
         """Size of the record that may begin there; None if it can't, 0 if b ends before that is known."""
         if at + 36 > len(b):
@@ -178,42 +194,48 @@ class _Stream:
 
     def __init__(self, blocks: _Blocks):
         self.blocks, self.rest = blocks, iter(blocks)
-        self.data, self.starts = b"", []  # starts: (place in data, file offset of the block)
+        self.data, self.at, self.starts = b"", 0, []  # at: the next byte; starts: (place in data, file offset of the block)
 
     def _grow(self) -> bool:
         block = next(self.rest, None)
         if block is None:
             return False
+        # What was taken goes now, so a block is copied once, whatever the size of its records.
+        gone, self.at = self.at, 0
+        starts = [(where - gone, at) for where, at in self.starts]
+        self.starts = [x for x, after in zip(starts, [*starts[1:], (len(self.data) - gone, 0)]) if after[0] > 0]
+        self.data = self.data[gone:]
         self.starts.append((len(self.data), block[0]))
         self.data += block[1]
         return True
 
     def place(self) -> int | None:
         """File offset of the block of the next byte; None at the end."""
-        if not self.data and not self._grow():
+        found = self.virtual()
+        return None if found is None else found >> 16
+
+    def virtual(self) -> int | None:
+        """Virtual offset of the next byte: the block's file offset in 48 bits, the byte in it in 16; None at the end."""
+        if self.at == len(self.data) and not self._grow():
             return None
-        return [at for where, at in self.starts if where <= 0][-1]
+        where, at = next(x for x in reversed(self.starts) if x[0] <= self.at)
+        return at << 16 | self.at - where
 
     def take(self, size: int) -> bytes:
-        while len(self.data) < size:
+        while len(self.data) - self.at < size:
             if not self._grow():
                 raise ValueError("the file ends within a record")
-        out, self.data = self.data[:size], self.data[size:]
-        self.starts = [(where - size, at) for where, at in self.starts]
-        while len(self.starts) > 1 and self.starts[1][0] <= 0:
-            self.starts.pop(0)
-        if not self.data:
-            self.starts = []
-        return out
+        self.at += size
+        return self.data[self.at - size : self.at]
 
     def number(self) -> int:
         return struct.unpack("<i", self.take(4))[0]
 
     def to_record(self, plausible, chain: int = 5) -> bool:
-        """Go to the first byte from which plausible records follow one another."""
-        at = 0
+        """Go to the first byte from which plausible records follow one another. Nothing has been taken yet."""
+        first = 0
         while True:
-            here, known = at, 0
+            here, known = first, 0
             while known < chain:
                 size = plausible(self.data, here)
                 if size is None:
@@ -225,16 +247,19 @@ class _Stream:
                     break
                 here, known = here + size, known + 1
             if known == chain or known and here == len(self.data):
-                self.take(at)
+                self.take(first)
                 return True
-            at += 1
-            if at >= len(self.data) and not self._grow():
+            first += 1
+            if first >= len(self.data) and not self._grow():
                 return False
 
 
-def read_bam(path: str, start: int = 0, stop: int | None = None, columns: tuple[str, ...] = COLUMNS, regions: list[tuple] | None = None, least_mapq: int = 0, without_flags: int = 0) -> Iterator[tuple]:
+def read_bam(
+    path: str, start: int = 0, stop: int | None = None, columns: tuple[str, ...] = COLUMNS, regions: list[tuple] | None = None, least_mapq: int = 0, without_flags: int = 0, ranges: list[tuple[int, int]] | None = None
+) -> Iterator[tuple]:
     """Columns of the records of a part of a BAM file that pass: mapping quality, no such flag, and overlap with one of
-    the regions (chrom, start1, end1). Nothing else of a record that fails is decoded, nor other columns."""
+    the regions (chrom, start1, end1). Nothing else of a record that fails is decoded, nor other columns. The part goes from
+    start to stop (file offsets), or is the ranges of virtual offsets that an index gives."""
     bam = Bam(path)
     spans: dict[int, list[tuple[int, int]]] = {}
     for chrom, a, b in regions or []:
@@ -242,7 +267,8 @@ def read_bam(path: str, start: int = 0, stop: int | None = None, columns: tuple[
             spans.setdefault(bam.names.index(chrom), []).append((a - 1, b))
     last = max(((r, max(b for _, b in s)) for r, s in spans.items()), default=None)
     ordered = "SO:coordinate" in bam.text.split("\n", 1)[0]
-    for b in bam.records(start, stop):
+    every = bam.records(start, stop) if ranges is None else (b for x in ranges for _, _, b in bam.placed(*x))
+    for b in every:
         ref, pos, n_name, mapq, _, n_cigar, flag = struct.unpack_from("<iiBBHHH", b)
         if mapq < least_mapq or flag & without_flags:
             continue
@@ -251,13 +277,19 @@ def read_bam(path: str, start: int = 0, stop: int | None = None, columns: tuple[
                 return
             if ref not in spans:
                 continue
-            units = struct.unpack_from(f"<{n_cigar}I", b, 32 + n_name)
-            end = pos + max(1, sum(u >> 4 for u in units if u & 15 in (0, 2, 3, 7, 8)))
+            end = _record_end(b)
             if not any(pos < y and end > x for x, y in spans[ref]):
                 continue
         yield _record(b, bam.names, columns)
 
 
+def _record_end(b: bytes) -> int:
+    """Place behind the last base of the reference that a record covers, one base at least."""
+    pos, n_name, n_cigar = struct.unpack_from("<iB3xH", b, 4)
+    units = struct.unpack_from(f"<{n_cigar}I", b, 32 + n_name)
+    return pos + max(1, sum(u >> 4 for u in units if u & 15 in (0, 2, 3, 7, 8)))
+
+
 def _record(b: bytes, names: list[str], columns: tuple[str, ...]) -> tuple:
     ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
     cigar_at = 32 + n_name
@@ -302,22 +334,34 @@ def _tags(b: bytes) -> Iterator[tuple[str, str]]:
         yield key, value
 
 
-def bam(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS, regions: list[tuple] | None = None, least_mapq: int = 0, without_flags: int = 0, split: int = SPLIT) -> DataFrame:
-    """Columns of BAM files (path may be a pattern): a task reads split bytes of a file in Arrow batches, and decodes the
-    wanted columns of the wanted records only."""
+def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and size of the files of a pattern, in any store that Spark reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     pattern = jvm.org.apache.hadoop.fs.Path(path)
     found = pattern.getFileSystem(conf).globStatus(pattern) or []
-    parts = [(str(x.getPath().toString()), at, at + split) for x in found for at in range(0, max(1, x.getLen()), split)]
+    return [(str(x.getPath().toString()), x.getLen()) for x in found]
+
+
+def bam(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS, regions: list[tuple] | None = None, least_mapq: int = 0, without_flags: int = 0, split: int = SPLIT, indexed: bool = False) -> DataFrame:
+    """Columns of BAM files (path may be a pattern): a task reads split bytes of a file in Arrow batches, and decodes the
+    wanted columns of the wanted records only. With indexed, each file has an index beside it (bamindex.write_indexes) and
+    only what the index gives for the regions is opened."""
     fields = [f for f in FIELDS if f.name in columns]
     columns = tuple(f.name for f in fields)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, start, stop in zip(*(c.to_pylist() for c in b.columns)):
-                yield from _batches(read_bam(file, start, stop, columns, regions, least_mapq, without_flags), fields)
+                part = {"ranges": [(start, stop)]} if indexed else {"start": start, "stop": stop}
+                yield from _batches(read_bam(file, columns=columns, regions=regions, least_mapq=least_mapq, without_flags=without_flags, **part), fields)
+
+    if indexed:
+        from strandloom.sources import bamindex
 
-    rows = spark.createDataFrame(parts, "file string, start long, stop long").repartitionByRange(max(1, len(parts)), "file", "start")
+        rows = bamindex.planned(spark, [f for f, _ in files(spark, path)], regions or [], split)
+    else:
+        parts = [(f, at, at + split) for f, size in files(spark, path) for at in range(0, max(1, size), split)]
+        rows = spark.createDataFrame(parts, "file string, start long, stop long").repartitionByRange(max(1, len(parts)), "file", "start")
     schema = ", ".join(x for x in SCHEMA.split(", ") if x.split(" ")[0] in columns or x.startswith("string>") and "tags" in columns)
     return rows.mapInArrow(read, schema)
 
