@@ -11,7 +11,7 @@ from strandloom.functions import seq
 from strandloom.operators import relational as rel
 from strandloom.operators import scans
 from strandloom.plans.registry import query
-from strandloom.session import table
+from strandloom.session import ship, table
 from strandloom.sources import alignments
 from strandloom.streaming import store
 
@@ -275,3 +275,30 @@ def stream_keep_best(spark, sf_dir):
     """Of each user and day the event of the largest value, once the watermark has passed the day."""
     out = store.run_available(store.keep_best(events_stream(spark, sf_dir), "ts", ["user_id"], "value", ["event_id"], "1 day", "10 minutes"), f"best_{uuid.uuid4().hex}")
     return out.select(F.unix_timestamp("start").alias("first_s"), "user_id", "value", "event_id")
+
+
+@query(
+    "q_stream_timers",
+    """
+    WITH e AS (SELECT epoch_ms(ts) // 86400000 * 86400 AS first_s, user_id, value, event_id, (SELECT max(epoch_ms(ts)) // 1000 FROM events) AS top FROM events)
+    SELECT first_s, user_id, max(value) AS value, arg_max(event_id, {'v': value, 'i': event_id}) AS event_id FROM e WHERE first_s + 86400 <= top - 600 GROUP BY first_s, user_id""",
+)
+def stream_timers(spark, sf_dir):
+    """As q_stream_keep_best, by state and timers of its own."""
+    ship(spark)
+    best = store.keep_best_with_timers(events_stream(spark, sf_dir), "ts", ["user_id"], "value", ["event_id"], "1 day", "10 minutes")
+    return store.run_available(best, f"timers_{uuid.uuid4().hex}").select(F.unix_timestamp("start").alias("first_s"), "user_id", "value", "event_id")
+
+
+@query(
+    "q_session_append",
+    """
+    WITH e AS (SELECT event_id, user_id, ts, (SELECT max(ts) FROM events) AS top FROM events),
+    f AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM f)
+    SELECT user_id, floor(epoch(min(ts)))::BIGINT AS first_s, count(*)::BIGINT AS n FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 1 HOUR <= any_value(top) - INTERVAL 1 MINUTE""",
+)
+def session_append(spark, sf_dir):
+    """Sessions that the watermark has closed; their state is gone."""
+    g = store.run_available(store.sessions(events_stream(spark, sf_dir), "ts", ["user_id"], "1 hour", "1 minute"), f"closed_{uuid.uuid4().hex}")
+    return g.select("user_id", F.unix_timestamp("start").alias("first_s"), "n")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
-from strandloom.sources.storage import shared_dir
+from strandloom.sources.storage import kept, shared_dir
 
 
 def sliding_counts(stream: DataFrame, at: str, keys: list[str], length: str, step: str, late: str) -> DataFrame:
@@ -32,13 +36,68 @@ def keep_best(stream: DataFrame, at: str, keys: list[str], by: str, payload: lis
     return g.select(F.col("w.start").alias("start"), *keys, F.col(f"m.{by}").alias(by), *(F.col(f"m.{c}").alias(c) for c in payload))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", files: int | None = None, listener: list | None = None) -> DataFrame:
+def best_of_bucket(columns: list[str], state: StructType, ends: str) -> StatefulProcessor:
+    """State of a key and bucket: its best row so far, which a timer at the bucket's end gives out, once.
+
+    The class is made here, so that it travels by value: the process in which the driver asks for its state does not have
+    this package.
+    """
+
+    def rank(row: tuple) -> tuple:  # nulls before all
+        return tuple((x is not None, x if x is not None else 0) for x in row)
+
+    class Best(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.best = handle, handle.getValueState("best", state)
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            held = self.best.exists()
+            best, end = self.best.get() if held else None, None
+            for batch in rows:
+                end = int(batch[ends].iloc[0])
+                for row in batch[columns].itertuples(index=False, name=None):
+                    row = tuple(None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in row)
+                    if best is None or rank(row) > rank(best):
+                        best = row
+            if best is not None:
+                if not held:
+                    self.handle.registerTimer(end)
+                self.best.update(tuple(best))
+            return iter(())
+
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            best = self.best.get()
+            self.best.clear()
+            yield pd.DataFrame([(*key, *best)], columns=[f"k{i}" for i in range(len(key))] + columns)
+
+        def close(self) -> None:
+            pass
+
+    return Best()
+
+
+def keep_best_with_timers(stream: DataFrame, at: str, keys: list[str], by: str, payload: list[str], bucket: str, late: str) -> DataFrame:
+    """As keep_best(), by a state of its own and event-time timers: a bucket's rows are given out when the watermark passes
+    its end, each once, and their state goes. Runs in append mode on a state store that has timers (RocksDB)."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = [by, *payload]
+    rows = stream.withWatermark(at, late).withColumn("__w", F.window(at, bucket)).select(F.col("__w.start").alias("start"), *keys, at, *columns, F.unix_millis("__w.end").alias("bucket_end"))
+    of = {f.name: f.dataType for f in rows.schema.fields}
+    state = StructType([StructField(c, of[c]) for c in columns])
+    result = StructType([StructField("start", of["start"]), *(StructField(c, of[c]) for c in [*keys, *columns])])
+    out = StructType([StructField(f"k{i}", f.dataType) for i, f in enumerate(result.fields[: 1 + len(keys)])] + state.fields)
+    best = best_of_bucket(columns, state, "bucket_end")
+    found = rows.groupBy("start", *keys).transformWithStateInPandas(best, out, "append", "eventtime")
+    return found.toDF(*result.names)
+
+
+def run_available(df: DataFrame, name: str, mode: str = "append", listener: list | None = None, folder: str | None = None) -> DataFrame:
     """Run a query over what is there, in batches, into a table below the shared folder, and return the table.
 
-    The checkpoint and the table lie below one new folder of spark.checkpoint.dir, so a query that is stopped goes on
-    there. Complete mode keeps the last batch's result only. Progress of each batch goes to listener, if given.
+    The checkpoint and the table lie below one folder, a new one of spark.checkpoint.dir if none is given; a query that is
+    run again with its folder goes on where it stopped. Complete mode keeps the last batch's result only. Progress of each batch goes to listener, if given.
     """
-    spark, folder = df.sparkSession, shared_dir(df.sparkSession, f"stream-{name}")
+    spark, folder = df.sparkSession, kept(folder or shared_dir(df.sparkSession, f"stream-{name}"))
     out, schema = f"{folder}/rows", df.schema
 
     def write(batch: DataFrame, number: int) -> None:

@@ -253,6 +253,24 @@ def test_streams_give_out_what_the_watermark_has_passed(spark, tmp_path):
         assert {tuple(r) for r in store.run_available(f(stream), name, "complete").collect()} == {tuple(r) for r in f(df).collect()}
 
 
+def test_state_with_timers_goes_on_after_a_stop(spark, tmp_path):
+    """Rows come in three files; the query stops after each and goes on: every bucket is given out once."""
+    start = dt.datetime(2024, 1, 1)
+    schema = "id long, ts timestamp, k long, v double"
+    rows = [(i, start + dt.timedelta(minutes=7 * i), i % 3, None if i % 10 == 3 else float(i * 37 % 11)) for i in range(240)]
+    given, folder = [], f"file://{tmp_path}/state"
+    for n in range(3):
+        spark.createDataFrame(rows[80 * n : 80 * n + 80], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        best = store.keep_best_with_timers(stream, "ts", ["k"], "v", ["id"], "2 hours", "1 minute")
+        given.append([tuple(r) for r in store.run_available(best, "timers", folder=folder).collect()])
+    passed = rows[-1][1] - dt.timedelta(minutes=1)
+    df = spark.createDataFrame(rows, schema)
+    want = {tuple(r) for r in store.keep_best(df, "ts", ["k"], "v", ["id"], "2 hours", "1 minute").collect() if r.start + 2 * HOUR <= passed}
+    assert len(given[2]) == len(set(given[2])) and set(given[2]) == want
+    assert set(given[0]) < set(given[1]) < set(given[2]) and given[0]
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     schema = "id long, ts timestamp, k long, v double"
