@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import langid, quality, queries, toxicity
@@ -234,11 +235,10 @@ def test_languages_of_scripts_never_learnt(spark):
     assert all(r.a is not None and r.b is not None for r in ids.select(langid.in_training().alias("a"), toxicity.in_training().alias("b")).collect())
 
 
-def test_the_toxicity_query_equals_brute_force(spark):
-    """Training, segments, calibration and scores of every document, by loops."""
-    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+def plain_toxicity(docs, label_rows):
+    """Probability of each of docs (texts by id): training, segments, calibration and scores by loops."""
     labels = {}
-    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+    for r in label_rows:
         if r.doc_id is not None and r.toxic is not None and not held(r.doc_id, 2, 4) and r.doc_id in docs:
             labels[r.doc_id] = max(labels.get(r.doc_id, 0), r.toxic)
     words = {d: toxicity.tokens(t) for d, t in docs.items()}
@@ -284,14 +284,52 @@ def test_the_toxicity_query_equals_brute_force(spark):
         each = [rate * x - math.log(k * max(1, len(words[d]))) for x in found[d]]
         return max(-50.0, min(50.0, sum(x for x in each if x > 0) or max(each, default=-math.log(k * max(1, len(words[d]))))))
 
-    got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, SF).collect()}
     xs, ys = np.array([evidence(d) for d in labels]), np.array([labels[d] for d in labels])
     a, b = toxicity.logistic(xs, ys)
     gradient = [float((ys - 1 / (1 + np.exp(-(a + b * xs)))) @ g) - 1e-3 * w for g, w in ((np.ones(len(xs)), a), (xs, b))]
     assert max(map(abs, gradient)) < 1e-6
+    return {d: 1 / (1 + math.exp(-(a + b * evidence(d)))) for d in docs}
+
+
+def test_the_toxicity_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = plain_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet").collect())
+    got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, SF).collect()}
     for d in docs:
-        want = 1 / (1 + math.exp(-(a + b * evidence(d))))
-        assert abs(got[d].score - want) < 1e-4 and got[d].predicted == int(got[d].score >= 0.3) and got[d].held_out == held(d, 2, 4)
+        assert abs(got[d].score - want[d]) < 1e-4 and got[d].predicted == int(got[d].score >= 0.3) and got[d].held_out == held(d, 2, 4)
+
+
+def test_words_and_features_worked_out_by_hand():
+    assert toxicity.tokens("Bad, BAD w0rd! Été don't") == ["bad", "bad", "w0rd", "été", "don", "t"]
+    assert toxicity.features("awfully") == ["awfully", "^awf", "^awfu", "^awful", "^awfull"] and toxicity.features("bad") == ["bad"]
+    assert langid.pieces("don't") == ["dont"] and langid.pieces("привет-abc") == ["привет", "abc"] and langid.script("привет") == "Cyrillic"
+    assert langid.pieces("x" * 70) == ["x" * 64, "x" * 6] and len(langid.buckets("abc")) == 3
+
+
+def test_scores_of_small_texts_worked_out_by_hand(spark):
+    """Two languages of one word each: every trigram of a text is that of one, so its words and score are plain."""
+    train = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate([("zubo zubo", "a"), ("mike mike", "b")] * 8)], "doc_id long, text string, lang string")
+    out = langid.Labeller(langid.train(train, F.lit(True)))
+    assert out("zubo")[:2] == ("a", 1.0) and out("Mike, mike!")[:2] == ("b", 1.0) and out("123")[:2] == ("und", 0.0)
+    lang, share, spans = out(" ".join(["zubo"] * 30 + ["mike"] * 10))
+    assert (lang, share) == ("a", 0.75) and [(s["begin"], s["end"], s["lang"]) for s in spans] == [(0, 30, "a"), (30, 40, "b")]
+    # Two words of 3 in a row are a segment of 6; clean texts of 4 words have 0.4 exp(-6) such: the score is that odds.
+    model = toxicity.Model({"vile": 3.0}, rate=1.0, k=0.1, intercept=0.0, slope=1.0)
+    words = toxicity.tokens("Kind, vile VILE words")
+    assert model.segments(words) == [(1, 3, 6.0)] and model.segments(["kind"]) == []
+    assert model.evidence(4, model.segments(words)) == pytest.approx(6 - math.log(0.4))
+    assert model.probability(model.evidence(4, model.segments(words))) == pytest.approx(1 / (1 + 0.4 * math.exp(-6)))
+    assert model.probability(model.evidence(0, [])) == pytest.approx(10 / 11)
+
+
+def test_a_language_of_few_documents_is_learnt(spark, monkeypatch):
+    """30 of 3,030 documents are in one language, and the sample holds 60: it is learnt and predicted like the other."""
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 60)
+    monkeypatch.setattr(langid, "LANG_DOCS", 20)
+    rows = [(k, "the house that was here", "en") for k in range(3000)] + [(10_000 + k, "der Hund und die Katze", "de") for k in range(30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    out = langid.Labeller(model)
+    assert model.langs == ["de", "en"] and out("der Hund und die Katze")[0] == "de" and out("the house that was")[0] == "en"
 
 
 def test_rare_labels_are_all_learnt_from(spark, monkeypatch):
