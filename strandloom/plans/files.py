@@ -11,7 +11,7 @@ from strandloom.operators import local_assembly as la
 from strandloom.plans.registry import query
 from strandloom.plans.sequences import DNA, dna
 from strandloom.session import ship, table
-from strandloom.sources import alignments, bamindex, sinks, text
+from strandloom.sources import alignments, bamindex, bgzf, sinks, text
 from strandloom.sources.storage import kept, shared_dir
 
 
@@ -106,6 +106,21 @@ def bam_index(spark, sf_dir):
     return alignments.bam(spark, path, ("qname", "pos"), [("chr1", 40, 60), ("chr3", 100, 120)], indexed=True)
 
 
+@query(
+    "q_bgzf_regions",
+    """
+    SELECT 'c' || p_size % 3 AS chrom, p_partkey * 20 AS pos, 'c' || p_size % 3 || chr(9) || p_partkey * 20 || chr(9) || p_name AS value FROM part
+    WHERE p_size % 3 = 1 AND p_partkey * 20 BETWEEN 500 AND 30000 OR p_size % 3 = 2 AND p_partkey * 20 BETWEEN 1 AND 4000""".replace("'c' || p_size % 3", "'c' || (p_size % 3)").replace("|| p_partkey * 20 ||", "|| (p_partkey * 20) ||"),
+)
+def bgzf_regions(spark, sf_dir):
+    """Sorted lines written as block-compressed shards, and regions read again by their index."""
+    ship(spark)
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("c"), F.expr("p_size % 3")).alias("chrom"), (F.col("p_partkey") * 20).alias("pos"), "p_name")
+    folder = kept(shared_dir(spark, "bgzf"))
+    bgzf.write_lines(p.withColumn("value", F.concat_ws("\t", "chrom", "pos", "p_name")), ["chrom", "pos"], folder, ["#chrom\tpos\tname"])
+    return bgzf.fetch(spark, folder, [("c1", 500, 30_000), ("c2", 1, 4000)])
+
+
 @query(
     "q_fasta_fetch",
     f"""
