@@ -139,7 +139,7 @@ def train(docs: DataFrame, condition) -> Model:
     sizes = rows.groupBy("lang").count().collect()  # a row a language, each of which is a column of the model
     quota = max(LANG_DOCS, TRAIN_DOCS // max(1, len(sizes)))
     shares = docs.sparkSession.createDataFrame([(r["lang"], int((1 << 30) * min(1, quota / r["count"]))) for r in sizes], "lang string, share long")
-    rows = rows.select("doc_id", "lang", "text").join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("share"))
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
