@@ -43,15 +43,34 @@ def codes(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return whole[0][:n], whole[1][:n]
 
 
-def text_codes(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """As codes(), without the windows that hold anything but A, C, G and T."""
+def text_places(text: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the windows that hold A, C, G and T only, and their codes()."""
     bases = CODE[np.frombuffer(text.encode(), np.uint8)]
     if len(bases) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     bad = np.concatenate([[0], np.cumsum(bases > 3)])
-    fine = bad[k:] == bad[:-k]
+    fine = np.flatnonzero(bad[k:] == bad[:-k])
     f, r = codes(np.minimum(bases, 3), k)
-    return f[fine], r[fine]
+    return fine, f[fine], r[fine]
+
+
+def text_codes(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As codes(), without the windows that hold anything but A, C, G and T."""
+    return text_places(text, k)[1:]
+
+
+def text_minimizers(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, number and own strand of the canonical k-mers that have the least hash of some w k-mers in a row (the first at
+    a tie): two texts that share w + k - 1 bases share one of these."""
+    place, f, r = text_places(text, k)
+    number = np.minimum(f, r)
+    h = number.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    if not len(h):
+        return place, number, f <= r
+    seen = np.lib.stride_tricks.sliding_window_view(h, min(w, len(h)))
+    at = np.unique(seen.argmin(axis=1) + np.arange(len(seen)))
+    return place[at], number[at], (f <= r)[at]
 
 
 def canonical_counts(texts: DataFrame, text: str, k: int) -> DataFrame:

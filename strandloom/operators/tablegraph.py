@@ -158,14 +158,15 @@ def reached(edges: DataFrame, starts: DataFrame, key: str, keep: Keep = written)
 
 def walks(edges: DataFrame, ends: DataFrame, key: str, visits: int = 1 << 20, keep: Keep = written) -> tuple[DataFrame, int]:
     """key, place, path, limited: walks over edges (key, a, b) from source to sink of ends (key, source, sink), none through a
-    state twice, shortest first and then by their states; only walks with an edge that no walk before has. And the rounds.
+    state twice, shortest first and then by their states; only walks with an edge that no walk before has, and the walk of a
+    source that is the sink. And the rounds.
 
     A frontier holds the walks so far of all graphs; each round joins it with the edges. A graph stops at so many visits
     (frontier rows), the rows of a round counting in order; limited tells that it did.
     """
     rank = F.row_number().over(W.partitionBy(key).orderBy("path"))
     front = keep(ends.select(key, "sink", F.array("source").alias("path"), F.lit(1).cast("long").alias("used")))
-    whole, cut, rounds = [], [], 0
+    whole, cut, rounds = [front.filter(F.col("sink") == F.col("path")[0]).select(key, "path")], [], 0
     none = front.filter("false").select(key, "path")
     while front.filter(F.element_at("path", -1) != F.col("sink")).head():
         rounds += 1
@@ -182,8 +183,9 @@ def walks(edges: DataFrame, ends: DataFrame, key: str, visits: int = 1 << 20, ke
         limited = limited.unionByName(c)
     place = F.row_number().over(W.partitionBy(key).orderBy(F.size("path"), "path"))
     found = keep(found.withColumn("place", place))
-    steps = found.select(key, "place", F.explode(F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("edge"))
+    steps = found.filter(F.size("path") > 1).select(key, "place", F.explode(F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("edge"))
     new = steps.groupBy(key, "edge").agg(F.min("place").alias("place")).select(key, "place").distinct()
+    new = new.unionByName(found.filter(F.size("path") == 1).select(key, "place")).distinct()
     out = found.join(new, [key, "place"], "left_semi").join(limited.distinct().withColumn("limited", F.lit(True)), key, "left")
     return out.select(key, "place", "path", F.coalesce("limited", F.lit(False)).alias("limited")), rounds
 

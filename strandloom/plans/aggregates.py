@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import seq, stats
 from strandloom.operators import diagnostics, quantiles
 from strandloom.operators import evidence as ev
+from strandloom.operators import reports
 from strandloom.plans.registry import query
 from strandloom.session import table
 
@@ -344,13 +345,14 @@ def attempts(spark, sf_dir):
     )
 
 
-@query(
-    "q_complexity_merge",
-    """
-    SELECT l_partkey, max(l_quantity) AS f0, max(l_extendedprice) AS f1, max(l_discount) AS f2, max(l_tax) AS f3 FROM lineitem GROUP BY l_partkey""",
-)
+# The eleven features, made from a line.
+MADE = dict(zip(reports.FEATURES, ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber - 4", "l_tax - l_discount", "l_quantity - 25", "1 / (1 + l_linenumber)", "1 - l_discount", "l_suppkey % 7", "l_suppkey % 2"), strict=True))
+
+
+@query("q_complexity_merge", f"SELECT l_partkey, {', '.join(f'max(({v})::DOUBLE) AS {k}' for k, v in MADE.items())} FROM lineitem GROUP BY l_partkey")
 def complexity_merge(spark, sf_dir):
-    return lines(spark, sf_dir).groupBy("l_partkey").agg(*(F.max(c).alias(f"f{k}") for k, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"))))
+    d = lines(spark, sf_dir).select("l_partkey", *(F.expr(f"double({v})").alias(k) for k, v in MADE.items()))
+    return reports.merged_features(d, ["l_partkey"])
 
 
 @query(

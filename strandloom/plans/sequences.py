@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import kmers, seq, sql
-from strandloom.operators import kgraph, tablegraph
+from strandloom.operators import kgraph, seeds, tablegraph
 from strandloom.operators import relational as rel
 from strandloom.plans.registry import query
 from strandloom.session import ship, table
@@ -255,7 +255,7 @@ def graph_cycles(spark, sf_dir):
 @query("q_walks")
 def walks(spark, sf_dir):
     """Walks from the chain of each text's first k-mer to that of its last, and their bases."""
-    k = 15
+    k = 29
     e = checkpointed(oriented(spark, sf_dir, k), "edges")
     ranked, _ = tablegraph.chains(e, "doc_id")
     units = tablegraph.chain_rows(ranked, "doc_id", k)
@@ -363,3 +363,26 @@ def parsimony(spark, sf_dir):
     return t.select("p_partkey", F.col("t.start").alias("start"), F.col("t.ref").alias("ref"), F.col("t.alts")[0].alias("alt"))
 
 
+@query(
+    "q_parsimony_multi",
+    """
+    SELECT p_partkey, (100 + p_size % 4)::INT AS start, 'A' || repeat('C', p_size % 3 + 1) AS ref, ['A' || repeat('G', p_size % 5) || 'T', 'A', 'AC' || repeat('C', p_size % 3 + 1)] AS alts FROM part""",
+)
+def parsimony_multi(spark, sf_dir):
+    """Three ALTs of one site, an insertion, a deletion and a substitution: only what all share is trimmed."""
+    p = table(spark, sf_dir, "part")
+    ends = "concat(repeat('T', p_size % 4), {0}, 'GGA')"
+    made = lambda x: F.expr(ends.format(x))
+    alts = F.array(made("concat('A', repeat('G', p_size % 5), 'T')"), made("'A'"), made("concat('AC', repeat('C', p_size % 3 + 1))"))
+    t = p.select("p_partkey", seq.parsimony(made("concat('A', repeat('C', p_size % 3 + 1))"), alts, F.lit(100)).alias("t"))
+    return t.select("p_partkey", F.col("t.start").alias("start"), F.col("t.ref").alias("ref"), F.col("t.alts").alias("alts"))
+
+
+@query("q_best_haplotypes")
+def best_haplotypes(spark, sf_dir):
+    """Reads of 80 bases from each text with one base changed, and whether the text (0) or the changed one (1) fits each best."""
+    ship(spark)
+    d = dna(spark, sf_dir).filter("length(s) >= 200").withColumn("t", F.expr("concat(substr(s, 1, 100), translate(substr(s, 101, 1), 'ACGT', 'CGTA'), substr(s, 102))"))
+    haps = d.select("doc_id", F.posexplode(F.array("s", "t")).alias("hap", "seq"))
+    reads = d.select("doc_id", F.posexplode(F.expr("transform(sequence(0, int((length(s) - 80) / 50)), i -> substr(t, 50 * i + 1, 80))")).alias("read", "seq"))
+    return seeds.best_haplotypes(reads, haps, "doc_id").groupBy("doc_id").agg(F.count("*").alias("reads"), F.count_if(F.col("hap") == 1).alias("changed"))

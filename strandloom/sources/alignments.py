@@ -335,10 +335,12 @@ def _tags(b: bytes) -> Iterator[tuple[str, str]]:
 
 
 def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Path and size of the files of a pattern, in any store that Spark reads."""
+    """Path and size of the files of a pattern, in any store that Spark reads; raises before a job starts if there is none."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     pattern = jvm.org.apache.hadoop.fs.Path(path)
-    found = pattern.getFileSystem(conf).globStatus(pattern) or []
+    found = pattern.getFileSystem(conf).globStatus(pattern)
+    if not found:
+        raise FileNotFoundError(path)
     return [(str(x.getPath().toString()), x.getLen()) for x in found]
 
 

@@ -74,7 +74,9 @@ def fetch(chunks: DataFrame, regions: DataFrame) -> DataFrame:
 def vcf(spark: SparkSession, path: str) -> DataFrame:
     """A row for each ALT: chrom, pos, ref, alt, alt_no, qual, filter, info (map), format, samples (array)."""
     f = spark.read.text(path).filter("value <> '' AND NOT startswith(value, '#')").select(F.split("value", "\t").alias("f"))
-    info = F.map_from_entries(F.array_distinct(F.transform(F.split(F.col("f")[7], ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v")))))
+    entries = F.transform(F.split(F.col("f")[7], ";"), lambda x: F.named_struct(F.lit("k"), F.substring_index(x, "=", 1), F.lit("v"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")))
+    names = F.transform(entries, lambda x: x["k"])
+    info = F.map_from_entries(F.filter(entries, lambda x, i: F.array_position(names, x["k"]) == i + 1))  # of a repeated key the first
     rows = f.select(
         F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.posexplode(F.split(F.col("f")[4], ",")).alias("alt_no", "alt"),
         F.col("f")[5].try_cast("double").alias("qual"), F.col("f")[6].alias("filter"), info.alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("samples"),
@@ -112,11 +114,13 @@ def allele_depths(rows: DataFrame) -> DataFrame:
 
 
 def commented_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A table whose header line begins with #; columns are strings."""
+    """A table whose header is the first line that begins with #; columns are strings. Other lines are data, also those that
+    begin with #; files of one pattern may each have the header."""
     head = spark.read.text(path).filter(F.col("value").startswith("#")).head()
     names = head["value"].lstrip("#").strip().split("\t")
-    schema = ", ".join(f"`{n.strip()}` string" for n in names)
-    return spark.read.schema(schema).csv(path, sep="\t", comment="#")
+    fields = F.split("value", "\t")
+    rows = spark.read.text(path).filter((F.col("value") != head["value"]) & (F.col("value") != ""))
+    return rows.select(*(F.get(fields, F.lit(i)).alias(n.strip()) for i, n in enumerate(names)))
 
 
 def probes(spark: SparkSession, path: str) -> DataFrame:

@@ -379,8 +379,10 @@ def test_loaders_of_reports(spark, tmp_path):
     beds = [write("low.bed", "#x\nchr1\t5\t9\tL1\nchr3\t1\t2\n"), write("b.txt", "track t\nchr1\t7\t3\nchr1\t1\t4\tskip\n")]
     got = text.annotations(spark, beds, ["chr1"], ("skip",)).collect()
     assert [(r.source, r.chrom, r.start, r.end, r.name) for r in got] == [("low", "chr1", 5, 9, "L1")]
-    table = text.commented_tsv(spark, write("t.tsv", "#a\tb\n1\tx\n"))
-    assert table.columns == ["a", "b"] and tuple(table.first()) == ("1", "x")
+    table = text.commented_tsv(spark, write("t.tsv", "#a\tb\n1\tx\n#2\ty\n3\n"))
+    assert table.columns == ["a", "b"] and sorted(map(tuple, table.collect())) == [("#2", "y"), ("1", "x"), ("3", None)]
+    calls = text.vcf(spark, write("d.vcf", "##x\n#CHROM\nc\t5\t.\tA\tC,G\t9\tPASS\tDP=1;X;DP=2\n")).collect()
+    assert [(r.alt, r.info) for r in calls] == [("C", {"DP": "1", "X": ""}), ("G", {"DP": "1", "X": ""})]
     probes_ = text.probes(spark, write("p.tsv", "#h\nchr1\tstart\t.\tA\tC\t.\t.\t.\t.\nchr1\t9\t.\tA\tC\t.\t.\t.\t.\nchr2\t4\t.\tG\tT\t.\t.\t.\t.\n"))
     assert [tuple(r) for r in probes_.orderBy("probe_id").collect()] == [(0, "chr1", 10, "A", "C"), (1, "chr2", 5, "G", "T")]
     contigs = spark.createDataFrame([("chr1", 10), ("chr2", 20)], "chrom string, length long")

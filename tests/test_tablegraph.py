@@ -188,6 +188,12 @@ def test_walks_equal_plain_python(spark):
             assert sorted(by[i]) == [(n, p, limited) for n, p in want], (i, visits)
 
 
+def test_a_source_that_is_the_sink_is_a_walk(spark):
+    df = spark.createDataFrame([(1, 5, 6), (1, 6, 5), (2, 1, 2)], "id long, a long, b long")
+    ends = spark.createDataFrame([(1, 5, 5), (2, 1, 2), (3, 7, 7)], "id long, source long, sink long")
+    assert sorted((r.id, r.place, r.path) for r in tg.walks(df, ends, "id")[0].collect()) == [(1, 1, [5]), (2, 1, [1, 2]), (3, 1, [7])]
+
+
 def test_haplotypes_of_a_bubble(spark):
     g = random.Random(12)
     a = "".join(g.choice("ACGT") for _ in range(60))
