@@ -4,28 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import seq, stats
+from strandloom.functions import kmers, seq, stats
 
 
-def supported_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """reads(window_id, sample, role, qname, seq, quals) to counts by (window_id, kmer, sample).
+def supported_codes(reads: DataFrame, k: int) -> DataFrame:
+    """reads(window_id, sample, role, qname, seq, quals) to counts by (window_id, kmer, sample), k-mers as numbers (31 bases at
+    most; those with other letters than bases are none).
 
-    A name counts once for a k-mer and role; k-mers whose summed error reaches one do not count.
+    A name counts once for a k-mer and role; k-mers whose summed error reaches one do not count. Most names have one read, whose
+    k-mers are told apart where they are made; those of names with several are told apart by a shuffle.
     """
-    both = F.arrays_zip(seq.canonical_kmers(F.col("seq"), k).alias("w"), seq.kmer_supported(F.col("quals"), k).alias("ok"))
-    rows = reads.select("window_id", "sample", "role", "qname", F.inline(both)).filter("ok").withColumnRenamed("w", "kmer")
-    rows = rows.groupBy("window_id", "qname", "role", "kmer").agg(F.min("sample").alias("sample"))
-    return rows.groupBy("window_id", "kmer", "sample").agg(F.count("*").alias("n"))
+    name = ["window_id", "qname", "role"]
+    rows = reads.select(*name, "sample", "seq", "quals")
+    type_of = dict(rows.dtypes)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [kmers.supported(t, q, k) for t, q in zip(b.column("seq").to_pylist(), b.column("quals").to_pylist())]
+            of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in b.columns[:4]), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=[*name, "sample", "kmer"])
+
+    def made(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(make, ", ".join(f"`{c}` {type_of[c]}" for c in [*name, "sample"]) + ", kmer long")
 
+    several = rows.groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    if several.isEmpty():
+        each = made(rows)
+    else:
+        same = lambda how: rows.alias("r").join(several.alias("m"), [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in name], how)
+        mates = made(same("left_semi")).groupBy(*name, "kmer").agg(F.min("sample").alias("sample"))
+        each = made(same("left_anti")).select("window_id", "sample", "kmer").unionByName(mates.select("window_id", "sample", "kmer"))
+    return each.groupBy("window_id", "kmer", "sample").agg(F.count("*").alias("n"))
+
+
+def supported_kmers(reads: DataFrame, k: int) -> DataFrame:
+    """supported_codes() with k-mers as text."""
+    return supported_codes(reads, k).withColumn("kmer", kmers.letters(F.col("kmer"), k))
 
-def kept_nodes(counts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Nodes (window_id, kmer) that are no anchors go if their total is below two, or every sample's count is one at most."""
+
+def kept_nodes(counts: DataFrame, anchors: DataFrame | Column) -> DataFrame:
+    """Nodes (window_id, kmer) that are no anchors, a table or what a condition on the node holds for, go if their total is
+    below two, or every sample's count is one at most."""
     t = counts.groupBy("window_id", "kmer").agg(F.sum("n").alias("total"), F.max("n").alias("top"))
     weak = ((F.col("top") <= 1) & (F.col("total") > 0)) | (F.col("total") < 2)
+    if isinstance(anchors, Column):
+        return t.filter(anchors | ~weak).select("window_id", "kmer", "total")
     return t.join(anchors.withColumn("anchor", F.lit(True)), ["window_id", "kmer"], "left").filter(F.col("anchor").isNotNull() | ~weak).select("window_id", "kmer", "total")
 
 
@@ -44,15 +72,35 @@ def edges(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def coded_edges(oriented: DataFrame, key: str) -> DataFrame:
-    """edges() of tablegraph.oriented_edges(), whose k-mers are numbers: there each edge stands once in each direction."""
+    """edges() of tablegraph.oriented_edges(), whose k-mers are numbers: there each edge stands once in each direction. k must be
+    odd, for a k-mer that is its own reverse complement has no second strand."""
     node = lambda a, b: F.least(a, b)
     return oriented.select(key, node("u", "ru").alias("src"), node("v", "rv").alias("dst"), (F.col("u") <= F.col("ru")).alias("src_plus"), (F.col("v") <= F.col("rv")).alias("dst_plus"))
 
 
+def word_edges(words: DataFrame, key: str, k: int) -> DataFrame:
+    """edges() of kmers.canonical_words(as_read=True) of k + 1 bases, for even k too."""
+    a, ra = F.shiftright("word", 2), F.col("back").bitwiseAND((1 << 2 * k) - 1)
+    b, rb = F.col("word").bitwiseAND((1 << 2 * k) - 1), F.shiftright("back", 2)
+    edge = lambda src, dst, x, y: F.struct(src.alias("src"), dst.alias("dst"), x.alias("src_plus"), y.alias("dst_plus"))
+    src, dst = F.least(a, ra), F.least(b, rb)
+    return words.select(key, F.inline(F.array(edge(src, dst, a <= ra, b <= rb), edge(dst, src, b > rb, a > ra)))).distinct()
+
+
 def ref_walk(refs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, step, node, plus: the walk of a sequence through its nodes, and on which strand it takes each."""
-    w = refs.select(key, F.posexplode(seq.stranded_kmers(F.col(text), k)).alias("step", "w"))
-    return w.select(key, "step", F.least("w.plus", "w.minus").alias("node"), (F.col("w.plus") <= F.col("w.minus")).alias("plus"))
+    """key, step, node, plus: the walk of a sequence through its nodes, and on which strand it takes each; k-mers (31 bases at
+    most) with other letters than bases are passed over."""
+    rows = refs.select(key, text)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                step, f, r = kmers.text_places(t or "", k)
+                if len(step):
+                    own = b.column(0).take(pa.array(np.full(len(step), i)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(step, pa.int32()), kmers.letter_array(np.minimum(f, r), k), pa.array(f <= r)], names=[key, "step", "node", "plus"])
+
+    return rows.mapInArrow(walk, f"`{key}` {rows.dtypes[0][1]}, step int, node string, plus boolean")
 
 
 def merged_kmer(a: Column, b: Column, a_plus: Column, b_plus: Column, k: int) -> Column:
@@ -97,11 +145,14 @@ def drop_nodes(edges_: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return edges_.join(at("src"), [key, "src"], "left_anti").join(at("dst"), [key, "dst"], "left_anti")
 
 
-def metrics(edges_: DataFrame, keys: list[str], coverage: DataFrame | None = None) -> DataFrame:
+def metrics(edges_: DataFrame, keys: list[str], coverage: DataFrame | Column | None = None) -> DataFrame:
     """Complexity by key: cyclomatic number, branch points, unitig ratio, degrees; with coverage(keys, node,
-    cov) also its variation and the ratio of tips to paths."""
+    cov), or an expression of a node's edges forwards (f) and backwards (r), also its variation and the ratio of tips to paths."""
     n = edges_.groupBy(*keys, F.col("src").alias("node")).agg(F.count_if("src_plus").alias("f"), F.count_if(~F.col("src_plus")).alias("r"))
-    n = n.join(coverage, [*keys, "node"], "left") if coverage is not None else n.withColumn("cov", F.lit(None).cast("double"))
+    if isinstance(coverage, DataFrame):
+        n = n.join(coverage, [*keys, "node"], "left")
+    else:
+        n = n.withColumn("cov", (coverage if coverage is not None else F.lit(None)).cast("double"))
     unitig, tip = (F.col("f") == 1) & (F.col("r") == 1), (F.col("f") == 0) | (F.col("r") == 0)
     e = F.floor(F.sum(F.col("f") + F.col("r")) / 2)
     return n.groupBy(*keys).agg(

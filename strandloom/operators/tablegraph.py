@@ -21,8 +21,9 @@ def oriented_edges(words: DataFrame, key: str, k: int) -> DataFrame:
     """key, u, v, ru, rv of the distinct windows of k + 1 bases (key, word, back): kmers.canonical_words()."""
     mask = (1 << 2 * k) - 1
     head, tail = lambda c: F.shiftright(c, 2), lambda c: F.col(c).bitwiseAND(mask)
-    one = lambda a, b: (head(a).alias("u"), tail(a).alias("v"), tail(b).alias("ru"), head(b).alias("rv"))
-    return words.select(key, *one("word", "back")).unionByName(words.filter("word <> back").select(key, *one("back", "word")))
+    one = lambda a, b: F.struct(head(a).alias("u"), tail(a).alias("v"), tail(b).alias("ru"), head(b).alias("rv"))
+    both = F.when(F.col("word") == F.col("back"), F.array(one("word", "back"))).otherwise(F.array(one("word", "back"), one("back", "word")))
+    return words.select(key, F.inline(both))  # no union, which would lose how the rows are dealt
 
 
 def order(word: Column, back: Column) -> Column:
