@@ -8,6 +8,10 @@ after each round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,6 +111,57 @@ def chain_edges(edges: DataFrame, units: DataFrame, key: str) -> DataFrame:
     return e.join(units.select(key, "head", F.col("tail").alias("b")), [key, "head"]).select(key, "a", "b").distinct()
 
 
+def text_graphs(df: DataFrame, key: str, text: str, k: int, keep: Keep = written) -> tuple[DataFrame, DataFrame]:
+    """units and chain_edges() of the graphs of each key's texts; units with both ends of both readings as chain_rows() has them.
+
+    The chains of a key with one text are found beside the text, in its row; so only chains, not k-mers, are shuffled. Keys with
+    several texts, whose graphs are unions, take chains() over tables.
+    """
+    rows = df.select(key, text)
+    schema = f"`{key}` {rows.dtypes[0][1]}, head long, rhead long, tail long, rtail long, nodes long, seq string, ring boolean, own boolean, nexts array<long>"
+    one = keep(rows.mapInArrow(_text_units(k), schema)) if rows.groupBy(key).count().filter("count > 1").isEmpty() else None
+    if one is None:
+        several = keep(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+        same = lambda how: rows.alias("r").join(several.alias("m"), F.col(f"r.{key}").eqNullSafe(F.col(f"m.{key}")), how)
+        one = keep(same("left_anti").mapInArrow(_text_units(k), schema))
+        e = keep(oriented_edges(kmers.canonical_words(same("left_semi"), key, text, k + 1), key, k))
+        units, _ = unitigs(e, key, k, keep)
+        return one.drop("nexts").unionByName(units), _nexts(one, key).unionByName(chain_edges(e, units, key))
+    return one.drop("nexts"), _nexts(one, key)
+
+
+def _nexts(units: DataFrame, key: str) -> DataFrame:
+    return units.select(key, F.col("tail").alias("a"), F.explode("nexts").alias("b"))
+
+
+def _text_units(k: int):
+    """Rows of kmers.text_chains(), each with the last k-mers of the chains that follow it."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                s, rs, first, ring, a, z = kmers.text_chains(t or "", k)
+                if not len(s):
+                    continue
+                n = np.diff(np.append(first, len(s)))
+                last = first + n - 1
+                head, rhead, tail, rtail = s[first], rs[first], s[last], rs[last]
+                bases = np.frombuffer(b"ACGT", np.uint8)[s & 3].tobytes().decode()
+                starts = kmers.letter_array(head, k).to_pylist()
+                seqs = [x + bases[f + 1 : f + m] for x, f, m in zip(starts, first.tolist(), n.tolist())]
+                plus, end = head <= rhead, tail <= rtail
+                low, other = np.minimum(head, rhead), np.minimum(tail, rtail)
+                own = np.where(ring, plus, (low < other) | ((low == other) & (~plus <= end)))
+                order = np.argsort(a, kind="stable")
+                offsets = np.searchsorted(a[order], np.arange(len(first) + 1))
+                nexts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tail[z[order]]))
+                of = b.column(0).take(pa.array(np.full(len(first), i)))
+                columns = [of, *map(pa.array, (head, rhead, tail, rtail, n)), pa.array(seqs, pa.string()), pa.array(ring), pa.array(own), nexts]
+                yield pa.RecordBatch.from_arrays(columns, names=[b.schema.names[0], "head", "rhead", "tail", "rtail", "nodes", "seq", "ring", "own", "nexts"])
+
+    return make
+
+
 def without_tips(edges: DataFrame, key: str, k: int, anchors: DataFrame, keep: Keep = written) -> tuple[DataFrame, int]:
     """edges without tips: chains of fewer than k nodes with one neighbour at most, anchors (key, node) excepted, go until
     there are none; and the rounds. A round works on the graphs only that lost a tip in the round before."""

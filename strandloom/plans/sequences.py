@@ -225,7 +225,8 @@ def _unitigs_sql(rounds: int = 16) -> str:
 @query("q_unitigs", _unitigs_sql())
 def unitigs(spark, sf_dir):
     """Chains without branches of every document's graph; cycles, which are none, are told by q_graph_cycles."""
-    units, _ = tablegraph.unitigs(oriented(spark, sf_dir, 11), "doc_id", 11)
+    ship(spark)
+    units, _ = tablegraph.text_graphs(dna(spark, sf_dir), "doc_id", "s", 11)
     g = units.filter("own AND NOT ring").groupBy("doc_id").agg(F.count("*").alias("unitigs"), F.max("nodes").alias("longest"), F.sort_array(F.collect_list(tablegraph.canonical_seq(F.col("seq")))).alias("x"))
     return g.select("doc_id", "unitigs", "longest", F.md5(F.array_join("x", ",").cast("binary")).alias("digest"))
 
@@ -246,9 +247,9 @@ def tips(spark, sf_dir):
 @query("q_graph_cycles")
 def graph_cycles(spark, sf_dir):
     """Edges between chains that lie on cycles or between them, by document."""
-    e = checkpointed(oriented(spark, sf_dir, 11), "edges")
-    units, _ = tablegraph.unitigs(e, "doc_id", 11)
-    left, _ = tablegraph.peeled(tablegraph.chain_edges(e, units, "doc_id"), "doc_id")
+    ship(spark)
+    _, e = tablegraph.text_graphs(dna(spark, sf_dir), "doc_id", "s", 11)
+    left, _ = tablegraph.peeled(e, "doc_id")
     return left.groupBy("doc_id").agg(F.count("*").alias("edges"))
 
 

@@ -98,6 +98,20 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert len(own) == 1 and own[0].seq in (text, rc(text)) and rounds <= 13
 
 
+def test_graphs_found_beside_their_texts_equal_those_of_tables(spark):
+    rows = texts()
+    again = [(i, t) for i, t in enumerate(rows)] + [(i, t[:20] + "T" + t[25:]) for i, t in enumerate(rows) if i % 5 == 1]
+    for table in (list(enumerate(rows)), again):
+        df = spark.createDataFrame([*table, (99, None)], "id long, s string")
+        e = written(tg.oriented_edges(kmers.canonical_words(df, "id", "s", K + 1), "id", K))
+        units, _ = tg.unitigs(e, "id", K)
+        found, edges = tg.text_graphs(df, "id", "s", K)
+        rows_of = lambda d, cols: sorted(tuple(r[c] for c in cols) for r in d.collect())
+        names = ["id", "head", "rhead", "tail", "rtail", "nodes", "seq", "ring", "own"]
+        assert rows_of(found, names) == rows_of(units, names)
+        assert rows_of(edges, ["id", "a", "b"]) == rows_of(tg.chain_edges(e, units, "id"), ["id", "a", "b"])
+
+
 def plain_without_tips(edges, k, anchors):
     rounds = 0
     while True:
