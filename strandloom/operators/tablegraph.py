@@ -111,19 +111,20 @@ def chain_edges(edges: DataFrame, units: DataFrame, key: str) -> DataFrame:
     return e.join(units.select(key, "head", F.col("tail").alias("b")), [key, "head"]).select(key, "a", "b").distinct()
 
 
-def text_graphs(df: DataFrame, key: str, text: str, k: int, keep: Keep = written) -> tuple[DataFrame, DataFrame]:
+def text_graphs(df: DataFrame, key: str, text: str, k: int, keep: Keep = written, peel: bool = False) -> tuple[DataFrame, DataFrame]:
     """units and chain_edges() of the graphs of each key's texts; units with both ends of both readings as chain_rows() has them.
+    With peel, edges that peeled() takes away may have gone already.
 
     The chains of a key with one text are found beside the text, in its row; so only chains, not k-mers, are shuffled. Keys with
     several texts, whose graphs are unions, take chains() over tables.
     """
     rows = df.select(key, text)
     schema = f"`{key}` {rows.dtypes[0][1]}, head long, rhead long, tail long, rtail long, nodes long, seq string, ring boolean, own boolean, nexts array<long>"
-    one = keep(rows.mapInArrow(_text_units(k), schema)) if rows.groupBy(key).count().filter("count > 1").isEmpty() else None
+    one = keep(rows.mapInArrow(_text_units(k, peel), schema)) if rows.groupBy(key).count().filter("count > 1").isEmpty() else None
     if one is None:
         several = keep(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
         same = lambda how: rows.alias("r").join(several.alias("m"), F.col(f"r.{key}").eqNullSafe(F.col(f"m.{key}")), how)
-        one = keep(same("left_anti").mapInArrow(_text_units(k), schema))
+        one = keep(same("left_anti").mapInArrow(_text_units(k, peel), schema))
         e = keep(oriented_edges(kmers.canonical_words(same("left_semi"), key, text, k + 1), key, k))
         units, _ = unitigs(e, key, k, keep)
         return one.drop("nexts").unionByName(units), _nexts(one, key).unionByName(chain_edges(e, units, key))
@@ -134,7 +135,7 @@ def _nexts(units: DataFrame, key: str) -> DataFrame:
     return units.select(key, F.col("tail").alias("a"), F.explode("nexts").alias("b"))
 
 
-def _text_units(k: int):
+def _text_units(k: int, peel: bool):
     """Rows of kmers.text_chains(), each with the last k-mers of the chains that follow it."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,12 @@ def _text_units(k: int):
                 s, rs, first, ring, a, z = kmers.text_chains(t or "", k)
                 if not len(s):
                     continue
+                stay = peel
+                while np.any(stay):
+                    stay = np.isin(a, z) & np.isin(z, a)
+                    if stay.all():
+                        break
+                    a, z = a[stay], z[stay]
                 n = np.diff(np.append(first, len(s)))
                 last = first + n - 1
                 head, rhead, tail, rtail = s[first], rs[first], s[last], rs[last]
@@ -162,15 +169,17 @@ def _text_units(k: int):
     return make
 
 
-def without_tips(edges: DataFrame, key: str, k: int, anchors: DataFrame, keep: Keep = written) -> tuple[DataFrame, int]:
+def without_tips(edges: DataFrame, key: str, k: int, anchors: DataFrame, keep: Keep = written, weights: DataFrame | None = None, removed: list[DataFrame] | None = None) -> tuple[DataFrame, int]:
     """edges without tips: chains of fewer than k nodes with one neighbour at most, anchors (key, node) excepted, go until
-    there are none; and the rounds. A round works on the graphs only that lost a tip in the round before."""
+    there are none; and the rounds. A round works on the graphs only that lost a tip in the round before. Nodes count as
+    weights (key, node, nodes) has them, else as one; those that go, a table (key, node) a round, are added to removed."""
     done, live, rounds = None, edges, 0
     while True:
         ranked, _ = chains(live, key, keep)
         node = F.least("s", "rs").alias("node")
         members = ranked.select(key, "to", node).distinct()
-        size = ranked.groupBy(key, "to").agg(F.count("*").alias("nodes"), F.max(F.struct("dist", "rs"))["rs"].alias("rhead"))
+        weighed = ranked.withColumn("node", node).join(weights, [key, "node"]) if weights is not None else ranked.withColumn("nodes", F.lit(1))
+        size = weighed.groupBy(key, "to").agg(F.sum("nodes").alias("nodes"), F.max(F.struct("dist", "rs"))["rs"].alias("rhead"))
         out = live.groupBy(key, "u").agg(F.count("*").alias("n"))
         degree = lambda end: size.join(out.select(key, F.col("u").alias(end), "n"), [key, end], "left").select(key, "to", F.coalesce("n", F.lit(0)).alias(f"n_{end}"))
         size = size.join(degree("to"), [key, "to"]).join(degree("rhead"), [key, "to"])
@@ -180,6 +189,8 @@ def without_tips(edges: DataFrame, key: str, k: int, anchors: DataFrame, keep: K
         if not gone.head():
             return (live if done is None else done.unionByName(live)), rounds
         rounds += 1
+        if removed is not None:
+            removed.append(gone)
         hit = gone.select(key).distinct()
         same = live.join(hit, key, "left_anti")
         done = keep(same if done is None else done.unionByName(same))
@@ -189,6 +200,26 @@ def without_tips(edges: DataFrame, key: str, k: int, anchors: DataFrame, keep: K
         live = keep(left)
 
 
+def units_without_tips(units: DataFrame, edges: DataFrame, key: str, k: int, held: DataFrame, keep: Keep = written) -> tuple[DataFrame, int]:
+    """key, edges: how many oriented edges of k-mers without_tips() leaves, from chains (units of text_graphs(), edges between them
+    as chain_edges()), those with a tail in held (key, tail) being anchors; and the rounds. A chain is one node, by the last
+    k-mers of its two readings, that counts as its k-mers."""
+    node = F.least("tail", "rhead").alias("node")
+    ids = units.select(key, "tail", "rhead")
+    e = edges.join(ids.select(key, F.col("tail").alias("a"), F.col("rhead").alias("ru")), [key, "a"]).join(ids.select(key, F.col("tail").alias("b"), F.col("rhead").alias("rv")), [key, "b"])
+    weights = units.filter("own").select(key, node, "nodes")
+    anchors = keep(units.join(held.select(key, "tail").distinct(), [key, "tail"], "left_semi").select(key, node).distinct())
+    removed: list[DataFrame] = []
+    left, rounds = without_tips(keep(e.select(key, F.col("a").alias("u"), F.col("b").alias("v"), "ru", "rv")), key, k, anchors, keep, weights, removed)
+    for gone in removed:
+        weights = weights.join(gone, [key, "node"], "left_anti")
+    # A chain that has no neighbour left is no node of the edges any more.
+    met = left.select(key, F.least("u", "ru").alias("node")).union(left.select(key, F.least("v", "rv"))).distinct()
+    alone = weights.filter(F.col("nodes") < k).join(met, [key, "node"], "left_anti").join(anchors, [key, "node"], "left_anti")
+    inner = weights.join(alone.select(key, "node"), [key, "node"], "left_anti").select(key, (2 * (F.col("nodes") - 1)).alias("n"))
+    return inner.unionByName(left.select(key, F.lit(1).alias("n"))).groupBy(key).agg(F.sum("n").alias("edges")).filter("edges > 0"), rounds
+
+
 def peeled(edges: DataFrame, key: str, keep: Keep = written) -> tuple[DataFrame, int]:
     """The edges (key, a, b) that lie on cycles or between them: those from a start or to an end go, round by round, and
     each round looks only at what the round before laid bare."""

@@ -238,17 +238,18 @@ def ends(spark, sf_dir, k):
 @query("q_tips")
 def tips(spark, sf_dir):
     """Edges that stay when tips go, the ends of each text being anchors."""
-    e = ends(spark, sf_dir, 11)
-    anchors = e.select("doc_id", F.least("first", "rfirst").alias("node")).union(e.select("doc_id", F.least("last", "rlast")))
-    left, _ = tablegraph.without_tips(oriented(spark, sf_dir, 11), "doc_id", 11, anchors)
-    return left.groupBy("doc_id").agg((F.count("*")).alias("edges"))
+    ship(spark)
+    units, e = tablegraph.text_graphs(dna(spark, sf_dir), "doc_id", "s", 11)
+    of = ends(spark, sf_dir, 11).select("doc_id", F.array(*(kmers.letters(F.col(c), 11) for c in ("first", "last"))).alias("ends"))
+    held = units.join(of, "doc_id").filter(F.exists("ends", lambda w: F.contains(F.col("seq"), w))).select("doc_id", "tail")
+    return tablegraph.units_without_tips(units, e, "doc_id", 11, held)[0]
 
 
 @query("q_graph_cycles")
 def graph_cycles(spark, sf_dir):
     """Edges between chains that lie on cycles or between them, by document."""
     ship(spark)
-    _, e = tablegraph.text_graphs(dna(spark, sf_dir), "doc_id", "s", 11)
+    _, e = tablegraph.text_graphs(dna(spark, sf_dir), "doc_id", "s", 11, peel=True)
     left, _ = tablegraph.peeled(e, "doc_id")
     return left.groupBy("doc_id").agg(F.count("*").alias("edges"))
 

@@ -148,6 +148,28 @@ def test_tips_go_until_none_is_left(spark):
     assert rounds == most
 
 
+def test_tips_of_chains_leave_as_many_edges(spark):
+    rows = texts()
+    rows += [rows[1][:25] + rows[0][40:] + rows[1][12:40], "".join(random.Random(2).choice("ACG") for _ in range(150))]
+    df = spark.createDataFrame([*enumerate(rows), (0, rows[1][5:30] + "GATTACA"), (3, "AAAAAAAC")], "id long, s string")
+    every = defaultdict(set)
+    for i, t in [*enumerate(rows), (0, rows[1][5:30] + "GATTACA"), (3, "AAAAAAAC")]:
+        every[i] |= edges_of(t, K)
+    anchors = {i: {t[:K], t[-K:]} for i, t in enumerate(rows) if len(t) > K and i % 2}
+    units, e = tg.text_graphs(df, "id", "s", K)
+    words = spark.createDataFrame([(i, w) for i, ws in anchors.items() for w in ws], "id long, w string")
+    held = units.join(words, "id").filter(F.contains("seq", "w")).select("id", "tail")
+    got = {r.id: r.edges for r in tg.units_without_tips(units, e, "id", K, held)[0].collect()}
+    want = {i: len(plain_without_tips(es, K, {min(w, rc(w)) for w in anchors.get(i, ())})[0]) for i, es in every.items()}
+    assert got == {i: n for i, n in want.items() if n}
+
+
+def test_peeling_beside_the_texts_leaves_the_same(spark):
+    df = spark.createDataFrame(list(enumerate(texts())), "id long, s string")
+    of = lambda peel: sorted(tuple(r) for r in tg.peeled(tg.text_graphs(df, "id", "s", K, peel=peel)[1], "id")[0].collect())
+    assert of(True) == of(False)
+
+
 def test_cycles_are_what_peeling_leaves(spark):
     g = random.Random(4)
     graphs = {0: [(1, 2), (2, 3), (3, 4)], 1: [(1, 2), (2, 3), (3, 1), (3, 4), (0, 1)], 2: [(5, 5)], 3: []}
