@@ -203,7 +203,10 @@ def without_tips(edges: DataFrame, key: str, k: int, anchors: DataFrame, keep: K
 def units_without_tips(units: DataFrame, edges: DataFrame, key: str, k: int, held: DataFrame, keep: Keep = written) -> tuple[DataFrame, int]:
     """key, edges: how many oriented edges of k-mers without_tips() leaves, from chains (units of text_graphs(), edges between them
     as chain_edges()), those with a tail in held (key, tail) being anchors; and the rounds. A chain is one node, by the last
-    k-mers of its two readings, that counts as its k-mers."""
+    k-mers of its two readings, that counts as its k-mers. Rings have no neighbours and stay; their readings are cut at
+    different places, so they are no such nodes."""
+    rings = units.filter("ring").select(key, F.col("nodes").alias("n"))
+    units = units.filter("NOT ring")
     node = F.least("tail", "rhead").alias("node")
     ids = units.select(key, "tail", "rhead")
     e = edges.join(ids.select(key, F.col("tail").alias("a"), F.col("rhead").alias("ru")), [key, "a"]).join(ids.select(key, F.col("tail").alias("b"), F.col("rhead").alias("rv")), [key, "b"])
@@ -217,7 +220,7 @@ def units_without_tips(units: DataFrame, edges: DataFrame, key: str, k: int, hel
     met = left.select(key, F.least("u", "ru").alias("node")).union(left.select(key, F.least("v", "rv"))).distinct()
     alone = weights.filter(F.col("nodes") < k).join(met, [key, "node"], "left_anti").join(anchors, [key, "node"], "left_anti")
     inner = weights.join(alone.select(key, "node"), [key, "node"], "left_anti").select(key, (2 * (F.col("nodes") - 1)).alias("n"))
-    return inner.unionByName(left.select(key, F.lit(1).alias("n"))).groupBy(key).agg(F.sum("n").alias("edges")).filter("edges > 0"), rounds
+    return inner.unionByName(rings).unionByName(left.select(key, F.lit(1).alias("n"))).groupBy(key).agg(F.sum("n").alias("edges")).filter("edges > 0"), rounds
 
 
 def peeled(edges: DataFrame, key: str, keep: Keep = written) -> tuple[DataFrame, int]:
