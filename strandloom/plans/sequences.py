@@ -258,12 +258,12 @@ def graph_cycles(spark, sf_dir):
 def walks(spark, sf_dir):
     """Walks from the chain of each text's first k-mer to that of its last, and their bases."""
     k = 29
-    e = checkpointed(oriented(spark, sf_dir, k), "edges")
-    ranked, _ = tablegraph.chains(e, "doc_id")
-    units = tablegraph.chain_rows(ranked, "doc_id", k)
-    at = lambda c, name: ranked.select("doc_id", F.col("s").alias(c), F.col("to").alias(name))
-    own = ends(spark, sf_dir, k).select("doc_id", "first", "last").join(at("first", "source"), ["doc_id", "first"]).join(at("last", "sink"), ["doc_id", "last"])
-    found, _ = tablegraph.walks(tablegraph.chain_edges(e, units, "doc_id"), checkpointed(own.select("doc_id", "source", "sink"), "ends"), "doc_id")
+    ship(spark)
+    units, e = tablegraph.text_graphs(dna(spark, sf_dir), "doc_id", "s", k)
+    at = lambda c, name: units.join(words, "doc_id").filter(F.contains("seq", c)).select("doc_id", c, F.col("tail").alias(name)).distinct()  # noqa: E731  one chain holds a k-mer
+    words = ends(spark, sf_dir, k).select("doc_id", *(kmers.letters(F.col(c), k).alias(c) for c in ("first", "last"))).distinct()
+    own = words.join(at("first", "source"), ["doc_id", "first"]).join(at("last", "sink"), ["doc_id", "last"])
+    found, _ = tablegraph.walks(e, checkpointed(own.select("doc_id", "source", "sink"), "ends"), "doc_id")
     found = checkpointed(found, "walks")
     bases = tablegraph.haplotypes(found, units, "doc_id", k).select("doc_id", "place", F.length("seq").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("digest"))
     return found.select("doc_id", "place", F.size("path").alias("chains"), "limited").join(bases, ["doc_id", "place"])
