@@ -386,5 +386,6 @@ def best_haplotypes(spark, sf_dir):
     ship(spark)
     d = dna(spark, sf_dir).filter("length(s) >= 200").withColumn("t", F.expr("concat(substr(s, 1, 100), translate(substr(s, 101, 1), 'ACGT', 'CGTA'), substr(s, 102))"))
     haps = d.select("doc_id", F.posexplode(F.array("s", "t")).alias("hap", "seq"))
-    reads = d.select("doc_id", F.posexplode(F.expr("transform(sequence(0, int((length(s) - 80) / 50)), i -> substr(t, 50 * i + 1, 80))")).alias("read", "seq"))
+    # A lambda would take in the text's expression, and so make the text anew for each read.
+    reads = d.select("doc_id", "t", F.explode(F.expr("sequence(0, int((length(s) - 80) / 50))")).alias("read")).select("doc_id", "read", F.expr("substr(t, 50 * read + 1, 80)").alias("seq"))
     return seeds.best_haplotypes(reads, haps, "doc_id").groupBy("doc_id").agg(F.count("*").alias("reads"), F.count_if(F.col("hap") == 1).alias("changed"))

@@ -40,3 +40,24 @@ def test_reads_find_the_haplotype_that_holds_them(spark):
     assert all(v[1] == 90 for v in got.values())
     few = {(x.window, x.read): x.hap for x in seeds.best_haplotypes(r, h, "window", w=5).collect()}
     assert sum(few[k] == v for k, v in want.items()) >= 0.97 * len(want)
+
+
+def test_only_sequences_are_shuffled_and_large_groups_are_dealt(spark, monkeypatch):
+    g = random.Random(6)
+    unit = ["".join(g.choice("ACGT") for _ in range(60)) for _ in range(3)]
+    text = "".join(g.choice(unit) for _ in range(60))  # repeats, so many chains
+    texts = [(w, h, text[: 900 + 300 * w] if h else text[7:]) for w in range(3) for h in range(3)] + [(None, 0, text)]
+    own = [(w, n, text[at : at + 90]) for w in range(3) for n in range(25) for at in [g.randrange(0, len(text) - 90)]] + [(0, 3, text[50:90]), (None, 1, text[:80]), (2, None, text[:60])]
+    r, h = spark.createDataFrame(own, "window long, read long, seq string"), spark.createDataFrame(texts, "window long, hap int, seq string")
+    want = seeds.chains(seeds.seeds(r, h, "window", 11, 3), "window", 11).collect()
+    best = {}
+    for x in want:
+        key = (x.window, x.read)
+        best[key] = max(best.get(key, (-(10**9), 0)), (x.score, -x.hap))
+    for part, most in ((1 << 22, 1 << 20), (500, 40)):
+        monkeypatch.setattr(seeds, "PART", part)
+        monkeypatch.setattr(seeds, "SEEDS", most)
+        got = seeds.best_haplotypes(r, h, "window")
+        assert "kmer" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = got.collect()
+        assert len(rows) == len(best) and {(x.window, x.read): (x.score, -x.hap) for x in rows} == best
