@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, DecimalType, FractionalType, NumericType, StructField, StructType
 
 from strandloom.sources.storage import kept, shared_dir
 
@@ -36,39 +36,48 @@ def keep_best(stream: DataFrame, at: str, keys: list[str], by: str, payload: lis
     return g.select(F.col("w.start").alias("start"), *keys, F.col(f"m.{by}").alias(by), *(F.col(f"m.{c}").alias(c) for c in payload))
 
 
-def best_of_bucket(columns: list[str], state: StructType, ends: str) -> StatefulProcessor:
-    """State of a key and bucket: its best row so far, which a timer at the bucket's end gives out, once.
+def best_of_bucket(n_keys: int, state: StructType, ends: str, names: list[str]) -> StatefulProcessor:
+    """State of a part of a bucket's keys: a list of the best row so far of each, which a timer at the bucket's end gives out,
+    once. The list is read and written once a batch, so a key costs no calls of its own.
 
     The class is made here, so that it travels by value: the process in which the driver asks for its state does not have
     this package.
     """
 
-    def rank(row: tuple) -> tuple:  # nulls before all
-        return tuple((x is not None, x if x is not None else 0) for x in row)
+    def rank(row: tuple) -> tuple:  # nulls before all, what is no number behind all
+        return tuple((x is not None, x != x, x if x is not None and x == x else 0) for x in row)
+
+    inputs = [f"{x}{i}" for i in range(len(state.fields)) for x in "vn"]
+
+    def column(values: tuple) -> pd.Series:  # whole numbers stay such beside nulls
+        return pd.Series(values, dtype=object if any(x is None for x in values) and any(isinstance(x, int) for x in values) else None)
 
     class Best(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle, self.best = handle, handle.getValueState("best", state)
+            self.handle, self.best = handle, handle.getListState("best", state)
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            held = self.best.exists()
-            best, end = self.best.get() if held else None, None
+            best, held, end = {}, self.best.exists(), None
+            for row in self.best.get() if held else ():
+                best[row[:n_keys]] = (rank(row[n_keys:]), row)
             for batch in rows:
                 end = int(batch[ends].iloc[0])
-                for row in batch[columns].itertuples(index=False, name=None):
-                    row = tuple(None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in row)
-                    if best is None or rank(row) > rank(best):
-                        best = row
-            if best is not None:
+                for x in batch[inputs].itertuples(index=False, name=None):
+                    row = tuple(None if null or v is None or v is pd.NaT else v for v, null in zip(x[::2], x[1::2]))
+                    own, now = row[:n_keys], rank(row[n_keys:])
+                    if own not in best or now > best[own][0]:
+                        best[own] = (now, row)
+            if best:
                 if not held:
                     self.handle.registerTimer(end)
-                self.best.update(tuple(best))
+                self.best.put([row for _, row in best.values()])
             return iter(())
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            best = self.best.get()
+            rows = [(key[0], *row) for row in self.best.get()]
             self.best.clear()
-            yield pd.DataFrame([(*key, *best)], columns=[f"k{i}" for i in range(len(key))] + columns)
+            given = list(zip(*rows))
+            yield pd.DataFrame({n: column(x) for n, x in zip(names, [*given, *([v is None for v in x] for x in given[1:])])})
 
         def close(self) -> None:
             pass
@@ -76,19 +85,24 @@ def best_of_bucket(columns: list[str], state: StructType, ends: str) -> Stateful
     return Best()
 
 
-def keep_best_with_timers(stream: DataFrame, at: str, keys: list[str], by: str, payload: list[str], bucket: str, late: str) -> DataFrame:
+def keep_best_with_timers(stream: DataFrame, at: str, keys: list[str], by: str, payload: list[str], bucket: str, late: str, parts: int = 128) -> DataFrame:
     """As keep_best(), by a state of its own and event-time timers: a bucket's rows are given out when the watermark passes
-    its end, each once, and their state goes. Runs in append mode on a state store that has timers (RocksDB)."""
+    its end, each once, and their state goes. Keys are dealt by hash to so many parts, each a state and a timer a bucket. Runs
+    in append mode on a state store that has timers (RocksDB)."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     columns = [by, *payload]
-    rows = stream.withWatermark(at, late).withColumn("__w", F.window(at, bucket)).select(F.col("__w.start").alias("start"), *keys, at, *columns, F.unix_millis("__w.end").alias("bucket_end"))
-    of = {f.name: f.dataType for f in rows.schema.fields}
-    state = StructType([StructField(c, of[c]) for c in columns])
-    result = StructType([StructField("start", of["start"]), *(StructField(c, of[c]) for c in [*keys, *columns])])
-    out = StructType([StructField(f"k{i}", f.dataType) for i, f in enumerate(result.fields[: 1 + len(keys)])] + state.fields)
-    best = best_of_bucket(columns, state, "bucket_end")
-    found = rows.groupBy("start", *keys).transformWithStateInPandas(best, out, "append", "eventtime")
-    return found.toDF(*result.names)
+    part = F.pmod(F.hash(*keys), F.lit(parts)).alias("part")
+    of = {f.name: f.dataType for f in stream.schema.fields}
+    # Whole numbers beside nulls would become doubles, so nulls go in columns of their own.
+    full = lambda c: F.coalesce(c, F.lit(0).cast(of[c])) if isinstance(of[c], NumericType) else F.col(c)
+    values = [x for i, c in enumerate([*keys, *columns]) for x in (full(c).alias(f"v{i}"), F.isnull(c).alias(f"n{i}"))]
+    rows = stream.withWatermark(at, late).withColumn("__w", F.window(at, bucket)).select(F.col("__w.start").alias("start"), part, at, *values, F.unix_millis("__w.end").alias("bucket_end"))
+    state = StructType([StructField(f"c{i}", of[c]) for i, c in enumerate([*keys, *columns])])
+    out = StructType([StructField("k0", rows.schema["start"].dataType), *state.fields, *(StructField(f"n{i}", BooleanType()) for i in range(len(state.fields)))])
+    best = best_of_bucket(len(keys), state, "bucket_end", out.names)
+    found = rows.groupBy("start", "part").transformWithStateInPandas(best, out, "append", "eventtime")
+    number = lambda i, c: F.coalesce(f"c{i}", F.lit(float("nan")).cast(of[c])) if isinstance(of[c], FractionalType) and not isinstance(of[c], DecimalType) else F.col(f"c{i}")
+    return found.select(F.col("k0").alias("start"), *(F.when(~F.col(f"n{i}"), number(i, c)).alias(c) for i, c in enumerate([*keys, *columns])))
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", listener: list | None = None, folder: str | None = None) -> DataFrame:

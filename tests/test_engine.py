@@ -271,6 +271,23 @@ def test_state_with_timers_goes_on_after_a_stop(spark, tmp_path):
     assert set(given[0]) < set(given[1]) < set(given[2]) and given[0]
 
 
+def test_state_is_read_and_written_once_for_many_keys(spark, tmp_path):
+    """Keys share states, so there are fewer than keys; nulls, numbers beyond a double's and values that are none stay exact."""
+    start, big = dt.datetime(2024, 1, 1), 2**53
+    schema = "id long, ts timestamp, k long, v double"
+    values = [None, float("nan"), 1.0, 2.0]
+    rows = [(None if i % 50 == 7 else big + i, start + dt.timedelta(seconds=i), None if i % 31 == 0 else big + i % 90, values[i * 7 % 4] if i % 3 else 2.0) for i in range(900)]
+    df = spark.createDataFrame([*rows, (0, start + 9 * HOUR, 0, 0.0)], schema)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    seen: list = []
+    got = store.run_available(store.keep_best_with_timers(stream, "ts", ["k"], "v", ["id"], "2 hours", "1 minute", parts=4), "parts", listener=seen)
+    want = store.keep_best(df, "ts", ["k"], "v", ["id"], "2 hours", "1 minute").filter(F.col("start") == F.lit(start))
+    text = lambda d: sorted(str(tuple(r)) for r in d.select("start", "k", "v", "id").collect())
+    assert text(got) == text(want) and len(text(got)) == 91
+    assert max(b["held"] for b in seen) < 91
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     schema = "id long, ts timestamp, k long, v double"
