@@ -76,7 +76,7 @@ def shannon(counts: list[Column]) -> Column:
 
 
 def base_entropy(s: Column) -> Column:
-    return shannon([base_count(s, b) for b in ACGT])
+    return let(F.array(*(base_count(s, b) for b in ACGT)), lambda c: shannon([c[i] for i in range(len(ACGT))]))
 
 
 def primitive(motif: Column) -> Column:

@@ -16,7 +16,9 @@ RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
 def dna(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", seq.dna(F.col("text")).alias("s"))
+    """doc_id, s. A generator of one row gives the bases, for else the optimizer puts their expression into whatever reads
+    them, and each place that does, even a lambda's turn, makes them anew."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(seq.dna(F.col("text")))).alias("s"))
 
 
 @query(
