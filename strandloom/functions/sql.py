@@ -23,10 +23,10 @@ FUNCTIONS = (
 
 
 class TandemRepeats:
-    """motif, start, length, substitutions of the repeats of a sequence; none of null."""
+    """motif, start, length, substitutions of the repeats of a sequence, with near runs unless near is false; none of null."""
 
-    def eval(self, s: str) -> Iterator[tuple]:
-        for r in repeats.tandem_repeats(s) if s else ():
+    def eval(self, s: str, near: bool = True) -> Iterator[tuple]:
+        for r in repeats.tandem_repeats(s, near) if s else ():
             yield r["motif"], r["start"], r["length"], r["substitutions"]
 
 
