@@ -174,9 +174,7 @@ def too_complex(cc: Column, bp: Column) -> Column:
 def longdust(df: DataFrame, key: str, text: str, k: int, gc: float = 0.5) -> DataFrame:
     """key, score: max(0, (sum ln c! - what random sequence has) / k-mers) of both strands; k-mers with other
     letters than bases don't count. What random sequence has is computed once for each number of k-mers."""
-    w = F.filter(seq.kmers(F.col(text), k), lambda x: x.rlike("^[ACGT]+$"))
-    rows = df.select(key, F.explode_outer(w).alias("w"))
-    counts = rows.groupBy(key, "w").agg(F.count("w").alias("c"))
+    counts = kmers.word_counts(df, key, text, k)
     # A reverse complement maps k-mers one to one, so both strands have the same counts and score.
     sums = counts.groupBy(key).agg(F.sum("c").alias("n"), F.sum(seq.log_factorial(F.col("c"))).alias("s"))
 

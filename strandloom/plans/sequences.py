@@ -73,7 +73,8 @@ def canonical(spark, sf_dir):
 )
 def longdust(spark, sf_dir):
     """Sum of ln c! over a text's 4-mers; texts without any have no row."""
-    c = dna(spark, sf_dir).select("doc_id", F.explode(seq.kmers(F.col("s"), 4)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
+    ship(spark)
+    c = kmers.word_counts(dna(spark, sf_dir), "doc_id", "s", 4).filter("c > 0")
     return c.groupBy("doc_id").agg(F.sum("c").alias("kmers"), F.round(F.sum(seq.log_factorial(F.col("c"))), 4).alias("score"))
 
 
@@ -87,8 +88,8 @@ def longdust(spark, sf_dir):
 )
 def longdust_score(spark, sf_dir):
     """Low-complexity score of both strands against what random sequence of that length gives."""
-    d = table(spark, sf_dir, "documents").select("doc_id", seq.dna(F.col("text")).alias("s"))
-    return kgraph.longdust(d, "doc_id", "s", 4).withColumn("score", F.round("score", 6))
+    ship(spark)
+    return kgraph.longdust(dna(spark, sf_dir), "doc_id", "s", 4).withColumn("score", F.round("score", 6))
 
 
 PAIRS = "SELECT a.p_partkey AS id, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
