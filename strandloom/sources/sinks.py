@@ -18,6 +18,8 @@ from strandloom.functions import seq
 from strandloom.operators.evidence import record_text
 from strandloom.sources.files import open_file, write_file
 
+#: Characters of a batch of texts.
+BATCH = 1 << 20
 #: Hues of walks; a walk's is its number modulo this.
 PALETTE = 64
 
@@ -114,6 +116,7 @@ def _archive(rows: Iterator[tuple[str, str | None]]) -> Iterator[bytes]:
             info = tarfile.TarInfo(name)
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
+            tar.members.clear()  # or it keeps them all
             yield from pieces.taken()
     yield from pieces.taken()
 
@@ -141,14 +144,32 @@ def write_archive(texts: DataFrame, folder: str) -> DataFrame:
     return texts.select("name", "text").mapInArrow(write, "path string, n long")
 
 
+def _members(tar: tarfile.TarFile) -> Iterator[tarfile.TarInfo]:
+    """The members of an archive, none of which it keeps in memory."""
+    while (m := tar.next()) is not None:
+        tar.members.clear()
+        yield m
+
+
 def read_archives(shards: DataFrame) -> DataFrame:
     """name, text of the archives of write_archive()."""
 
+    def batch(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["name", "text"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             with open_file(path) as f, tarfile.open(fileobj=f, mode="r:gz") as tar:
-                for m in tar:
-                    yield pa.RecordBatch.from_arrays([pa.array([m.name]), pa.array([tar.extractfile(m).read().decode()])], names=["name", "text"])
+                each = ((m.name, tar.extractfile(m).read().decode()) for m in _members(tar))
+                held, size = [], 0
+                for name, text in each:
+                    held.append((name, text))
+                    size += len(text)
+                    if size >= BATCH or len(held) == 1024:
+                        yield batch(held)
+                        held, size = [], 0
+                if held:
+                    yield batch(held)
 
     return shards.select("path").mapInArrow(read, "name string, text string")
 

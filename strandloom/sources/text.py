@@ -169,7 +169,12 @@ def dot_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def msa(spark: SparkSession, path: str) -> DataFrame:
     """file, n_haps, ref_length, lead_gap, tail_gap (most over rows) of aligned FASTA files, the reference first."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", ">").alias("r"))
+    return msa_texts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def msa_texts(texts: DataFrame) -> DataFrame:
+    """As msa(), of texts (file, value)."""
+    whole = texts.select("file", F.split("value", ">").alias("r"))
     rows = F.transform(F.filter("r", lambda x: F.trim(x) != ""), lambda x: F.replace(F.regexp_replace(x, "^[^\n]*\n", ""), F.lit("\n"), F.lit("")))
     s = whole.select("file", rows.alias("s"))
     gap = lambda f: F.array_max(F.transform("s", f))
