@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import binascii
 import glob
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from functools import lru_cache
+from itertools import accumulate, chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +33,12 @@ FIELDS = [pa.field(n, t) for n, t in zip(COLUMNS, TYPES)]
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 MAGIC = b"\x1f\x8b\x08\x04"
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-PAIRS = [BASES[x >> 4] + BASES[x & 15] for x in range(256)]
-#: Bytes of a file that a task reads.
-SPLIT = 64 << 20
+#: Bases as hexadecimal digits and back; what is no base is no digit either.
+DIGITS = bytes(b"0123456789abcdef"[BASES.index(chr(x))] if chr(x) in BASES else 33 for x in range(256))
+LETTERS = bytes.maketrans(b"0123456789abcdef", BASES.encode())
+HEAD = struct.Struct("<iiBBHHHiiii")
+#: Bytes of a file that a task reads; where parts are smaller, a task takes several rather than there being more tasks.
+SPLIT, TASKS = 64 << 20, 1 << 10
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -291,7 +298,7 @@ def _record_end(b: bytes) -> int:
 
 
 def _record(b: bytes, names: list[str], columns: tuple[str, ...]) -> tuple:
-    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, tlen = HEAD.unpack_from(b)
     cigar_at = 32 + n_name
     seq_at = cigar_at + 4 * n_cigar
     qual_at = seq_at + (n_seq + 1) // 2
@@ -302,18 +309,31 @@ def _record(b: bytes, names: list[str], columns: tuple[str, ...]) -> tuple:
             case "qname":
                 return b[32 : cigar_at - 1].decode()
             case "cigar":
-                return "".join(f"{u >> 4}{OPS[u & 15]}" for u in struct.unpack_from(f"<{n_cigar}I", b, cigar_at)) or "*"
+                return _cigar(b[cigar_at:seq_at])
             case "seq":
-                return "".join(map(PAIRS.__getitem__, b[seq_at:qual_at]))[:n_seq]
+                return binascii.hexlify(b[seq_at:qual_at]).translate(LETTERS).decode()[:n_seq]
             case "quals":
                 return None if n_seq and b[qual_at] == 255 else list(b[qual_at : qual_at + n_seq])
             case "tags":
                 return dict(_tags(b[qual_at + n_seq :]))
         return {"flag": flag, "chrom": of(ref), "pos": pos + 1, "mapq": mapq, "mate_chrom": of(mate), "mate_pos": mate_pos + 1, "tlen": tlen}[column]
 
+    if columns == COLUMNS:
+        return get("qname"), flag, of(ref), pos + 1, mapq, get("cigar"), of(mate), mate_pos + 1, tlen, get("seq"), get("quals"), get("tags")
     return tuple(map(get, columns))
 
 
+@lru_cache(1 << 14)
+def _cigar(packed: bytes) -> str:
+    return "".join(f"{u >> 4}{OPS[u & 15]}" for u in struct.unpack(f"<{len(packed) // 4}I", packed)) or "*"
+
+
+@lru_cache(1 << 14)
+def _packed_cigar(cigar: str) -> bytes:
+    units = [(int(n) << 4) | OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return struct.pack(f"<{len(units)}I", *units)
+
+
 def _tags(b: bytes) -> Iterator[tuple[str, str]]:
     number = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
     at = 0
@@ -363,14 +383,47 @@ def bam(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS, regi
         rows = bamindex.planned(spark, [f for f, _ in files(spark, path)], regions or [], split)
     else:
         parts = [(f, at, at + split) for f, size in files(spark, path) for at in range(0, max(1, size), split)]
-        rows = spark.createDataFrame(parts, "file string, start long, stop long").repartitionByRange(max(1, len(parts)), "file", "start")
+        tasks = min(len(parts), max(TASKS, len(parts) * split // SPLIT))
+        rows = spark.createDataFrame(parts, "file string, start long, stop long").repartitionByRange(max(1, tasks), "file", "start")
     schema = ", ".join(x for x in SCHEMA.split(", ") if x.split(" ")[0] in columns or x.startswith("string>") and "tags" in columns)
     return rows.mapInArrow(read, schema)
 
 
 def _batches(rows: Iterator[tuple], fields: list[pa.Field], size: int = 8192) -> Iterator[pa.RecordBatch]:
     while chunk := list(islice(rows, size)):
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in chunk], f.type) for k, f in enumerate(fields)], names=[f.name for f in fields])
+        yield pa.RecordBatch.from_arrays([_column(x, f) for x, f in zip(zip(*chunk), fields)], names=[f.name for f in fields])
+
+
+def _column(values: tuple, field: pa.Field) -> pa.Array:
+    """An Arrow column; lists and maps are made of flat arrays, not value by value."""
+    if field.name not in ("quals", "tags"):
+        return pa.array(values, field.type)
+    offsets = pa.array([0, *accumulate(len(x or ()) for x in values)], pa.int32())
+    if field.name == "tags":
+        keys, items = (pa.array([y for x in values for y in of(x)], pa.string()) for of in (dict.keys, dict.values))
+        return pa.MapArray.from_arrays(offsets, keys, items)
+    flat = np.frombuffer(b"".join(bytes(x) for x in values if x), np.uint8).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([x is None for x in values]))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of SCHEMA; qualities as bytes and tags as pairs, taken from flat arrays."""
+
+    def values(name: str) -> Iterable:
+        column = batch.column(name)
+        if name not in ("quals", "tags"):
+            return column.to_pylist()
+        ends = column.offsets.to_pylist()
+        if name == "tags":
+            pairs = list(zip(column.keys.to_pylist(), column.items.to_pylist()))
+            return (pairs[a:b] if there else None for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist()))
+        least, most = pc.min_max(column.values).as_py().values()
+        if column.values.null_count or least is not None and not 0 <= least <= most <= 255:
+            raise ValueError("a quality is null or no byte")
+        flat = column.values.to_numpy().astype(np.uint8).tobytes()
+        return (flat[a:b] if there else None for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist()))
+
+    return zip(*map(values, COLUMNS))
 
 
 class BamDataSource(DataSource):
@@ -437,7 +490,7 @@ def write_bams(rows: DataFrame, folder: str, contigs: list[tuple[str, int]], hea
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in COLUMNS)))
+        each = (r for b in batches for r in _rows(b))
         first, count = next(each, None), 0
         if first is None:
             return
@@ -462,8 +515,8 @@ def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple], head
 
 def bam_bytes(contigs: list[tuple[str, int]], rows: Iterable[tuple], header: str = "", block: int = 60_000) -> Iterator[bytes]:
     """Blocks of a BAM file."""
-    data = bytearray()
-    for x in chain([_bam_header(contigs, header)], (_bam_record(r, {n: i for i, (n, _) in enumerate(contigs)}) for r in rows)):
+    data, number = bytearray(), {n: i for i, (n, _) in enumerate(contigs)}
+    for x in chain([_bam_header(contigs, header)], (_bam_record(r, number) for r in rows)):
         data += x
         while len(data) >= block:
             yield _bgzf(bytes(data[:block]))
@@ -486,10 +539,9 @@ def _bam_header(contigs: list[tuple[str, int]], header: str) -> bytes:
 
 def _bam_record(row: tuple, number: dict[str, int]) -> bytes:
     name, flag, chrom, pos, mapq, cigar, mate, mate_pos, tlen, seq, quals, tags = row
-    units = [(int(n) << 4) | OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-    codes = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
-    body = struct.pack("<iiBBHHHiiii", number.get(chrom, -1), pos - 1, len(name) + 1, mapq, 0, len(units), flag, len(seq), number.get(mate, -1), mate_pos - 1, tlen)
-    body += name.encode() + b"\0" + struct.pack(f"<{len(units)}I", *units) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
+    units = _packed_cigar(cigar)
+    body = HEAD.pack(number.get(chrom, -1), pos - 1, len(name) + 1, mapq, 0, len(units) // 4, flag, len(seq), number.get(mate, -1), mate_pos - 1, tlen)
+    body += name.encode() + b"\0" + units + binascii.unhexlify((seq + "=" * (len(seq) % 2)).encode().translate(DIGITS))
     body += bytes(quals) if quals is not None else b"\xff" * len(seq)
     body += b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in dict(tags or {}).items())
     return struct.pack("<i", len(body)) + body
