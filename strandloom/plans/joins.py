@@ -61,14 +61,12 @@ SPANS_OF_ALL = """
     SELECT w.id, sum(c)::BIGINT AS n, min(p) AS lo, max(q) AS hi FROM w JOIN v ON w.chrom = v.chrom AND s <= q AND p <= e GROUP BY w.id""",
 )
 def interval_levels(spark, sf_dir):
-    """Short and very long intervals in one join."""
+    """Short and very long intervals in one join, whose pairs are counted, not made."""
     for t in ("orders", "nation"):
         table(spark, sf_dir, t).createOrReplaceTempView(f"levels_{t}")
     w = spark.sql(SPANS_OF_ALL.replace("FROM orders", "FROM levels_orders").replace("FROM nation", "FROM levels_nation"))
     v = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 5 AS chrom", "l_orderkey * 3 - l_linenumber AS p", "l_orderkey * 3 + l_suppkey % 300 AS q")
-    v = v.groupBy("chrom", "p", "q").agg(F.count("*").alias("c"))
-    met = rel.interval_join(w, v, ["chrom"], ("s", "e"), ("p", "q"))
-    return met.groupBy("id").agg(F.sum("c").alias("n"), F.min("p").alias("lo"), F.max("q").alias("hi"))
+    return rel.overlap_totals(w, v, ["chrom"], ("s", "e"), ("p", "q"), "id")
 
 
 # Alleles by a number: SNV, INS, DEL, MNP, CPX, and an MNP that holds the SNV in its middle.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import quantiles, scans
 from strandloom.operators import relational as rel
+from strandloom.plans import joins
 
 
 def rows(spark, n=6000):
@@ -137,3 +138,20 @@ def test_near_texts_equal_brute_force(spark):
     want = {(min(x), min(y), d, len(nodes[a]), len(nodes[b])) for a, x in nodes.items() for b, y in nodes.items() if len(a) == len(b) and min(x) < min(y) and (d := sum(p != q for p, q in zip(a, b))) <= 2}
     got = rel.within_mismatches(rel.distinct_texts(df, "id", "s"), 2).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    """Totals equal brute force, with negative places, ties, empty intervals, null keys and copies of an id; no pairs are made."""
+    g = random.Random(11)
+    span = lambda: (s := g.randrange(-300, 60_000), s + g.choice([-1, 0, 3, 90, 20_000]))
+    a = [(i % 700, g.choice(["c", "d", "e", None]), *span()) for i in range(900)] + [(999, "f", 0, 100_000)]
+    b = [(g.choice(["c", "d", None]), *span()) for _ in range(600)] + [("g", 5, 9)]
+    left, right = spark.createDataFrame(a, "i long, chrom string, s long, e long"), spark.createDataFrame(b, "chrom string, p long, q long")
+    met = {}
+    for i, c, s, e in a:
+        met.setdefault(i, []).extend((p, q) for k, p, q in b if c is not None and c == k and p <= q and s <= e and s <= q and p <= e)
+    want = sorted((i, len(x), min(p for p, _ in x), max(q for _, q in x)) for i, x in met.items() if x)
+    for bits in (4, 14):
+        assert sorted(map(tuple, rel.overlap_totals(left, right, ["chrom"], ("s", "e"), ("p", "q"), "i", bits).collect())) == want
+    query = joins.interval_levels(spark, "/root/testdata/sf0.001")
+    assert "Join" not in query._jdf.queryExecution().executedPlan().toString()
