@@ -149,8 +149,14 @@ def core(ref: Column, alt: Column) -> Column:
     return let(common_prefix(ref, alt), cut)
 
 
+def _apart(ref: Column, alt: Column) -> Column:
+    """Alleles differ in their first and in their last base, so nothing of them is trimmed."""
+    return (F.substring(ref, 1, 1) != F.substring(alt, 1, 1)) & (F.substring(ref, -1, 1) != F.substring(alt, -1, 1))
+
+
 def classify(ref: Column, alt: Column) -> Column:
-    """SNV, INS, DEL, MNP, CPX or REF, by the alleles' cores."""
+    """SNV, INS, DEL, MNP, CPX or REF, by the alleles' cores; cores are cut only where both alleles share one end and neither
+    is all of it."""
 
     def kind(c: Column) -> Column:
         r, a = F.length(c["ref_core"]), F.length(c["alt_core"])
@@ -158,17 +164,16 @@ def classify(ref: Column, alt: Column) -> Column:
             F.when((r == 0) & (a == 0), "REF").when(r == 0, "INS").when(a == 0, "DEL").when(r != a, "CPX").when(r == 1, "SNV").otherwise("MNP")
         )
 
-    return let(core(ref, alt), kind)
+    within = lambda x, y: F.startswith(y, x) | F.endswith(y, x)
+    apart, n, m = _apart(ref, alt), F.length(ref), F.length(alt)
+    plain = F.when(ref == alt, "REF").when(within(ref, alt), "INS").when(within(alt, ref), "DEL").when(apart & (n != m), "CPX").when(apart, F.when(n == 1, "SNV").otherwise("MNP"))
+    return plain.otherwise(let(core(ref, alt), kind))
 
 
 def variant_length(ref: Column, alt: Column) -> Column:
     """Signed: a deletion's is negative; an MNP's is its core's, an SNV's is 1."""
-
-    def size(kind: Column) -> Column:
-        indel = F.length(alt) - F.length(ref)
-        return F.when(kind == "SNV", 1).when(kind.isin("INS", "DEL", "CPX"), indel).otherwise(F.length(core(ref, alt)["alt_core"]))
-
-    return let(classify(ref, alt), size).cast("int")
+    n, m = F.length(ref), F.length(alt)
+    return F.when(F.isnull(ref) | F.isnull(alt), None).when(n != m, m - n).when(ref == alt, 0).when(_apart(ref, alt), m).otherwise(F.length(core(ref, alt)["alt_core"])).cast("int")
 
 
 def parsimony(ref: Column, alts: Column, start: Column) -> Column:
