@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import seq
 from strandloom.operators.evidence import record_text
 from strandloom.sources.files import open_file, write_file
+from strandloom.sources.storage import checkpointed
 
 #: Characters of a batch of texts.
 BATCH = 1 << 20
@@ -59,6 +60,7 @@ def write_vcf(sites: DataFrame, header: list[str], chrom_order: list[str], path:
     order = F.array_position(F.array(*map(F.lit, chrom_order)), F.col("chrom")).cast("int")
     body = sites.select(order.alias("c"), F.col("pos").alias("p"), F.col("ref").alias("r"), record_text().alias("value"))
     head = sites.sparkSession.createDataFrame([(-1, i, "", x) for i, x in enumerate(header)], "c int, p long, r string, value string")
+    body = checkpointed(body, "vcf-lines")  # or the range sort's sample makes all lines a second time
     head.unionByName(body).orderBy("c", "p", "r").select("value").write.mode("overwrite").text(path)
 
 
