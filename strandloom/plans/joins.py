@@ -31,14 +31,13 @@ TEXTS = "t AS (SELECT p_name AS s, min(p_partkey) AS rep, count(*)::BIGINT AS co
 
 @query(
     "q_near_duplicates",
-    f"""
-    WITH {TEXTS}
-    SELECT a.rep AS a, b.rep AS b, hamming(a.s, b.s)::INTEGER AS mismatches, a.copies AS copies_a, b.copies AS copies_b
-    FROM t a JOIN t b ON length(a.s) = length(b.s) AND a.rep < b.rep AND hamming(a.s, CASE WHEN length(a.s) = length(b.s) THEN b.s ELSE a.s END) <= 2""",
+    """
+    SELECT a.p_partkey AS a, b.p_partkey AS b, hamming(a.p_name, b.p_name)::INTEGER AS mismatches
+    FROM part a JOIN part b ON length(a.p_name) = length(b.p_name) AND a.p_partkey < b.p_partkey AND hamming(a.p_name, CASE WHEN length(a.p_name) = length(b.p_name) THEN b.p_name ELSE a.p_name END) <= 2""",
 )
 def near_duplicates(spark, sf_dir):
-    """Pairs of distinct names; q_name_members tells which rows have each."""
-    return rel.within_mismatches(rel.distinct_texts(table(spark, sf_dir, "part"), "p_partkey", "p_name"), 2)
+    """Pairs of all parts with names that differ in two places at most, equal names included."""
+    return rel.rows_within_mismatches(table(spark, sf_dir, "part"), "p_partkey", "p_name", 2)
 
 
 @query("q_name_members", f"WITH {TEXTS} SELECT p_partkey, rep, copies FROM part JOIN t ON p_name = s")

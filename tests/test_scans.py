@@ -140,6 +140,24 @@ def test_near_texts_equal_brute_force(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_rows_of_near_texts_are_all_paired(spark, monkeypatch):
+    """Copies included, in many blocks, with ids that clash and null texts."""
+    monkeypatch.setattr(rel, "COPIES", 3)
+    g = random.Random(7)
+    rows = [(g.randrange(90), g.choice([None, "", "A", "ABABABAB", "ABABABBB", "BBBBBBBB", "ABABBBBA", "AB" * 6])) for _ in range(120)]
+    want = sorted((i, j, d) for i, s in rows for j, t in rows if None not in (s, t) and len(s) == len(t) and i < j and (d := sum(p != q for p, q in zip(s, t))) <= 2)
+    got = rel.rows_within_mismatches(spark.createDataFrame(rows, "id long, s string"), "id", "s", 2)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_near_duplicates_pair_all_parts(spark):
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name").collect()
+    names = dict(parts)
+    assert len(names) == len(parts)
+    got = {(r.a, r.b) for r in joins.near_duplicates(spark, "/root/testdata/sf0.001").select("a", "b").collect()}
+    assert {(a, b) for a in names for b in names if a < b and names[a] == names[b]} <= got
+
+
 def test_overlaps_are_counted_without_pairs(spark):
     """Totals equal brute force, with negative places, ties, empty intervals, null keys and copies of an id; no pairs are made."""
     g = random.Random(11)
