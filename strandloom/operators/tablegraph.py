@@ -200,6 +200,76 @@ def without_tips(edges: DataFrame, key: str, k: int, anchors: DataFrame, keep: K
         live = keep(left)
 
 
+def texts_without_tips(df: DataFrame, key: str, text: str, k: int, keep: Keep = written) -> DataFrame:
+    """key, edges: how many oriented edges without_tips() leaves of each key's graph, the first and the last k bases of its texts
+    being anchors. Keys with one text are done in its row, so nothing of them is shuffled; others as tables."""
+    rows = df.select(key, text)
+    schema = f"`{key}` {rows.dtypes[0][1]}, edges long"
+    several = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    if several.isEmpty():
+        return rows.mapInArrow(_text_without_tips(k), schema)
+    several = keep(several)
+    same = lambda how: rows.alias("r").join(several.alias("m"), F.col(f"r.{key}").eqNullSafe(F.col(f"m.{key}")), how)
+    shared = keep(same("left_semi"))
+    units, e = text_graphs(shared, key, text, k, keep)
+    of = kmers.end_words(shared, key, text, k).select(key, F.array(*(kmers.letters(F.col(c), k) for c in ("first", "last"))).alias("ends"))
+    held = units.join(of, key).filter(F.exists("ends", lambda w: F.contains(F.col("seq"), w))).select(key, "tail")
+    return same("left_anti").mapInArrow(_text_without_tips(k), schema).unionByName(units_without_tips(units, e, key, k, held, keep)[0])
+
+
+def _text_without_tips(k: int):
+    """Rows of edges_without_tips(), where it leaves any."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = np.array([edges_without_tips(t or "", k) for t in b.column(1).to_pylist()], np.int64)
+            at = np.flatnonzero(left)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(left[at])], names=[b.schema.names[0], "edges"])
+
+    return make
+
+
+def edges_without_tips(text: str, k: int) -> int:
+    """What units_without_tips() counts, of one text's graph with the text's ends as anchors."""
+    s, rs, first, ring, a, z = kmers.text_chains(text, k)
+    if not len(s):
+        return 0
+    nodes = np.diff(np.append(first, len(s)))
+    tail = s[first + nodes - 1]
+    order = np.argsort(tail)
+    other = order[np.minimum(np.searchsorted(tail[order], rs[first]), len(first) - 1)]  # a chain's other reading; of no use for rings
+    words = [c[0] for c in (kmers.text_codes(x, k)[0] for x in (text[:k], text[-k:])) if len(text) > k and len(c)]
+    holds = np.searchsorted(first, np.flatnonzero(np.isin(s, words)), "right") - 1
+    back, size, anchors = other.tolist(), nodes.tolist(), {*holds.tolist(), *other[holds].tolist()}
+    follow: dict[int, set[int]] = {}
+    open_ = ~ring[a]  # a ring's only neighbour is itself, where it is cut
+    for x, y in zip(a[open_].tolist(), z[open_].tolist()):
+        follow.setdefault(x, set()).add(y)
+        follow.setdefault(y, set())
+    removed: set[int] = set()
+    while gone := {n for x, y in follow.items() if not y for n in _tip(back[x], follow, back, size, anchors, k)}:
+        gone |= {back[n] for n in gone}
+        removed |= gone
+        follow = {x: y - gone for x, y in follow.items() if x not in gone}
+        met = {x for x, y in follow.items() if y}.union(*follow.values())
+        follow = {x: y for x, y in follow.items() if x in met}
+    stay = [i for i in np.flatnonzero(~ring).tolist() if i not in removed and (size[i] >= k or i in follow or i in anchors)]
+    return sum(size[i] - 1 for i in stay) + int(nodes[ring].sum()) + sum(map(len, follow.values()))
+
+
+def _tip(w: int, follow: dict[int, set[int]], back: list[int], size: list[int], anchors: set[int], k: int) -> list[int]:
+    """The path without branches from w, before which nothing is, if it is a tip."""
+    path, total = [w], size[w]
+    while len(follow[w]) == 1:
+        (v,) = follow[w]
+        if len(follow[back[v]]) != 1 or v in (w, back[w]):
+            break
+        w = v
+        path.append(w)
+        total += size[w]
+    return path if total < k and len(follow[w]) <= 1 and anchors.isdisjoint(path) else []
+
+
 def units_without_tips(units: DataFrame, edges: DataFrame, key: str, k: int, held: DataFrame, keep: Keep = written) -> tuple[DataFrame, int]:
     """key, edges: how many oriented edges of k-mers without_tips() leaves, from chains (units of text_graphs(), edges between them
     as chain_edges()), those with a tail in held (key, tail) being anchors; and the rounds. A chain is one node, by the last

@@ -242,10 +242,7 @@ def ends(spark, sf_dir, k):
 def tips(spark, sf_dir):
     """Edges that stay when tips go, the ends of each text being anchors."""
     ship(spark)
-    units, e = tablegraph.text_graphs(dna(spark, sf_dir), "doc_id", "s", 11)
-    of = ends(spark, sf_dir, 11).select("doc_id", F.array(*(kmers.letters(F.col(c), 11) for c in ("first", "last"))).alias("ends"))
-    held = units.join(of, "doc_id").filter(F.exists("ends", lambda w: F.contains(F.col("seq"), w))).select("doc_id", "tail")
-    return tablegraph.units_without_tips(units, e, "doc_id", 11, held)[0]
+    return tablegraph.texts_without_tips(dna(spark, sf_dir), "doc_id", "s", 11)
 
 
 @query("q_graph_cycles")

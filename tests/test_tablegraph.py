@@ -164,6 +164,24 @@ def test_tips_of_chains_leave_as_many_edges(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_tips_are_cut_beside_the_texts(spark):
+    """As over tables, for small graphs with many tips, rings and branches; a key's two texts are one graph; nothing is shuffled
+    but counts of keys."""
+    g = random.Random(12)
+    rows = [t for t in texts() if len(t) > K] + ["".join(g.choice(a) for _ in range(n)) for a in ("ACGT", "AC", "ACG") for n in (6, 7, 12, 25, 40, 80, 150) for _ in range(6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, s string")
+    want = {}
+    for i, t in enumerate(rows):
+        n = len(plain_without_tips(edges_of(t, K), K, {min(w, rc(w)) for w in (t[:K], t[-K:])})[0])
+        want |= {i: n} if n else {}
+    once = tg.texts_without_tips(df, "id", "s", K)
+    assert {r.id: r.edges for r in once.collect()} == want and "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    twice = tg.texts_without_tips(df.union(spark.createDataFrame([(0, rows[5])], "id long, s string")), "id", "s", K)
+    both = {min(w, rc(w)) for t in (rows[0], rows[5]) for w in (t[:K], t[-K:])}
+    want[0] = len(plain_without_tips(edges_of(rows[0], K) | edges_of(rows[5], K), K, both)[0])
+    assert {r.id: r.edges for r in twice.collect()} == want
+
+
 def test_peeling_beside_the_texts_leaves_the_same(spark):
     df = spark.createDataFrame(list(enumerate(texts())), "id long, s string")
     of = lambda peel: sorted(tuple(r) for r in tg.peeled(tg.text_graphs(df, "id", "s", K, peel=peel)[1], "id")[0].collect())
